@@ -85,8 +85,11 @@ def exact_span_compose(spark, d):
     return pit.compose_spans(periods, ("4-NOT SPECIFIED", "5-LOW"), "DepreciationAndAmortization").drop("tag")
 
 
-@query("tag_gap_fold", f"""{VIS}, idx AS (
-  SELECT entity, tag, end_day, arg_max(value, seq) AS value FROM facts WHERE filed > DATE '{AS_OF}' GROUP BY ALL)
+FOLD = VIS.replace("o_orderpriority AS tag", "o_orderpriority || o_orderstatus AS tag").replace(AS_OF, "1996-03-31")
+
+
+@query("tag_gap_fold", f"""{FOLD}, idx AS (
+  SELECT entity, tag, end_day, arg_max(value, seq) AS value FROM facts WHERE filed > DATE '1996-03-31' GROUP BY ALL)
   , pts AS (SELECT entity, tag, max(end_day) AS end_day, arg_max(value, end_day) AS value FROM idx GROUP BY ALL)
   SELECT entity, tag, {txt('end_day')}, value, 'index' AS source FROM pts
   WHERE NOT EXISTS (SELECT 1 FROM vis v WHERE v.entity = pts.entity AND v.tag = pts.tag)
@@ -94,9 +97,9 @@ def exact_span_compose(spark, d):
   UNION ALL SELECT entity, tag, {txt('end_day')}, value, 'series' AS source FROM vis""")
 def tag_gap_fold(spark, d):
     """One latest point per (entity, tag) fills tags the series lacks, for known entities."""
-    facts = R.facts(spark, d)
-    series = pit.visible(facts, AS_OF).select("entity", "tag", "end_day", "value")
-    index = (facts.where(F.col("filed") > F.lit(AS_OF).cast("date")).groupBy("entity", "tag")
+    facts = R.facts(spark, d).withColumn("tag", F.concat("tag", "form"))
+    series = pit.visible(facts, "1996-03-31").select("entity", "tag", "end_day", "value")
+    index = (facts.where(F.col("filed") > F.lit("1996-03-31").cast("date")).groupBy("entity", "tag")
              .agg(F.max_by(F.struct("end_day", "value"), F.struct("end_day", "seq")).alias("p"))
              .select("entity", "tag", "p.end_day", "p.value"))
     held = series.select("entity", "tag").distinct()
@@ -198,8 +201,8 @@ def last_per_date(spark, d):
 
 
 @query("asof_price", f"""WITH {R.SQL_BARS}, {R.SQL_POSITIONS}
-  SELECT p.symbol, {txt('p.as_of', 'as_of')}, {rnd('b.close', 'close')}, {txt('b.day', 'day_at')}
-  FROM positions p ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.as_of >= b.day""")
+  SELECT p.symbol, {txt('p.as_of', 'as_of')}, {rnd('b.close', 'close', 9)}, {txt('b.day', 'day_at')}
+  FROM positions p ASOF LEFT JOIN bars b ON p.symbol = b.symbol AND p.as_of >= b.day""", digits=9)
 def asof_price(spark, d):
     ticks = R.positions(spark, d).select("symbol", "as_of")
     return asof.asof_join(ticks, R.bars(spark, d), "symbol", "as_of", "day", ("close",))
