@@ -102,3 +102,109 @@ def moments(rets: DataFrame, key: str = "symbol", min_side: int = 20) -> DataFra
         key, F.col("n").alias("bars"), adjusted_skew(n, F.col("g1")).alias("skew"),
         adjusted_kurtosis(n, F.col("g2")).alias("excess_kurtosis"), "gains", "losses",
         F.when(enough & (F.col("left") < 0), F.col("right") / F.abs("left")).alias("tail_ratio"))
+
+
+def quarter_ticks(days: DataFrame, day: str = "day") -> DataFrame:
+    """Last day of each calendar quarter that has one."""
+    return (days.groupBy(F.trunc(day, "quarter").alias("_q")).agg(F.max(day).alias("tick")).select("tick"))
+
+
+def following(ticks: DataFrame, tick: str = "tick") -> DataFrame:
+    """Each tick with the next one. One row per quarter of the calendar."""
+    return ticks.select(tick, F.lead(tick).over(W.orderBy(tick)).alias("next_tick"))
+
+
+def weekdays_between(d0, d1) -> Column:
+    """Weekdays strictly between two days, in closed form: whole weeks hold five,
+    the rest is read off the day of week."""
+    a, b = F.date_add(d0, 1), d1          # half-open [a, b)
+    def upto(d):                          # weekdays from Monday 1970-01-05 up to d
+        n = F.unix_date(d) - 4
+        return F.floor(n / 7) * 5 + F.least(F.pmod(n, F.lit(7)), F.lit(5))
+    return F.when(a < b, upto(b) - upto(a)).otherwise(F.lit(0))
+
+
+def freshness(day, as_of, max_age: int = 45) -> Column:
+    age = F.datediff(as_of, day)
+    return F.when(age.between(0, max_age), "FRESH").otherwise("STALE")
+
+
+def last_k_all(rows: DataFrame, key: str, day: str, k: int, cond: Column) -> DataFrame:
+    """Whether the condition holds on all of the last k rows; NULL if fewer rows."""
+    w = W.partitionBy(key).orderBy(F.desc(day))
+    last = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    return last.groupBy(key).agg(F.when(F.count("*") >= k, F.bool_and(cond)).alias("holds"))
+
+
+def gram(rets: DataFrame, asset: str = "asset", day: str = "day", group: str = "portfolio") -> DataFrame:
+    """Pair sums (group, a, b, n, sa, sb, saa, sbb, sab) over days on which every
+    kept asset of the group has a return. Each task multiplies its own days as one
+    matrix, so only one small matrix per task is shuffled, never a pair per day.
+    A portfolio holds a bounded number of assets."""
+    import numpy as np
+    import pandas as pd
+
+    kept = rets.groupBy(group).agg(F.countDistinct(asset).alias("_k"))
+    vectors = (rets.groupBy(group, day).agg(F.array_sort(F.collect_list(F.struct(F.col(asset).alias("a"), F.col("ret").alias("r")))).alias("v"))
+               .join(kept, group).where(F.size("v") == F.col("_k")).select(group, "v.a", "v.r"))
+
+    def partial(batches):
+        acc = {}
+        for pdf in batches:
+            for g, part in pdf.groupby(group):
+                x = np.array(part["r"].tolist(), dtype=float)
+                names = tuple(part["a"].iloc[0])
+                n, s, m = acc.get((g, names), (0, 0.0, 0.0))
+                acc[(g, names)] = (n + len(x), s + x.sum(axis=0), m + x.T @ x)
+        for (g, names), (n, s, m) in acc.items():
+            i, j = np.triu_indices(len(names), 1)
+            a = np.array(names)
+            yield pd.DataFrame({group: g, "a": a[i], "b": a[j], "n": n, "sa": s[i], "sb": s[j],
+                                "saa": m[i, i], "sbb": m[j, j], "sab": m[i, j]})
+
+    parts = vectors.mapInPandas(partial, f"{group} long, a long, b long, n long, sa double, sb double, saa double, sbb double, sab double")
+    return parts.groupBy(group, "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+
+
+def correlations(rets: DataFrame, min_obs: int = 120, **cols) -> DataFrame:
+    """Pairwise correlation (group, a, b, rho) of assets with enough returns."""
+    asset, group = cols.get("asset", "asset"), cols.get("group", "portfolio")
+    enough = rets.groupBy(group, asset).agg(F.count("ret").alias("_n")).where(F.col("_n") >= min_obs).drop("_n")
+    g = gram(rets.join(enough, [group, asset], "left_semi"), **cols)
+    cov = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
+    var = (F.col("n") * F.col("saa") - F.pow("sa", 2)) * (F.col("n") * F.col("sbb") - F.pow("sb", 2))
+    return g.select(group, "a", "b", (cov / F.sqrt(var)).alias("rho"))
+
+
+def linkage_clusters(rho: DataFrame, threshold: float = 0.7, group: str = "portfolio") -> DataFrame:
+    """Average-linkage clusters per portfolio at distance sqrt((1 - rho) / 2); a
+    cluster is named by its smallest member. (group, asset, cluster)"""
+    import numpy as np
+    import pandas as pd
+
+    cut = ((1.0 - threshold) / 2.0) ** 0.5
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {s: i for i, s in enumerate(names)}
+        dist = np.full((len(names), len(names)), np.inf)
+        d = np.sqrt(np.maximum(0.0, (1.0 - pdf["rho"].to_numpy()) / 2.0))
+        ia, ib = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
+        dist[ia, ib] = dist[ib, ia] = d
+        members = {i: [i] for i in range(len(names))}
+        while len(members) > 1:
+            i, j = np.unravel_index(np.argmin(dist), dist.shape)
+            if dist[i, j] > cut:
+                break
+            wi, wj = len(members[i]), len(members[j])
+            merged = (dist[i] * wi + dist[j] * wj) / (wi + wj)
+            dist[i], dist[:, i] = merged, merged
+            dist[i, i] = np.inf
+            dist[j], dist[:, j] = np.inf, np.inf
+            members[i] += members.pop(j)
+        rows = [(names[m], min(names[x] for x in ms)) for ms in members.values() for m in ms]
+        out = pd.DataFrame(rows, columns=["asset", "cluster"])
+        out.insert(0, group, pdf[group].iloc[0])
+        return out
+
+    return rho.groupBy(group).applyInPandas(cluster, f"{group} long, asset long, cluster long")

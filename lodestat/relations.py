@@ -386,3 +386,59 @@ SQL_LEDGER = f"""ledger AS (
   SELECT user_id AS ticker, CAST(ts AS DATE) AS day, ts,
          CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in OUTCOMES.items())} END AS outcome,
          event_type AS kind, value, event_id AS seq FROM events)"""
+
+
+# --- market indices and tick scores -------------------------------------------
+
+def market_index(spark, sf_dir) -> DataFrame:
+    """Benchmark (day, close): value per unit sold in each week, over all lines."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.trunc(_day("l_shipdate"), "week").alias("day"))
+        .agg(F.sum(cents("l_extendedprice")).alias("c"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+        .select("day", (F.col("c") / 100.0 / F.col("q")).alias("close"))
+    )
+
+
+def sector_index(spark, sf_dir) -> DataFrame:
+    """One weekly index per nation (asset, portfolio, day, close): 25 assets in 5
+    portfolios, a fixed dimension whatever the scale."""
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey"), F.col("n_nationkey").cast("bigint").alias("asset"), F.col("n_regionkey").alias("portfolio"))
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return (
+        table(spark, sf_dir, "lineitem").join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("s_nationkey", F.trunc(_day("l_shipdate"), "week").alias("day"))
+        .agg(F.sum(cents("l_extendedprice")).alias("c"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select("asset", "portfolio", "day", (F.col("c") / 100.0 / F.col("q")).alias("close"))
+    )
+
+
+def tick_scores(spark, sf_dir) -> DataFrame:
+    """Quarterly scores (tick, symbol, composite, grade): gross margin in percent
+    at the quarter's last index day."""
+    ticks = (market_index(spark, sf_dir).groupBy(F.trunc("day", "quarter").alias("q"))
+             .agg(F.max("day").alias("tick")))
+    s = statements(spark, sf_dir).where("scope = 'quarterly'")
+    comp = F.round(100.0 * F.coalesce("gross_profit", F.lit(0.0)) / F.col("revenue"), 2)
+    return (s.select("entity", F.trunc("period_end", "quarter").alias("q"), comp.alias("composite")).join(ticks, "q")
+            .select("tick", F.col("entity").alias("symbol"), "composite",
+                    F.when(F.col("composite") < 10, "VETOED").when(F.col("composite") >= 80, "A").when(F.col("composite") >= 65, "B")
+                    .when(F.col("composite") >= 50, "C").when(F.col("composite") >= 35, "D").otherwise("F").alias("grade")))
+
+
+SQL_INDEX = """idx AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS day,
+  CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 / CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS close
+  FROM lineitem GROUP BY ALL)"""
+
+SQL_SECTOR_INDEX = """sidx AS (SELECT CAST(s_nationkey AS BIGINT) AS asset, any_value(n_regionkey) AS portfolio, CAST(date_trunc('week', l_shipdate) AS DATE) AS day,
+  CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 / CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS close
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY s_nationkey, CAST(date_trunc('week', l_shipdate) AS DATE))"""
+
+SQL_TICKS = f"""{SQL_INDEX}, tickq AS (SELECT date_trunc('quarter', day) AS q, max(day) AS tick FROM idx GROUP BY ALL),
+tick_scores AS (SELECT tick, entity AS symbol, round(100.0 * coalesce(gross_profit, 0) / revenue, 2) AS composite,
+  CASE WHEN round(100.0 * coalesce(gross_profit, 0) / revenue, 2) < 10 THEN 'VETOED' WHEN round(100.0 * coalesce(gross_profit, 0) / revenue, 2) >= 80 THEN 'A'
+    WHEN round(100.0 * coalesce(gross_profit, 0) / revenue, 2) >= 65 THEN 'B' WHEN round(100.0 * coalesce(gross_profit, 0) / revenue, 2) >= 50 THEN 'C'
+    WHEN round(100.0 * coalesce(gross_profit, 0) / revenue, 2) >= 35 THEN 'D' ELSE 'F' END AS grade
+  FROM stm JOIN tickq ON tickq.q = date_trunc('quarter', period_end) WHERE scope = 'quarterly')"""
