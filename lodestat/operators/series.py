@@ -54,7 +54,7 @@ def levels(bars: DataFrame, value: str = "adj_close", key: str = "symbol", day:
         key, day, (F.col(value) / F.first(value).over(w)).alias("level"))
 
 
-def drawdown(points: DataFrame, value: str, key: str = "symbol", day: str = "day") -> DataFrame:
+def drawdown(points: DataFrame, value: str, key: str = "symbol", day: str = "day", slack: float = RECOVERY_SLACK) -> DataFrame:
     """Deepest fall from the running peak with its peak and trough days, and
     whether the peak was regained after the trough. Only positive peaks count.
     (key, drawdown, peak, peak_day, trough, trough_day, recovered, positive_peaks, bars)"""
@@ -74,7 +74,7 @@ def drawdown(points: DataFrame, value: str, key: str = "symbol", day: str = "day
     g = p.groupBy(key).agg(worst.alias("w"), F.count(F.lit(1)).alias("bars"),
                            F.coalesce(F.bool_or(F.col("peak") > 0), F.lit(False)).alias("positive_peaks"))
     return g.select(key, F.col("w.fall").alias("drawdown"), "w.peak", "w.peak_day", "w.trough", "w.trough_day",
-                    F.coalesce(F.col("w.later") >= F.col("w.peak") * (1 - RECOVERY_SLACK), F.lit(False))
+                    F.coalesce(F.col("w.later") >= F.col("w.peak") * (1 - slack), F.lit(False))
                     .alias("recovered"), "positive_peaks", "bars")
 
 

@@ -145,3 +145,19 @@ def stress_periods(points: DataFrame, years: list, start_month: int = 6) -> Data
     The covering year is computed from the period, so nothing is range-joined."""
     covering = F.year("period_end") - F.when(F.month("period_end") < start_month, 1).otherwise(0)
     return points.withColumn("year", covering).where(F.col("year").isin(*years))
+
+
+def yearly_issuance(shares: DataFrame) -> DataFrame:
+    """Share steps on an annual cadence: a count within 300 days of the last kept one
+    replaces it. (entity, end_day, issuance_pct)"""
+    pts = shares.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("end_day", "value"))).alias("pts"))
+
+    def fold(acc, p):
+        last = F.element_at(acc, -1)
+        far = (F.size(acc) == 0) | (F.datediff(p["end_day"], last["end_day"]) >= MIN_ANNUAL_GAP_DAYS)
+        return F.when(far, F.concat(acc, F.array(p))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(p)))
+
+    kept = pts.select("entity", F.aggregate("pts", F.slice("pts", 1, 0), fold).alias("k"))
+    pairs = kept.select("entity", F.explode(F.zip_with(F.slice("k", 2, F.size("k")), F.slice("k", 1, F.greatest(F.size("k") - 1, F.lit(0))), lambda b, a: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+    a, b = F.col("p.a"), F.col("p.b")
+    return pairs.where((a["value"] > 0) & (b["value"] > 0)).select("entity", b["end_day"].alias("end_day"), V.cagr_pct(a["end_day"], a["value"], b["end_day"], b["value"]).alias("issuance_pct"))
