@@ -115,7 +115,8 @@ def annual_cadence(spark, d):
 @query("yearly_issuance")
 def yearly_issuance(spark, d):
     """Share steps on an annual cadence (the newest count of a year wins), annualised."""
-    return S.yearly_issuance(share_series(spark, d))
+    yearly = share_series(spark, d).groupBy("entity", F.year("end_day").alias("y")).agg(F.max_by("value", "end_day").alias("value"), F.max("end_day").alias("end_day"))
+    return S.yearly_issuance(yearly.drop("y"))
 
 
 CE = f"""{dd_sql('(SELECT * FROM an WHERE owner_fcf IS NOT NULL)', 'owner_fcf', 'entity', 'period_end').replace('(1 - 1e-9)', '1.0')},
@@ -207,7 +208,7 @@ def probe_registry(spark, d):
         F.count_if(F.col("severity") == "severe").alias("severe"), F.count_if(F.col("severity") == "caution").alias("caution"), F.count_if("measured").alias("measured"))
 
 
-@query("concentration_scale", """WITH x AS (SELECT l_suppkey AS entity, arg_max(CASE WHEN l_linenumber < 3 THEN l_discount * 10 WHEN l_linenumber < 6 THEN l_discount * 1000 END, (l_shipdate, l_orderkey, l_linenumber, l_partkey)) AS v FROM lineitem GROUP BY l_suppkey),
+@query("concentration_scale", """WITH x AS (SELECT l_suppkey AS entity, arg_max_null(CASE WHEN l_linenumber < 3 THEN l_discount * 10 WHEN l_linenumber < 6 THEN l_discount * 1000 END, (l_shipdate, l_orderkey, l_linenumber, l_partkey)) AS v FROM lineitem GROUP BY l_suppkey),
   y AS (SELECT entity, CASE WHEN abs(v) <= 1.5 THEN v * 100 ELSE v END AS pct FROM x)
   SELECT entity, CASE WHEN pct < 100 THEN round(pct, 6) END AS percent, coalesce(pct < 100, false) AS measured, coalesce(pct >= 20 AND pct < 100, false) AS flagged FROM y""")
 def concentration_scale(spark, d):
