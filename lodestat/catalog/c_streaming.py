@@ -41,21 +41,21 @@ FP = "CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR)"
 
 @query("st_fingerprint_change", f"{L}, f AS (SELECT ticker, seq, {FP} AS current, lag({FP}) OVER (PARTITION BY ticker ORDER BY ts, seq) AS previous FROM ledger) SELECT ticker, seq, previous, current FROM f WHERE previous IS NOT NULL AND previous <> current")
 def st_fingerprint_change(spark, d):
-    build = lambda s: jobs.changes(s.select("ticker", "ts", "seq", F.floor(F.coalesce("value", F.lit(0.0)) / 25).cast("string").alias("fp")), "ticker", "fp")
-    return jobs.run(slices(spark, d)[:2], build)
+    parts = [s.withColumn("fp", F.floor(F.col("value") / 25).cast("string")) for s in slices(spark, d)[:2]]
+    return jobs.run_stateful(parts, jobs.changes("ticker", "fp"))
 
 
 @query("st_officer_diff", f"{L}, f AS (SELECT ticker, seq, kind AS current, lag(kind) OVER (PARTITION BY ticker ORDER BY ts, seq) AS previous FROM ledger) SELECT ticker, seq, previous, current FROM f WHERE previous IS NOT NULL AND previous <> current")
 def st_officer_diff(spark, d):
-    return jobs.run(slices(spark, d)[:2], lambda s: jobs.changes(s.select("ticker", "ts", "seq", "kind"), "ticker", "kind"))
+    return jobs.run_stateful(slices(spark, d)[:2], jobs.changes("ticker", "kind"))
 
 
 @query("st_trigger_streak", f"""{L}, o AS (SELECT ticker, day, arg_max(value > 30, seq) AS hit FROM ledger GROUP BY ticker, day), i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY day) AS isle FROM o),
   s AS (SELECT ticker, day, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY ticker, isle ORDER BY day) AS BIGINT) AS streak FROM i)
   SELECT ticker, {txt('day')}, streak, CASE WHEN max(streak) OVER (PARTITION BY ticker ORDER BY s.day) >= 4 THEN 'broken' ELSE 'intact' END AS status FROM s""")
 def st_trigger_streak(spark, d):
-    build = lambda s: jobs.streaks(s.select("ticker", "day", "seq", (F.col("value") > 30).alias("hit")), "ticker", 4)
-    return jobs.run(slices(spark, d)[:2], build)
+    parts = [s.withColumn("hit", F.col("value") > 30) for s in slices(spark, d)[:2]]
+    return jobs.run_stateful(parts, jobs.streaks("ticker", 4))
 
 
 def silent(asks, answers, hours):

@@ -3,12 +3,13 @@
 lost with its executors resumes where it stood. Nothing goes through the driver."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestat.operators import chunks, ledger
 from lodestat.session import shared_dir
 
 HEARTBEAT = "heartbeat"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def arrivals(events: DataFrame, cut: str, beat: str) -> list:
@@ -36,8 +37,9 @@ def run(slices: list, build, output: str = "files") -> DataFrame:
         if output == "files":
             query = writer.format("parquet").option("path", out).outputMode("append").start()
         else:
-            query = writer.outputMode("update").foreachBatch(
-                lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()      # a replayed batch replaces itself
+            def keep(df, n):
+                df.write.mode("overwrite").parquet(f"{out}/batch={n}")      # a replayed batch replaces itself
+            query = writer.outputMode("update").foreachBatch(keep).start()
         query.awaitTermination()
     return spark.read.schema(schema.add("batch", "long") if output != "files" else schema).parquet(out)
 
@@ -78,58 +80,63 @@ def unanswered(stream: DataFrame, asks: str, answers: str, within: str, delay: s
     return a.join(b, cond, "leftOuter").select("ticker", "seq", "asked", "answered")
 
 
-def changes(stream: DataFrame, key: str, fingerprint: str) -> DataFrame:
-    """Rows whose fingerprint differs from the previous one of their key; the first
-    is the baseline. (key, seq, previous, current)"""
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Changes(StatefulProcessor):
-        def init(self, handle):
-            self.last = handle.getValueState("last", "fp string")
-
-        def handleInputRows(self, k, rows, timers):
-            pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
-            prev = self.last.get()[0] if self.last.exists() else None
-            before = [prev, *pdf[fingerprint].tolist()[:-1]]
-            out = pd.DataFrame({key: k[0], "seq": pdf["seq"].to_numpy(), "previous": before, "current": pdf[fingerprint].to_numpy()})
-            self.last.update((pdf[fingerprint].iloc[-1],))
-            yield out[out["previous"].notna() & (out["previous"] != out["current"])]
-
-        def close(self):
-            pass
-
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Changes(), outputStructType=f"{key} long, seq long, previous string, current string", outputMode="append", timeMode="none")
-
-
-def streaks(stream: DataFrame, key: str, needed: int) -> DataFrame:
-    """Consecutive hits per key over dates, kept in state: a date counts once, a miss
-    resets, and a tripped key stays broken. (key, day, streak, status)"""
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Streaks(StatefulProcessor):
-        def init(self, handle):
-            self.state = handle.getValueState("streak", "streak int, day string, broken boolean")
-
-        def handleInputRows(self, k, rows, timers):
-            pdf = pd.concat(list(rows)).sort_values(["day", "seq"]).groupby("day", as_index=False).last()
-            streak, last, broken = self.state.get() if self.state.exists() else (0, "", False)
-            out = []
-            for day, hit in zip(pdf["day"], pdf["hit"]):
-                if day == last:
-                    continue
-                streak = streak + 1 if hit else 0
-                broken, last = broken or streak >= needed, day
-                out.append((k[0], day, streak, "broken" if broken else "intact"))
-            self.state.update((streak, last, broken))
-            yield pd.DataFrame(out, columns=[key, "day", "streak", "status"])
-
-        def close(self):
-            pass
-
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Streaks(), outputStructType=f"{key} long, day string, streak int, status string", outputMode="append", timeMode="none")
+def run_stateful(slices: list, step) -> DataFrame:
+    """Run a job whose state is a table. Each micro-batch is one ordinary batch job:
+    ``step(rows, state)`` gives its results and the next state, both written under
+    the batch number, so a replayed batch replaces itself and reads the same old
+    state. State and order are DataFrame work, so a hot key is spread like any other."""
+    spark = slices[0].sparkSession
+    src, out, held, ckpt = (shared_dir(spark, f"stream-{p}") for p in ("in", "out", "state", "ckpt"))
+
+    def batch(rows, n):
+        rows = rows.persist()
+        state = spark.read.parquet(f"{held}/batch={n - 1}") if n > 0 else None
+        result, after = step(rows, state)
+        result.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        after.write.mode("overwrite").parquet(f"{held}/batch={n}")
+        rows.unpersist()
+
+    for rows in slices:
+        rows.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(rows.schema).parquet(src)
+        (stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+         .foreachBatch(batch).start().awaitTermination())
+    return spark.read.parquet(out).drop("batch")
+
+
+def changes(key: str, fingerprint: str):
+    """Step: rows whose fingerprint differs from the previous one of their key; the
+    first is the baseline. The state is the last row of each key."""
+    def step(rows, state):
+        cols = [key, "ts", "seq", fingerprint]
+        x = rows.select(*cols, F.lit(False).alias("held"))
+        if state is not None:
+            x = x.unionByName(state.select(*cols, F.lit(True).alias("held")))
+        x = x.withColumn("chunk", F.to_date("ts"))
+        y = chunks.lag_in_chunks(x, [key], "chunk", ["ts", "seq"], fingerprint, "previous")
+        differs = ~F.col("held") & F.col("previous").isNotNull() & (F.col("previous") != F.col(fingerprint))
+        return (y.where(differs).select(key, "seq", "previous", F.col(fingerprint).alias("current")),
+                ledger.latest(x.select(*cols), [key], ["ts", "seq"]))
+    return step
+
+
+def streaks(key: str, needed: int):
+    """Step: consecutive hits per key over dates. A date counts once, a miss resets,
+    a tripped key stays broken, and dates already seen change nothing. Rows are
+    first reduced to one per key and date."""
+    def step(rows, state):
+        days = rows.groupBy(key, "day").agg(F.max_by("hit", "seq").alias("hit"))
+        if state is None:
+            days = days.withColumns({"s0": F.lit(0), "b0": F.lit(False)})
+        else:
+            days = (days.join(state.select(key, F.col("streak").alias("s0"), F.col("day").alias("d0"), F.col("broken").alias("b0")), key, "left")
+                    .where(F.col("d0").isNull() | (F.col("day") > F.col("d0"))).fillna({"s0": 0, "b0": False}).drop("d0"))
+        run = W.partitionBy(key).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+        isle = days.withColumn("isle", F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(run))
+        inside = W.partitionBy(key, "isle").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+        n = isle.withColumn("streak", (F.sum(F.when(F.col("hit"), 1).otherwise(0)).over(inside) + F.when(F.col("isle") == 0, F.col("s0")).otherwise(0)).cast("int"))
+        n = n.withColumn("broken", F.col("b0") | (F.max("streak").over(run) >= needed))
+        last = n.select(key, "day", "streak", "broken")
+        last = last if state is None else last.unionByName(state)
+        return (n.select(key, "day", "streak", F.when(F.col("broken"), "broken").otherwise("intact").alias("status")), ledger.latest(last, [key], ["day"]))
+    return step
