@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestat import relations as R
 from lodestat.catalog import sqlcard, sqlx
 from lodestat.catalog.c_fragile import EV, annual, findings
-from lodestat.catalog.c_grading import evaluated, share_series
+from lodestat.catalog.c_grading import evaluated, prepared, share_series
 from lodestat.catalog.registry import query, rnd, txt
 from lodestat.functions import valuation as V
 from lodestat.operators import card as C
@@ -22,7 +22,7 @@ YRS = f"{EV}, {sqlcard.YEARS}"
 
 def inputs(spark, d):
     """(evaluated, statements) staged once."""
-    return stage(evaluated(spark, d), "evaluated"), stage(R.statements(spark, d), "statements")
+    return prepared(spark, d)[:2]
 
 
 def valued(spark, d):
@@ -48,9 +48,9 @@ def card_of(e, st):
 
 
 def picks(spark, d):
-    e, st = inputs(spark, d)
-    card = card_of(e, st)
-    v = X.verdicts(findings(spark, d, e)).select("entity", "verdict", "severe", "caution")
+    prep = prepared(spark, d)
+    card = card_of(*prep[:2])
+    v = X.verdicts(findings(spark, d, prep)).select("entity", "verdict", "severe", "caution")
     return stage(C.consensus(card.join(v, "entity", "left").withColumn("flagged", F.lit(False))), "picks")
 
 
@@ -212,9 +212,8 @@ VT = ("net_cash", "ncav", "eps_ttm", "graham_number", "price_to_graham", "pe", "
 VAL = f"{EV}, {sqlcard.VALUE}"
 
 
-def lane_table(spark, d):
-    e, st = inputs(spark, d)
-    sh = share_series(spark, d)
+def lane_table(spark, d, prep=None):
+    e, st, sh = prep or prepared(spark, d)
     return stage(LC.value_table(e, st, sh), "values"), st
 
 
@@ -239,8 +238,8 @@ def lenses(spark, d):
     return t.select("entity", *[F.col(f"{n}.verdict").alias(n) for n in LC.LENSES], F.col("downside.rank").alias("downside_rank"))
 
 
-def forged(spark, d):
-    v, st = lane_table(spark, d)
+def forged(spark, d, prep=None):
+    v, st = lane_table(spark, d, prep)
     bars = stage(R.bars(spark, d), "bars")
     vol = series.returns(bars).groupBy(F.col("symbol").alias("entity")).agg(F.when(F.count("ret") >= 51, F.stddev_pop("ret") * F.sqrt(F.lit(52.0))).alias("vol"))
     sub = series.last_k_all(bars, "symbol", "day", 6, F.col("close") < 1500).select(F.col("symbol").alias("entity"), F.col("holds").alias("sub_dollar"))
@@ -277,9 +276,9 @@ def desk_floor(spark, d):
   SELECT entity, lens, rank FROM (SELECT *, row_number() OVER (PARTITION BY lens ORDER BY score, entity) AS rank FROM ll WHERE score IS NOT NULL) WHERE rank <= 3""")
 def lens_shortlists(spark, d):
     """Best three per lens (severe limit lifted, so that the lists are not empty here)."""
-    e = stage(evaluated(spark, d), "evaluated")
-    v = X.verdicts(findings(spark, d, e)).select("entity", "severe")
-    rows = LC.lenses(forged(spark, d).withColumn("equity", F.col("equity") / 10)).join(v, "entity", "left").withColumns({
+    prep = prepared(spark, d)
+    v = X.verdicts(findings(spark, d, prep)).select("entity", "severe")
+    rows = LC.lenses(forged(spark, d, prep).withColumn("equity", F.col("equity") / 10)).join(v, "entity", "left").withColumns({
         "eligible": LC.eligible(F.col("market_cap") * 100, F.col("price"))["ok"], "verdict": F.lit("Ordinary"), "forge_verdict": F.lit("Survivor"),
         "severe": F.when(F.coalesce("severe", F.lit(0)) > 3, 1).otherwise(0)})
     return LC.lens_shortlists(rows).select("entity", "lens", "rank")

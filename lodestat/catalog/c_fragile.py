@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestat import relations as R
 from lodestat.catalog import sqlx
-from lodestat.catalog.c_grading import evaluated, market, share_series  # noqa: F401
+from lodestat.catalog.c_grading import prepared, share_series
 from lodestat.catalog.c_series import LEV, MOM, RET, dd_sql
 from lodestat.catalog.registry import query, rnd, txt
 from lodestat.operators import fragility as X
@@ -165,8 +165,8 @@ PDD = f"{LEV}, {dd_sql('lev', 'level', 'symbol', 'day')}"
 
 @query("probe_financing", f"{EV}, {PDD}, {FI} SELECT entity, measured, severity, {rnd('value', digits=5)} FROM fi", digits=5)
 def probe_financing(spark, d):
-    e = stage(evaluated(spark, d), "evaluated")
-    return X.financing(fragile.financing_inputs(e, R.bars(spark, d), share_series(spark, d), R.splits(spark, d)))
+    e, _, sh = prepared(spark, d)
+    return X.financing(fragile.financing_inputs(e, R.bars(spark, d), sh, R.splits(spark, d)))
 
 
 def _as(name, sub):
@@ -182,11 +182,9 @@ FINDINGS = f"""{EV}, {PDD}, {FI}, {RET}, {MOM}, {_as('cdd', CE)}, {SS}, {PR},
   vd AS (SELECT *, CASE WHEN thin AND severe = 0 AND caution < 4 THEN 'Unknown' WHEN severe >= 3 THEN 'Ruinous' WHEN severe >= 2 OR caution >= 4 THEN 'Fragile' WHEN severe > 0 OR caution > 0 THEN 'Ordinary' ELSE 'Robust' END AS verdict FROM vg)"""
 
 
-def findings(spark, d, e=None):
-    st = stage(R.statements(spark, d), "statements")
-    bars = stage(R.bars(spark, d), "bars")
-    e = e if e is not None else stage(evaluated(spark, d), "evaluated")
-    return fragile.findings(st, e, bars, share_series(spark, d), R.splits(spark, d), STRESS_YEARS)
+def findings(spark, d, prep=None):
+    e, st, sh = prep or prepared(spark, d)
+    return fragile.findings(st, e, stage(R.bars(spark, d), "bars"), sh, R.splits(spark, d), STRESS_YEARS)
 
 
 @query("verdict_ladder", f"{FINDINGS} SELECT entity, severe, caution, measured, thin, verdict FROM vd")

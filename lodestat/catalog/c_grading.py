@@ -31,9 +31,17 @@ def market(spark, d):
     return px.join(n, "entity").select("entity", cap.alias("market_cap"), "price", F.when(F.col("entity") % 4 == 0, cap * 0.7).alias("vendor_ev"))
 
 
-def evaluated(spark, d):
+def evaluated(spark, d, st=None, sh=None):
     meta = R.universe(spark, d).select(F.col("symbol").alias("entity"), "sector", "industry")
-    return E.evaluate(stage(R.statements(spark, d), "statements"), stage(share_series(spark, d), "shares"), market(spark, d), meta)
+    st = st if st is not None else stage(R.statements(spark, d), "statements")
+    sh = sh if sh is not None else stage(share_series(spark, d), "shares")
+    return E.evaluate(st, sh, market(spark, d), meta)
+
+
+def prepared(spark, d):
+    """(evaluated, statements, shares), each computed once and staged."""
+    st, sh = stage(R.statements(spark, d), "statements"), stage(share_series(spark, d), "shares")
+    return stage(evaluated(spark, d, st, sh), "evaluated"), st, sh
 
 
 def scored(spark, d):
@@ -92,7 +100,7 @@ def unfilled_metrics(spark, d):
 def sector_percentile(spark, d):
     s = R.statements(spark, d).where("scope = 'quarterly'").select("entity", "revenue")
     meta = R.universe(spark, d).select(F.col("symbol").alias("entity"), "sector")
-    return ranks.with_percentile(s.join(meta, "entity"), ["sector"], "revenue", "pct")
+    return ranks.with_percentile(stage(s.join(meta, "entity"), "revenue"), ["sector"], "revenue", "pct")
 
 
 @query("score_universe", f"""{SC} SELECT entity, sector, grade, {', '.join(f'round({p}, 4) AS {p}' for p in 'vqgdm')}, round(composite, 3) AS composite, round(quality_score, 3) AS quality_score, note FROM scored""", digits=4)

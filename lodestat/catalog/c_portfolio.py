@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodestat import relations as R
 from lodestat.catalog.registry import query, rnd, txt
 from lodestat.operators import portfolio as P
+from lodestat.session import stage
 
 PO = f"WITH {R.SQL_POSITIONS}, {R.SQL_CASH}"
 LAST = "(SELECT max(as_of) FROM positions)"
@@ -66,7 +67,8 @@ def instrument_type_map(spark, d):
   UNION ALL SELECT {txt('as_of')}, NULL, 'unexplained_cash', old, round(cash - old, 2) FROM ca WHERE abs(cash - old) > 1 AND as_of NOT IN (SELECT as_of FROM mv WHERE kind IN ('disappeared', 'quantity_change'))""", digits=2)
 def snapshot_diff(spark, d):
     """Differences over the positions of at least 300 units."""
-    return P.snapshot_diff(positions(spark, d).where("quantity >= 300"), R.snapshot_cash(spark, d))
+    held = stage(positions(spark, d).where("quantity >= 300"), "positions")
+    return P.snapshot_diff(held, R.snapshot_cash(spark, d))
 
 
 RATES = "rates AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'USD' ELSE 'GBP' END AS currency, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, max(l_extendedprice) / 100000 AS close FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_shipdate >= DATE '1996-01-01' GROUP BY ALL)"
@@ -161,7 +163,7 @@ def balance_report(spark, d):
   s AS (SELECT *, lag(value) OVER (ORDER BY as_of) AS v0 FROM v), r AS (SELECT *, CASE WHEN v0 + 0.5 * flow <> 0 THEN (value - v0 - flow) / (v0 + 0.5 * flow) ELSE 0 END AS ret FROM s WHERE v0 IS NOT NULL)
   SELECT {txt('as_of')}, round(ret, 6) AS ret, round(product(1 + ret) OVER (ORDER BY r.as_of) - 1, 6) AS linked, abs(flow) / v0 * 100 > 5 AS large_flow FROM r""")
 def modified_dietz(spark, d):
-    mv = positions(spark, d).groupBy("as_of").agg((F.sum(F.round(F.col("mv") * 100).cast("bigint")) / 100.0).alias("mv"))
+    mv = positions(spark, d).groupBy("as_of").agg((F.sum(F.rint(F.col("mv") * 100).cast("bigint")) / 100.0).alias("mv"))
     v = mv.join(R.snapshot_cash(spark, d), "as_of", "left").select("as_of", (F.col("mv") + F.coalesce("cash", F.lit(0.0))).alias("value"), F.coalesce("flow", F.lit(0.0)).alias("flow"))
     return P.dietz(v)
 
@@ -172,7 +174,7 @@ def modified_dietz(spark, d):
 def dividend_receipts(spark, d):
     """Quantity times dividends since the snapshot, in EUR."""
     dv = (R.table(spark, d, "lineitem").where("l_shipdate > TIMESTAMP_NTZ'2001-06-30 00:00:00' AND l_tax > 0").groupBy(F.col("l_suppkey").alias("symbol"))
-          .agg((F.sum(F.round(F.col("l_tax") * 100).cast("bigint")) / 100.0).alias("per_share")))
+          .agg((F.sum(F.rint(F.col("l_tax") * 100).cast("bigint")) / 100.0).alias("per_share")))
     fx = rates(spark, d).groupBy("currency").agg(F.max_by("close", "day").alias("rate"))
     p = positions(spark, d).where("as_of = DATE'2001-06-30'").join(dv, "symbol").join(fx, "currency", "left")
     rate = F.when(F.col("currency") == "EUR", 1.0).otherwise(F.coalesce("rate", F.lit(1.0)))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lodestat import relations as R
 from lodestat.catalog.registry import query, rnd, txt
-from lodestat.operators import asof, cohorts, pit, series
+from lodestat.operators import asof, cohorts, pit, series  # noqa: F401
+from lodestat.session import stage
 
 B = f"WITH {R.SQL_BARS}"
 RET = "rets AS (SELECT symbol, day, adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM bars WHERE adj_close > 0 QUALIFY ret IS NOT NULL)"
@@ -95,7 +96,8 @@ FWD = f"""{R.SQL_BARS}, ft AS (SELECT tick, lead(tick) OVER (ORDER BY tick) AS n
 
 @query("forward_return", f"{TICK}, {FWD} SELECT symbol, {txt('tick')}, {txt('next_tick')}, {rnd('fwd')} FROM fwd")
 def forward_return(spark, d):
-    return cohorts.forward_returns(quarter_ticks(spark, d), R.bars(spark, d)).select("symbol", "tick", "next_tick", "fwd")
+    f = cohorts.forward_returns(stage(quarter_ticks(spark, d), "ticks"), stage(R.bars(spark, d), "bars"))
+    return f.select("symbol", "tick", "next_tick", "fwd")
 
 
 @query("alive_at", f"{TICK}, {R.SQL_BARS}, b2 AS (SELECT * FROM bars WHERE NOT (symbol % 4 = 0 AND day > DATE '2000-06-30')), life AS (SELECT symbol, max(day) AS last FROM b2 GROUP BY symbol) SELECT {txt('tick')}, count(*) FILTER (last >= tick) AS alive, count(*) FILTER (last < tick) AS dead FROM life, ticks GROUP BY ticks.tick")
@@ -123,8 +125,9 @@ SCORED = f"WITH {R.SQL_STATEMENTS}, {R.SQL_TICKS}, ticks AS (SELECT tick FROM ti
 
 
 def scored_forward(spark, d):
-    f = cohorts.forward_returns(quarter_ticks(spark, d), R.bars(spark, d))
-    return R.tick_scores(spark, d).join(f, ["tick", "symbol"])
+    ticks = stage(quarter_ticks(spark, d), "ticks")
+    f = cohorts.forward_returns(ticks, stage(R.bars(spark, d), "bars"))
+    return stage(R.tick_scores(spark, d).join(f, ["tick", "symbol"]), "scored")
 
 
 @query("candidates_at", f"""{SCORED} SELECT {txt('tick')}, symbol, composite, row_number() OVER (PARTITION BY sf.tick ORDER BY composite DESC, symbol) AS rank
@@ -173,12 +176,12 @@ HOLD = f"""hold AS (SELECT tick, symbol, 1.0 / count(*) OVER (PARTITION BY tick)
 def holdings(spark, d):
     ok = scored_forward(spark, d).where("grade <> 'VETOED' AND alive AND close IS NOT NULL").select("tick", "symbol", "composite", "fwd")
     top = cohorts.top_per_group(ok, ["tick"], [F.desc("composite"), "symbol"], TOPN)
-    return top.withColumn("weight", F.lit(1.0) / F.count("*").over(W.partitionBy("tick")))
+    return stage(top.withColumn("weight", F.lit(1.0) / F.count("*").over(W.partitionBy("tick"))), "holdings")
 
 
 @query("turnover", f"{SCORED}, {HOLD} SELECT {txt('tick')}, {rnd('turnover')} FROM ch")
 def turnover(spark, d):
-    return cohorts.weight_changes(holdings(spark, d), quarter_ticks(spark, d))
+    return cohorts.weight_changes(holdings(spark, d), stage(quarter_ticks(spark, d), "ticks"))
 
 
 @query("equal_weight_nav", f"""{SCORED}, {HOLD}, st AS (SELECT ch.tick, turnover, factor, (1 - 0.001 * turnover) * factor AS step FROM ch JOIN gr ON gr.tick = ch.tick WHERE ch.tick < (SELECT max(tick) FROM ticks))
@@ -186,7 +189,7 @@ def turnover(spark, d):
 def equal_weight_nav(spark, d):
     """Equal-weight top holdings with 10 bp cost on turnover, compounded (as a log)."""
     h = holdings(spark, d)
-    t = quarter_ticks(spark, d)
+    t = stage(quarter_ticks(spark, d), "ticks")
     growth = h.groupBy("tick").agg((1.0 + F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0)))).alias("factor"))
     steps = (cohorts.weight_changes(h, t).join(growth, "tick").join(series.following(t), "tick").where("next_tick IS NOT NULL")
              .select("tick", F.log((1.0 - 0.001 * F.col("turnover")) * F.col("factor")).alias("step")))

@@ -16,7 +16,7 @@ LIMITS = dict(cash_low=5.0, cash_high=20.0, soft=10.0, hard=15.0, outside=25.0,
 
 
 def with_weights(positions: DataFrame) -> DataFrame:
-    total = positions.groupBy("as_of").agg(F.sum(F.round(F.col("mv") * 100).cast("bigint")).alias("_t"))
+    total = positions.groupBy("as_of").agg(F.sum(F.rint(F.col("mv") * 100).cast("bigint")).alias("_t"))
     return positions.join(total, "as_of").withColumn("weight", F.col("mv") / (F.col("_t") / 100.0)).drop("_t")
 
 
@@ -128,7 +128,7 @@ def portfolio_series(holdings: DataFrame, bars: DataFrame, cash: Column) -> Data
     day, each bar contributes its change of value on its own day, and the daily
     total is the running sum of changes (one row per day)."""
     w = W.partitionBy("symbol").orderBy("day")
-    value = F.round(F.col("close") * F.col("quantity") * F.col("rate") * 100).cast("bigint")
+    value = F.rint(F.col("close") * F.col("quantity") * F.col("rate") * 100).cast("bigint")
     steps = bars.join(holdings, "symbol").withColumn("v", value)
     change = steps.withColumn("dv", F.col("v") - F.coalesce(F.lag("v").over(w), F.lit(0)))
     daily = change.groupBy("day").agg(F.sum("dv").alias("dv"))

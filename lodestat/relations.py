@@ -19,7 +19,7 @@ def _quarter_end(day: Column) -> Column:
 
 
 def cents(col: str) -> Column:
-    return F.round(F.col(col) * 100).cast("bigint")
+    return F.rint(F.col(col) * 100).cast("bigint")
 
 
 # --- facts ------------------------------------------------------------------
