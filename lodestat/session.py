@@ -29,16 +29,20 @@ def get_spark(app: str = "lodestat", cores: int | None = None) -> SparkSession:
     )
 
 
+_LOCAL = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A folder every executor can reach, below ``spark.checkpoint.dir``.
 
     The setting is read from the session; only where it is unset (local tests)
-    a fresh temporary folder is made and recorded as the setting.
+    one temporary folder per application stands in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="lodestat-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _LOCAL.setdefault(app, None) or tempfile.mkdtemp(prefix="lodestat-")
+        _LOCAL[app] = base
     return f"{base.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
 
 
