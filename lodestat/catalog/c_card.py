@@ -14,7 +14,7 @@ from lodestat.operators import cohorts, ranks, series
 from lodestat.operators import fragility as X
 from lodestat.operators import statements as S
 from lodestat.plans import lowcap as LC
-from lodestat.session import stage
+from lodestat.session import stage, staged
 
 MOS = f"{EV}, {sqlcard.MOS}"
 YRS = f"{EV}, {sqlcard.YEARS}"
@@ -31,7 +31,7 @@ def valued(spark, d):
 
 
 def cards(spark, d):
-    return card_of(*inputs(spark, d))
+    return staged(spark, d, "cards", lambda: card_of(*inputs(spark, d)))
 
 
 CARD_COLUMNS = ("entity", "veto", "mos_pct", "score", "available_max", "pct", "band", "evidence", "strongest", "weakest",
@@ -44,14 +44,14 @@ def card_of(e, st):
     rows = stage(S.annual_rows(st), "years")
     values = stage(C.anchored(C.margin_of_safety(e, st), rows), "anchored")
     card = C.scorecard(values).select(*CARD_COLUMNS)
-    return stage(card.join(C.buffett(rows).select("entity", "buffett"), "entity", "left"), "cards")
+    return card.join(C.buffett(rows).select("entity", "buffett"), "entity", "left")
 
 
 def picks(spark, d):
-    prep = prepared(spark, d)
-    card = card_of(*prep[:2])
-    v = X.verdicts(findings(spark, d, prep)).select("entity", "verdict", "severe", "caution")
-    return stage(C.consensus(card.join(v, "entity", "left").withColumn("flagged", F.lit(False))), "picks")
+    def build():
+        v = X.verdicts(findings(spark, d)).select("entity", "verdict", "severe", "caution")
+        return C.consensus(cards(spark, d).join(v, "entity", "left").withColumn("flagged", F.lit(False)))
+    return staged(spark, d, "picks", build)
 
 
 @query("dcf", f"WITH x AS (SELECT o_orderkey, o_totalprice AS b, (o_orderkey % 61 - 20) / 100.0 AS g, 0.06 + (o_orderkey % 15) / 100.0 AS r FROM orders) SELECT o_orderkey, round({sqlcard.dcf('b', 'g', 'r')} / 1000, 4) AS value FROM (SELECT o_orderkey, b, CAST(g AS DOUBLE) AS g, CAST(r AS DOUBLE) AS r FROM x)", digits=4)
@@ -115,7 +115,7 @@ EXTRA_SQL = f"""rx AS (SELECT entity, CASE WHEN revenue > 0 THEN 100.0 * ebit /
 
 @query("cash_accrual_metrics", f"{EV}, {EXTRA_SQL} SELECT entity, {', '.join(rnd(x, digits=4) for x in EXTRAS)} FROM rx", digits=4)
 def cash_accrual_metrics(spark, d):
-    return C.registry_extras(stage(evaluated(spark, d), "evaluated"))
+    return C.registry_extras(evaluated(spark, d))
 
 
 # registry: name -> (column, scale)
@@ -212,9 +212,9 @@ VT = ("net_cash", "ncav", "eps_ttm", "graham_number", "price_to_graham", "pe", "
 VAL = f"{EV}, {sqlcard.VALUE}"
 
 
-def lane_table(spark, d, prep=None):
-    e, st, sh = prep or prepared(spark, d)
-    return stage(LC.value_table(e, st, sh), "values"), st
+def lane_table(spark, d):
+    e, st, sh = prepared(spark, d)
+    return staged(spark, d, "values", lambda: LC.value_table(e, st, sh)), st
 
 
 @query("value_table", f"{VAL} SELECT entity, {', '.join(rnd(x, digits=4) for x in VT)} FROM vt", digits=4)
@@ -238,9 +238,9 @@ def lenses(spark, d):
     return t.select("entity", *[F.col(f"{n}.verdict").alias(n) for n in LC.LENSES], F.col("downside.rank").alias("downside_rank"))
 
 
-def forged(spark, d, prep=None):
-    v, st = lane_table(spark, d, prep)
-    bars = stage(R.bars(spark, d), "bars")
+def forged(spark, d):
+    v, st = lane_table(spark, d)
+    bars = staged(spark, d, "bars", lambda: R.bars(spark, d))
     vol = series.returns(bars).groupBy(F.col("symbol").alias("entity")).agg(F.when(F.count("ret") >= 51, F.stddev_pop("ret") * F.sqrt(F.lit(52.0))).alias("vol"))
     sub = series.last_k_all(bars, "symbol", "day", 6, F.col("close") < 1500).select(F.col("symbol").alias("entity"), F.col("holds").alias("sub_dollar"))
     sh = S.annual(st).groupBy("entity").agg(F.max_by("basic_shares", "period_end").alias("basic_shares"), F.max_by("diluted_shares", "period_end").alias("diluted_shares"))
@@ -276,9 +276,8 @@ def desk_floor(spark, d):
   SELECT entity, lens, rank FROM (SELECT *, row_number() OVER (PARTITION BY lens ORDER BY score, entity) AS rank FROM ll WHERE score IS NOT NULL) WHERE rank <= 3""")
 def lens_shortlists(spark, d):
     """Best three per lens (severe limit lifted, so that the lists are not empty here)."""
-    prep = prepared(spark, d)
-    v = X.verdicts(findings(spark, d, prep)).select("entity", "severe")
-    rows = LC.lenses(forged(spark, d, prep).withColumn("equity", F.col("equity") / 10)).join(v, "entity", "left").withColumns({
+    v = X.verdicts(findings(spark, d)).select("entity", "severe")
+    rows = LC.lenses(forged(spark, d).withColumn("equity", F.col("equity") / 10)).join(v, "entity", "left").withColumns({
         "eligible": LC.eligible(F.col("market_cap") * 100, F.col("price"))["ok"], "verdict": F.lit("Ordinary"), "forge_verdict": F.lit("Survivor"),
         "severe": F.when(F.coalesce("severe", F.lit(0)) > 3, 1).otherwise(0)})
     return LC.lens_shortlists(rows).select("entity", "lens", "rank")

@@ -12,7 +12,7 @@ from lodestat.operators import fragility as X
 from lodestat.operators import pit, series
 from lodestat.operators import statements as S
 from lodestat.plans import fragile
-from lodestat.session import stage
+from lodestat.session import staged
 
 ST = f"WITH {R.SQL_STATEMENTS}, dv AS (SELECT *, ebit + da AS ebitda, {sqlx.OWNER} AS owner_fcf FROM stm), an AS (SELECT * FROM dv WHERE scope = 'annual')"
 EV = f"WITH {sqlx.SQL_EVAL}"
@@ -182,9 +182,10 @@ FINDINGS = f"""{EV}, {PDD}, {FI}, {RET}, {MOM}, {_as('cdd', CE)}, {SS}, {PR},
   vd AS (SELECT *, CASE WHEN thin AND severe = 0 AND caution < 4 THEN 'Unknown' WHEN severe >= 3 THEN 'Ruinous' WHEN severe >= 2 OR caution >= 4 THEN 'Fragile' WHEN severe > 0 OR caution > 0 THEN 'Ordinary' ELSE 'Robust' END AS verdict FROM vg)"""
 
 
-def findings(spark, d, prep=None):
-    e, st, sh = prep or prepared(spark, d)
-    return fragile.findings(st, e, stage(R.bars(spark, d), "bars"), sh, R.splits(spark, d), STRESS_YEARS)
+def findings(spark, d):
+    e, st, sh = prepared(spark, d)
+    bars = staged(spark, d, "bars", lambda: R.bars(spark, d))
+    return staged(spark, d, "findings", lambda: fragile.findings(st, e, bars, sh, R.splits(spark, d), STRESS_YEARS))
 
 
 @query("verdict_ladder", f"{FINDINGS} SELECT entity, severe, caution, measured, thin, verdict FROM vd")

@@ -11,7 +11,7 @@ from lodestat.operators import asof, cohorts, ranks
 from lodestat.operators import statements as S
 from lodestat.plans import evaluate as E
 from lodestat.plans import grading as G
-from lodestat.session import stage
+from lodestat.session import stage, staged
 
 EV, SC = f"WITH {sqlx.SQL_EVAL}", f"WITH {sqlx.SQL_SCORE}"
 ST = f"WITH {R.SQL_STATEMENTS}"
@@ -31,21 +31,20 @@ def market(spark, d):
     return px.join(n, "entity").select("entity", cap.alias("market_cap"), "price", F.when(F.col("entity") % 4 == 0, cap * 0.7).alias("vendor_ev"))
 
 
-def evaluated(spark, d, st=None, sh=None):
+def prepared(spark, d):
+    """(evaluated, statements, shares), each computed once and staged."""
+    st = staged(spark, d, "statements", lambda: R.statements(spark, d))
+    sh = staged(spark, d, "shares", lambda: share_series(spark, d))
     meta = R.universe(spark, d).select(F.col("symbol").alias("entity"), "sector", "industry")
-    st = st if st is not None else stage(R.statements(spark, d), "statements")
-    sh = sh if sh is not None else stage(share_series(spark, d), "shares")
-    return E.evaluate(st, sh, market(spark, d), meta)
+    return staged(spark, d, "evaluated", lambda: E.evaluate(st, sh, market(spark, d), meta)), st, sh
 
 
-def prepared(spark, d):
-    """(evaluated, statements, shares), each computed once and staged."""
-    st, sh = stage(R.statements(spark, d), "statements"), stage(share_series(spark, d), "shares")
-    return stage(evaluated(spark, d, st, sh), "evaluated"), st, sh
+def evaluated(spark, d):
+    return prepared(spark, d)[0]
 
 
 def scored(spark, d):
-    return G.score(stage(evaluated(spark, d), "evaluated"))
+    return staged(spark, d, "graded", lambda: G.score(evaluated(spark, d)))
 
 
 @query("ttm_all_or_null", f"{TTM} SELECT entity, basis, quarters, {txt('through')}, {', '.join(rnd(c, digits=4) for c in ('revenue', 'ebitda', 'ocf', 'capex', 'sbc', 'owner_fcf', 'interest', 'credit_loss'))} FROM ttm", digits=4)

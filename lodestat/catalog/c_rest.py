@@ -7,7 +7,7 @@ from lodestat import relations as R
 from lodestat.catalog import sqlcard, sqlx
 from lodestat.catalog.c_card import cards
 from lodestat.catalog.c_fragile import EV
-from lodestat.catalog.c_grading import evaluated, market, scored, share_series
+from lodestat.catalog.c_grading import evaluated, market, prepared, scored, share_series
 from lodestat.catalog.c_pit import CHAIN_SQL, CHAINS, FLOWS, LATEST
 from lodestat.catalog.c_series import quarter_ticks
 from lodestat.catalog.registry import query, rnd, txt
@@ -229,7 +229,7 @@ GA = f"""WITH {R.SQL_STATEMENTS}, {R.SQL_UNIVERSE}, {sqlx.SQL_MARKET}, q AS (SEL
 @query("grade_archive", f"{GA} SELECT m1.entity, coalesce(rule, CASE WHEN composite >= 80 THEN 'A' WHEN composite >= 65 THEN 'B' WHEN composite >= 50 THEN 'C' WHEN composite >= 35 THEN 'D' ELSE 'F' END) AS grade, round(composite, 3) AS composite FROM m1 LEFT JOIN co ON co.entity = m1.entity", digits=3)
 def grade_archive(spark, d):
     meta = R.universe(spark, d).select(F.col("symbol").alias("entity"), "sector")
-    m = stage(archive.metrics(stage(R.statements(spark, d), "statements"), stage(share_series(spark, d), "shares"), market(spark, d), meta), "archive")
+    m = stage(archive.metrics(*prepared(spark, d)[1:], market(spark, d), meta), "archive")
     return archive.grade(m).select("entity", "grade", "composite")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestat import relations as R
 from lodestat.catalog.registry import query, rnd, txt
 from lodestat.operators import asof, cohorts, pit, series  # noqa: F401
-from lodestat.session import stage
+from lodestat.session import stage, staged
 
 B = f"WITH {R.SQL_BARS}"
 RET = "rets AS (SELECT symbol, day, adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM bars WHERE adj_close > 0 QUALIFY ret IS NOT NULL)"
@@ -87,6 +87,10 @@ def quarter_ticks(spark, d):
     return series.quarter_ticks(R.market_index(spark, d))
 
 
+def ticks(spark, d):
+    return staged(spark, d, "ticks", lambda: quarter_ticks(spark, d))
+
+
 FWD = f"""{R.SQL_BARS}, ft AS (SELECT tick, lead(tick) OVER (ORDER BY tick) AS next_tick FROM ticks),
   life AS (SELECT symbol, max(day) AS last FROM bars GROUP BY symbol),
   per AS (SELECT symbol, tick, next_tick, last >= tick AS alive FROM life, ft),
@@ -96,7 +100,7 @@ FWD = f"""{R.SQL_BARS}, ft AS (SELECT tick, lead(tick) OVER (ORDER BY tick) AS n
 
 @query("forward_return", f"{TICK}, {FWD} SELECT symbol, {txt('tick')}, {txt('next_tick')}, {rnd('fwd')} FROM fwd")
 def forward_return(spark, d):
-    f = cohorts.forward_returns(stage(quarter_ticks(spark, d), "ticks"), stage(R.bars(spark, d), "bars"))
+    f = cohorts.forward_returns(ticks(spark, d), staged(spark, d, "bars", lambda: R.bars(spark, d)))
     return f.select("symbol", "tick", "next_tick", "fwd")
 
 
@@ -125,9 +129,10 @@ SCORED = f"WITH {R.SQL_STATEMENTS}, {R.SQL_TICKS}, ticks AS (SELECT tick FROM ti
 
 
 def scored_forward(spark, d):
-    ticks = stage(quarter_ticks(spark, d), "ticks")
-    f = cohorts.forward_returns(ticks, stage(R.bars(spark, d), "bars"))
-    return stage(R.tick_scores(spark, d).join(f, ["tick", "symbol"]), "scored")
+    def build():
+        f = cohorts.forward_returns(ticks(spark, d), staged(spark, d, "bars", lambda: R.bars(spark, d)))
+        return R.tick_scores(spark, d).join(f, ["tick", "symbol"])
+    return staged(spark, d, "tick-scores", build)
 
 
 @query("candidates_at", f"""{SCORED} SELECT {txt('tick')}, symbol, composite, row_number() OVER (PARTITION BY sf.tick ORDER BY composite DESC, symbol) AS rank
@@ -181,7 +186,7 @@ def holdings(spark, d):
 
 @query("turnover", f"{SCORED}, {HOLD} SELECT {txt('tick')}, {rnd('turnover')} FROM ch")
 def turnover(spark, d):
-    return cohorts.weight_changes(holdings(spark, d), stage(quarter_ticks(spark, d), "ticks"))
+    return cohorts.weight_changes(holdings(spark, d), ticks(spark, d))
 
 
 @query("equal_weight_nav", f"""{SCORED}, {HOLD}, st AS (SELECT ch.tick, turnover, factor, (1 - 0.001 * turnover) * factor AS step FROM ch JOIN gr ON gr.tick = ch.tick WHERE ch.tick < (SELECT max(tick) FROM ticks))
@@ -189,7 +194,7 @@ def turnover(spark, d):
 def equal_weight_nav(spark, d):
     """Equal-weight top holdings with 10 bp cost on turnover, compounded (as a log)."""
     h = holdings(spark, d)
-    t = stage(quarter_ticks(spark, d), "ticks")
+    t = ticks(spark, d)
     growth = h.groupBy("tick").agg((1.0 + F.sum(F.col("weight") * F.coalesce("fwd", F.lit(0.0)))).alias("factor"))
     steps = (cohorts.weight_changes(h, t).join(growth, "tick").join(series.following(t), "tick").where("next_tick IS NOT NULL")
              .select("tick", F.log((1.0 - 0.001 * F.col("turnover")) * F.col("factor")).alias("step")))

@@ -54,3 +54,19 @@ def stage(df, purpose: str):
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGED = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, build):
+    """``stage`` once per application and input folder: reports over the same
+    (immutable) inputs share their intermediate tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        _STAGED[key] = stage(build(), name)
+    return _STAGED[key]
+
+
+def forget_staged() -> None:
+    _STAGED.clear()
