@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import binary, mixing, packing, secret_scan, toxicity
+from lodestat.llm import binary, mixing, packing, secret_scan, simhash, toxicity
 from lodestat.llm.common import shared_dir, stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(spark, folder)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secret_scan.scan(docs, secret_scan.train(docs))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_source_mix": op3_source_mix,
     "op5_token_ids": op5_token_ids,
+    "op6_simhash": op6_simhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
 }

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,17 @@ from lodestat.llm.common import text_of, texts
 
 #: Distinct chunks a worker remembers before it starts anew; bounds its memory, never its results.
 CHUNKS_KEPT = 500_000
-TOGETHER = 500
+TOGETHER = 2000
+
+#: Visible text, with single line feeds inside: what may stand between two tabs.
+LINES = re.compile(r"\S+(?:\n\S+)*")
+
+
+def _visible(text: str) -> list[str]:
+    """Parts between tabs and a space, if all are visible text with single line feeds; else none."""
+    parts = text.split("\t ")
+    return parts if all(map(LINES.fullmatch, parts)) else []
+
 
 _LOADED: dict[str, TextEncoder] = {}
 
@@ -57,33 +68,39 @@ class TextEncoder:
     def whole(self, some: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, np.uint32).astype(self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Encodes chunks that were not met before, many at a time, with a white-space character between them that is a token of
         its own. A chunk next to further white space is remembered as None: its text is encoded whole."""
         if len(self.known) > CHUNKS_KEPT:       # chunks that come back move on to the new generation
             self.known, self.older = {}, self.known
-        plain, lines = [], []
-        for c in chunks:
-            if c in self.older:
-                self.known[c] = self.older[c]
-            elif c.split() == [c]:
-                plain.append(c)
-            elif (w := c.split()) and "\n".join(w) == c:
-                lines.append(c)
-            else:
-                self.known[c] = None if not c or c[0].isspace() or c[-1].isspace() else self.whole([" " + c])[0]
-        for some, mark, own in ((plain, "\n", self.feed), (lines, "\t", self.tab)):
+        if back := new.intersection(self.older):
+            self.known.update((c, self.older[c]) for c in back)
+            new = new - back
+        plain = [c for c in new if "\n" not in c]
+        lines = [c for c in new if "\n" in c]
+        for some, mark, own, blank in ((plain, "\n", self.feed, str.split), (lines, "\t", self.tab, _visible)):
             for i in range(0, len(some), TOGETHER):
-                self.learn_together(some[i:i + TOGETHER], mark, own)
+                part = some[i:i + TOGETHER]
+                if len(blank(f"{mark} ".join(part))) != len(part) or "" in part:
+                    part = [c for c in part if self.apart(c, blank)]
+                if part:
+                    self.learn_together(part, mark, own)
+
+    def apart(self, c: str, blank: Callable[[str], list[str]]) -> bool:
+        """Whether a chunk can go with others; if not, it is remembered here."""
+        if blank(c) == [c]:
+            return True
+        self.known[c] = None if not c or c[0].isspace() or c[-1].isspace() else self.whole([" " + c])[0]
+        return False
 
     def learn_together(self, some: list[str], mark: str, own: int) -> None:
-        ids = np.asarray(self.tokenizer.encode(" " + f"{mark} ".join(some), add_special_tokens=False).ids, np.uint32)
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + f"{mark} ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(ids == own)
         if len(cuts) != len(some) - 1:
             raise RuntimeError("white space is no token of its own under this tokenizer")
         flat, w = ids.astype(self.kind).tobytes(), self.width
-        bounds = [-w, *(cuts * w).tolist(), len(flat)]
-        self.known.update((c, flat[a + w:b]) for c, a, b in zip(some, bounds[:-1], bounds[1:], strict=True))
+        starts, ends = [0, *(cuts * w + w).tolist()], [*(cuts * w).tolist(), len(flat)]
+        self.known.update(zip(some, [flat[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
     def encode(self, some: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
@@ -95,9 +112,10 @@ class TextEncoder:
         found = list(map(self.known.get, chunks))
         gaps = [i for i, x in enumerate(found) if x is None]
         if gaps:
-            self.learn(list({chunks[i] for i in gaps}))
-            for i in gaps:
-                found[i] = self.known[chunks[i]]
+            missing = [chunks[i] for i in gaps]
+            self.learn({c for c in missing if c not in self.known})
+            for i, x in zip(gaps, map(self.known.get, missing), strict=True):
+                found[i] = x
         out, at, odd = [], 0, []
         for i, (parts, head) in enumerate(zip(cut, heads, strict=True)):
             own = found[at:at + len(parts) - 1]
