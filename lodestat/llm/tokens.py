@@ -5,6 +5,7 @@ The file's path is a parameter and must exist on every machine; nothing is train
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -106,6 +107,15 @@ class TextEncoder:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
         if not self.by_chunk:
             return self.whole(some)
+        collecting = gc.isenabled()
+        gc.disable()        # millions of short strings and no cycles
+        try:
+            return self.by_chunks(some)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def by_chunks(self, some: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in some]
         heads = self.whole([c[0] for c in cut])
         chunks = [c for parts in cut for c in parts[1:]]
