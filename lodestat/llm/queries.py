@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import binary, mixing, packing, secret_scan, simhash, toxicity
+from lodestat.llm import binary, minhash, mixing, packing, secret_scan, simhash, topk, toxicity
 from lodestat.llm.common import shared_dir, stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(topk.asks()))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compared(documents(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secret_scan.scan(docs, secret_scan.train(docs))
@@ -52,12 +61,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op5_token_ids": op5_token_ids,
     "op6_simhash": op6_simhash,
+    "op7_top_k": op7_top_k,
+    "op8_fingerprints": op8_fingerprints,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
     "op3_source_mix": mixing.SQL.format(docs="documents"),
+    "op7_top_k": topk.SQL.format(vectors="embeddings"),
 }
 
 
