@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestat.session import shared_dir, stage
 
-__all__ = ["rows_of", "run_ids", "shared_dir", "stage", "text_of", "texts", "whole_number", "working_parts"]
+__all__ = ["replaced", "rows_of", "run_ids", "shared_dir", "stage", "text_of", "texts", "working_parts"]
 
 
 def text_of(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
@@ -53,9 +53,14 @@ def run_ids(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-def working_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def replaced(batch: pa.RecordBatch, name: str, new: dict[int, object]) -> pa.RecordBatch:
+    """The batch with new values in some rows of a column."""
+    column = batch.column(name)
+    mask = np.zeros(len(column), bool)
+    mask[list(new)] = True
+    values = pa.array([new[i] for i in sorted(new)], column.type)
+    return batch.set_column(batch.schema.get_field_index(name), batch.schema.field(name), pc.replace_with_mask(column, pa.array(mask), values))
 
 
-def whole_number(x) -> int:
-    return int(x or 0)
+def working_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

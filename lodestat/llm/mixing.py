@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import rows_of, stage, text_of
+from lodestat.llm.common import replaced, rows_of, stage, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -104,13 +104,29 @@ def mixture(docs: DataFrame) -> DataFrame:
     whole = F.floor(F.col("taken") / F.col("size"))
     times = F.when(F.col("taken") % F.col("size") > 0, whole + 1).otherwise(whole)
     words = F.when(F.col("_turn") <= whole, F.lit(-1)).otherwise(F.col("taken") % F.col("size"))
-    out = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times))).withColumn("_words", words)
-    cut = F.when(F.col("_words") < 0, F.col("text")).otherwise(
-        F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', _words, '}'), 0)"))
-    out = out.withColumn("text", cut)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times))).withColumn("_words", words.cast("long"))
+    order = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = np.asarray(b.column("_words"))
+            b = b.select(order)
+            for i in np.flatnonzero(left >= 0).tolist():
+                text = first_words(b.column("text")[i].as_py(), int(left[i]))
+                for name, value in (("text", text), ("n_chars", len(text))):
+                    if name in order:
+                        b = replaced(b, name, {i: value})
+            yield b
+
+    return out.select(*order, "_words").mapInArrow(cut, docs.schema)
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    word = np.concatenate([[False], ~((data == 32) | ((data >= 9) & (data <= 13))), [False]])
+    ends = np.flatnonzero(word[:-1] & ~word[1:])
+    return data[:ends[n - 1]].tobytes().decode() if n else ""
 
 
 def sized_copies(docs: DataFrame) -> DataFrame:

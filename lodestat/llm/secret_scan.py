@@ -17,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import text_of
+from lodestat.llm.common import replaced, text_of
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -203,17 +202,9 @@ def redact(docs: DataFrame, ratio: np.ndarray, mark: str = "[secret]") -> DataFr
                             out += [own[done:s], mark]
                         done = max(done, e)
                     new[i] = "".join(out) + own[done:]
-                b = _replaced(b, "text", new)
+                b = replaced(b, "text", new)
                 if "n_chars" in order:
-                    b = _replaced(b, "n_chars", {i: len(t) for i, t in new.items()})
+                    b = replaced(b, "n_chars", {i: len(t) for i, t in new.items()})
             yield b
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def _replaced(batch: pa.RecordBatch, name: str, new: dict) -> pa.RecordBatch:
-    column = batch.column(name)
-    mask = np.zeros(len(column), bool)
-    mask[list(new)] = True
-    values = pa.array([new[i] for i in sorted(new)], column.type)
-    return batch.set_column(batch.schema.get_field_index(name), batch.schema.field(name), pc.replace_with_mask(column, pa.array(mask), values))

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import rows_of, stage, text_of
@@ -56,17 +56,18 @@ def fingerprint(data: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * total > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
-    source = text_of(docs, "doc_id")
-    kind = source.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, fp): the fingerprint's 64 bits as a signed long."""
+    source = text_of(docs, "doc_id", *keep)
+    names = ["doc_id", *keep, "fp"]
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(own.tobytes(), words) for own in rows_of(b)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(fp.view(np.int64))], names=names)
 
-    return source.mapInArrow(run, f"doc_id {kind}, fp long")
+    return source.mapInArrow(run, f"{kinds}, fp long")
 
 
 LOW = np.uint64(0x5555555555555555)
@@ -143,9 +144,9 @@ def links(fps: DataFrame, radius: int = RADIUS, groups: int = GROUPS, cell: int
     return dealt.where(F.size("fps") > 1).select("fps").mapInArrow(to_links, "a long, b long")
 
 
-def classes(rows: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
-    """Adds component_id, the smallest doc_id reachable over links, to (doc_id, fp, ...), a written table."""
-    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+def classes(rows: DataFrame, radius: int = RADIUS, groups: int = GROUPS, first: Column | None = None) -> DataFrame:
+    """Adds component_id, the smallest doc_id (or ``first``, a minimum) reachable over links, to (doc_id, fp, ...), a written table."""
+    fps = stage(rows.groupBy("fp").agg((F.min("doc_id") if first is None else first).alias("least")), "fingerprints")
     roots = stage(components(links(fps, radius, groups)), "roots")
     joined = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "root", "least")
     tops = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -158,3 +159,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, g
     """(doc_id, fingerprint as 16 hexadecimal digits, component_id) of every row."""
     rows = stage(fingerprints(docs, words), "simhash")
     return classes(rows, radius, groups).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
+    """The row of smallest doc_id (ids before nulls, then by text hash) of each class, with all its columns; of rows equal in id and
+    text one."""
+    rows = stage(fingerprints(docs.withColumn("_text", F.xxhash64("text")), words, ("_text",)), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text"))
+    kept = classes(rows, radius, groups, first).select("component_id.*").distinct().withColumnRenamed("doc_id", "_id").withColumnRenamed("_text", "_at")
+    named = docs.withColumn("_text", F.xxhash64("text"))
+    found = named.join(kept.drop("none"), named["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_at")))
+    once = Window.partitionBy("_id", "_text").orderBy(*[c for c, k in docs.dtypes if c not in ("text", "doc_id") and not k.startswith("map")], F.lit(0))
+    return found.withColumn("_no", F.row_number().over(once)).where("_no = 1").select(*docs.columns)

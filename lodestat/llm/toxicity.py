@@ -255,3 +255,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), wi
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score", "predicted", *["segments"] * with_segments])
 
     return source.mapInArrow(run, f"{kinds}, score double, predicted int" + ", segments array<struct<first int, after int, evidence double>>" * with_segments)
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.odds)
+        for b in batches:
+            keep: list[bool] = []
+            for _, some in texts(b):
+                keep += [model.probability(sum(e for _, _, e in model.significant(scorer.tokens(t or "")))) < 0.5 for t in some]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
