@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestat.session import shared_dir, stage
 
-__all__ = ["replaced", "rows_of", "run_ids", "shared_dir", "stage", "text_of", "texts", "working_parts"]
+__all__ = ["replaced", "rows_of", "run_ids", "shared_dir", "slices", "stage", "text_of", "texts", "working_parts"]
 
 
 def text_of(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
@@ -20,7 +20,7 @@ def text_of(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def texts(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
+def texts(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of slices of about ``most`` bytes, so that a batch of long texts is not held as Python strings at once."""
     values = batch.column(column)
     if not len(values):
@@ -34,6 +34,18 @@ def texts(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> I
         first = last
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of the column, a row at least."""
+    if not batch.num_rows:
+        return
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)))
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + most, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def rows_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[np.ndarray]:
     """The bytes of each value of a string or binary column, without a copy."""
     values = batch.column(column)

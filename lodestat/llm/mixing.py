@@ -96,21 +96,22 @@ def mixture(docs: DataFrame) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a document is repeated for each whole time it is taken, and the one at a source's
     cut ends after its last word taken (its n_chars, if there is such a column, is that of the text left). Rows that share an id are
     told apart by their order, so that repeated rows stay."""
-    same = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))
-    numbered = docs.withColumn("_copy", F.row_number().over(same))
+    same = Window.partitionBy("doc_id").orderBy("source", "_hash")
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = rows.withColumn("_copy", F.row_number().over(same))
     sizes = stage(sized_copies(docs), "mix-sizes")
     chosen = mix(sizes, keep=("_copy",)).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("_copy").alias("_no"), "size", "taken")
-    joined = numbered.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_no")))
+    joined = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_no")))
     whole = F.floor(F.col("taken") / F.col("size"))
     times = F.when(F.col("taken") % F.col("size") > 0, whole + 1).otherwise(whole)
     words = F.when(F.col("_turn") <= whole, F.lit(-1)).otherwise(F.col("taken") % F.col("size"))
-    out = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times))).withColumn("_words", words.cast("long"))
+    out = joined.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("_row", words.cast("long").alias("_words"))
     order = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left = np.asarray(b.column("_words"))
-            b = b.select(order)
+            b = pa.RecordBatch.from_struct_array(b.column("_row"))
             for i in np.flatnonzero(left >= 0).tolist():
                 text = first_words(b.column("text")[i].as_py(), int(left[i]))
                 for name, value in (("text", text), ("n_chars", len(text))):
@@ -118,7 +119,7 @@ def mixture(docs: DataFrame) -> DataFrame:
                         b = replaced(b, name, {i: value})
             yield b
 
-    return out.select(*order, "_words").mapInArrow(cut, docs.schema)
+    return out.mapInArrow(cut, docs.schema)
 
 
 def first_words(text: str, n: int) -> str:

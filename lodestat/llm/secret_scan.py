@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
 Two first-order models are trained from labelled samples over the whole corpus. Strings that the patterns find are the samples of
-random strings; all other runs of identifier characters are the samples of ordinary ones. A run that no pattern has found is a
+random strings; other runs of identifier characters, too short to be judged, are the samples of ordinary ones. A run that no pattern has found is a
 secret when the log-likelihood ratio of the two models is high enough, in all and per character. The models are two tables of the
 alphabet's pairs; tasks sum their own counts first, so that only these tables reach the driver.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import replaced, text_of
+from lodestat.llm.common import replaced, slices, text_of
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -32,7 +32,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 
 #: Runs of at least so many characters are judged; shorter random strings are not told apart reliably.
 RUN_LEAST = 20
-#: Runs of at least so many characters are samples of ordinary identifiers.
+#: Runs of at least so many characters, and fewer than those that are judged, are samples of ordinary identifiers.
 SAMPLE_LEAST = 6
 RATIO_LEAST, RATIO_PER_PAIR = 14.0, 0.7
 
@@ -99,7 +99,7 @@ def pair_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SIZE * SIZE), np.int64)
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole)):
             flat, at = batch_bytes(b)
             if not len(flat):
                 continue
@@ -113,6 +113,8 @@ def pair_counts(docs: DataFrame) -> DataFrame:
                     if len(own) >= SAMPLE_LEAST:
                         total[1] += np.bincount(own[:-1] * SIZE + own[1:], minlength=SIZE * SIZE)
             starts, ends = runs((letter > 0) & ~odd, at, SAMPLE_LEAST)
+            short = ends - starts < RUN_LEAST
+            starts, ends = starts[short], ends[short]
             inside = np.zeros(len(flat) + 1, np.int8)
             inside[starts] += 1
             inside[ends - 1] -= 1
@@ -148,7 +150,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, keep: tuple[str, ...] = ("doc_id",)
     names = [*keep, "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole)):
             rows = [described(s) for s in found_in(b, ratio)]
             cols = [pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=names)
@@ -189,7 +191,7 @@ def redact(docs: DataFrame, ratio: np.ndarray, mark: str = "[secret]") -> DataFr
     order = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole)):
             text = b.column("text")
             found = found_in(pa.RecordBatch.from_arrays([text.fill_null("")], names=["text"]), ratio)
             hit = [i for i, s in enumerate(found) if s]

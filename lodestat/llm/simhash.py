@@ -164,10 +164,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, g
 def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
     """The row of smallest doc_id (ids before nulls, then by text hash) of each class, with all its columns; of rows equal in id and
     text one."""
-    rows = stage(fingerprints(docs.withColumn("_text", F.xxhash64("text")), words, ("_text",)), "simhash")
+    rows = stage(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), words, ("_text",)), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text"))
     kept = classes(rows, radius, groups, first).select("component_id.*").distinct().withColumnRenamed("doc_id", "_id").withColumnRenamed("_text", "_at")
-    named = docs.withColumn("_text", F.xxhash64("text"))
-    found = named.join(kept.drop("none"), named["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_at")))
-    once = Window.partitionBy("_id", "_text").orderBy(*[c for c, k in docs.dtypes if c not in ("text", "doc_id") and not k.startswith("map")], F.lit(0))
-    return found.withColumn("_no", F.row_number().over(once)).where("_no = 1").select(*docs.columns)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.to_json(F.struct(*rest)).alias("_rest") if rest else F.lit("").alias("_rest"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    found = named.join(kept.select("_id", "_at"), named["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_at")))
+    once = Window.partitionBy("_id", "_text").orderBy("_rest")
+    return found.withColumn("_no", F.row_number().over(once)).where("_no = 1").select("_row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from lodestat.llm.common import text_of, texts
 
 #: Distinct chunks a worker remembers before it starts anew; bounds its memory, never its results.
-CHUNKS_KEPT = 500_000
+CHUNKS_KEPT = 350_000
 TOGETHER = 2000
 
 #: Visible text, with single line feeds inside: what may stand between two tabs.

@@ -126,10 +126,11 @@ def best_of_block(q: np.ndarray, q_ids: np.ndarray, lists: Lists, ids: np.ndarra
 def _pair(q: np.ndarray, q_ids: np.ndarray, lists: Lists | None, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate id, score as long), at most k a query."""
     if lists is None:        # too large for exact floating-point sums
-        found = [[(i, j, sum(int(u) * int(v) for u, v in zip(q[i], x[j], strict=True))) for j in range(len(ids)) if ids[j] != q_ids[i]] for i in range(len(q))]
+        clip = lambda s: min(max(s, -1 << 63), (1 << 63) - 1)
+        found = [[(i, j, clip(sum(int(u) * int(v) for u, v in zip(q[i], x[j], strict=True)))) for j in range(len(ids)) if ids[j] != q_ids[i]] for i in range(len(q))]
         rows = [r for own in found for r in sorted(own, key=lambda r: (-r[2], ids[r[1]]))[:k]]
         a, c = (np.asarray([r[i] for r in rows], np.int64) for i in (0, 1))
-        s = np.asarray([min(max(r[2], -1 << 63), (1 << 63) - 1) for r in rows], np.int64)
+        s = np.asarray([r[2] for r in rows], np.int64)
         return a, ids[c], s
     a, c, s = best_of_block(q, q_ids, lists, ids, k)
     found = ids[c]
@@ -143,7 +144,7 @@ def _pair(q: np.ndarray, q_ids: np.ndarray, lists: Lists | None, x: np.ndarray,
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the k highest inner products of each query with the vectors of other ids."""
     v = stage(blocks(vectors, CANDIDATES, scale), "vectors")
-    q = stage(blocks(queries.distinct(), QUERIES, scale), "queries")
+    q = stage(blocks(queries.select("vec_id", "embedding").distinct(), QUERIES, scale), "queries")
     numbers = v.select("part", "seq").withColumn("no", F.row_number().over(Window.orderBy("part", "seq")) - 1)      # a row for each block
     n, m = v.count(), q.count()
     asked = q.select("dim", F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("data").alias("q_data"), F.col("part").alias("q_part"), F.col("seq").alias("q_seq"),

@@ -38,7 +38,7 @@ DRIFT = 0.05
 #: A segment counts if at most so many as good ones are expected in a clean text of its length.
 EXPECTED = 0.5
 #: Words a worker remembers the score of; bounds its memory, never its results.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 
 def features(word: str) -> list[str]:
