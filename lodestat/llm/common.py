@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,24 @@ from pyspark.sql import functions as F
 
 from lodestat.session import shared_dir, stage
 
-__all__ = ["replaced", "rows_of", "run_ids", "shared_dir", "slices", "stage", "text_of", "texts", "working_parts"]
+__all__ = ["in_small_batches", "replaced", "rows_of", "run_ids", "shared_dir", "slices", "stage", "text_of", "texts", "working_parts"]
+
+
+#: Bytes of rows that reach a Python worker at once. Texts are large: Spark's own bound, 64 MB and 10,000 rows, holds hundreds of MB in each task.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from here on its session hands rows to Python by ``BATCH_BYTES`` at most, or less if it is set so."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9-]", "", conf.get(name)) or 0) > BATCH_BYTES or not conf.get(name).rstrip("b").isdigit():
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def text_of(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     """The named columns and the text; a null text counts as an empty one. Other columns never reach the workers."""
-    return docs.select(*columns, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return in_small_batches(docs).select(*columns, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:

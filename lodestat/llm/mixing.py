@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import replaced, rows_of, stage, text_of
+from lodestat.llm.common import in_small_batches, replaced, rows_of, stage, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -119,7 +119,7 @@ def mixture(docs: DataFrame) -> DataFrame:
                         b = replaced(b, name, {i: value})
             yield b
 
-    return out.mapInArrow(cut, docs.schema)
+    return in_small_batches(out).mapInArrow(cut, docs.schema)
 
 
 def first_words(text: str, n: int) -> str:
@@ -140,7 +140,7 @@ def sized_copies(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("_hash"), pa.array(n)], names=["doc_id", "source", "_hash", "size"])
 
     kinds = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in ("doc_id", "source"))
-    counted = base.mapInArrow(run, f"{kinds}, _hash long, size long")
+    counted = in_small_batches(base).mapInArrow(run, f"{kinds}, _hash long, size long")
     same = Window.partitionBy("doc_id").orderBy("source", "_hash")
     return counted.withColumn("_copy", F.row_number().over(same)).drop("_hash")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import replaced, slices, text_of
+from lodestat.llm.common import in_small_batches, replaced, slices, text_of
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -209,4 +209,4 @@ def redact(docs: DataFrame, ratio: np.ndarray, mark: str = "[secret]") -> DataFr
                     b = replaced(b, "n_chars", {i: len(t) for i, t in new.items()})
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import rows_of, run_ids, stage, working_parts
+from lodestat.llm.common import in_small_batches, rows_of, run_ids, stage, working_parts
 from lodestat.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
@@ -87,7 +87,7 @@ def anchors_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tupl
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, text as bytes)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.cast("binary").alias("text"))
+    return in_small_batches(docs).select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.cast("binary").alias("text"))
 
 
 def anchor_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import stage, text_of, texts
+from lodestat.llm.common import in_small_batches, stage, text_of, texts
 
 #: Labelled rows of each label that are used to fit, at most.
 SAMPLE = 20_000
@@ -267,4 +267,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 keep += [model.probability(sum(e for _, _, e in model.significant(scorer.tokens(t or "")))) < 0.5 for t in some]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

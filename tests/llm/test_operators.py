@@ -435,8 +435,8 @@ def test_redaction_leaves_other_rows_alone(spark, odd):
     assert out.columns == odd.columns
     a, b = (Counter((r["doc_id"], r["text"]) for r in x.collect()) for x in (odd, out))
     changed = a - b
-    assert sum(changed.values()) == 1 and all("password=" in t for _, t in changed)
-    assert [r["text"] for r in out.collect() if r["text"] and "[secret]" in r["text"]] == ["[secret] and [secret] [secret]"]
+    assert {t for _, t in changed} == {t for t in (r["text"] for r in odd.collect()) if t and ("password=" in t or t == "a" * 1500)}      # a long hexadecimal run
+    assert sorted(r["text"] for r in out.collect() if r["text"] and "[secret]" in r["text"]) == ["[secret]", '[secret] and [secret]" [secret]']
 
 
 # ---- op10
