@@ -171,11 +171,11 @@ def share_fallback(spark, d):
 @query("split_restatement", f"""{SH}, {SERIES}, {R.SQL_SPLITS}
   SELECT ser.entity, {txt('ser.end_day', 'end_day')},
     round(any_value(value) * coalesce(product(ratio), 1), 4) AS value
-  FROM ser LEFT JOIN splits ON splits.symbol = ser.entity AND splits.day > ser.end_day
+  FROM ser LEFT JOIN splits ON splits.symbol = ser.entity AND splits.day > ser.end_day AND splits.day <= DATE '{AS_OF}'
   GROUP BY ser.entity, ser.end_day""", digits=4)
 def split_restatement(spark, d):
     series = pit.class_share_series(pit.visible(R.share_counts(spark, d), AS_OF))
-    return asof.restate(series, R.splits(spark, d))
+    return asof.restate(series, R.splits(spark, d), until=AS_OF)
 
 
 @query("tag_selection", f"""WITH {R.SQL_FACTS}, {CHAIN_SQL} SELECT entity, tag, {txt('end_day')}, value, seq FROM facts
@@ -185,12 +185,19 @@ def tag_selection(spark, d):
     return R.facts(spark, d).join(concepts, "tag", "left_semi").select("entity", "tag", "end_day", "value", "seq")
 
 
-@query("history_horizon", f"""WITH {R.SQL_CUMULATIVE}, vis AS (SELECT * FROM cfacts), {LATEST}
-  SELECT entity, tag, {txt('start_day')}, {txt('end_day')}, {rnd('value', digits=2)} FROM lf
-  WHERE end_day - start_day BETWEEN 330 AND 400 OR end_day >= DATE '2001-12-31' - 1825""", digits=2)
+@query("history_horizon", f"""WITH {R.SQL_CUMULATIVE}, {R.SQL_FACTS}, h AS (SELECT * FROM cfacts UNION ALL
+    SELECT entity, CASE WHEN tag = '5-LOW' THEN '{pit.SHARES_TAG}' ELSE tag END, NULL, end_day, filed, CASE form WHEN 'F' THEN '10-K/A' ELSE '10-Q' END, value, seq FROM facts),
+  w AS (SELECT *, row_number() OVER k AS rn, bool_or(form = '10-K/A') OVER (PARTITION BY entity, tag, start_day, end_day) AS annual FROM h
+    WHERE tag <> '{pit.SHARES_TAG}' WINDOW k AS (PARTITION BY entity, tag, start_day, end_day ORDER BY filed DESC, seq DESC))
+  SELECT entity, tag, {txt('start_day')}, {txt('end_day')}, {rnd('value', digits=2)}, seq FROM w
+  WHERE rn = 1 AND (CASE WHEN start_day IS NULL THEN annual ELSE end_day - start_day >= 330 END OR end_day >= DATE '1996-01-01')
+  UNION ALL SELECT entity, tag, NULL, {txt('end_day')}, {rnd('value', digits=2)}, seq FROM h WHERE tag = '{pit.SHARES_TAG}'""", digits=2)
 def history_horizon(spark, d):
-    return pit.prune_history(R.cumulative_facts(spark, d), "2001-12-31").select(
-        "entity", "tag", "start_day", "end_day", "value")
+    """Year-to-date spans, and every order as a point in time; one priority stands in for the share tag."""
+    points = R.facts(spark, d).withColumns({"start_day": F.lit(None).cast("date"), "form": F.when(F.col("form") == "F", "10-K/A").otherwise("10-Q"),
+                                            "tag": F.when(F.col("tag") == "5-LOW", pit.SHARES_TAG).otherwise(F.col("tag"))})
+    rows = R.cumulative_facts(spark, d)
+    return pit.prune_history(rows.unionByName(points.select(rows.columns)), "2001-12-31").select("entity", "tag", "start_day", "end_day", "value", "seq")
 
 
 @query("last_per_date", f"""WITH {R.SQL_SHARES} SELECT entity, {txt('end_day')}, arg_max(value, (filed, seq, value)) AS value

@@ -101,20 +101,23 @@ def vendor_fill(spark, d):
 
 
 @query("canonical_reason", f"""{EV} SELECT entity, CASE veto_rule WHEN 1 THEN 'leverage veto: net debt/EBITDA … > 4.0' WHEN 2 THEN 'leverage veto: EBITDA <= 0 while carrying net debt' WHEN 3 THEN 'cash-flow quality: OCF leans …% on credit-loss/write-off add-backs'
-   WHEN 4 THEN 'dilution veto: shares …%/yr (>20%/yr)' WHEN 6 THEN 'cash-destruction veto: owner-FCF negative every annual period and TTM <= 0' WHEN 7 THEN 'dilution penalty: shares …%/yr' ELSE '' END AS reason FROM ev WHERE veto_rule <> 5""")
+   WHEN 4 THEN 'dilution veto: shares …%/yr (>20%/yr)' WHEN 5 THEN 'flagged — owner-FCF negative every period, spared as a reinvestor (ROIC …% > 15%, revenue growth …%/yr > 10%)'
+   WHEN 6 THEN 'cash-destruction veto: owner-FCF negative every annual period and TTM <= 0' WHEN 7 THEN 'dilution penalty: shares …%/yr' ELSE '' END AS reason FROM ev""")
 def canonical_reason(spark, d):
     e = stage(evaluated(spark, d).select("entity", "veto.reason", "veto.reinvestor"), "vetoes")
-    return e.where("NOT reinvestor").select("entity", labels.canonical_reason(F.col("reason")).alias("reason"))
+    return e.select("entity", labels.canonical_reason(F.col("reason")).alias("reason"))
 
 
-TAGS = ("Revenues", "OperatingIncomeLoss", "Unknown", "x", "Assets")
+PRETAX = ("IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest",
+          "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments")
+TAGS = ("Revenues", "OperatingIncomeLoss", "Unknown", "x", "Assets", *PRETAX)
 
 
-@query("canonical_labels", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Total Revenue' WHEN 1 THEN 'EBIT|Operating Income' WHEN 2 THEN 'Total Revenue' WHEN 4 THEN 'Total Assets' END AS labels FROM part""")
+@query("canonical_labels", """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Total Revenue' WHEN 1 THEN 'EBIT|Operating Income' WHEN 2 THEN 'Total Revenue' WHEN 4 THEN 'Total Assets' WHEN 5 THEN 'Pretax Income' WHEN 6 THEN 'Pretax Income' END AS labels FROM part""")
 def canonical_labels(spark, d):
-    k = (F.col("p_partkey") % 5 + 1).cast("int")
+    k = (F.col("p_partkey") % 7 + 1).cast("int")
     tag = F.element_at(F.array(*[F.lit(t) for t in TAGS]), k)
-    caption = F.when(F.col("p_partkey") % 5 == 2, "Net  Sales:").otherwise(F.col("p_name"))
+    caption = F.when(F.col("p_partkey") % 7 == 2, "Net  Sales:").otherwise(F.col("p_name"))
     return R.table(spark, d, "part").select("p_partkey", F.array_join(labels.canonical_labels(tag, caption), "|").alias("labels"))
 
 

@@ -137,15 +137,18 @@ def _filing_files(spark, d):
     li, od = R.table(spark, d, "lineitem"), R.table(spark, d, "orders")
     sub = od.select(F.col("o_orderkey").cast("string").alias("adsh"), F.col("o_custkey").cast("string").alias("cik"),
                     F.element_at(F.array(*[F.lit(f) for f in FORMS]), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("form"),
-                    F.date_format("o_orderdate", "yyyyMMdd").alias("filed"))
-    tag = F.concat(F.lit("Sales"), F.col("l_returnflag"))
+                    F.date_format("o_orderdate", "yyyyMMdd").alias("filed"), F.date_format(F.last_day("o_orderdate"), "yyyyMMdd").alias("period"))
+    # lines of high quantity have a tag of their own filer, known by its caption alone
+    custom = F.col("l_quantity") > 40
+    tag = F.when(custom, F.concat(F.lit("Own"), F.col("l_returnflag"))).otherwise(F.concat(F.lit("Sales"), F.col("l_returnflag")))
     num = li.select(F.col("l_orderkey").cast("string").alias("adsh"), tag.alias("tag"), F.lit("v1").alias("version"),
                     F.date_format("l_shipdate", "yyyyMMdd").alias("ddate"), (F.col("l_linenumber") - 1).cast("string").alias("qtrs"),
                     F.lit("USD").alias("uom"), F.when(F.col("l_tax") == 0, "Axis=x").alias("segments"),
                     F.when(F.col("l_tax") == 0.08, "co").alias("coreg"), F.when(F.col("l_tax") == 0, "0x1").otherwise("0x00000000").alias("dimh"),
-                    F.when(F.col("l_discount") == 0, "x").otherwise(F.round("l_extendedprice", 2).cast("string")).alias("value"))
+                    F.when(F.col("l_discount") == 0, "x").otherwise(F.round(F.col("l_extendedprice") / 1000, 5).cast("string")).alias("value"))
     pre = li.select(F.col("l_orderkey").cast("string").alias("adsh"), F.lit("1").alias("report"), tag.alias("tag"), F.lit("v1").alias("version"),
-                    F.when(F.col("l_returnflag") == "A", "IS").when(F.col("l_returnflag") == "N", "UN").otherwise("CF").alias("stmt")).distinct()
+                    F.when(F.col("l_returnflag") == "A", "IS").when(F.col("l_returnflag") == "N", "UN").otherwise("CF").alias("stmt"),
+                    F.when(custom, "Net  Sales:").otherwise("-").alias("plabel"), F.lit("1").alias("line")).distinct()
     ren = od.select(F.col("o_orderkey").cast("string").alias("adsh"), F.lit("1").alias("report"),
                     F.when(F.col("o_orderstatus") == "F", "N").when(F.col("o_orderstatus") == "O", "D").otherwise("C").alias("menucat"),
                     F.concat(F.lit("note "), F.col("o_orderpriority")).alias("shortname"))
@@ -154,33 +157,35 @@ def _filing_files(spark, d):
     read = lambda df, n: spark.read.option("header", True).option("sep", "\t").csv(_csv(spark, df, n, sep="\t"))
     labels = spark.createDataFrame([(k, list(v)) for k, v in LABELS_BY_TAG.items()], "tag string, labels array<string>")
     ciks = (R.table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").cast("string").alias("cik")))
-    return dict(sub=read(sub, "sub"), num=read(num, "num"), pre=read(pre, "pre"), ren=read(ren, "ren"), tags=read(tags, "tag"),
+    captions = spark.createDataFrame([("net sales", ["Total Revenue"])], "caption string, labels array<string>")
+    return dict(captions=captions, sub=read(sub, "sub"), num=read(num, "num"), pre=read(pre, "pre"), ren=read(ren, "ren"), tags=read(tags, "tag"),
                 labels=labels, ciks=ciks)
 
 
-LABEL_ROWS = "labels(flag, label) AS (VALUES " + ", ".join(f"('{t[-1]}', '{l}')" for t, ls in LABELS_BY_TAG.items() for l in ls) + ")"
-NUMS = f"""{LABEL_ROWS}, n AS (SELECT l_orderkey, 'Sales' || l_returnflag AS tag, l_returnflag, label, CAST(l_shipdate AS DATE) AS period_end,
-    l_linenumber - 1 AS quarters, CASE WHEN label = 'Capital Expenditure' THEN -abs(round(l_extendedprice, 2)) ELSE round(l_extendedprice, 2) END AS value
-  FROM lineitem JOIN labels ON flag = l_returnflag WHERE l_linenumber - 1 IN (0, 1, 4) AND l_tax <> 0 AND l_tax <> 0.08 AND l_discount <> 0),
+LABEL_ROWS = "labels(name, label) AS (VALUES " + ", ".join(f"('{t}', '{l}')" for t, ls in [*LABELS_BY_TAG.items(), *((f"Own{f}", ("Total Revenue",)) for f in "ANR")] for l in ls) + ")"
+NUMS = f"""{LABEL_ROWS}, ln AS (SELECT *, CASE WHEN l_quantity > 40 THEN 'Own' ELSE 'Sales' END || l_returnflag AS tag, round(l_extendedprice / 1000, 5) AS v FROM lineitem),
+  n AS (SELECT l_orderkey, tag, l_returnflag, label, CAST(l_shipdate AS DATE) AS period_end,
+    l_linenumber - 1 AS quarters, CASE WHEN label = 'Capital Expenditure' THEN -abs(v) ELSE v END AS value
+  FROM ln JOIN labels ON name = tag WHERE l_linenumber - 1 IN (0, 1, 4) AND l_tax <> 0 AND l_tax <> 0.08 AND l_discount <> 0),
   s AS (SELECT o_orderkey, o_custkey AS cik, CASE o_orderkey % 3 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' ELSE '8-K' END AS form,
-    CAST(o_orderdate AS DATE) AS filed_at, o_orderstatus, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'MACHINERY')"""
+    CAST(o_orderdate AS DATE) AS filed_at, last_day(o_orderdate) AS report_period, o_orderstatus, o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'MACHINERY')"""
 
 
-@query("import_filing_statements", f"""WITH {NUMS} SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS adsh, CAST(cik AS VARCHAR) AS cik, {txt('filed_at')}, form,
+@query("import_filing_statements", f"""WITH {NUMS} SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS adsh, lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, {txt('filed_at')}, {txt('report_period')}, form,
     CASE l_returnflag WHEN 'A' THEN 'IS' ELSE 'CF' END AS stmt, tag, label, {txt('period_end')}, quarters, 'USD' AS uom, value
-  FROM n JOIN s ON o_orderkey = l_orderkey WHERE l_returnflag <> 'N'""", digits=2)
+  FROM n JOIN s ON o_orderkey = l_orderkey WHERE l_returnflag <> 'N'""", digits=5)
 def import_filing_statements(spark, d):
     f = _filing_files(spark, d)
-    return files.filing_statements(f["sub"], f["pre"], f["num"], f["labels"], f["ciks"], "set1").drop("source_hash")
+    return files.filing_statements(f["sub"], f["pre"], f["num"], f["labels"], f["ciks"], "set1", f["captions"]).drop("source_hash")
 
 
-@query("import_filing_notes", f"""WITH {NUMS} SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS adsh, CAST(cik AS VARCHAR) AS cik, {txt('filed_at')}, form,
+@query("import_filing_notes", f"""WITH {NUMS} SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS adsh, lpad(CAST(cik AS VARCHAR), 10, '0') AS cik, {txt('filed_at')}, {txt('report_period')}, form,
     CASE o_orderstatus WHEN 'F' THEN 'N' ELSE 'D' END AS menucat, 'note ' || o_orderpriority AS shortname, tag, label, {txt('period_end')},
     quarters, 'USD' AS uom, value
-  FROM n JOIN s ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R' AND form <> '8-K' AND o_orderstatus <> 'P'""", digits=2)
+  FROM n JOIN s ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R' AND form <> '8-K' AND o_orderstatus <> 'P'""", digits=5)
 def import_filing_notes(spark, d):
     f = _filing_files(spark, d)
-    return files.filing_notes(f["sub"], f["ren"], f["tags"], f["pre"], f["num"], f["labels"], f["ciks"], "set2").drop("source_hash")
+    return files.filing_notes(f["sub"], f["ren"], f["tags"], f["pre"], f["num"], f["labels"], f["ciks"], "set2", f["captions"]).drop("source_hash")
 
 
 @query("idempotent_import", """SELECT DISTINCT source AS name, sha256(text) AS content_hash FROM documents d WHERE NOT EXISTS (

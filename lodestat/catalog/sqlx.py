@@ -65,7 +65,7 @@ VETO_ARMS = """CASE WHEN nd2e > 4.0 THEN 1 WHEN ebitda <= 0 AND net_debt > 0 THE
   WHEN NOT share_class AND share_trend > 5 THEN 7 ELSE 0 END"""
 REASON = """CASE veto_rule WHEN 1 THEN printf('leverage veto: net debt/EBITDA %.1f > 4.0', nd2e) WHEN 2 THEN 'leverage veto: EBITDA <= 0 while carrying net debt'
   WHEN 3 THEN printf('cash-flow quality: OCF leans %.0f%% on credit-loss/write-off add-backs', 100.0 * credit_loss / ocf) WHEN 4 THEN printf('dilution veto: shares +%.1f%%/yr (>20%%/yr)', share_trend)
-  WHEN 5 THEN printf('flagged: owner-FCF negative every period, spared as a reinvestor (ROIC %.0f%% > 15%%, revenue growth %.0f%%/yr > 10%%)', roic, rev_growth)
+  WHEN 5 THEN printf('flagged — owner-FCF negative every period, spared as a reinvestor (ROIC %.0f%% > 15%%, revenue growth %.0f%%/yr > 10%%)', roic, rev_growth)
   WHEN 6 THEN 'cash-destruction veto: owner-FCF negative every annual period and TTM <= 0' WHEN 7 THEN printf('dilution penalty: shares +%.1f%%/yr', share_trend) ELSE '' END"""
 GAP_ARMS = "CASE " + " ".join(f"WHEN {k} IS NULL THEN '{label}'" for k, label in E.REQUIRED) + " END"
 

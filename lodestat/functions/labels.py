@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 # fixed values: tag -> labels
 TAG_LABELS = {
     "RevenueFromContractWithCustomerExcludingAssessedTax": "Total Revenue", "Revenues": "Total Revenue", "SalesRevenueNet": "Total Revenue",
-    "OperatingIncomeLoss": "EBIT|Operating Income", "GrossProfit": "Gross Profit", "CostOfRevenue": "Cost Of Revenue", "CostOfGoodsAndServicesSold": "Cost Of Revenue",
+    "OperatingIncomeLoss": ("EBIT", "Operating Income"), "GrossProfit": "Gross Profit", "CostOfRevenue": "Cost Of Revenue", "CostOfGoodsAndServicesSold": "Cost Of Revenue",
     "NetIncomeLoss": "Net Income", "ProfitLoss": "Net Income Including Noncontrolling Interests", "NetCashProvidedByUsedInOperatingActivities": "Operating Cash Flow",
     "PaymentsToAcquirePropertyPlantAndEquipment": "Capital Expenditure", "ShareBasedCompensation": "Stock Based Compensation",
     "DepreciationDepletionAndAmortization": "Depreciation And Amortization", "DepreciationAndAmortization": "Depreciation And Amortization",
@@ -15,12 +15,14 @@ TAG_LABELS = {
     "LiabilitiesCurrent": "Current Liabilities", "Liabilities": "Total Liabilities", "Goodwill": "Goodwill", "IntangibleAssetsNetExcludingGoodwill": "Intangible Assets",
     "RetainedEarningsAccumulatedDeficit": "Retained Earnings", "DebtAndCapitalLeaseObligations": "Total Debt", "DebtLongtermAndShorttermCombinedAmount": "Total Debt",
     "InterestExpense": "Interest Expense", "InterestExpenseNonoperating": "Interest Expense", "ResearchAndDevelopmentExpense": "Research And Development",
+    "IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest": "Pretax Income",
+    "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments": "Pretax Income",
     "IncomeTaxExpenseBenefit": "Income Tax Expense", "IncomeTaxesPaidNet": "Income Taxes Paid", "IncomeTaxesPaid": "Income Taxes Paid",
     "PaymentsToAcquireBusinessesNetOfCashAcquired": "Acquisitions", "PaymentsToAcquireBusinessesGross": "Acquisitions"}
 # fixed values: normalised caption -> labels
 CAPTION_LABELS = {
     "total revenue": "Total Revenue", "total revenues": "Total Revenue", "net revenue": "Total Revenue", "net revenues": "Total Revenue", "net sales": "Total Revenue", "revenue": "Total Revenue",
-    "revenues": "Total Revenue", "operating income": "EBIT|Operating Income", "operating income loss": "EBIT|Operating Income", "gross profit": "Gross Profit", "cost of revenue": "Cost Of Revenue",
+    "revenues": "Total Revenue", "operating income": ("EBIT", "Operating Income"), "operating income loss": ("EBIT", "Operating Income"), "gross profit": "Gross Profit", "cost of revenue": "Cost Of Revenue",
     "net income": "Net Income", "net cash provided by operating activities": "Operating Cash Flow", "net cash provided by used in operating activities": "Operating Cash Flow",
     "capital expenditures": "Capital Expenditure", "payments to acquire property plant and equipment": "Capital Expenditure", "stock based compensation": "Stock Based Compensation",
     "depreciation and amortization": "Depreciation And Amortization", "research and development expense": "Research And Development", "income tax expense benefit": "Income Tax Expense",
@@ -33,7 +35,9 @@ ABBREVIATIONS = ("Inc", "Corp", "Co", "Ltd", "plc", "LLC", "L.P", "S.A", "N.V",
 
 
 def _lookup(table: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    """The labels of a key as an array; one label may stand alone in the table."""
+    values = {k: (v,) if isinstance(v, str) else v for k, v in table.items()}
+    return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), key)
 
 
 def caption_key(caption: Column) -> Column:
@@ -42,7 +46,7 @@ def caption_key(caption: Column) -> Column:
 
 def canonical_labels(tag: Column, caption: Column) -> Column:
     """Labels of the tag, else of its caption, as an array."""
-    return F.split(F.coalesce(_lookup(TAG_LABELS, tag), _lookup(CAPTION_LABELS, caption_key(caption))), r"\|")
+    return F.coalesce(_lookup(TAG_LABELS, tag), _lookup(CAPTION_LABELS, caption_key(caption)))
 
 
 def canonical_reason(reason: Column) -> Column:

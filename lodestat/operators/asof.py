@@ -55,11 +55,12 @@ def split_factor(events: Column, after: Column, until: Column | None = None) ->
 
 
 def restate(observations: DataFrame, splits: DataFrame, value: str = "value",
-            day: str = "end_day", key: str = "entity") -> DataFrame:
-    """Observations in today's share terms: value times every later split."""
+            day: str = "end_day", key: str = "entity", until=None) -> DataFrame:
+    """Observations in the share terms of the day ``until``: value times every later split
+    that was known by then. Without a day, in the terms of the last split there is."""
     events = split_table(splits).withColumnRenamed("symbol", key)
     return (observations.join(events, key, "left")
-            .withColumn(value, F.col(value) * split_factor(F.col("events"), F.col(day)))
+            .withColumn(value, F.col(value) * split_factor(F.col("events"), F.col(day), None if until is None else F.lit(until).cast("date")))
             .drop("events"))
 
 

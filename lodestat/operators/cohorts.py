@@ -28,10 +28,14 @@ def forward_returns(ticks: DataFrame, bars: DataFrame) -> DataFrame:
 def rank_order(rows: DataFrame, groups: list, value: str, tie: str, out: str = "rank") -> DataFrame:
     """Exact 1-based order by value descending, then tie ascending, in groups of any
     size: ranks of the values, then ranks of the tie key inside equal values."""
-    v = ranks.value_ranks(rows, groups, value).select(*groups, value, (F.col("n") - F.col("n_le")).alias("_above"))
-    t = ranks.value_ranks(rows, [*groups, value], tie).select(*groups, value, tie, F.col("n_lt").alias("_before"))
-    return (rows.join(v, [*groups, value]).join(t, [*groups, value, tie])
-            .withColumn(out, F.col("_above") + F.col("_before") + 1).drop("_above", "_before"))
+    v = ranks.value_ranks(rows, groups, value).select(*groups, value, "n_lt", (F.col("n") - F.col("n_le")).alias("_above"), (F.col("n_le") - F.col("n_lt")).alias("_equal"))
+    j = rows.join(v.drop("n_lt"), [*groups, value])
+    single = j.where("_equal = 1").withColumn("_before", F.lit(0).cast("long"))       # nearly all rows
+    ties = j.where("_equal > 1")
+    t = ranks.text_ranks(ties, [*groups, value], tie).select(*groups, value, tie, F.col("n_lt").alias("_before"))
+    tied = ties.join(t, [*groups, value, tie]).select(*single.columns)
+    return (single.unionByName(tied)
+            .withColumn(out, F.col("_above") + F.col("_before") + 1).drop("_above", "_before", "_equal"))
 
 
 def top_per_group(rows: DataFrame, groups: list, order: list, k: int, out: str = "rank") -> DataFrame:

@@ -14,6 +14,9 @@ SAME_START_DAYS = 7
 YTD_START_DAYS = 365
 CARRY_FORWARD_DAYS = 400
 MULTICLASS_SPREAD_DAYS = 45
+# fixed values: forms of annual filings (amendments count) and the share tag whose rows are kept as filed
+ANNUAL_FORMS = ("10-K", "20-F", "40-F")
+SHARES_TAG = "EntityCommonStockSharesOutstanding"
 
 SPAN = ("start_day", "end_day")
 PREFERRED_UNITS = ("USD", "shares")
@@ -174,12 +177,19 @@ def share_fallback(counts: DataFrame) -> DataFrame:
         F.when(near, "fallback-sum").otherwise("fallback-largest").alias("basis"))
 
 
-def prune_history(facts: DataFrame, as_of, years: int = 5) -> DataFrame:
-    """Latest-filed rows worth keeping: annual spans always, instants of annual
-    forms always, everything else of the last ``years`` years."""
-    flows = facts.where(F.col("start_day").isNotNull())
-    kept = flows.groupBy("entity", "tag", *SPAN).agg(
-        F.max_by(F.struct("value", "filed", "form", "seq"), F.struct("filed", "seq")).alias("w"))
-    horizon = F.date_sub(F.lit(as_of).cast("date"), years * 365)
-    return (kept.where(span_days().between(*ANNUAL_DAYS) | (F.col("end_day") >= horizon))
-            .select("entity", "tag", *SPAN, "w.filed", "w.form", "w.value", "w.seq"))
+def prune_history(facts: DataFrame, as_of, years: int = 5, annual_forms: tuple = ANNUAL_FORMS, exempt: tuple = (SHARES_TAG,)) -> DataFrame:
+    """Latest-filed rows worth keeping: spans of a year or more always, instants that an
+    annual form has filed always, everything else from the start of the year ``years``
+    years back. Rows of exempt tags are all kept, as filed."""
+    with_seq = ("seq",) if "seq" in facts.columns else ()
+    order = F.struct("filed", *with_seq)
+    annual = F.bool_or(F.lit(False))
+    for form in annual_forms:
+        annual = annual | F.bool_or(F.col("form").startswith(form))
+    rest = facts.where(~F.col("tag").isin(*exempt)).groupBy("entity", "tag", *SPAN).agg(
+        F.max_by(F.struct("value", "filed", "form", *with_seq), order).alias("w"), annual.alias("_annual"))
+    horizon = F.make_date(F.year(F.lit(as_of).cast("date")) - years, F.lit(1), F.lit(1))
+    long_enough = F.when(F.col("start_day").isNull(), F.col("_annual")).otherwise(span_days() >= ANNUAL_DAYS[0])
+    columns = ["entity", "tag", *SPAN, "filed", "form", "value", *with_seq]
+    kept = rest.where(F.coalesce(long_enough, F.lit(False)) | (F.col("end_day") >= horizon)).select("entity", "tag", *SPAN, "w.*").select(*columns)
+    return kept.unionByName(facts.where(F.col("tag").isin(*exempt)).select(*columns))

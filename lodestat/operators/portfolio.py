@@ -89,9 +89,13 @@ def to_eur(rows: DataFrame, rates: DataFrame, value: str = "mv") -> DataFrame:
     date; EUR is itself, a missing or non-positive rate is refused (NULL).
     rates: (currency, day, close), one row per day."""
     from lodestat.operators import asof
-    r = asof.asof_join(rows, rates, "currency", "as_of", "day", ("close",))
-    rate = F.when(F.col("currency") == "EUR", 1.0).when(F.col("close") > 0, F.col("close"))
-    return r.withColumn("eur", F.col(value) * rate).withColumn("fx_state", F.when(rate.isNull(), "refused").otherwise("ok")).drop("close", "day_at")
+    # few currencies and many rows: each pair of currency and day finds its rate once
+    pairs = rows.select(F.col("currency").alias("_cur"), F.col("as_of").alias("_day")).distinct()
+    found = asof.asof_join(pairs.select(F.col("_cur").alias("currency"), F.col("_day").alias("as_of")), rates, "currency", "as_of", "day", ("close",))
+    found = found.select(F.col("currency").alias("_cur"), F.col("as_of").alias("_day"), F.col("close").alias("_rate"))
+    r = rows.join(found, (F.col("currency") == F.col("_cur")) & (F.col("as_of") == F.col("_day")), "left")
+    rate = F.when(F.col("currency") == "EUR", 1.0).when(F.col("_rate") > 0, F.col("_rate"))
+    return r.withColumn("eur", F.col(value) * rate).withColumn("fx_state", F.when(rate.isNull(), "refused").otherwise("ok")).drop("_cur", "_day", "_rate")
 
 
 def balance(positions: DataFrame, cash: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def value_ranks(rows: DataFrame, groups: list, value: str, chunks: int = CHUNKS)
         F.percentile_approx(value, steps, 1000).alias("_cuts"), F.sum("_c").alias("n"))
     chunked = counts.join(cuts, groups).withColumn(
         "_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    return _within_chunks(chunked, groups, value)
+
+
+def _within_chunks(chunked: DataFrame, groups: list, value: str) -> DataFrame:
+    """n_lt and n_le of counted values (_c) in ordered chunks."""
     below = W.partitionBy(*groups).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = (chunked.groupBy(*groups, "_chunk").agg(F.sum("_c").alias("_t"))
                .select(*groups, "_chunk", F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_off")))
@@ -32,6 +37,20 @@ def value_ranks(rows: DataFrame, groups: list, value: str, chunks: int = CHUNKS)
                     (F.col("_off") + F.col("_run")).alias("n_le")))
 
 
+def text_ranks(rows: DataFrame, groups: list, key: str) -> DataFrame:
+    """``value_ranks`` (n, n_lt, n_le) for keys of any ordered type, texts too: cut into chunks at the quantiles of a number that
+    follows the key's order, the first bytes of a text."""
+    if dict(rows.dtypes)[key] != "string":
+        return value_ranks(rows, groups, key)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(*groups, key).agg(F.count(F.lit(1)).alias("_c"))
+    # seven bytes as a number: smaller texts never have a larger one
+    number = F.conv(F.hex(F.rpad(F.substring(F.col(key).cast("binary"), 1, 7), 7, b"\0")), 16, 10).cast("long")
+    counts = counts.withColumn("_number", number)
+    cuts = counts.groupBy(*groups).agg(F.percentile_approx("_number", [i / CHUNKS for i in range(1, CHUNKS)], 1000).alias("_cuts"), F.sum("_c").alias("n"))
+    chunked = counts.join(cuts, groups).withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < F.col("_number")))).drop("_cuts", "_number")
+    return _within_chunks(chunked, groups, key)
+
+
 def mean_percentile():
     """Percentile of kind "mean": half the share strictly below plus half the share
     at or below; a cohort of one reads 50."""

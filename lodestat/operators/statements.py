@@ -13,6 +13,8 @@ from lodestat.operators import asof, series
 STRICT = ("revenue", "ebit", "ebitda", "gross_profit", "net_income", "interest", "ocf", "owner_fcf", "research",
           "tax_expense", "pretax", "taxes_paid")
 ZERO_DEFAULT = ("dividends", "buybacks")
+INCOME = ("revenue", "ebit", "gross_profit", "net_income", "interest", "research", "tax_expense", "pretax")
+CASH = ("ocf", "capex", "sbc", "taxes_paid", "dividends", "buybacks")
 MIN_ANNUAL_GAP_DAYS = 300
 
 
@@ -30,16 +32,17 @@ def _sums():
 
 
 def ttm(s: DataFrame) -> DataFrame:
-    """Newest four quarters if all hold revenue, operating cash and capex, else the
+    """Of the periods that both the income and the cash-flow statement cover: newest four quarters if all hold revenue, operating cash and capex, else the
     newest year; a sum is NULL if any period lacks the row."""
     d = derived(s)
     newest = W.partitionBy("entity").orderBy(F.desc("period_end"))
-    q = (d.where("scope = 'quarterly'").withColumn("_rn", F.row_number().over(newest)).where("_rn <= 4")
+    flows = d.where(F.coalesce(*[F.col(c) for c in INCOME]).isNotNull() & F.coalesce(*[F.col(c) for c in CASH]).isNotNull())   # periods of both statements
+    q = (flows.where("scope = 'quarterly'").withColumn("_rn", F.row_number().over(newest)).where("_rn <= 4")
          .groupBy("entity").agg(F.max("period_end").alias("through"), F.count(F.lit(1)).alias("_n"), *_sums(),
                                 F.count("revenue").alias("_r"), F.count("ocf").alias("_o"), F.count("capex").alias("_c"))
          .where("_n = 4 AND _r = 4 AND _o = 4 AND _c = 4").drop("_n", "_r", "_o", "_c")
          .withColumns({"basis": F.lit("quarterly"), "quarters": F.lit(4)}))
-    a = (d.where("scope = 'annual'").withColumn("_rn", F.row_number().over(newest)).where("_rn = 1")
+    a = (flows.where("scope = 'annual'").withColumn("_rn", F.row_number().over(newest)).where("_rn = 1")
          .join(q.select("entity"), "entity", "left_anti")
          .groupBy("entity").agg(F.max("period_end").alias("through"), *_sums())
          .withColumns({"basis": F.lit("annual"), "quarters": F.lit(1)}))

@@ -35,13 +35,19 @@ _LOCAL = {}
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A folder every executor can reach, below ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (local tests)
-    one temporary folder per application stands in for it.
+    The setting is read from the session, or else from the context's checkpoint
+    folder. Only where both are unset and one machine does all the work (a local
+    master, as in tests), a temporary folder stands in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = of_context.get() if of_context.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, None) or tempfile.mkdtemp(prefix="lodestat-")
+        base = _LOCAL.get(app) or tempfile.mkdtemp(prefix="lodestat-")
         _LOCAL[app] = base
     return f"{base.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
 

@@ -163,41 +163,66 @@ def _number_rows(num: DataFrame, concepts: DataFrame, archive: str, extra: tuple
             .withColumn("label", F.explode("labels")))
     signed = F.when(F.col("label") == "Capital Expenditure", -F.abs("value")).otherwise(F.col("value"))
     rows = rows.withColumn("value", signed)
+    # the number itself, not its cents: per-share values differ below a cent, and some values exceed any decimal
     key = F.sha2(F.concat_ws("|", F.lit(archive), "adsh", *extra, "tag", "version", "label", "ddate",
-                             F.col("quarters").cast("string"), "uom",
-                             F.col("value").cast("decimal(18,2)").cast("string")), 256)
+                             F.col("quarters").cast("string"), "uom", F.col("value").cast("string")), 256)
     return rows.withColumn("source_hash", key).dropDuplicates(["source_hash"])
 
 
+def _eligible(sub: DataFrame, ciks: DataFrame) -> DataFrame:
+    """Submissions of eligible filers; the filer's number has ten digits on either side."""
+    wanted = ciks.select(F.lpad("cik", 10, "0").alias("cik")).distinct()
+    period = _compact_day("period") if "period" in sub.columns else F.lit(None).cast("date")
+    return (sub.withColumn("cik", F.lpad("cik", 10, "0")).join(wanted, "cik", "left_semi")
+            .select("adsh", "cik", _compact_day("filed").alias("filed_at"), "form", period.alias("report_period")))
+
+
+def _labelled(pre: DataFrame, labels: DataFrame, captions: DataFrame | None) -> DataFrame:
+    """Presentation rows with the labels of their tag, else of their caption (custom tags)."""
+    from lodestat.functions.labels import caption_key
+    if captions is None or "plabel" not in pre.columns:
+        return pre.join(labels, "tag")
+    c = captions.select(F.col("caption").alias("_caption"), F.col("labels").alias("_labels"))
+    both = pre.withColumn("_caption", caption_key(F.coalesce("plabel", F.lit("")))).join(labels, "tag", "left").join(c, "_caption", "left")
+    return both.withColumn("labels", F.coalesce("labels", "_labels")).where("labels IS NOT NULL").drop("_caption", "_labels")
+
+
+def _last_row(pre: DataFrame, *columns: str) -> Column:
+    """The values of the last row of the file, by report and line as far as it has them."""
+    order = [F.col(c).try_cast("int") for c in ("report", "line") if c in pre.columns]
+    return F.max_by(F.struct(*columns), F.struct(*order, *[c for c in columns if c != "labels"]))
+
+
 def filing_statements(sub: DataFrame, pre: DataFrame, num: DataFrame, labels: DataFrame,
-                      ciks: DataFrame, archive: str) -> DataFrame:
+                      ciks: DataFrame, archive: str, captions: DataFrame | None = None) -> DataFrame:
     """Submissions of eligible filers, joined with presentation rows of the six
-    statements whose tag has canonical labels, joined with undimensioned numbers."""
-    subs = sub.join(ciks, "cik", "left_semi").select("adsh", "cik", _compact_day("filed").alias("filed_at"), "form")
-    shown = (pre.where(F.col("stmt").isin(*STATEMENT_TYPES)).join(labels, "tag")
-             .groupBy("adsh", "tag", "version").agg(F.max("stmt").alias("stmt"), F.first("labels").alias("labels")))
-    plain = num.where(F.coalesce(blank_to_null(F.col("segments")), F.lit("")).eqNullSafe(""))
+    statements whose tag (or, for custom tags, caption) has canonical labels, joined
+    with undimensioned numbers. Filers that are not wanted leave before any large join."""
+    subs = _eligible(sub, ciks)
+    shown = _labelled(pre.where(F.col("stmt").isin(*STATEMENT_TYPES)).join(subs, "adsh", "left_semi"), labels, captions)
+    shown = (shown.groupBy("adsh", "tag", "version").agg(_last_row(shown, "stmt", "labels").alias("w"))
+             .select("adsh", "tag", "version", "w.stmt", "w.labels"))
+    plain = num.where(F.coalesce(blank_to_null(F.col("segments")), F.lit("")).eqNullSafe("")).join(subs, "adsh", "left_semi")
     return _number_rows(plain, shown, archive, ()).join(subs, "adsh").select(
-        "adsh", "cik", "filed_at", "form", "stmt", "tag", "label", _compact_day("ddate").alias("period_end"),
+        "adsh", "cik", "filed_at", "form", "report_period", "stmt", "tag", "label", _compact_day("ddate").alias("period_end"),
         "quarters", "uom", "value", "source_hash")
 
 
 def filing_notes(sub: DataFrame, ren: DataFrame, tags: DataFrame, pre: DataFrame, num: DataFrame,
-                 labels: DataFrame, ciks: DataFrame, archive: str) -> DataFrame:
+                 labels: DataFrame, ciks: DataFrame, archive: str, captions: DataFrame | None = None) -> DataFrame:
     """Five-way join: periodic forms, note categories, monetary non-abstract tags,
     undimensioned numbers."""
-    subs = (sub.where(F.upper("form").isin(*NOTE_FORMS)).join(ciks, "cik", "left_semi")
-            .select("adsh", "cik", _compact_day("filed").alias("filed_at"), "form"))
+    subs = _eligible(sub.where(F.upper("form").isin(*NOTE_FORMS)), ciks)
     reports = ren.where(F.col("menucat").isin(*NOTE_CATEGORIES)).select("adsh", "report", "menucat", "shortname")
     money = tags.where((F.col("abstract") == "0") & F.lower("datatype").contains("monetary")).select("tag", "version")
-    concepts = (pre.join(money, ["tag", "version"], "left_semi").join(reports, ["adsh", "report"])
-                .join(labels, "tag").groupBy("adsh", "tag", "version")
+    concepts = (_labelled(pre.join(subs, "adsh", "left_semi").join(money, ["tag", "version"], "left_semi").join(reports, ["adsh", "report"]), labels, captions)
+                .groupBy("adsh", "tag", "version")
                 .agg(F.max(F.struct("menucat", "shortname")).alias("rep"), F.first("labels").alias("labels")))
-    plain = num.where(F.col("dimh") == "0x00000000")
+    plain = num.where(F.col("dimh") == "0x00000000").join(subs, "adsh", "left_semi")
     keyed = _number_rows(plain, concepts.select("adsh", "tag", "version", "labels", "rep.menucat", "rep.shortname"),
                          archive, ("menucat",))
     return keyed.join(subs, "adsh").select(
-        "adsh", "cik", "filed_at", "form", "menucat", "shortname", "tag", "label",
+        "adsh", "cik", "filed_at", "form", "report_period", "menucat", "shortname", "tag", "label",
         _compact_day("ddate").alias("period_end"), "quarters", "uom", "value", "source_hash")
 
 
