@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.llm.common import stage, text_of, texts
-from lodestat.llm.tokens import crc32, encoder
+from lodestat.llm.tokens import SLICE, crc32, encoder
 
 LENGTH = 1024
 RANGE_ROWS = 20_000
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, with_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for first, some in texts(batch):
+            for first, some in texts(batch, most=SLICE):
                 rows, cols = [], [[] for _ in names[1:]]
                 for i, own in enumerate(enc.encode(some)):
                     ids = np.append(np.frombuffer(own, enc.kind).astype("<u4"), np.uint32(end_id))

@@ -8,29 +8,21 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestat.llm.common import text_of, texts
+from lodestat.llm.common import run_ids, text_of, texts
 
 #: Distinct chunks a worker remembers before it starts anew; bounds its memory, never its results.
-CHUNKS_KEPT = 350_000
-TOGETHER = 2000
-
-#: Visible text, with single line feeds inside: what may stand between two tabs.
-LINES = re.compile(r"\S+(?:\n\S+)*")
-
-
-def _visible(text: str) -> list[str]:
-    """Parts between tabs and a space, if all are visible text with single line feeds; else none."""
-    parts = text.split("\t ")
-    return parts if all(map(LINES.fullmatch, parts)) else []
-
+CHUNKS_KEPT = 300_000
+TOGETHER = 20_000
+#: Bytes of texts that are cut into chunks at once.
+SLICE = 2 << 20
 
 _LOADED: dict[str, TextEncoder] = {}
 
@@ -50,62 +42,49 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        spec = json.loads(self.tokenizer.to_str())
-        split = spec.get("pre_tokenizer") or {}
-        added = [t for t in spec.get("added_tokens", []) if not t.get("special")]
+        split = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer is not None else {}
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not t.special]
         self.by_chunk = (split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
-                         and spec.get("normalizer") is None and not added and not spec.get("truncation"))
+                         and self.tokenizer.normalizer is None and not added and self.tokenizer.truncation is None)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        feed, tab = (self.tokenizer.encode(f"a{c} b", add_special_tokens=False).ids for c in "\n\t")
-        self.by_chunk = self.by_chunk and len(feed) == len(tab) == 3
-        self.feed, self.tab = feed[1:2], tab[1:2]
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, self.kind)
+        self.starts, self.sizes = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.filled = 0
 
     def whole(self, some: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, np.uint32).astype(self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def learn(self, new: set[str]) -> None:
-        """Encodes chunks that were not met before, many at a time, with a white-space character between them that is a token of
-        its own. A chunk next to further white space is remembered as None: its text is encoded whole."""
-        if len(self.known) > CHUNKS_KEPT:       # chunks that come back move on to the new generation
-            self.known, self.older = {}, self.known
-        if back := new.intersection(self.older):
-            self.known.update((c, self.older[c]) for c in back)
-            new = new - back
-        plain = [c for c in new if "\n" not in c]
-        lines = [c for c in new if "\n" in c]
-        for some, mark, own, blank in ((plain, "\n", self.feed, str.split), (lines, "\t", self.tab, _visible)):
-            for i in range(0, len(some), TOGETHER):
-                part = some[i:i + TOGETHER]
-                if len(blank(f"{mark} ".join(part))) != len(part) or "" in part:
-                    part = [c for c in part if self.apart(c, blank)]
-                if part:
-                    self.learn_together(part, mark, own)
-
-    def apart(self, c: str, blank: Callable[[str], list[str]]) -> bool:
-        """Whether a chunk can go with others; if not, it is remembered here."""
-        if blank(c) == [c]:
-            return True
-        self.known[c] = None if not c or c[0].isspace() or c[-1].isspace() else self.whole([" " + c])[0]
-        return False
-
-    def learn_together(self, some: list[str], mark: str, own: int) -> None:
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + f"{mark} ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-        cuts = np.flatnonzero(ids == own)
-        if len(cuts) != len(some) - 1:
-            raise RuntimeError("white space is no token of its own under this tokenizer")
-        flat, w = ids.astype(self.kind).tobytes(), self.width
-        starts, ends = [0, *(cuts * w + w).tolist()], [*(cuts * w).tolist(), len(flat)]
-        self.known.update(zip(some, [flat[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes chunks that were not met before; one next to further white space gets place -1: its text is encoded whole."""
+        good = []
+        for c in chunks:
+            if c and not c[0].isspace() and not c[-1].isspace():
+                good.append(c)
+            else:
+                self.place[c] = -1
+        for i in range(0, len(good), TOGETHER):
+            some = good[i:i + TOGETHER]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([" " + c for c in some], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int32, len(found))
+            flat = np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))
+            n, k = len(self.place), self.filled
+            self.ids = _room(self.ids, k + len(flat))
+            self.starts, self.sizes = _room(self.starts, n + len(some)), _room(self.sizes, n + len(some))
+            self.ids[k:k + len(flat)] = flat
+            # places count the bad chunks too, so that a place is the number of keys before it
+            self.starts[n:n + len(some)] = k + np.cumsum(sizes) - sizes
+            self.sizes[n:n + len(some)] = sizes
+            self.filled += len(flat)
+            self.place.update(zip(some, range(n, n + len(some)), strict=True))
 
     def encode(self, some: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
-        if not self.by_chunk:
+        if not self.by_chunk or not some:
             return self.whole(some)
         collecting = gc.isenabled()
         gc.disable()        # millions of short strings and no cycles
@@ -116,29 +95,32 @@ class TextEncoder:
                 gc.enable()
 
     def by_chunks(self, some: list[str]) -> list[bytes]:
+        if len(self.place) > CHUNKS_KEPT:
+            self.forget()
         cut = [t.split(" ") for t in some]
         heads = self.whole([c[0] for c in cut])
+        counts = np.fromiter(map(len, cut), np.int64, len(cut)) - 1
         chunks = [c for parts in cut for c in parts[1:]]
-        found = list(map(self.known.get, chunks))
-        gaps = [i for i, x in enumerate(found) if x is None]
-        if gaps:
-            missing = [chunks[i] for i in gaps]
-            self.learn({c for c in missing if c not in self.known})
-            for i, x in zip(gaps, map(self.known.get, missing), strict=True):
-                found[i] = x
-        out, at, odd = [], 0, []
-        for i, (parts, head) in enumerate(zip(cut, heads, strict=True)):
-            own = found[at:at + len(parts) - 1]
-            at += len(own)
-            if own and (not parts[0] or parts[0][-1].isspace()) or None in own:
-                odd.append(i)
-                own = []
-            out.append(head + b"".join(own))
-        for i, ids in zip(odd, self.whole([some[i] for i in odd]), strict=True):
+        if new := set(chunks).difference(self.place):
+            self.learn(list(new))
+        at = np.fromiter(map(self.place.__getitem__, chunks), np.int32, len(chunks))
+        ends = np.cumsum(counts)
+        odd = {int(i) for i in np.searchsorted(ends, np.flatnonzero(at < 0), side="right")}
+        odd |= {i for i, c in enumerate(cut) if len(c) > 1 and (not c[0] or c[0][-1].isspace())}
+        at = np.maximum(at, 0)
+        sizes = self.sizes[at]
+        flat = self.ids[np.repeat(self.starts[at], sizes) + run_ids(sizes)]
+        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.concatenate([[0], ends])].tolist()
+        out = [h + flat[a:b].tobytes() for h, a, b in zip(heads, bounds[:-1], bounds[1:], strict=True)]
+        for i, ids in zip(sorted(odd), self.whole([some[i] for i in sorted(odd)]), strict=True):
             out[i] = ids
         return out
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 def encoder(path: str) -> TextEncoder:
     if path not in _LOADED:
         _LOADED[path] = TextEncoder(path)
@@ -160,7 +142,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id
         enc = encoder(path)
         end = np.asarray([end_id], enc.kind).tobytes()
         for batch in batches:
-            for first, some in texts(batch):
+            for first, some in texts(batch, most=SLICE):
                 found = pa.array([x + end for x in enc.encode(some)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(first, len(some)), found], names=[id_column, "ids"])
 
