@@ -197,12 +197,12 @@ def inversion_gate(spark, d):
     return p.select("entity", ok.alias("passes"))
 
 
-@query("top_fraction", f"{CARD}, ok AS (SELECT entity, pct, CASE evidence WHEN 'full' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END AS tier FROM card WHERE pct IS NOT NULL AND band NOT IN ('VETOED', 'NO PRICE')) SELECT entity, pct FROM ok ORDER BY tier, pct DESC, entity LIMIT (SELECT CAST(greatest(1, ceil(count(*) * 0.05)) AS BIGINT) FROM card)", digits=1)
+@query("top_fraction", f"{CARD}, ok AS (SELECT entity, pct, CASE evidence WHEN 'full' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END AS tier FROM card WHERE pct IS NOT NULL AND band NOT IN ('VETOED', 'NO PRICE')) SELECT entity, pct FROM ok ORDER BY tier, pct DESC, entity LIMIT (SELECT CAST(greatest(1, ceil(count(*) * 0.01)) AS BIGINT) FROM card)", digits=1)
 def top_fraction(spark, d):
-    """Best 5 % of the universe by evidence tier, then percent. Cells of (tier,
+    """Best 1 % of the universe by evidence tier, then percent. Cells of (tier,
     percent) are counted first, so only the cell at the cut is ordered by name."""
     c = cards(spark, d).select("entity", "pct", "evidence", "band")
-    size = c.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.05))).scalar()
+    size = c.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.01))).scalar()
     ok = c.where("pct IS NOT NULL AND band NOT IN ('VETOED', 'NO PRICE')").withColumn("key", C.rank_tier(F.col("evidence")) * 1000 - F.col("pct")).withColumn("g", F.lit(0))
     ordered = cohorts.rank_order(ok.withColumn("neg", -F.col("key")), ["g"], "neg", "entity")
     return ordered.where(F.col("rank") <= size).select("entity", "pct")

@@ -86,12 +86,12 @@ def carry_forward(spark, d):
     return S.carry_forward_gaps(s.select("entity", "period_end", "debt", "total_assets", "cash"), "debt", pays, max_age=100)
 
 
-@query("statement_freshness", f"""{ST}, g AS (SELECT entity, max(period_end) AS newest FROM dv WHERE scope = 'quarterly' AND (entity % 4 <> 0 OR period_end < DATE '2001-06-01') GROUP BY entity)
+@query("statement_freshness", f"""{ST}, g AS (SELECT entity, max(CASE WHEN entity % 4 = 0 THEN period_end - 200 ELSE period_end END) AS newest FROM dv WHERE scope = 'quarterly' GROUP BY entity)
   SELECT entity, {txt('newest')}, CASE WHEN newest + 20 + CAST(entity % 60 AS INTEGER) <= DATE '2002-02-10' AND DATE '2002-02-10' - (newest + 20 + CAST(entity % 60 AS INTEGER)) > 14 THEN 'STALE' WHEN DATE '2002-02-10' - newest > 135 THEN 'STALE' ELSE 'FRESH' END AS state FROM g""")
 def statement_freshness(spark, d):
     """Stale 14 days past the expected date of the next statement, or at 135 days."""
     at = F.lit("2002-02-10").cast("date")
-    g = R.statements(spark, d).where("scope = 'quarterly' AND (entity % 4 <> 0 OR period_end < DATE'2001-06-01')").groupBy("entity").agg(F.max("period_end").alias("newest"))
+    g = R.statements(spark, d).where("scope = 'quarterly'").groupBy("entity").agg(F.max(F.expr("if(entity % 4 = 0, date_sub(period_end, 200), period_end)")).alias("newest"))
     due = F.date_add("newest", (20 + F.col("entity") % 60).cast("int"))
     late = (due > F.col("newest")) & (due <= at) & (F.datediff(at, due) > 14)
     return g.select("entity", "newest", F.when(late | (F.datediff(at, "newest") > 135), "STALE").otherwise("FRESH").alias("state"))
@@ -103,7 +103,10 @@ def stress_window(spark, d):
     return p.groupBy("entity", "year").agg(F.max("period_end").alias("period_end"), F.max_by("owner_fcf", "period_end").alias("owner_fcf"))
 
 
-@query("annual_cadence")
+@query("annual_cadence", f"""{ST.replace('WITH', 'WITH RECURSIVE', 1)}, p AS (SELECT entity, period_end, owner_fcf, row_number() OVER (PARTITION BY entity ORDER BY period_end, owner_fcf) AS rn FROM dv WHERE owner_fcf IS NOT NULL AND scope = 'quarterly'),
+  k AS (SELECT entity, rn, period_end AS last, true AS kept, owner_fcf FROM p WHERE rn = 1
+    UNION ALL SELECT p.entity, p.rn, CASE WHEN p.period_end - k.last >= 300 THEN p.period_end ELSE k.last END, p.period_end - k.last >= 300, p.owner_fcf FROM k JOIN p ON p.entity = k.entity AND p.rn = k.rn + 1)
+  SELECT entity, {txt('last', 'period_end')}, round(owner_fcf, 4) AS owner_fcf FROM k WHERE kept""", digits=4)
 def annual_cadence(spark, d):
     """Points of every scope thinned to 300 days apart."""
     p = S.derived(R.statements(spark, d)).where("owner_fcf IS NOT NULL AND scope = 'quarterly'").groupBy("entity").agg(
@@ -112,7 +115,10 @@ def annual_cadence(spark, d):
     return kept.select("entity", "k.period_end", F.col("k.v").alias("owner_fcf"))
 
 
-@query("yearly_issuance")
+@query("yearly_issuance", f"""WITH {sqlx.SQL_MARKET}, y AS (SELECT entity, max(end_day) AS end_day, arg_max(value, end_day) AS value FROM shr GROUP BY entity, year(end_day)),
+  g AS (SELECT *, lag(end_day) OVER w AS prev FROM y WINDOW w AS (PARTITION BY entity ORDER BY end_day)), n AS (SELECT *, sum(CASE WHEN prev IS NULL OR end_day - prev >= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY end_day) AS step FROM g),
+  k AS (SELECT entity, step, max(end_day) AS d1, arg_max(value, end_day) AS v1 FROM n GROUP BY entity, step), z AS (SELECT *, lag(d1) OVER w AS d0, lag(v1) OVER w AS v0 FROM k WINDOW w AS (PARTITION BY entity ORDER BY step))
+  SELECT entity, {txt('d1', 'end_day')}, round({sqlx.cagr('d0', 'v0', 'd1', 'v1')}, 6) AS issuance_pct FROM z WHERE v0 > 0 AND v1 > 0""")
 def yearly_issuance(spark, d):
     """Share steps on an annual cadence (the newest count of a year wins), annualised."""
     yearly = share_series(spark, d).groupBy("entity", F.year("end_day").alias("y")).agg(F.max_by("value", "end_day").alias("value"), F.max("end_day").alias("end_day"))

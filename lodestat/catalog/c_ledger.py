@@ -223,17 +223,29 @@ def pause_events(spark, d):
         "ticker", "day", "ts", "seq", F.when(F.col("kind") == "signup", "on").otherwise("off").alias("kind"), planned.alias("planned"))
 
 
-@query("pause_windows")
+# every event in turn: what is open, until when it is planned, and the window that the event closes
+PAUSES = f"""{L.replace('WITH', 'WITH RECURSIVE', 1)}, ev AS (SELECT ticker, ts, CASE kind WHEN 'signup' THEN 'on' ELSE 'off' END AS kind, CASE WHEN seq % 2 = 0 THEN ts + to_hours(CAST(trunc(value / 20) AS INTEGER)) END AS planned,
+    row_number() OVER (PARTITION BY ticker ORDER BY ts, seq) AS rn FROM ledger WHERE kind IN ('signup', 'purchase')),
+  f AS (SELECT ticker, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS held, CAST(NULL AS TIMESTAMP) AS due, CAST(NULL AS TIMESTAMP) AS s, CAST(NULL AS TIMESTAMP) AS e FROM (SELECT DISTINCT ticker FROM ev)
+    UNION ALL SELECT v.ticker, v.rn, CASE WHEN v.kind = 'off' THEN NULL WHEN held IS NOT NULL AND (due IS NULL OR due > v.ts) THEN held ELSE v.ts END,
+      CASE WHEN v.kind = 'off' THEN NULL WHEN held IS NOT NULL AND (due IS NULL OR due > v.ts) THEN due ELSE v.planned END,
+      CASE WHEN v.kind = 'on' AND held IS NOT NULL AND due <= v.ts THEN held WHEN v.kind = 'off' AND least(v.ts, coalesce(due, v.ts)) > held THEN held END,
+      CASE WHEN v.kind = 'on' AND held IS NOT NULL AND due <= v.ts THEN due WHEN v.kind = 'off' AND least(v.ts, coalesce(due, v.ts)) > held THEN least(v.ts, coalesce(due, v.ts)) END
+    FROM f JOIN ev v ON v.ticker = f.ticker AND v.rn = f.rn + 1),
+  pw AS (SELECT ticker, s, e FROM f WHERE s IS NOT NULL UNION ALL SELECT ticker, held, due FROM f WHERE held IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY rn DESC) = 1 AND rn = (SELECT max(rn) FROM ev x WHERE x.ticker = f.ticker))"""
+
+
+@query("pause_windows", f"{PAUSES} SELECT ticker, {txt('s', 'start')}, {txt('e', '\"end\"')} FROM pw")
 def pause_windows(spark, d):
     return ledger.pause_windows(pause_events(spark, d))
 
 
-@query("pause_overlap", f"""{L}, w AS (SELECT ticker, ts AS s, ts + to_hours(CAST(floor(value / 4) AS INTEGER)) AS e FROM ledger WHERE kind = 'signup')
+@query("pause_overlap", f"""{PAUSES}, w AS (SELECT ticker, s, coalesce(e, TIMESTAMP '2024-01-20') AS e FROM pw)
   SELECT ticker, CAST(sum(CASE WHEN least(e, TIMESTAMP '2024-01-20') > greatest(s, TIMESTAMP '2024-01-10') THEN epoch(date_trunc('second', least(e, TIMESTAMP '2024-01-20'))) - epoch(date_trunc('second', greatest(s, TIMESTAMP '2024-01-10'))) ELSE 0 END) AS BIGINT) AS paused
   FROM w GROUP BY ticker""")
 def pause_overlap(spark, d):
     """Seconds of pause inside [10 January, 20 January)."""
-    w = led(spark, d).where("kind = 'signup'").select("ticker", F.col("ts").alias("start"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.floor(F.col("value") / 4).cast("int"))).alias("end"))
+    w = ledger.pause_windows(pause_events(spark, d))
     at = lambda s: F.lit(s).cast("timestamp_ntz")
     return ledger.paused_seconds(w, at("2024-01-10"), at("2024-01-20"))
 

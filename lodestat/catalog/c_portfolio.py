@@ -58,30 +58,30 @@ def instrument_type_map(spark, d):
 
 
 @query("snapshot_diff", f"""{PO}, st AS (SELECT as_of, lag(as_of) OVER (ORDER BY as_of) AS prev FROM (SELECT DISTINCT as_of FROM positions)),
-  nw AS (SELECT p.* FROM positions p JOIN st ON st.as_of = p.as_of WHERE prev IS NOT NULL AND p.quantity >= 300), od AS (SELECT st.as_of, symbol, quantity FROM positions p JOIN st ON st.prev = p.as_of WHERE p.quantity >= 300),
+  nw AS (SELECT p.* FROM positions p JOIN st ON st.as_of = p.as_of WHERE prev IS NOT NULL), od AS (SELECT st.as_of, symbol, quantity FROM positions p JOIN st ON st.prev = p.as_of),
   mv AS (SELECT coalesce(n.as_of, o.as_of) AS as_of, coalesce(n.symbol, o.symbol) AS symbol, CASE WHEN o.quantity IS NULL THEN 'appeared' WHEN n.quantity IS NULL THEN 'disappeared' WHEN o.quantity <> n.quantity THEN 'quantity_change' END AS kind,
     o.quantity AS old_value, n.quantity AS new_value FROM nw n FULL JOIN od o ON o.as_of = n.as_of AND o.symbol = n.symbol),
   ca AS (SELECT as_of, cash, lag(cash) OVER (ORDER BY as_of) AS old FROM snapshot_cash)
   SELECT {txt('as_of')}, symbol, kind, old_value, new_value FROM mv WHERE kind IS NOT NULL
-  UNION ALL SELECT {txt('as_of')}, symbol, 'leverage_violation', 1.0, leverage FROM positions WHERE leverage > 1 AND quantity >= 300
+  UNION ALL SELECT {txt('as_of')}, symbol, 'leverage_violation', 1.0, leverage FROM positions WHERE leverage > 1
   UNION ALL SELECT {txt('as_of')}, NULL, 'unexplained_cash', old, round(cash - old, 2) FROM ca WHERE abs(cash - old) > 1 AND as_of NOT IN (SELECT as_of FROM mv WHERE kind IN ('disappeared', 'quantity_change'))""", digits=2)
 def snapshot_diff(spark, d):
-    """Differences over the positions of at least 300 units."""
-    held = stage(positions(spark, d).where("quantity >= 300"), "positions")
+    held = stage(positions(spark, d), "positions")
     return P.snapshot_diff(held, R.snapshot_cash(spark, d))
 
 
-RATES = "rates AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'USD' ELSE 'GBP' END AS currency, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, max(l_extendedprice) / 100000 AS close FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_shipdate >= DATE '1996-01-01' GROUP BY ALL)"
+RATES = "rates AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'USD' ELSE 'GBP' END AS currency, CAST(date_trunc('month', l_shipdate) AS DATE) AS day, CASE WHEN month(any_value(l_shipdate)) = 6 THEN 0 ELSE max(l_extendedprice) / 100000 END AS close FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY ALL)"
 
 
 def rates(spark, d):
     day = F.trunc(F.col("l_shipdate").cast("date"), "month")
-    return (R.table(spark, d, "lineitem").where("l_returnflag IN ('A', 'N') AND l_shipdate >= TIMESTAMP_NTZ'1996-01-01 00:00:00'")
+    return (R.table(spark, d, "lineitem").where("l_returnflag IN ('A', 'N')")
             .groupBy(F.when(F.col("l_returnflag") == "A", "USD").otherwise("GBP").alias("currency"), day.alias("day"))
-            .agg((F.max("l_extendedprice") / 100000).alias("close")))
+            .agg((F.max("l_extendedprice") / 100000).alias("close"))
+            .withColumn("close", F.when(F.month("day") == 6, 0.0).otherwise(F.col("close"))))      # a feed that is down each June
 
 
-@query("fx_convert", f"""{PO}, {RATES} SELECT {txt('p.as_of', 'as_of')}, symbol, p.currency, round(mv * CASE WHEN p.currency = 'EUR' THEN 1.0 ELSE r.close END, 4) AS eur, CASE WHEN p.currency <> 'EUR' AND r.close IS NULL THEN 'refused' ELSE 'ok' END AS fx_state
+@query("fx_convert", f"""{PO}, {RATES} SELECT {txt('p.as_of', 'as_of')}, symbol, p.currency, round(mv * CASE WHEN p.currency = 'EUR' THEN 1.0 WHEN r.close > 0 THEN r.close END, 4) AS eur, CASE WHEN p.currency <> 'EUR' AND coalesce(r.close, 0) <= 0 THEN 'refused' ELSE 'ok' END AS fx_state
   FROM positions p ASOF LEFT JOIN rates r ON r.currency = p.currency AND p.as_of >= r.day""", digits=4)
 def fx_convert(spark, d):
     p = positions(spark, d).select("as_of", "symbol", "currency", "mv")
@@ -169,13 +169,13 @@ def modified_dietz(spark, d):
 
 
 @query("dividend_receipts", f"""{PO}, {RATES}, dv AS (SELECT l_suppkey AS symbol, SUM(CAST(round(l_tax * 100) AS BIGINT)) / 100.0 AS per_share FROM lineitem WHERE l_shipdate > DATE '2001-06-30' AND l_tax > 0 GROUP BY l_suppkey),
-  fx AS (SELECT currency, arg_max(close, day) AS rate FROM rates GROUP BY currency)
+  fx AS (SELECT currency, arg_max(close, day) AS rate FROM rates WHERE close > 0 GROUP BY currency)
   SELECT p.symbol, round(quantity * per_share * coalesce(CASE WHEN p.currency = 'EUR' THEN 1.0 ELSE rate END, 1.0), 4) AS received FROM positions p JOIN dv ON dv.symbol = p.symbol LEFT JOIN fx ON fx.currency = p.currency WHERE as_of = DATE '2001-06-30'""", digits=4)
 def dividend_receipts(spark, d):
     """Quantity times dividends since the snapshot, in EUR."""
     dv = (R.table(spark, d, "lineitem").where("l_shipdate > TIMESTAMP_NTZ'2001-06-30 00:00:00' AND l_tax > 0").groupBy(F.col("l_suppkey").alias("symbol"))
           .agg((F.sum(F.rint(F.col("l_tax") * 100).cast("bigint")) / 100.0).alias("per_share")))
-    fx = rates(spark, d).groupBy("currency").agg(F.max_by("close", "day").alias("rate"))
+    fx = rates(spark, d).where("close > 0").groupBy("currency").agg(F.max_by("close", "day").alias("rate"))
     p = positions(spark, d).where("as_of = DATE'2001-06-30'").join(dv, "symbol").join(fx, "currency", "left")
     rate = F.when(F.col("currency") == "EUR", 1.0).otherwise(F.coalesce("rate", F.lit(1.0)))
     return p.select("symbol", (F.col("quantity") * F.col("per_share") * rate).alias("received"))

@@ -197,12 +197,12 @@ AS_OF = "1999-06-30"
 
 @query("as_of_bundle", f"""WITH {R.SQL_CUMULATIVE}, vis AS (SELECT * FROM cfacts WHERE filed <= DATE '{AS_OF}'), {LATEST}, {FLOWS}, {CHAIN_SQL}, fl AS (SELECT *, 'annual' AS scope FROM ann UNION ALL SELECT *, 'quarterly' AS scope FROM qtr),
   ch AS (SELECT entity, label, scope, end_day, arg_min(value, priority) AS value FROM fl JOIN concepts USING (tag) GROUP BY ALL), st AS (SELECT entity, count(*) AS cells, sum(value) AS total FROM ch GROUP BY entity HAVING bool_or(scope = 'annual')),
-  {R.SQL_BARS}, px AS (SELECT symbol, max(day) AS d, arg_max(close, day) AS price FROM bars WHERE day <= DATE '{AS_OF}' AND NOT (symbol % 5 = 0 AND day > DATE '1999-04-01') GROUP BY symbol), {R.SQL_SHARES},
+  {R.SQL_BARS}, b2 AS (SELECT symbol, close, CASE WHEN symbol % 5 = 0 THEN day - 1000 ELSE day END AS day FROM bars), px AS (SELECT symbol, max(day) AS d, arg_max(close, day) AS price FROM b2 WHERE day <= DATE '{AS_OF}' GROUP BY symbol), {R.SQL_SHARES},
   cn AS (SELECT entity, end_day, arg_max(value, (filed, seq, value)) AS v FROM share_counts WHERE filed <= DATE '{AS_OF}' AND end_day <= DATE '{AS_OF}' GROUP BY ALL), sh AS (SELECT entity, max(end_day) AS sd, arg_max(v, end_day) AS shares FROM cn GROUP BY entity)
   SELECT st.entity, cells, round(total, 2) AS total, CASE WHEN DATE '{AS_OF}' - d > 45 THEN 'newest bar is ' || (DATE '{AS_OF}' - d) || 'd old' END AS price_note, round(CASE WHEN DATE '{AS_OF}' - d <= 45 THEN price END, 9) AS price, shares, {txt('sd', 'shares_day')}
   FROM st LEFT JOIN px ON px.symbol = st.entity LEFT JOIN sh ON sh.entity = st.entity""", digits=9)
 def as_of_bundle(spark, d):
-    bars = R.bars(spark, d).where("NOT (symbol % 5 = 0 AND day > DATE'1999-04-01')")
+    bars = R.bars(spark, d).withColumn("day", F.expr("if(symbol % 5 = 0, date_sub(day, 1000), day)"))
     b = bundle.as_of_bundle(R.cumulative_facts(spark, d), pit.concept_table(spark, CHAINS), bars, R.share_counts(spark, d), AS_OF)
     total = F.aggregate(F.map_values("statements"), F.lit(0.0), lambda a, x: a + x)
     return b.select("entity", F.size("statements").cast("bigint").alias("cells"), F.round(total, 2).alias("total"), "price_note", "price", "shares", "shares_day")

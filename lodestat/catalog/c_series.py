@@ -104,10 +104,10 @@ def forward_return(spark, d):
     return f.select("symbol", "tick", "next_tick", "fwd")
 
 
-@query("alive_at", f"{TICK}, {R.SQL_BARS}, b2 AS (SELECT * FROM bars WHERE NOT (symbol % 4 = 0 AND day > DATE '2000-06-30')), life AS (SELECT symbol, max(day) AS last FROM b2 GROUP BY symbol) SELECT {txt('tick')}, count(*) FILTER (last >= tick) AS alive, count(*) FILTER (last < tick) AS dead FROM life, ticks GROUP BY ticks.tick")
+@query("alive_at", f"{TICK}, {R.SQL_BARS}, b2 AS (SELECT symbol, CASE WHEN symbol % 4 = 0 THEN day - 600 ELSE day END AS day FROM bars), life AS (SELECT symbol, max(day) AS last FROM b2 GROUP BY symbol) SELECT {txt('tick')}, count(*) FILTER (last >= tick) AS alive, count(*) FILTER (last < tick) AS dead FROM life, ticks GROUP BY ticks.tick")
 def alive_at(spark, d):
     """Series still running at each tick: counts by last day, summed from the end."""
-    bars = R.bars(spark, d).where("NOT (symbol % 4 = 0 AND day > DATE'2000-06-30')")
+    bars = R.bars(spark, d).withColumn("day", F.expr("if(symbol % 4 = 0, date_sub(day, 600), day)"))
     life = bars.groupBy("symbol").agg(F.max("day").alias("last"))
     ends = life.groupBy("last").agg(F.count("*").alias("n"))            # one row per day
     marks = ends.select(F.col("last").alias("at"), "n", F.lit(None).cast("date").alias("tick")).unionByName(

@@ -42,12 +42,12 @@ FP = "CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR)"
 @query("st_fingerprint_change", f"{L}, f AS (SELECT ticker, seq, {FP} AS current, lag({FP}) OVER (PARTITION BY ticker ORDER BY ts, seq) AS previous FROM ledger) SELECT ticker, seq, previous, current FROM f WHERE previous IS NOT NULL AND previous <> current")
 def st_fingerprint_change(spark, d):
     parts = [s.withColumn("fp", F.floor(F.col("value") / 25).cast("string")) for s in slices(spark, d)[:2]]
-    return jobs.run_stateful(parts, jobs.changes("ticker", "fp"))
+    return jobs.run_stateful(parts, "ticker", jobs.changes("ticker", "fp"))
 
 
 @query("st_officer_diff", f"{L}, f AS (SELECT ticker, seq, kind AS current, lag(kind) OVER (PARTITION BY ticker ORDER BY ts, seq) AS previous FROM ledger) SELECT ticker, seq, previous, current FROM f WHERE previous IS NOT NULL AND previous <> current")
 def st_officer_diff(spark, d):
-    return jobs.run_stateful(slices(spark, d)[:2], jobs.changes("ticker", "kind"))
+    return jobs.run_stateful(slices(spark, d)[:2], "ticker", jobs.changes("ticker", "kind"))
 
 
 @query("st_trigger_streak", f"""{L}, o AS (SELECT ticker, day, arg_max(value > 30, seq) AS hit FROM ledger GROUP BY ticker, day), i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY day) AS isle FROM o),
@@ -55,7 +55,7 @@ def st_officer_diff(spark, d):
   SELECT ticker, {txt('day')}, streak, CASE WHEN max(streak) OVER (PARTITION BY ticker ORDER BY s.day) >= 4 THEN 'broken' ELSE 'intact' END AS status FROM s""")
 def st_trigger_streak(spark, d):
     parts = [s.withColumn("hit", F.col("value") > 30) for s in slices(spark, d)[:2]]
-    return jobs.run_stateful(parts, jobs.streaks("ticker", 4))
+    return jobs.run_stateful(parts, "ticker", jobs.streaks("ticker", 4))
 
 
 def silent(asks, answers, hours):
@@ -79,10 +79,10 @@ def st_lag_retry(spark, d):
 @query("st_outcome_window", f"""{L}, g AS (SELECT day, count(*) AS n, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'no_new_bar') AS idle FROM ledger GROUP BY day)
   SELECT {txt('day')}, n, failed, CASE WHEN failed = n THEN 'outage' WHEN failed / n > 0.5 THEN 'degraded' WHEN idle = n THEN 'holiday' ELSE 'open' END AS class FROM g""")
 def st_outcome_window(spark, d):
-    aggs = [F.count("*").alias("n"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.count_if(F.col("outcome") == "no_new_bar").alias("idle")]
+    aggs = [F.max("ticker").alias("last"), F.count("*").alias("n"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.count_if(F.col("outcome") == "no_new_bar").alias("idle")]
     out = jobs.run(slices(spark, d), lambda s: jobs.windowed(s, [], "1 day", "1 hour", aggs))
     cls = F.when(F.col("failed") == F.col("n"), "outage").when(F.col("failed") / F.col("n") > 0.5, "degraded").when(F.col("idle") == F.col("n"), "holiday").otherwise("open")
-    return out.where("start < TIMESTAMP'2024-03-01'").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "failed", cls.alias("class"))
+    return out.where("last >= 0").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "failed", cls.alias("class"))
 
 
 @query("st_sliding_events", f"{L} SELECT ticker, CAST(w AS VARCHAR) AS start, count(*) AS n FROM (SELECT ticker, unnest([day - 6, day - 5, day - 4, day - 3, day - 2, day - 1, day]) AS w FROM ledger) GROUP BY ticker, w")
@@ -106,7 +106,7 @@ def st_storm(spark, d):
     return out.where("fires > 1").select(stamp("start").alias("start"), F.concat(F.lit("storm:"), F.date_format("start", "yyyy-MM-dd")).alias("storm_key"), "fires")
 
 
-@query("st_late_restatement", f"WITH {R.SQL_FACTS} SELECT entity, tag, {txt('end_day')}, arg_max(value, (filed, seq)) AS value FROM facts WHERE end_day < DATE '2001-09-30' GROUP BY entity, tag, facts.end_day", digits=2)
+@query("st_late_restatement", f"WITH {R.SQL_FACTS} SELECT entity, tag, {txt('end_day')}, arg_max(value, (filed, seq)) AS value FROM facts GROUP BY entity, tag, facts.end_day", digits=2)
 def st_late_restatement(spark, d):
     """A later filing replaces the value of its period; a filing that comes after the
     period's window has closed is dropped."""
@@ -120,4 +120,4 @@ def st_late_restatement(spark, d):
         return (s.groupBy(*keys, F.window("ts", "1000 days").alias("w")).agg(F.max_by(F.struct("value", "ts", "seq"), F.struct("ts", "seq")).alias("x"))
                 .select(*keys, F.col("w.start").alias("start"), "x.value", "x.ts", "x.seq"))
     out = jobs.run(parts, build, output="updates")
-    return out.where("end_day < '2001-09-30'").groupBy("entity", "tag", "end_day").agg(F.max_by("value", F.struct("ts", "seq", "batch")).alias("value"))
+    return out.groupBy("entity", "tag", "end_day").agg(F.max_by("value", F.struct("ts", "seq", "batch")).alias("value"))

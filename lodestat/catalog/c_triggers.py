@@ -86,13 +86,14 @@ def streak(spark, d):
     return streak_rows(spark, d)
 
 
-@query("persistence_breach", f"""{TR}, s AS (SELECT entity, period_end, value FROM vals WHERE metric = 'gross_margin' AND value IS NOT NULL AND (entity % 6 <> 0 OR period_end > DATE '2001-10-01') AND (entity % 10 <> 1 OR period_end < DATE '2001-03-01')),
+@query("persistence_breach", f"""{TR}, b AS (SELECT entity, period_end, CASE WHEN entity % 6 = 0 AND period_end <= DATE '2001-10-01' THEN NULL WHEN entity % 10 = 1 AND period_end >= DATE '2001-03-01' THEN NULL ELSE value END AS value FROM vals WHERE metric = 'gross_margin'), s AS (SELECT * FROM b WHERE value IS NOT NULL),
   k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY period_end DESC) AS rn FROM s), g AS (SELECT entity, count(*) AS n, max(period_end) AS last, arg_max(value, period_end) AS observed, bool_and(value < 60) AS h FROM k WHERE rn <= 2 GROUP BY entity),
   r AS (SELECT *, CASE WHEN DATE '2002-01-15' - last > 135 THEN 'STALE' WHEN n < 2 THEN 'BOOTSTRAPPING' WHEN h THEN 'FIRE' ELSE 'PASS' END AS result FROM g)
   SELECT entity, result, round(CASE WHEN result IN ('FIRE', 'PASS') THEN observed END, 4) AS observed, round(CASE WHEN result IN ('FIRE', 'PASS') THEN observed - 60 END, 4) AS headroom,
    CASE WHEN result = 'BOOTSTRAPPING' THEN CAST(last + 91 * (2 - CAST(n AS INTEGER)) AS VARCHAR) END AS evaluable_from FROM r""", digits=4)
 def persistence_breach(spark, d):
-    s = metric_values(spark, d).where("metric = 'gross_margin' AND value IS NOT NULL AND (entity % 6 <> 0 OR period_end > DATE'2001-10-01') AND (entity % 10 <> 1 OR period_end < DATE'2001-03-01')")
+    blank = "entity % 6 = 0 AND period_end <= DATE'2001-10-01' OR entity % 10 = 1 AND period_end >= DATE'2001-03-01'"
+    s = metric_values(spark, d).where("metric = 'gross_margin'").withColumn("value", F.when(~F.expr(blank), F.col("value"))).where("value IS NOT NULL")
     rules = docs(spark, d).select("entity", F.lit("<").alias("op"), F.lit(60.0).alias("threshold"), F.lit(2).alias("need"))
     return T.persistence(s.drop("metric"), rules, "2002-01-15")
 
@@ -152,9 +153,9 @@ def revised(rows):
 
 @query("goalpost_diff", f"""WITH {SQL_TRIG}, {NEWT} SELECT o.entity, o.id, CASE WHEN n.kind IS NULL THEN 'removed' WHEN n.metric IS DISTINCT FROM o.metric THEN 'metric changed'
    WHEN CASE WHEN o.op LIKE '<%' THEN n.threshold < o.threshold ELSE n.threshold > o.threshold END THEN 'easier threshold' WHEN n.needed > o.needed THEN 'slower' END AS moved
-  FROM (SELECT * FROM trig WHERE entity % 7 <> 0) o LEFT JOIN newt n ON n.entity = o.entity AND n.id = o.id WHERE moved IS NOT NULL""")
+  FROM trig o LEFT JOIN newt n ON n.entity = o.entity AND n.id = o.id WHERE moved IS NOT NULL""")
 def goalpost_diff(spark, d):
-    rows = T.rows(docs(spark, d)).where("entity % 7 <> 0")
+    rows = T.rows(docs(spark, d))
     return T.goalposts(rows, revised(rows).drop("doc_status"))
 
 

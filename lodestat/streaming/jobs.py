@@ -57,12 +57,8 @@ def latest_updates(stream: DataFrame, keys: list, order: list) -> DataFrame:
 
 def windowed(stream: DataFrame, keys: list, width: str, delay: str, aggs: list, slide: str | None = None) -> DataFrame:
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return (stream.withWatermark("ts", delay).groupBy(w.alias("w"), *keys).agg(*aggs)
-            .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *[F.col(_name(a)) for a in aggs]))
-
-
-def _name(agg) -> str:
-    return agg._jc.toString().split(" AS ")[-1].strip("`")
+    g = stream.withWatermark("ts", delay).groupBy(w.alias("w"), *keys).agg(*aggs)
+    return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *g.columns[1 + len(keys):])
 
 
 def sessions(stream: DataFrame, keys: list, gap: str, delay: str) -> DataFrame:
@@ -80,20 +76,31 @@ def unanswered(stream: DataFrame, asks: str, answers: str, within: str, delay: s
     return a.join(b, cond, "leftOuter").select("ticker", "seq", "asked", "answered")
 
 
-def run_stateful(slices: list, step) -> DataFrame:
-    """Run a job whose state is a table. Each micro-batch is one ordinary batch job:
-    ``step(rows, state)`` gives its results and the next state, both written under
-    the batch number, so a replayed batch replaces itself and reads the same old
-    state. State and order are DataFrame work, so a hot key is spread like any other."""
+BUCKETS = 64
+
+
+def run_stateful(slices: list, key: str, step) -> DataFrame:
+    """Run a job whose state is a table, in buckets of the key's hash. Each micro-batch
+    is one ordinary batch job: ``step(rows, state)`` gives its results and the next
+    state. A batch reads and writes the buckets of its own keys alone, under its number,
+    so a replayed batch replaces itself and reads the same old state; a bucket's state is
+    the one of the last batch that wrote it. State and order are DataFrame work, so a hot
+    key is spread like any other."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
     spark = slices[0].sparkSession
     src, out, held, ckpt = (shared_dir(spark, f"stream-{p}") for p in ("in", "out", "state", "ckpt"))
 
     def batch(rows, n):
         rows = rows.persist()
-        state = spark.read.parquet(f"{held}/batch={n - 1}") if n > 0 else None
+        state = None
+        if n > 0:
+            touched = rows.select(bucket.alias("bucket")).distinct()
+            every = spark.read.parquet(held).where(F.col("batch") < n)
+            newest = every.groupBy("bucket").agg(F.max("batch").alias("batch")).join(touched, "bucket", "left_semi")
+            state = every.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("bucket", "batch")      # at most BUCKETS rows
         result, after = step(rows, state)
         result.write.mode("overwrite").parquet(f"{out}/batch={n}")
-        after.write.mode("overwrite").parquet(f"{held}/batch={n}")
+        after.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{held}/batch={n}")
         rows.unpersist()
 
     for rows in slices:
