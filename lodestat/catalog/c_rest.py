@@ -195,17 +195,46 @@ def dossier(spark, d):
 AS_OF = "1999-06-30"
 
 
+# every third entity files its share counts 900 days late, so that stale counts occur
+BUNDLE_SHARES = f"""{R.SQL_SHARES}, cnt AS (SELECT entity, CASE WHEN entity % 3 = 0 THEN end_day - 900 ELSE end_day END AS end_day, CASE WHEN entity % 3 = 0 THEN filed - 900 ELSE filed END AS filed, value, seq FROM share_counts),
+  cv AS (SELECT * FROM cnt WHERE filed <= DATE '{AS_OF}' AND NOT (entity % 3 = 0 AND end_day > DATE '{AS_OF}' - 800)),
+  pf AS (SELECT entity, filed, min(end_day) AS lo, max(end_day) AS hi, sum(value) AS total, arg_max(end_day, (value, -seq)) AS te, arg_max(value, (value, -seq)) AS tv FROM cv GROUP BY ALL),
+  ser AS (SELECT entity, lo AS end_day, arg_max(total, filed) AS value FROM pf WHERE entity NOT IN (SELECT entity FROM pf WHERE lo <> hi) GROUP BY ALL),
+  sr AS (SELECT entity, count(*) AS series_points, DATE '{AS_OF}' - max(end_day) AS series_age FROM ser GROUP BY entity),
+  pt AS (SELECT entity, max(end_day) AS d, arg_max(value, end_day) AS v, 'series' AS b FROM ser WHERE end_day <= DATE '{AS_OF}' GROUP BY entity),
+  fb AS (SELECT entity, CASE WHEN hi - lo <= 45 THEN hi ELSE te END AS d, CASE WHEN hi - lo <= 45 THEN total ELSE tv END AS v, CASE WHEN hi - lo <= 45 THEN 'fallback-sum' ELSE 'fallback-largest' END AS b
+    FROM pf QUALIFY row_number() OVER (PARTITION BY entity ORDER BY filed DESC) = 1),
+  sp AS (SELECT * FROM pt UNION ALL SELECT * FROM fb WHERE entity NOT IN (SELECT entity FROM pt)),
+  wa AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS d, sum(l_quantity) * 1000 AS v FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 6 = 0 AND l_shipdate <= DATE '{AS_OF}' GROUP BY l_suppkey, CAST(l_shipdate AS DATE)
+    QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE) DESC) = 1),
+  ag AS (SELECT sp.*, DATE '{AS_OF}' - sp.d AS age, wa.d AS wd, wa.v AS wv, coalesce(DATE '{AS_OF}' - wa.d <= 450 AND wa.v > 0, false) AS fresh FROM sp LEFT JOIN wa ON wa.entity = sp.entity),
+  sh AS (SELECT entity, CASE WHEN age <= 450 THEN v WHEN fresh THEN wv END AS shares, CASE WHEN age <= 450 THEN d WHEN fresh THEN wd END AS shares_day, CASE WHEN age > 450 AND fresh THEN DATE '{AS_OF}' - wd ELSE age END AS shares_age,
+    CASE WHEN age <= 450 THEN b WHEN fresh THEN 'weighted-average' ELSE 'stale-refused' END AS shares_basis,
+    CASE WHEN age > 450 AND fresh THEN 'share count is ' || age || 'd old; using the weighted average of ' || wd WHEN age > 450 THEN 'no share count newer than ' || age || 'd; market value refused' END AS shares_note FROM ag)"""
+
+
 @query("as_of_bundle", f"""WITH {R.SQL_CUMULATIVE}, vis AS (SELECT * FROM cfacts WHERE filed <= DATE '{AS_OF}'), {LATEST}, {FLOWS}, {CHAIN_SQL}, fl AS (SELECT *, 'annual' AS scope FROM ann UNION ALL SELECT *, 'quarterly' AS scope FROM qtr),
   ch AS (SELECT entity, label, scope, end_day, arg_min(value, priority) AS value FROM fl JOIN concepts USING (tag) GROUP BY ALL), st AS (SELECT entity, count(*) AS cells, sum(value) AS total FROM ch GROUP BY entity HAVING bool_or(scope = 'annual')),
-  {R.SQL_BARS}, b2 AS (SELECT symbol, close, CASE WHEN symbol % 5 = 0 THEN day - 1000 ELSE day END AS day FROM bars), px AS (SELECT symbol, max(day) AS d, arg_max(close, day) AS price FROM b2 WHERE day <= DATE '{AS_OF}' GROUP BY symbol), {R.SQL_SHARES},
-  cn AS (SELECT entity, end_day, arg_max(value, (filed, seq, value)) AS v FROM share_counts WHERE filed <= DATE '{AS_OF}' AND end_day <= DATE '{AS_OF}' GROUP BY ALL), sh AS (SELECT entity, max(end_day) AS sd, arg_max(v, end_day) AS shares FROM cn GROUP BY entity)
-  SELECT st.entity, cells, round(total, 2) AS total, CASE WHEN DATE '{AS_OF}' - d > 45 THEN 'newest bar is ' || (DATE '{AS_OF}' - d) || 'd old' END AS price_note, round(CASE WHEN DATE '{AS_OF}' - d <= 45 THEN price END, 9) AS price, shares, {txt('sd', 'shares_day')}
-  FROM st LEFT JOIN px ON px.symbol = st.entity LEFT JOIN sh ON sh.entity = st.entity""", digits=9)
+  {R.SQL_FACTS}, np AS (SELECT entity, tag, end_day, arg_max(value, (filed, seq)) AS value FROM facts WHERE filed <= DATE '{AS_OF}' GROUP BY ALL), bl AS (SELECT entity, label, end_day, arg_min(value, priority) AS value FROM np JOIN concepts USING (tag) GROUP BY ALL),
+  bs AS (SELECT entity, count(*) AS balance_cells, sum(value) AS balance_total FROM bl GROUP BY entity),
+  {R.SQL_BARS}, b2 AS (SELECT symbol, close, CASE WHEN symbol % 5 = 0 THEN day - 1000 ELSE day END AS day FROM bars), px AS (SELECT symbol, max(day) AS d, arg_max(close, day) AS price FROM b2 WHERE day <= DATE '{AS_OF}' GROUP BY symbol), {BUNDLE_SHARES}, {R.SQL_SPLITS},
+  j AS (SELECT st.entity, cells, total, balance_cells, balance_total, DATE '{AS_OF}' - px.d AS price_age, CASE WHEN DATE '{AS_OF}' - px.d <= 45 THEN price END AS price, sh.* EXCLUDE (entity), series_points, series_age FROM st LEFT JOIN bs USING (entity) LEFT JOIN px ON px.symbol = st.entity LEFT JOIN sh ON sh.entity = st.entity LEFT JOIN sr ON sr.entity = st.entity)
+  SELECT entity, cells, round(total, 2) AS total, balance_cells, round(balance_total, 2) AS balance_total, CASE WHEN price_age > 45 THEN 'newest bar is ' || price_age || 'd old' END AS price_note, round(price, 6) AS price, price_age, shares, {txt('shares_day')}, shares_age, shares_basis, shares_note, series_points, series_age,
+    coalesce(series_age > 450, false) AS series_stale, round(shares * price * (SELECT coalesce(product(ratio), 1) FROM splits WHERE symbol = j.entity AND day > j.shares_day AND (j.entity % 2 = 1 OR day <= DATE '{AS_OF}')), 2) AS market_cap,
+    entity % 2 = 1 AND shares IS NOT NULL AND price IS NOT NULL AND NOT EXISTS (SELECT 1 FROM splits WHERE symbol = j.entity) AS split_unverified, (SELECT count(*) FROM splits WHERE symbol = j.entity AND day <= DATE '{AS_OF}') AS known_splits FROM j""", digits=6)
 def as_of_bundle(spark, d):
     bars = R.bars(spark, d).withColumn("day", F.expr("if(symbol % 5 = 0, date_sub(day, 1000), day)"))
-    b = bundle.as_of_bundle(R.cumulative_facts(spark, d), pit.concept_table(spark, CHAINS), bars, R.share_counts(spark, d), AS_OF)
-    total = F.aggregate(F.map_values("statements"), F.lit(0.0), lambda a, x: a + x)
-    return b.select("entity", F.size("statements").cast("bigint").alias("cells"), F.round(total, 2).alias("total"), "price_note", "price", "shares", "shares_day")
+    late = F.col("entity") % 3 == 0
+    counts = R.share_counts(spark, d).withColumns({c: F.when(late, F.date_sub(c, 900)).otherwise(F.col(c)) for c in ("end_day", "filed")})
+    counts = counts.where(~(late & (F.col("end_day") > F.date_sub(F.lit(AS_OF).cast("date"), 800))))     # and has filed none lately
+    weighted = (R.table(spark, d, "lineitem").where(f"l_returnflag = 'A' AND l_suppkey % 6 = 0 AND l_shipdate <= TIMESTAMP_NTZ'{AS_OF} 00:00:00'")
+                .groupBy(F.col("l_suppkey").alias("entity"), F.col("l_shipdate").cast("date").alias("end_day")).agg((F.sum("l_quantity") * 1000).alias("value")))
+    b = bundle.as_of_bundle(R.cumulative_facts(spark, d), pit.concept_table(spark, CHAINS), bars, counts, AS_OF, points=R.facts(spark, d), splits=R.splits(spark, d), weighted=weighted,
+                            basis=F.when(F.col("entity") % 2 == 0, "raw").otherwise("split_adjusted_today"))
+    add = lambda m: F.round(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x), 2)
+    return b.select("entity", F.size("statements").cast("bigint").alias("cells"), add("statements").alias("total"), F.when(F.col("balance").isNotNull(), F.size("balance")).cast("bigint").alias("balance_cells"),
+                    add("balance").alias("balance_total"), "price_note", "price", "price_age", "shares", "shares_day", "shares_age", "shares_basis", "shares_note", F.when(F.col("series").isNotNull(), F.size("series")).cast("bigint").alias("series_points"),
+                    "series_age", "series_stale", F.round("market_cap", 2).alias("market_cap"), "split_unverified", F.when(F.col("splits").isNotNull(), F.size("splits")).otherwise(0).alias("known_splits"))
 
 
 @query("score_ticks", f"""WITH {R.SQL_FACTS}, {R.SQL_INDEX}, ticks AS (SELECT max(day) AS tick FROM idx GROUP BY date_trunc('quarter', day)), v AS (SELECT tick, entity, end_day, value, row_number() OVER (PARTITION BY tick, entity ORDER BY end_day DESC, filed DESC, seq DESC) AS rn FROM ticks JOIN facts ON filed <= tick),

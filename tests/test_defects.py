@@ -118,16 +118,26 @@ def test_rates_of_the_day(spark):
     assert portfolio.to_eur(pos, rates).where("fx_state = 'refused'").count() == 2
 
 
-def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+def test_no_local_folder_on_a_cluster():
     from lodestat import session
 
-    class Context:
-        master, applicationId = "spark://host:7077", "x"
+    class Undefined:
+        @staticmethod
+        def isDefined():
+            return False
 
-        class _jsc:
-            @staticmethod
-            def sc():
-                return spark.sparkContext._jsc.sc()
+    class Scala:
+        @staticmethod
+        def getCheckpointDir():
+            return Undefined
+
+    class Java:
+        @staticmethod
+        def sc():
+            return Scala
+
+    class Context:
+        master, applicationId, _jsc = "spark://host:7077", "x", Java
 
     class Session:
         class conf:
@@ -135,7 +145,5 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
             def get(*_):
                 return None
         sparkContext = Context
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        pytest.skip("the context has a checkpoint folder")
     with pytest.raises(RuntimeError):
         session.shared_dir(Session, "x")
