@@ -7,8 +7,9 @@ from lodestat import relations as R
 from lodestat.catalog import sqlx
 from lodestat.catalog.registry import query, rnd, txt
 from lodestat.functions import valuation as V
-from lodestat.operators import asof, cohorts, ranks
+from lodestat.operators import asof, cohorts, pit, ranks
 from lodestat.operators import statements as S
+from lodestat.plans import chain
 from lodestat.plans import evaluate as E
 from lodestat.plans import grading as G
 from lodestat.session import stage, staged
@@ -47,6 +48,51 @@ def scored(spark, d):
     return staged(spark, d, "graded", lambda: G.score(evaluated(spark, d)))
 
 
+# every statement column as a filed fact: flows over their span, the balance of a quarter at its day
+AS_OF = "2000-06-30"
+POINTS = S.BALANCE
+FLOWS = tuple(c for c in R.LABELS if c not in POINTS)
+
+
+def filed_statements(spark, d):
+    """(entity, tag, start_day, end_day, filed, form, value, seq), filed 30 days after the end."""
+    s = staged(spark, d, "statements", lambda: R.statements(spark, d))
+    x = s.unpivot(["entity", "scope", "period_end"], list(R.LABELS), "tag", "value").where("value IS NOT NULL")
+    point = F.col("tag").isin(*POINTS)
+    start = F.when(~point, F.date_sub("period_end", F.when(F.col("scope") == "annual", 364).otherwise(89)))
+    return x.where(~point | (F.col("scope") == "quarterly")).select("entity", "tag", start.alias("start_day"), F.col("period_end").alias("end_day"), F.date_add("period_end", 30).alias("filed"),
+                                                                    F.lit("10-Q").alias("form"), "value", F.lit(0).cast("bigint").alias("seq"))
+
+
+def market_at(spark, d, as_of):
+    px = asof.latest_at(R.bars(spark, d), "symbol", "day", as_of, ("close",))
+    px = px.where(F.datediff(F.lit(as_of).cast("date"), "day") <= asof.PRICE_MAX_AGE_DAYS).select(F.col("symbol").alias("entity"), F.col("close").alias("price"))
+    known = pit.visible(R.share_counts(spark, d), as_of).groupBy("entity", "end_day").agg((F.max_by("value", F.struct("filed", "seq", "value")) / 10).alias("value"))
+    n = known.groupBy("entity").agg(F.max_by("value", "end_day").alias("n"))
+    cap = F.col("price") * F.col("n")
+    return px.join(n, "entity").select("entity", cap.alias("market_cap"), "price", F.when(F.col("entity") % 4 == 0, cap * 0.7).alias("vendor_ev"))
+
+
+def known_only(sql: str) -> str:
+    """The same SQL over what was known at AS_OF."""
+    for part, name, rule in ((R.SQL_STATEMENTS, "stm", "period_end + 30 <="), (R.SQL_BARS, "bars", "day <="), (R.SQL_SHARES, "share_counts", "filed <="), (R.SQL_SPLITS, "splits", "day <=")):
+        cut = f"{part.replace(f'{name} AS (', f'{name}_all AS (')}, {name} AS (SELECT * FROM {name}_all WHERE {rule} DATE '{AS_OF}')"
+        sql = sql.replace(part, cut)
+    return sql
+
+
+@query("facts_to_grades", f"WITH {known_only(sqlx.SQL_SCORE)} SELECT entity, sector, grade, round(composite, 3) AS composite, basis FROM scored", digits=3)
+def facts_to_grades(spark, d):
+    """Filed facts to sector grades at a date."""
+    meta = R.universe(spark, d).select(F.col("symbol").alias("entity"), "sector", "industry")
+    counts = R.share_counts(spark, d)
+    shares = stage(chain.shares_at(counts, R.splits(spark, d), AS_OF).withColumn("value", F.col("value") / 10), "shares")
+    facts = stage(filed_statements(spark, d), "facts")
+    st = stage(chain.statements_at(facts, AS_OF, {c: (c,) for c in FLOWS}, {c: (c,) for c in POINTS}), "statements")
+    ev = stage(E.evaluate(st, shares, market_at(spark, d, AS_OF), meta), "evaluated")
+    return G.score(ev).select("entity", "sector", "grade", "composite", "basis")
+
+
 @query("ttm_all_or_null", f"{TTM} SELECT entity, basis, quarters, {txt('through')}, {', '.join(rnd(c, digits=4) for c in ('revenue', 'ebitda', 'ocf', 'capex', 'sbc', 'owner_fcf', 'interest', 'credit_loss'))} FROM ttm", digits=4)
 def ttm_all_or_null(spark, d):
     return S.ttm(R.statements(spark, d)).select("entity", "basis", "quarters", "through", "revenue", "ebitda", "ocf", "capex", "sbc", "owner_fcf", "interest", "credit_loss")
