@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import binary, minhash, mixing, packing, secret_scan, simhash, suffix_dedup, topk, toxicity
+from lodestat.llm import binary, minhash, mixing, packing, paragraphs, secret_scan, simhash, suffix_dedup, topk, toxicity
 from lodestat.llm.common import shared_dir, stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(stage(mixing.sized(documents(spark, sf_dir)), "mix-sizes")).drop("source")
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(documents(spark, sf_dir))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
     binary.write(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END_ID, folder)
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_source_mix": op3_source_mix,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_token_ids": op5_token_ids,
     "op6_simhash": op6_simhash,
     "op7_top_k": op7_top_k,
