@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestat.llm import binary, components, minhash, mixing, packing, secret_scan, simhash, suffix_dedup, suffixes, tokens, topk, toxicity
+from lodestat.llm import binary, components, minhash, mixing, packing, paragraphs, secret_scan, simhash, suffix_dedup, suffixes, tokens, topk, toxicity
 from lodestat.llm.common import shared_dir, stage
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -496,3 +496,94 @@ def test_toxicity_without_labels(spark, odd, none):
     assert {r["score"] for r in toxicity.score(odd, model).collect()} == {0.0}
     assert toxicity.keep_clean(odd, model).count() == odd.count()
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
+# ---- op4
+
+def brute_paragraphs(rows):
+    """{(doc_id, start): (class doc, class start)} of lines with a similar one."""
+    lines = []
+    for k, t in rows:
+        at = 0
+        for line in (t or "").encode().split(b"\n"):
+            w = re.findall(rb"[^\x20\x09-\x0D]+", line.lower())
+            if len(w) >= paragraphs.LEAST:
+                lines.append((k, at + len(line) - len(line.lstrip()), {tuple(w[i:i + 5]) for i in range(len(w) - 4)}))
+            at += len(line) + 1
+    top = list(range(len(lines)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+    for i, (_, _, a) in enumerate(lines):
+        for j in range(i):
+            b = lines[j][2]
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    classes = defaultdict(list)
+    for i in range(len(lines)):
+        classes[find(i)].append(lines[i][:2])
+    least = lambda v: min(v, key=lambda p: (p[0] is None, p[0] or 0, p[1]))
+    return {m: least(v) for v in classes.values() if len(v) > 1 for m in v}
+
+
+@pytest.fixture(scope="module")
+def copied_rows():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    base = [prose(rng.randint(25, 60)) for _ in range(12)]
+    inside = [prose(51) for _ in range(4)]
+    rows = []
+    for i in range(90):
+        lines = [prose(rng.randint(3, 90)) for _ in range(rng.randint(1, 4))]
+        if i % 2:
+            line = list(rng.choice(base))
+            for _ in range(rng.randint(0, 2)):
+                line[rng.randrange(len(line))] = rng.choice(words)
+            lines.append(line)
+        if i % 5 == 0:
+            at = rng.randint(0, len(lines[0]))
+            lines[0][at:at] = inside[i // 5 % 4]
+        rows.append((i, "\n".join(" ".join(x) for x in lines)))
+    return [*rows, (90, None), (91, ""), (92, "\n \n"), (5, rows[5][1]), (None, rows[7][1]), (93, " ".join(prose(20_000)))], inside
+
+
+@pytest.mark.parametrize("bucket", [4, 512])
+def test_similar_paragraphs(spark, copied_rows, bucket, monkeypatch):
+    monkeypatch.setattr(paragraphs, "BUCKET", bucket)
+    rows, inside = copied_rows
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("no", F.lit("mine")).repartition(3)
+    got = paragraphs.repeated(df).collect()
+    want = brute_paragraphs(rows)
+    found = {(r["doc_id"], r["start"]): (r["class_doc"], r["class_start"]) for r in got if r["kind"] == "paragraph"}
+    assert set(found) <= set(want) and len(found) >= 0.97 * len(want)
+    assert sum(found[k] == want[k] for k in found) >= 0.97 * len(found)
+    classes = defaultdict(list)
+    for r in got:
+        if r["kind"] == "paragraph":
+            classes[(r["class_doc"], r["class_start"])].append(r["removed"])
+    assert all(v.count(False) == 1 and len(v) > 1 for v in classes.values())
+    with_passage = {i for i, t in rows if t and any(" ".join(x) in t.replace("\n", " ") for x in inside)}
+    caught = {r["doc_id"] for r in got if r["kind"] == "passage"}
+    assert with_passage <= caught
+    text = {i: (t or "").encode() for i, t in rows}
+    for r in got:
+        if r["kind"] == "passage":
+            a, b = text[r["doc_id"]][r["start"]:r["end"]], text[r["class_doc"]][r["class_start"]:]
+            assert b.split()[:len(a.split())] == a.split()
+
+
+def test_no_paragraphs(spark, none):
+    assert paragraphs.repeated(none).count() == 0
+    assert paragraphs.removals(none).count() == 0
+
+
+def test_long_texts_are_cut_alike_in_parts(monkeypatch):
+    rng = random.Random(3)
+    data = " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(9000)).encode()
+    whole = [x.tolist() for x in paragraphs.passages(data)]
+    monkeypatch.setattr(paragraphs, "TOGETHER", 5000)
+    assert [x.tolist() for x in paragraphs.passages(data)] == whole
