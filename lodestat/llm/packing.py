@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import stage, text_of, texts
-from lodestat.llm.tokens import SLICE, crc32, encoder
+from lodestat.llm.common import stage, text_of
+from lodestat.llm.tokens import crc32, encoder
 
 LENGTH = 1024
 RANGE_ROWS = 20_000
@@ -36,18 +36,16 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, with_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for first, some in texts(batch, most=SLICE):
-                rows, cols = [], [[] for _ in names[1:]]
-                for i, own in enumerate(enc.encode(some)):
-                    ids = np.append(np.frombuffer(own, enc.kind).astype("<u4"), np.uint32(end_id))
-                    cuts = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
-                    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        rows.append(i)
-                        for c, v in zip(cols, (k, a, b - a, crc32(ids[a:b]), *[ids[a:b].astype(enc.kind).tobytes()] * with_ids), strict=True):
-                            c.append(v)
-                ids_of = batch.column("doc_id").slice(first, len(some)).take(pa.array(rows, pa.int64()))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids_of, *[pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]], names=names)
+            rows, cols = [], [[] for _ in names[1:]]
+            for i, own in enumerate(enc.encode(batch.column("text"))):
+                ids = np.append(np.frombuffer(own, enc.kind).astype("<u4"), np.uint32(end_id))
+                cuts = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
+                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    rows.append(i)
+                    for c, v in zip(cols, (k, a, b - a, crc32(ids[a:b]), *[ids[a:b].astype(enc.kind).tobytes()] * with_ids), strict=True):
+                        c.append(v)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=False)]], names=names)
 
     return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

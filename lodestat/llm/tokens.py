@@ -14,15 +14,14 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lodestat.llm.common import run_ids, text_of, texts
+from lodestat.llm.common import run_ids, text_of
 
 #: Distinct chunks a worker remembers before it starts anew; bounds its memory, never its results.
-CHUNKS_KEPT = 300_000
-TOGETHER = 20_000
-#: Bytes of texts that are cut into chunks at once.
-SLICE = 2 << 20
+CHUNKS_KEPT = 600_000
+TOGETHER = 2_000
 
 _LOADED: dict[str, TextEncoder] = {}
 
@@ -48,10 +47,12 @@ class TextEncoder:
                          and self.tokenizer.normalizer is None and not added and self.tokenizer.truncation is None)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        apart = self.tokenizer.encode("a\n b", add_special_tokens=False).ids
+        self.feed = apart[1] if len(apart) == 3 else None
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids = np.zeros(1 << 16, self.kind)
         self.starts, self.sizes = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.filled = 0
@@ -59,33 +60,46 @@ class TextEncoder:
     def whole(self, some: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, np.uint32).astype(self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that were not met before; one next to further white space gets place -1: its text is encoded whole."""
-        good = []
-        for c in chunks:
-            if c and not c[0].isspace() and not c[-1].isspace():
-                good.append(c)
-            else:
-                self.place[c] = -1
+    def learn(self, new: pa.Array) -> None:
+        """Encodes chunks that were not met before; one next to further white space gets start -1: its text is encoded whole. Chunks
+        without white space go to the tokenizer together, with line feeds between them that are tokens of their own."""
+        n, m = len(self.known), len(new)
+        self.starts, self.sizes = _room(self.starts, n + m), _room(self.sizes, n + m)
+        feeds = np.asarray(pc.match_substring(new, "\n").to_numpy(zero_copy_only=False), bool)
+        places, some = np.flatnonzero(~feeds), new.filter(pa.array(~feeds)).to_pylist()
+        alone = dict(zip(np.flatnonzero(feeds).tolist(), new.filter(pa.array(feeds)).to_pylist(), strict=True))
+        for i in range(0, len(some), TOGETHER):
+            part, at = some[i:i + TOGETHER], places[i:i + TOGETHER]
+            joined = " " + "\n ".join(part)
+            if self.feed is None or "" in part or len(joined.split()) != len(part):
+                alone.update(zip(at.tolist(), part, strict=True))
+                continue
+            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(ids == self.feed)
+            if len(cuts) != len(part) - 1:
+                raise RuntimeError("a line feed is no token of its own under this tokenizer")
+            self.remember(n + at, np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1, ids[ids != self.feed])
+        bad = [i for i, c in alone.items() if not c or c[0].isspace() or c[-1].isspace()]
+        self.starts[n + np.asarray(bad, np.int64)], self.sizes[n + np.asarray(bad, np.int64)] = -1, 0
+        good = sorted(set(alone).difference(bad))
         for i in range(0, len(good), TOGETHER):
-            some = good[i:i + TOGETHER]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([" " + c for c in some], add_special_tokens=False)]
+            at = good[i:i + TOGETHER]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([" " + alone[k] for k in at], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int32, len(found))
-            flat = np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum()))
-            n, k = len(self.place), self.filled
-            self.ids = _room(self.ids, k + len(flat))
-            self.starts, self.sizes = _room(self.starts, n + len(some)), _room(self.sizes, n + len(some))
-            self.ids[k:k + len(flat)] = flat
-            # places count the bad chunks too, so that a place is the number of keys before it
-            self.starts[n:n + len(some)] = k + np.cumsum(sizes) - sizes
-            self.sizes[n:n + len(some)] = sizes
-            self.filled += len(flat)
-            self.place.update(zip(some, range(n, n + len(some)), strict=True))
-
-    def encode(self, some: list[str]) -> list[bytes]:
+            self.remember(n + np.asarray(at), sizes, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())))
+        self.known = pa.concat_arrays([self.known, new])
+
+    def remember(self, at: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.ids = _room(self.ids, self.filled + len(flat))
+        self.ids[self.filled:self.filled + len(flat)] = flat
+        self.starts[at], self.sizes[at] = self.filled + np.cumsum(sizes) - sizes, sizes
+        self.filled += len(flat)
+
+    def encode(self, some: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned integers of ``width`` bytes."""
-        if not self.by_chunk or not some:
-            return self.whole(some)
+        some = (some if isinstance(some, pa.Array) else pa.array(some, pa.string())).cast(pa.string())
+        if not self.by_chunk or not len(some):
+            return self.whole(some.to_pylist())
         collecting = gc.isenabled()
         gc.disable()        # millions of short strings and no cycles
         try:
@@ -94,25 +108,33 @@ class TextEncoder:
             if collecting:
                 gc.enable()
 
-    def by_chunks(self, some: list[str]) -> list[bytes]:
-        if len(self.place) > CHUNKS_KEPT:
+    def by_chunks(self, some: pa.StringArray) -> list[bytes]:
+        """Cuts at spaces, makes chunks distinct and looks them up within Arrow; only new ones become Python strings."""
+        if len(self.known) > CHUNKS_KEPT:
             self.forget()
-        cut = [t.split(" ") for t in some]
-        heads = self.whole([c[0] for c in cut])
-        counts = np.fromiter(map(len, cut), np.int64, len(cut)) - 1
-        chunks = [c for parts in cut for c in parts[1:]]
-        if new := set(chunks).difference(self.place):
-            self.learn(list(new))
-        at = np.fromiter(map(self.place.__getitem__, chunks), np.int32, len(chunks))
+        cut = pc.split_pattern(some, " ")
+        first = np.asarray(cut.offsets, np.int64)
+        every = cut.values.slice(int(first[0]), int(first[-1] - first[0])).dictionary_encode()
+        first = first - first[0]
+        texts_of_heads = every.take(pa.array(first[:-1])).cast(some.type).to_pylist()
+        place = pc.index_in(every.dictionary, value_set=self.known)
+        if place.null_count:
+            self.learn(every.dictionary.filter(place.is_null()))
+            place = pc.index_in(every.dictionary, value_set=self.known)
+        at = np.asarray(place)[np.asarray(every.indices)]
+        head = np.zeros(len(at), bool)
+        head[first[:-1]] = True
+        at = at[~head]
+        heads = self.whole(texts_of_heads)
+        counts = np.diff(first) - 1
         ends = np.cumsum(counts)
-        odd = {int(i) for i in np.searchsorted(ends, np.flatnonzero(at < 0), side="right")}
-        odd |= {i for i, c in enumerate(cut) if len(c) > 1 and (not c[0] or c[0][-1].isspace())}
-        at = np.maximum(at, 0)
+        odd = {int(i) for i in np.searchsorted(ends, np.flatnonzero(self.starts[at] < 0), side="right")}
+        odd |= {i for i in np.flatnonzero(counts).tolist() if not texts_of_heads[i] or texts_of_heads[i][-1].isspace()}
         sizes = self.sizes[at]
         flat = self.ids[np.repeat(self.starts[at], sizes) + run_ids(sizes)]
         bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.concatenate([[0], ends])].tolist()
         out = [h + flat[a:b].tobytes() for h, a, b in zip(heads, bounds[:-1], bounds[1:], strict=True)]
-        for i, ids in zip(sorted(odd), self.whole([some[i] for i in sorted(odd)]), strict=True):
+        for i, ids in zip(sorted(odd), self.whole([some[i].as_py() for i in sorted(odd)]), strict=True):
             out[i] = ids
         return out
 
@@ -142,8 +164,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id
         enc = encoder(path)
         end = np.asarray([end_id], enc.kind).tobytes()
         for batch in batches:
-            for first, some in texts(batch, most=SLICE):
-                found = pa.array([x + end for x in enc.encode(some)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(first, len(some)), found], names=[id_column, "ids"])
+            found = pa.array([x + end for x in enc.encode(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(id_column), found], names=[id_column, "ids"])
 
     return source.mapInArrow(run, f"`{id_column}` {kind}, ids binary")
