@@ -9,7 +9,7 @@ from lodestat.session import forget_staged, get_spark
 
 HEADLINE = ("latest_filed", "ytd_subtrahend", "per_tag_chain", "as_of_bundle", "asof_price", "split_restatement", "max_drawdown", "skew_kurtosis",
             "forward_return", "candidates_at", "score_ticks", "sector_percentile", "ttm_all_or_null", "evaluate", "score_universe", "scorecard", "verdict_ladder",
-            "view_current_metric", "status_transitions", "snapshot_diff", "modified_dietz", "streak", "import_filing_statements", "correlation_matrix", "st_current_view")
+            "facts_to_grades", "scan_fact_csv", "site_model", "view_current_metric", "status_transitions", "snapshot_diff", "modified_dietz", "streak", "import_filing_statements", "correlation_matrix", "st_current_view")
 
 
 def main():
