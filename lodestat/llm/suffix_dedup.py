@@ -153,7 +153,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     rows = stage(texts.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha256")), "rows")
     per = stage(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "texts")
     found = stage(anchor_rows(texts, length, gram), "anchors")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor")
+    # a table of its own, so that a join with a very common anchor can be split
+    often = stage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor"), "anchors-often")
     found = stage(found.join(often, "anchor", "left_semi"), "anchors-met")
 
     around = stage(found.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")), "around")
