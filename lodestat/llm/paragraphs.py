@@ -220,7 +220,7 @@ def links(lines: DataFrame) -> DataFrame:
 def _marked(rows: DataFrame, *by: str) -> DataFrame:
     """Adds class_doc, class_start (the class's least member), members and removed; classes of one member go."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    per = rows.groupBy(*by).agg(F.min(place).alias("_least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    per = stage(rows.groupBy(*by).agg(F.min(place).alias("_least"), F.count(F.lit(1)).alias("members")).where("members > 1"), "classes")
     rows = rows.join(per, list(by))
     first = Window.partitionBy(*by, "doc_id", "start").orderBy("end")      # equal rows: one of them stays
     at_least = F.col("doc_id").eqNullSafe(F.col("_least.doc_id")) & (F.col("start") == F.col("_least.start"))
@@ -240,7 +240,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     classed = own.join(roots, own["no"] == roots["node"], "left").select("doc_id", "start", "end", F.coalesce("root", "no").alias("class"))
     paragraphs = _marked(classed, "class").withColumn("kind", F.lit("paragraph"))
 
-    often = passage_rows(source, None).groupBy("h1").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1")
+    # a table of its own, so that a join with a very common passage can be split
+    often = stage(passage_rows(source, None).groupBy("h1").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1"), "passages-often")
     met = stage(passage_rows(source, "all").join(often, "h1", "left_semi"), "passages")
     spans = _marked(met, "h1", "h2").withColumn("kind", F.lit("passage"))
     return paragraphs.unionByName(spans).select("doc_id", "kind", "start", "end", "class_doc", "class_start", "members", "removed")
