@@ -186,7 +186,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
 
     # where a surrounding occurs, its repeated strings do; all its strings if it occurs twice
     alone = per.where("copies = 1").select("k1", "k2")
-    hits = found.join(around.select("anchor", "around", "met"), ["anchor", "around"]).join(known, ["anchor", "around"], "left").where("met > 1 OR runs IS NOT NULL")
+    told = stage(around.select("anchor", "around", "met").join(known, ["anchor", "around"], "left").where("met > 1 OR runs IS NOT NULL"), "around-known")
+    hits = found.join(told, ["anchor", "around"])       # one join alone, which can be split where a surrounding is very common
     hits = hits.withColumn("runs", F.expr("if(met > 1, array(array(first, last)), transform(runs, r -> array(first + r[0], first + r[1])))"))
     runs = hits.join(alone, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return rows.join(per.select("k1", "k2", "copies"), ["k1", "k2"]), stage(runs, "runs")
