@@ -173,20 +173,20 @@ def consensus(spark, d):
     return picks(spark, d).select("entity", "green", "unknown_lenses")
 
 
-TOPB = "('Mixed', 'Weak')"
+TOPB = "('Exceptional', 'Strong')"
+SOUND = "severe <= 0 AND verdict NOT IN ('Fragile', 'Ruinous')"
 
 
-@query("picks_shortlist", f"{PK} SELECT entity, band, pct FROM picks WHERE band IN {TOPB} AND severe <= 1 AND verdict NOT IN ('Ruinous')", digits=1)
+@query("picks_shortlist", f"{PK} SELECT entity, band, pct FROM picks WHERE band IN {TOPB} AND {SOUND}", digits=1)
 def picks_shortlist(spark, d):
-    """Top bands without a ruinous verdict (bands here: Mixed, Weak; one severe
-    finding allowed), by evidence, then percent."""
-    p = picks(spark, d).where(f"band IN {TOPB} AND severe <= 1 AND verdict NOT IN ('Ruinous')")
+    """Top bands without a severe finding or a fragile verdict, by evidence, then percent."""
+    p = picks(spark, d).where(f"band IN {TOPB} AND {SOUND}")
     return p.orderBy(C.rank_tier(F.col("evidence")), F.desc("pct"), "entity").select("entity", "band", "pct")
 
 
-@query("strong_but_fragile", f"{PK} SELECT entity, band, severe FROM picks WHERE band IN {TOPB} AND NOT (severe <= 1 AND verdict NOT IN ('Ruinous'))")
+@query("strong_but_fragile", f"{PK} SELECT entity, band, severe FROM picks WHERE band IN {TOPB} AND NOT ({SOUND})")
 def strong_but_fragile(spark, d):
-    p = picks(spark, d).where(f"band IN {TOPB} AND NOT (severe <= 1 AND verdict NOT IN ('Ruinous'))")
+    p = picks(spark, d).where(f"band IN {TOPB} AND NOT ({SOUND})")
     return p.orderBy(F.desc("severe"), "entity").select("entity", "band", "severe")
 
 
