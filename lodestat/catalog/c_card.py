@@ -197,14 +197,21 @@ def inversion_gate(spark, d):
     return p.select("entity", ok.alias("passes"))
 
 
-@query("top_fraction", f"{CARD}, ok AS (SELECT entity, pct, CASE evidence WHEN 'full' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END AS tier FROM card WHERE pct IS NOT NULL AND band NOT IN ('VETOED', 'NO PRICE')) SELECT entity, pct FROM ok ORDER BY tier, pct DESC, entity LIMIT (SELECT CAST(greatest(1, ceil(count(*) * 0.01)) AS BIGINT) FROM card)", digits=1)
+# gates that NULL never fails: no fragile verdict or severe finding, and the desk's floor of size (market value in hundreds) and price
+GATES = "coalesce(verdict NOT IN ('Fragile', 'Ruinous'), true) AND coalesce(severe <= 0, true) AND coalesce(market_cap * 100 >= 3e8, true) AND coalesce(price >= 5, true)"
+
+
+@query("top_fraction", f"{PK}, ok AS (SELECT card.entity, card.pct, CASE card.evidence WHEN 'full' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END AS tier FROM card LEFT JOIN (SELECT entity, verdict, severe FROM picks) p ON p.entity = card.entity JOIN (SELECT entity AS e2, market_cap AS mc, price AS px FROM ev) v ON v.e2 = card.entity WHERE card.pct IS NOT NULL AND card.band NOT IN ('VETOED', 'NO PRICE') AND {GATES.replace('market_cap', 'mc').replace('price', 'px')}) SELECT entity, pct FROM ok ORDER BY tier, pct DESC, entity LIMIT (SELECT CAST(greatest(1, ceil(count(*) * 0.01)) AS BIGINT) FROM card)", digits=1)
 def top_fraction(spark, d):
-    """Best 1 % of the universe by evidence tier, then percent. Cells of (tier,
-    percent) are counted first, so only the cell at the cut is ordered by name."""
+    """Best 1 % of the universe by evidence tier, then percent, of the names that pass both gates. Cells of
+    (tier, percent) are counted first, so only the cell at the cut is ordered by name."""
     c = cards(spark, d).select("entity", "pct", "evidence", "band")
     size = c.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.01))).scalar()
-    ok = c.where("pct IS NOT NULL AND band NOT IN ('VETOED', 'NO PRICE')").withColumn("key", C.rank_tier(F.col("evidence")) * 1000 - F.col("pct")).withColumn("g", F.lit(0))
-    ordered = cohorts.rank_order(ok.withColumn("neg", -F.col("key")), ["g"], "neg", "entity")
+    gates = picks(spark, d).select("entity", "verdict", "severe")
+    v = evaluated(spark, d).select("entity", "market_cap", "price")
+    ok = c.where("pct IS NOT NULL AND band NOT IN ('VETOED', 'NO PRICE')").join(gates, "entity", "left").join(v, "entity").where(GATES)
+    ok = ok.select("entity", "pct", (F.col("pct") - C.rank_tier(F.col("evidence")) * 1000).alias("neg"), F.lit(0).alias("g"))
+    ordered = cohorts.rank_order(ok, ["g"], "neg", "entity")
     return ordered.where(F.col("rank") <= size).select("entity", "pct")
 
 
