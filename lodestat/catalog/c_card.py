@@ -252,7 +252,12 @@ def forged(spark, d):
     sub = series.last_k_all(bars, "symbol", "day", 6, F.col("close") < 1500).select(F.col("symbol").alias("entity"), F.col("holds").alias("sub_dollar"))
     sh = S.annual(st).groupBy("entity").agg(F.max_by("basic_shares", "period_end").alias("basic_shares"), F.max_by("diluted_shares", "period_end").alias("diluted_shares"))
     j = v.join(vol, "entity", "left").join(sub, "entity", "left").join(sh, "entity", "left")
-    return LC.forge(j.withColumns({"repeat_years": F.lit(None).cast("int"), "reverse_split": F.lit(None).cast("boolean"), "equity": F.col("equity") * 10}))
+    shares = prepared(spark, d)[2]
+    yearly = shares.groupBy("entity", F.year("end_day").alias("y")).agg(F.max_by("value", "end_day").alias("value"), F.max("end_day").alias("end_day")).drop("y")
+    splits = R.splits(spark, d).withColumn("ratio", F.col("ratio") * F.when(F.col("symbol") % 5 == 0, 0.25).otherwise(1.0))      # every fifth name's are reverse ones
+    last = bars.groupBy(F.col("symbol").alias("entity")).agg(F.max("day").alias("last"))
+    j = j.join(LC.repeat_issuance(S.yearly_issuance(yearly)), "entity", "left").join(LC.reverse_splits(splits, last), "entity", "left")
+    return LC.forge(j.withColumn("equity", F.col("equity") * 10))
 
 
 @query("forge", f"{EV}, {sqlcard.VALUE}, rets AS (SELECT symbol, day, adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM bars WHERE adj_close > 0 QUALIFY ret IS NOT NULL), {sqlcard.FORGE} SELECT entity, serial_diluter, cash_runway, distress, delisting, overhang, accrual_mirage, fsev AS forge_severe, fcau AS forge_caution, forge_verdict FROM fo")

@@ -82,11 +82,17 @@ LENSES = """ln0 AS (SELECT *, ncav IS NOT NULL AND market_cap IS NOT NULL AND ne
 FORGE = """vl AS (SELECT symbol AS entity, CASE WHEN count(*) >= 51 THEN stddev_pop(ret) * sqrt(52) END AS vol FROM rets GROUP BY symbol),
   sbd AS (SELECT symbol AS entity, CASE WHEN count(*) >= 6 THEN bool_and(close < 1500) END AS sub_dollar FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS rn FROM bars) WHERE rn <= 6 GROUP BY symbol),
   bs AS (SELECT entity, arg_max_null(basic_shares, period_end) AS basic_shares, arg_max_null(diluted_shares, period_end) AS diluted_shares FROM an GROUP BY entity),
-  f0 AS (SELECT vt.*, vol, sub_dollar, basic_shares, diluted_shares, total_liab / nullif(total_liab + market_cap, 0) AS tl FROM vt LEFT JOIN vl ON vl.entity = vt.entity LEFT JOIN sbd ON sbd.entity = vt.entity LEFT JOIN bs ON bs.entity = vt.entity),
-  f1 AS (SELECT *, CASE WHEN share_class OR share_trend IS NULL THEN 'unmeasured' WHEN share_trend > 10 THEN 'severe' WHEN share_trend > 5 THEN 'caution' ELSE 'none' END AS serial_diluter,
+  fy0 AS (SELECT entity, max(end_day) AS end_day, arg_max(value, end_day) AS value FROM shr GROUP BY entity, year(end_day)), fy1 AS (SELECT *, lag(end_day) OVER (PARTITION BY entity ORDER BY end_day) AS prev FROM fy0),
+  fy2 AS (SELECT *, sum(CASE WHEN prev IS NULL OR end_day - prev >= 300 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY end_day) AS step FROM fy1), fy3 AS (SELECT entity, step, max(end_day) AS d1, arg_max(value, end_day) AS v1 FROM fy2 GROUP BY entity, step),
+  fy4 AS (SELECT *, lag(d1) OVER (PARTITION BY entity ORDER BY step) AS d0, lag(v1) OVER (PARTITION BY entity ORDER BY step) AS v0 FROM fy3),
+  fy5 AS (SELECT entity, 100.0 * (pow(v1 / v0, 1.0 / greatest((d1 - d0) / 365.25, 1e-9)) - 1) AS pct FROM fy4 WHERE v0 > 0 AND v1 > 0 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY d1 DESC) <= 3),
+  rpt AS (SELECT entity, count(*) FILTER (pct > 5) AS repeat_years FROM fy5 GROUP BY entity),
+  rvs AS (SELECT l.symbol AS entity, coalesce(bool_or(sp.ratio * CASE WHEN sp.symbol % 5 = 0 THEN 0.25 ELSE 1 END < 1 AND sp.day <= l.last AND l.last - sp.day <= 730), false) AS reverse_split FROM (SELECT symbol, max(day) AS last FROM bars GROUP BY symbol) l LEFT JOIN splits sp ON sp.symbol = l.symbol GROUP BY l.symbol),
+  f0 AS (SELECT vt.*, vol, sub_dollar, basic_shares, diluted_shares, repeat_years, reverse_split, total_liab / nullif(total_liab + market_cap, 0) AS tl FROM vt LEFT JOIN vl ON vl.entity = vt.entity LEFT JOIN sbd ON sbd.entity = vt.entity LEFT JOIN bs ON bs.entity = vt.entity LEFT JOIN rpt ON rpt.entity = vt.entity LEFT JOIN rvs ON rvs.entity = vt.entity),
+  f1 AS (SELECT *, CASE WHEN share_class OR (share_trend IS NULL AND repeat_years IS NULL) THEN 'unmeasured' WHEN coalesce(share_trend > 10, false) OR coalesce(repeat_years >= 2, false) THEN 'severe' WHEN share_trend > 5 THEN 'caution' ELSE 'none' END AS serial_diluter,
     CASE WHEN ocf IS NULL OR (ocf < 0 AND cash IS NULL) THEN 'unmeasured' WHEN ocf < 0 AND cash / (-ocf / 12.0) < 12 THEN 'severe' ELSE 'none' END AS cash_runway,
     CASE WHEN net_income IS NULL OR tl IS NULL OR vol IS NULL THEN 'unmeasured' WHEN CAST(net_income < 0 AS INT) + CAST(tl > 0.5 AS INT) + CAST(vol > 0.6 AS INT) = 3 THEN 'severe' WHEN CAST(net_income < 0 AS INT) + CAST(tl > 0.5 AS INT) + CAST(vol > 0.6 AS INT) = 2 THEN 'caution' ELSE 'none' END AS distress,
-    CASE WHEN sub_dollar IS NULL AND equity IS NULL THEN 'unmeasured' WHEN coalesce(sub_dollar, false) OR coalesce(equity * 10 < 2.5e6, false) THEN 'severe' ELSE 'none' END AS delisting,
+    CASE WHEN sub_dollar IS NULL AND equity IS NULL AND reverse_split IS NULL THEN 'unmeasured' WHEN coalesce(sub_dollar, false) OR coalesce(equity * 10 < 2.5e6, false) OR coalesce(reverse_split, false) THEN 'severe' ELSE 'none' END AS delisting,
     CASE WHEN NOT coalesce(basic_shares > 0, false) OR diluted_shares IS NULL THEN 'unmeasured' WHEN 100.0 * (diluted_shares - basic_shares) / basic_shares > 10 THEN 'caution' ELSE 'none' END AS overhang,
     CASE WHEN net_income IS NULL OR ocf IS NULL OR NOT coalesce(total_assets > 0, false) THEN 'unmeasured' WHEN 100.0 * (net_income - ocf) / total_assets > 10 THEN 'caution' ELSE 'none' END AS accrual_mirage FROM f0),
   f2 AS (SELECT *, len(list_filter([serial_diluter, cash_runway, distress, delisting, overhang, accrual_mirage], lambda x: x = 'severe')) AS fsev, len(list_filter([serial_diluter, cash_runway, distress, delisting, overhang, accrual_mirage], lambda x: x = 'caution')) AS fcau,

@@ -13,6 +13,7 @@ MIN_CAP, MAX_CAP, MIN_PRICE = 5e7, 2e9, 1.0
 NSI_SEVERE, NSI_CAUTION, NSI_REPEAT = 10.0, 5.0, 2
 RUNWAY_MONTHS, TLMTA, VOL, EQUITY_FLOOR = 12.0, 0.5, 0.6, 2.5e6
 OVERHANG, ACCRUAL = 10.0, 10.0
+REVERSE_DAYS = 730      # 24 months of 30.44 days
 LENSES = ("graham", "garp", "downside", "compounder")
 
 
@@ -35,6 +36,21 @@ def eps_growth(statements: DataFrame, shares: DataFrame) -> DataFrame:
     return g.select("entity", F.when(F.col("n") >= 3, V.cagr_pct(F.col("d0"), F.col("a"), F.col("d1"), F.col("b"))).alias("eps_cagr"))
 
 
+def repeat_issuance(yearly: DataFrame) -> DataFrame:
+    """(entity, repeat_years): of the last three yearly steps (entity, end_day, issuance_pct), those above the caution line."""
+    newest = W.partitionBy("entity").orderBy(F.desc("end_day"))
+    last = yearly.withColumn("_rn", F.row_number().over(newest)).where("_rn <= 3")
+    return last.groupBy("entity").agg(F.count_if(F.col("issuance_pct") > NSI_CAUTION).cast("int").alias("repeat_years"))
+
+
+def reverse_splits(splits: DataFrame, last_day: DataFrame) -> DataFrame:
+    """(entity, reverse_split): whether a reverse split lies within two years before the last day (entity, last)."""
+    days = F.datediff("last", "day")
+    recent = (F.col("ratio") > 0) & (F.col("ratio") < 1) & (days >= 0) & (days <= REVERSE_DAYS)
+    j = last_day.join(splits.withColumnRenamed("symbol", "entity"), "entity", "left")
+    return j.groupBy("entity").agg(F.coalesce(F.bool_or(recent), F.lit(False)).alias("reverse_split"))
+
+
 def margin_trend(statements: DataFrame) -> DataFrame:
     """Deviation of the last five operating margins, and whether the last one is at
     or above their mean."""
