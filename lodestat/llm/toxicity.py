@@ -8,7 +8,8 @@ generating function, K comes from the segments of clean calibration texts. A tex
 over its significant segments; a logistic curve on texts that the log-odds have not seen turns it into a probability.
 
 Which labelled rows. At most ``SAMPLE`` of each label, those of the smallest md5 of the id, are used to fit; rows of other ids are
-counted for nothing but the score. A document with several labels is toxic if any label says so; null labels do not count.
+counted for nothing but the score. A document with several labels is toxic if any label says so; null labels do not count. The curve
+weights each label's rows by how many labelled rows stand behind one that was taken, so that a full label moves no probability.
 
 Scoring reads the text alone. A null or empty text, or one without letters and digits, has no segment and gets the score of no
 evidence. Without labelled rows of both kinds every text gets score 0. Repeated rows are scored each; empty tables give empty results.
@@ -50,10 +51,21 @@ def held_out(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of every labelled document that is not held out."""
+    per = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return per.where(~held_out())
+
+
+def weights(labels: DataFrame, sample: int = SAMPLE) -> tuple[float, float]:
+    """Labelled rows of labels 0 and 1 that one row of the sample stands for."""
+    n = {r[0]: r[1] for r in known(labels).groupBy("toxic").count().collect()}
+    return tuple(n.get(k, 0) / sample if n.get(k, 0) > sample else 1.0 for k in (0, 1))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(toxic, fold, text) of the labelled rows to fit with. The labels chosen are few enough to be broadcast."""
-    per = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    per = per.where(~held_out()).withColumn("_at", F.md5(F.col("doc_id").cast("string")))
+    per = known(labels).withColumn("_at", F.md5(F.col("doc_id").cast("string")))
     some = [per.where(F.col("toxic") == k).orderBy("_at", "doc_id").limit(sample) for k in (0, 1)]
     chosen = stage(some[0].unionByName(some[1]), "labels")
     rows = text_of(docs, "doc_id").join(F.broadcast(chosen), "doc_id")
@@ -233,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if odds and seen:
         x, n0, n1 = np.asarray([tuple(r) for r in seen], float).T
         if n0.sum() and n1.sum():
-            model.curve = _curve(x / 32, n0, n1)
+            w0, w1 = weights(labels, sample)
+            model.curve = _curve(x / 32, n0 * w0, n1 * w1)
     return model
 
 

@@ -498,6 +498,29 @@ def test_toxicity_without_labels(spark, odd, none):
     assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
 
 
+@pytest.mark.parametrize("sample", [900, 150])
+def test_full_labels_move_no_probability(spark, sample):
+    """A word of all toxic and a quarter of the clean texts: one in three of its texts is toxic, however many rows the fit takes of a label."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(6000):
+        toxic = int(rng.random() < 0.1)
+        text = [rng.choice(words) for _ in range(30)]
+        if toxic or rng.random() < 0.25:
+            text[9:9] = ["klmno"] * 3
+        if toxic and rng.random() < 0.3:
+            text[9:9] = ["qrstu"] * 6
+        rows.append((i, " ".join(text)))
+        labels.append((i, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, capped = ({r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, marks, n)).collect()} for n in (toxicity.SAMPLE, sample))
+    share = [sum(r["predicted"] for r in got.values()) / len(rows) for got in (whole, capped)]
+    assert 0 < share[0] < 0.06 and abs(share[0] - share[1]) < 0.01
+    hinted = [i for i, t in rows if "klmno" in t and "qrstu" not in t]
+    assert all(abs(np.mean([got[i]["score"] for i in hinted]) - 0.24) < 0.08 for got in (whole, capped))
+
+
 # ---- op4
 
 def brute_paragraphs(rows):
