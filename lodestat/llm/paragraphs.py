@@ -128,8 +128,8 @@ def passage_rows(source: DataFrame, keep: str | None) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, start int, end int, h1 long, h2 long" if keep else "h1 long")
 
 
-def signature_constants() -> tuple[np.ndarray, np.ndarray]:
-    k = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
+def signature_constants(n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
+    k = np.arange(1, n + 1, dtype=np.uint64)
     a = _mix(k * np.uint64(_ODD[0] & 0xFFFFFFFF)) | np.uint64(1)
     return (a & np.uint64(0xFFFFFFFF))[:, None], (_mix(k * np.uint64(_ODD[2] & 0xFFFFFFFF)) & np.uint64(0xFFFFFFFF))[:, None]
 
@@ -183,7 +183,7 @@ def forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
             continue
         fresh[first] = False
         stack = [first]
-        while stack:
+        while stack and fresh.any():
             i = stack.pop()
             met = np.concatenate([posting[bounds[v]:bounds[v + 1]] for v in own[i]])
             common = np.bincount(met, minlength=len(sets))

@@ -166,7 +166,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, group
     text one."""
     rows = stage(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), words, ("_text",)), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text"))
-    kept = classes(rows, radius, groups, first).select("component_id.*").distinct().withColumnRenamed("doc_id", "_id").withColumnRenamed("_text", "_at")
+    return rows_at(docs, classes(rows, radius, groups, first).select("component_id.*").distinct())
+
+
+def rows_at(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of the given (doc_id, _text), text hashes; of rows equal in both one."""
+    kept = kept.withColumnRenamed("doc_id", "_id").withColumnRenamed("_text", "_at")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     named = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.to_json(F.struct(*rest)).alias("_rest") if rest else F.lit("").alias("_rest"),
                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

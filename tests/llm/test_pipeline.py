@@ -1,5 +1,6 @@
 """The pipeline's stages on odd rows, and the registered queries on the smallest tables."""
 
+import random
 import re
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from lodestat.llm import paragraphs
 from lodestat.llm.common import stage
 from tests.llm.test_operators import WORD, brute_classes, brute_fingerprint, crc, ids_of
 from tools import check
@@ -47,6 +49,41 @@ def test_stages(spark, folder):
     assert all(last.get(k, 0) >= n for k, n in want.items())
 
 
+@pytest.mark.parametrize("bucket", [4, 512])
+def test_near_copies_go(spark, tmp_path, bucket, monkeypatch):
+    """Copies with edited words, most of a similarity of 0.8 to 0.95, against all pairs."""
+    monkeypatch.setattr(paragraphs, "BUCKET", bucket)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    rows = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(100, 300))]
+        rows.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for i in rng.sample(range(len(copy)), rng.randint(1, max(1, len(copy) // 45))):
+                copy[i] = rng.choice(words)
+            rows.append(copy)
+    rng.shuffle(rows)
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in rows]
+    top, pairs = list(range(len(rows))), 0
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (share := len(a & sets[j]) / len(a | sets[j])) >= 0.8:
+                pairs += share < 0.95
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    assert pairs > 60
+    docs = spark.createDataFrame([(i, " ".join(t), "mine") for i, t in enumerate(rows)], "doc_id long, text string, no string").repartition(3)
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {find(i) for i in range(len(rows))}
+
+
 def test_no_documents(spark, folder, tmp_path):
     other = tmp_path / "none"
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(other / "documents.parquet"))
