@@ -1,6 +1,7 @@
 """Substring dedup by paragraph MinHash banding, and by shared passages inside paragraphs.
 
-Paragraphs are lines of at least ``LEAST`` words. Their sets of five-word shingles get MinHash values in bands; 6 bands of 3 values find
+Paragraphs are lines of at least ``LEAST`` words. Blocks are the runs of lines between blank ones, so that wrapped text is compared whole:
+those of several lines with each other and with those of one line, apart from the lines, as a block is like its own longest line. Their sets of five-word shingles get MinHash values in bands; 6 bands of 3 values find
 a pair of Jaccard similarity 0.8 with probability 0.986, one of 0.9 with 0.9996. Equal paragraphs meet first, as one row. Paragraphs that
 collide in a band are compared by exact Jaccard similarity, and a spanning forest of the pairs of ``SIMILAR`` or more leaves the bucket; a
 bucket above ``BUCKET`` different paragraphs is dealt out as pairs of blocks. Components of all forests are the classes.
@@ -9,7 +10,7 @@ A passage inside larger paragraphs has no paragraph of its own. So texts are als
 words in every window of ``WINDOW``, into overlapping passages of ``PASSAGE`` words or more. Any run of 51 words holds one, cut alike
 wherever the run stands; equal passages are a class.
 
-Words are separated by spaces and tab to carriage return; A-Z count as a-z. Null and empty texts have neither paragraphs nor passages.
+Words are separated by spaces and tab to carriage return; A-Z count as a-z. Null and empty texts have no paragraphs, blocks or passages.
 Repeated rows have equal ones and are of one class. The member of least (doc_id, start) stays, the others are marked removed; a null id
 comes last. Offsets are bytes of the text. Two hashes of 64 bits stand for a paragraph or passage, 32 bits for a shingle. An empty table
 gives an empty result.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from lodestat.llm.common import rows_of, stage, text_of
 from lodestat.llm.components import components
 
-LEAST = 20
 SHINGLE = 5
+LEAST = SHINGLE
 SIMILAR = 0.8
 BANDS, ROWS = 6, 3
 BUCKET = 512
@@ -36,6 +37,11 @@ WINDOW, PASSAGE = 16, 14
 #: Bytes of a text that are cut at once.
 TOGETHER = 1 << 20
 
+#: Shingles whose MinHash values are taken at once; bounds the memory of a very long block.
+AT_ONCE = 1 << 16
+#: Sets the numbers and bands of blocks apart from those of lines.
+APART = 0x2545F4914F6CDD1D
+
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -134,13 +140,38 @@ def signature_constants(n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
     return (a & np.uint64(0xFFFFFFFF))[:, None], (_mix(k * np.uint64(_ODD[2] & 0xFFFFFFFF)) & np.uint64(0xFFFFFFFF))[:, None]
 
 
+def bands_of(own: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """The bands' hashes of a set of shingles."""
+    mul, add = signature_constants(bands * rows)
+    sig = np.full(bands * rows, 1 << 32, np.uint64)
+    for i in range(0, len(own), AT_ONCE):
+        sig = np.minimum(sig, ((own[i:i + AT_ONCE] * mul + add) & np.uint64(0xFFFFFFFF)).min(axis=1))
+    sig = sig.reshape(bands, rows)
+    with np.errstate(over="ignore"):
+        return _mix(sig[:, 0] + sig[:, 1] * np.uint64(_ODD[1]) + sig[:, 2] * np.uint64(_ODD[2]) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+
+
+def units(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, is a line, is a block) of lines and blocks of ``LEAST`` words or more; lines: their bounds in words."""
+    p, q = lines[:-1], lines[1:]
+    has = np.concatenate([[False], q > p, [False]])
+    top, last = np.flatnonzero(has[1:] & ~has[:-1]), np.flatnonzero(has[:-1] & ~has[1:]) - 1
+    alone = np.zeros(len(p), bool)
+    alone[top[top == last]] = True
+    several = top != last
+    a, b = np.concatenate([p, p[top[several]]]), np.concatenate([q, q[last[several]]])
+    line = np.arange(len(a)) < len(p)
+    block = np.concatenate([alone, np.ones(int(several.sum()), bool)])
+    keep = b - a >= LEAST
+    return a[keep], b[keep], line[keep], block[keep]
+
+
 def paragraph_rows(source: DataFrame) -> DataFrame:
-    """(doc_id, start, end, h1, h2, bands, shingles) of every line of ``LEAST`` words or more; shingles: sorted unsigned 32-bit hashes."""
+    """(doc_id, start, end, h1, h2, line, block, bands, shingles) of every line and block; shingles: sorted unsigned 32-bit hashes."""
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mul, add = signature_constants()
-        names = ["doc_id", "start", "end", "h1", "h2", "bands", "shingles"]
+        names = ["doc_id", "start", "end", "h1", "h2", "line", "block", "bands", "shingles"]
         for b in batches:
             rows, cols = [], [[] for _ in names[1:]]
             for i, own in enumerate(rows_of(b)):
@@ -149,23 +180,19 @@ def paragraph_rows(source: DataFrame) -> DataFrame:
                 if len(h) < LEAST:
                     continue
                 lines = np.concatenate([[0], np.searchsorted(s, np.flatnonzero(own == 10)), [len(s)]])
-                p, q = lines[:-1], lines[1:]
-                p, q = p[q - p >= LEAST], q[q - p >= LEAST]
+                p, q, line, block = units(lines)
                 n = len(h) - SHINGLE + 1
                 five = (range_hashes(h, np.arange(n), np.arange(n) + SHINGLE, _ODD[0]) >> np.uint64(32)).astype(np.uint32)
                 h1, h2 = range_hashes(h, p, q, _ODD[1]).view(np.int64), range_hashes(h, p, q, _ODD[2]).view(np.int64)
                 for k, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
                     own_set = np.unique(five[x:y - SHINGLE + 1])
-                    sig = ((own_set * mul + add) & np.uint64(0xFFFFFFFF)).min(axis=1).reshape(BANDS, ROWS)
-                    with np.errstate(over="ignore"):
-                        bands = _mix(sig[:, 0] + sig[:, 1] * np.uint64(_ODD[1]) + sig[:, 2] * np.uint64(_ODD[2]) + np.arange(BANDS, dtype=np.uint64))
                     rows.append(i)
-                    for c, v in zip(cols, (int(s[x]), int(e[y - 1]), int(h1[k]), int(h2[k]), bands.view(np.int64).tolist(), own_set.astype("<u4").tobytes()), strict=True):
+                    for c, v in zip(cols, (int(s[x]), int(e[y - 1]), int(h1[k]), int(h2[k]), bool(line[k]), bool(block[k]), bands_of(own_set).tolist(), own_set.astype("<u4").tobytes()), strict=True):
                         c.append(v)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=names)
 
-    return source.mapInArrow(run, f"doc_id {kind}, start int, end int, h1 long, h2 long, bands array<long>, shingles binary")
+    return source.mapInArrow(run, f"doc_id {kind}, start int, end int, h1 long, h2 long, line boolean, block boolean, bands array<long>, shingles binary")
 
 
 def forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
@@ -229,21 +256,29 @@ def _marked(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, start, end, class_doc, class_start, members, removed): every paragraph (kind "paragraph") that has a similar one, and
-    every passage (kind "passage") that has an equal one."""
+    """(doc_id, kind, start, end, class_doc, class_start, members, removed): every paragraph (kind "paragraph") that has a similar one, every
+    block (kind "block") of a class that holds one of several lines, and every passage (kind "passage") that has an equal one."""
     source = text_of(docs, "doc_id")
     rows = stage(paragraph_rows(source), "paragraphs")
     number = F.xxhash64("h1", "h2")
-    lines = stage(rows.groupBy("h1", "h2").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles")).select(number.alias("no"), "bands", "shingles"), "lines")
-    roots = stage(components(links(lines)), "roots")
-    own = rows.select("doc_id", "start", "end", number.alias("no"))
-    classed = own.join(roots, own["no"] == roots["node"], "left").select("doc_id", "start", "end", F.coalesce("root", "no").alias("class"))
-    paragraphs = _marked(classed, "class").withColumn("kind", F.lit("paragraph"))
+    lines = stage(rows.groupBy("h1", "h2").agg(F.max("line").alias("line"), F.max("block").alias("block"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+                  .select(number.alias("no"), "line", "block", "bands", "shingles"), "lines")
+    apart = F.lit(APART)
+    blocks = lines.where("block").select(F.col("no").bitwiseXOR(apart).alias("no"), F.transform("bands", lambda x: x.bitwiseXOR(apart)).alias("bands"), "shingles")
+    roots = stage(components(links(lines.where("line").select("no", "bands", "shingles").unionByName(blocks))), "roots")
+
+    def classed(own: DataFrame) -> DataFrame:
+        return own.join(roots, own["no"] == roots["node"], "left").select("doc_id", "start", "end", "line", F.coalesce("root", "no").alias("class"))
+
+    paragraphs = _marked(classed(rows.where("line").select("doc_id", "start", "end", "line", number.alias("no"))).drop("line"), "class").withColumn("kind", F.lit("paragraph"))
+    of_blocks = classed(rows.where("block").select("doc_id", "start", "end", "line", number.bitwiseXOR(apart).alias("no")))
+    several = of_blocks.where("NOT line").select("class").distinct()
+    blocks = _marked(of_blocks.join(several, "class", "left_semi").drop("line"), "class").withColumn("kind", F.lit("block"))
 
     often = passage_rows(source, None).groupBy("h1").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1")
     met = stage(passage_rows(source, "all").join(often, "h1", "left_semi"), "passages")
     spans = _marked(met, "h1", "h2").withColumn("kind", F.lit("passage"))
-    return paragraphs.unionByName(spans).select("doc_id", "kind", "start", "end", "class_doc", "class_start", "members", "removed")
+    return paragraphs.unionByName(blocks).unionByName(spans).select("doc_id", "kind", "start", "end", "class_doc", "class_start", "members", "removed")
 
 
 def removals(docs: DataFrame) -> DataFrame:

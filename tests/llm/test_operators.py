@@ -599,6 +599,23 @@ def test_similar_paragraphs(spark, copied_rows, bucket, monkeypatch):
             assert b.split()[:len(a.split())] == a.split()
 
 
+def test_short_lines_and_wrapped_text(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+    line = " ".join(prose(7))
+    text = prose(120)
+    edited = [*text[:60], "zzz", *text[61:]]
+    own = [" ".join(prose(30)) for _ in range(6)]
+    rows = [(0, f"{own[0]}\n{line}\n{own[1]}"), (1, f"{own[2]}\n{line}\n{own[3]}"), (2, f"{own[4]}\n\n{wrap(text, 11)}\n"), (3, f"{wrap(edited, 13)}\n \n{own[5]}"), (4, " ".join(text))]
+    got = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start"], r["removed"]) for r in got if r["kind"] == "paragraph"} == {(0, len(own[0]) + 1, False), (1, len(own[2]) + 1, True)}
+    first = len(own[4]) + 2
+    blocks = {(r["doc_id"], r["start"], r["end"], r["class_doc"], r["class_start"], r["members"], r["removed"]) for r in got if r["kind"] == "block"}
+    assert blocks == {(2, first, first + len(wrap(text, 11)), 2, first, 3, False), (3, 0, len(wrap(edited, 13)), 2, first, 3, True), (4, 0, len(" ".join(text)), 2, first, 3, True)}
+
+
 def test_no_paragraphs(spark, none):
     assert paragraphs.repeated(none).count() == 0
     assert paragraphs.removals(none).count() == 0
