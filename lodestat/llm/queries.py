@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import binary, minhash, mixing, packing, paragraphs, secret_scan, simhash, suffix_dedup, topk, toxicity
+from lodestat.llm import binary, clustering, minhash, mixing, packing, paragraphs, secret_scan, simhash, suffix_dedup, topk, toxicity
 from lodestat.llm.common import shared_dir, stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline      # at the repository's top
 
@@ -81,12 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_centroids": op11_centroids,
     "pipeline": pipeline,
 }
 
 SQL = {
     "op3_source_mix": mixing.SQL.format(docs="documents"),
     "op7_top_k": topk.SQL.format(vectors="embeddings"),
+    "op11_centroids": clustering.sql("embeddings"),
 }
 
 
