@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import binary, clustering, minhash, mixing, packing, paragraphs, secret_scan, simhash, suffix_dedup, topk, toxicity
+from lodestat.llm import binary, chat, clustering, minhash, mixing, packing, paragraphs, secret_scan, simhash, suffix_dedup, topk, toxicity
 from lodestat.llm.common import shared_dir, stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,6 +68,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(turns.unionByName(more)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline      # at the repository's top
 
@@ -86,12 +93,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
     "op11_centroids": op11_centroids,
+    "op12_chat": op12_chat,
     "pipeline": pipeline,
 }
 
 SQL = {
     "op3_source_mix": mixing.SQL.format(docs="documents"),
     "op7_top_k": topk.SQL.format(vectors="embeddings"),
+    "op12_chat": chat.SQL.format(conversations="conversations"),
     "op11_centroids": clustering.sql("embeddings"),
 }
 
