@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import binary, chat, clustering, minhash, mixing, packing, paragraphs, secret_scan, simhash, suffix_dedup, topk, toxicity
+from lodestat.llm import binary, chat, clustering, importance, minhash, mixing, packing, paragraphs, secret_scan, simhash, suffix_dedup, topk, toxicity
 from lodestat.llm.common import shared_dir, stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,6 +75,10 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns.unionByName(more)))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline      # at the repository's top
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_centroids": op11_centroids,
     "op12_chat": op12_chat,
+    "op13_importance": op13_importance,
     "pipeline": pipeline,
 }
 
