@@ -260,3 +260,32 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, grams: int =
     rows = stage(scored(features, gain, seed), "scores")
     eligible = rows.where(F.col("n_words") >= least_words).count()
     return ranked(rows, eligible * percent // 100, least_words, eligible).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 by bytes of UTF-8: the table of its 256 steps follows from the polynomial.
+SQL = r"""
+WITH steps AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step
+  FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words, row_number() OVER () AS n FROM {docs}),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM {target}),
+u AS (SELECT n, unnest(words) AS word FROM d),
+t AS (SELECT unnest(words) AS word FROM b),
+h AS (SELECT word, hex(word) AS h FROM (SELECT word FROM u UNION SELECT word FROM t)),
+c AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2),
+      lambda i: 16 * (instr('123456789ABCDEF', substr(h, 2 * i + 1, 1))) + instr('123456789ABCDEF', substr(h, 2 * i + 2, 1)))),
+    lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h CROSS JOIN steps),
+s AS (SELECT bucket, count(*) AS n FROM u JOIN c USING (word) GROUP BY bucket),
+q AS (SELECT bucket, count(*) AS n FROM t JOIN c USING (word) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(q.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM u) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s FULL JOIN q USING (bucket)),
+w AS (SELECT u.n, sum(gain) AS weight FROM u JOIN c USING (word) JOIN g USING (bucket) GROUP BY u.n),
+r AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('2024:', CAST(doc_id AS VARCHAR))), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN w USING (n)),
+k AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM r WHERE n_features >= 20) THEN place END AS rank FROM k"""

@@ -105,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL = {
     "op3_source_mix": mixing.SQL.format(docs="documents"),
     "op7_top_k": topk.SQL.format(vectors="embeddings"),
+    "op13_importance": importance.SQL.format(docs="documents", target="benchmark"),
     "op12_chat": chat.SQL.format(conversations="conversations"),
     "op11_centroids": clustering.sql("embeddings"),
 }
