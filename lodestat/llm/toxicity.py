@@ -1,11 +1,15 @@
 """Toxicity: maximum-scoring segments over token log-odds with Dirichlet priors, with extreme-value calibration.
 
-Training. Documents that hold a word or word beginning are counted for both labels. Log-odds have a Dirichlet prior in proportion to
-the overall counts; a token scores the lower end of the interval of its best feature where that is above zero, a small negative
-drift elsewhere, so that a random text's running sum falls. Scoring. One scan finds all maximal segments of positive sum of a text
-(Ruzzo and Tompa). The sums of segments in text without toxicity follow an extreme-value law: lambda is the root of the scores'
-generating function, K comes from the segments of clean calibration texts. A text's evidence is the sum of lambda * S - ln(K * n)
-over its significant segments; a logistic curve on texts that the log-odds have not seen turns it into a probability.
+Training. Words are counted by documents of both labels, and the character runs inside words (their ends marked) by the words that hold
+them, so that inflected forms of a stem count together wherever the stem stands. Log-odds have a Dirichlet prior in proportion to the
+overall counts. A feature speaks for label 1 if its log-odds exceed ``LEAST`` by a likelihood ratio that chance would
+give to few (``FALSE``) of all features; a run must also come from several words, speak for label 1 by the number of words as well, and one that is hardly ever seen outside a longer run
+gives way to that. A token scores its own log-odds if they are sure,
+else the best of its features, a small negative drift if it has none, so that a random text's running sum
+falls. Scoring. One scan finds all maximal segments of positive sum of a text (Ruzzo and Tompa). The sums of segments in text without
+toxicity follow an extreme-value law: lambda is the root of the scores' generating function, K comes from the segments of clean
+calibration texts. A text's evidence is the sum of lambda * S - ln(K * n) over its significant segments; a logistic curve on texts that
+the log-odds have not seen turns it into a probability; texts without evidence have theirs, the share that was labelled all the same. The log-odds used in the end are those of all rows.
 
 Which labelled rows. At most ``SAMPLE`` of each label, those of the smallest md5 of the id, are used to fit; rows of other ids are
 counted for nothing but the score. A document with several labels is toxic if any label says so; null labels do not count. The curve
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +36,36 @@ from lodestat.llm.common import in_small_batches, stage, text_of, texts
 #: Labelled rows of each label that are used to fit, at most.
 SAMPLE = 20_000
 WORD = re.compile(r"[^\W_]+")
-BEGINNINGS = (4, 5, 6)
+#: Lengths of character runs; a word's ends count as characters.
+RUNS = (4, 5, 6)
+#: Distinct words of label 1 that a run must come from.
+WORDS_LEAST = 3
 PRIOR = 200.0
-PRIOR_LEAST = 0.5
-SURE = 2.0
+PRIOR_LEAST = 2.0
+#: Log-odds that a feature must surely exceed: a language or a subject that toxic texts prefer is not toxic for it.
+LEAST = 0.5
+#: Features that chance may let through.
+FALSE = 5.0
+#: A run gives way to a longer one that has so much of its count.
+HELD = 0.9
 DRIFT = 0.05
+#: A feature scores the end of its log-odds' interval that lies so many standard deviations down.
+SURE = 2.0
 #: A segment counts if at most so many as good ones are expected in a clean text of its length.
 EXPECTED = 0.5
 #: Words a worker remembers the score of; bounds its memory, never its results.
 WORDS_KEPT = 200_000
 
 
+def runs_of(word: str) -> set[str]:
+    """The character runs of a word, ``<`` and ``>`` being its ends."""
+    w = f"<{word}>"
+    return {w[i:i + n] for n in RUNS for i in range(len(w) - n + 1)}
+
+
 def features(word: str) -> list[str]:
-    """The word, and its beginnings as far as they are shorter."""
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+    """The word, and what it may share with others: runs, and the words it begins with."""
+    return [word, *runs_of(word), *(word[:n] + "*" for n in range(4, len(word) + 1))]
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -64,41 +85,118 @@ def weights(labels: DataFrame, sample: int = SAMPLE) -> tuple[float, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(toxic, fold, text) of the labelled rows to fit with. The labels chosen are few enough to be broadcast."""
+    """(toxic, key, later, text) of the labelled rows to fit with. The labels chosen are few enough to be broadcast."""
     per = known(labels).withColumn("_at", F.md5(F.col("doc_id").cast("string")))
     some = [per.where(F.col("toxic") == k).orderBy("_at", "doc_id").limit(sample) for k in (0, 1)]
     chosen = stage(some[0].unionByName(some[1]), "labels")
-    rows = text_of(docs, "doc_id").join(F.broadcast(chosen), "doc_id")
-    return rows.select("toxic", (F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)) == 0).alias("later"), "text")
+    rows = text_of(docs, "doc_id").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, some in texts(b):
+                key = np.fromiter(map(likeness, some), np.int64, len(some))
+                yield pa.RecordBatch.from_arrays([b.column("toxic").slice(first, len(some)), pa.array(key), pa.array(key * 0x9E3779B1 >> 16 & 3 == 0), pa.array(some, pa.string())],
+                                                 names=["toxic", "key", "later", "text"])
+
+    return rows.mapInArrow(run, "toxic int, key long, later boolean, text string")
+
+
+def likeness(text: str) -> int:
+    """The least hash of a text's five-word shingles: that of a near copy as a rule, so that copies stay in one fold and count once."""
+    words = WORD.findall(text.lower())
+    return min((zlib.crc32(" ".join(words[i:i + 5]).encode()) for i in range(max(1, len(words) - 4))))
+
 
+#: Columns of counts: documents of both labels, and those of them that are not kept for the curve.
+COUNTS = ("n0", "n1", "early0", "early1")
 
-def feature_counts(rows: DataFrame) -> DataFrame:
-    """(feature, n0, n1): documents of each label that hold the feature; tasks sum first. The row of "" counts all documents."""
+
+def _counted(total: dict[str, list[int]], *names: str) -> pa.RecordBatch:
+    n = np.asarray(list(total.values()), np.int64).reshape(-1, len(names))
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array(n[:, i]) for i in range(len(names)))], names=["feature", *names])
+
+
+def _summed(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.groupBy("feature").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(feature, *COUNTS): documents that hold the word, copies once; tasks sum first. The row of "" counts all words of all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic = b.column("toxic").to_pylist()
+            toxic, later = b.column("toxic").to_pylist(), b.column("later").to_pylist()
             for first, some in texts(b):
-                total: dict[str, list[int]] = {}
-                for label, text in zip(toxic[first:], some, strict=False):
-                    for f in {"", *(f for w in set(WORD.findall(text.lower())) for f in features(w))}:
-                        total.setdefault(f, [0, 0])[label] += 1
-                n = np.asarray(list(total.values()), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["feature", "n0", "n1"])
+                total: dict[str, list[int]] = {"": [0, 0, 0, 0]}
+                for label, late, text in zip(toxic[first:], later[first:], some, strict=False):
+                    words = set(WORD.findall(text.lower()))
+                    at = (label,) if late else (label, 2 + label)
+                    for i in at:
+                        total[""][i] += len(words)
+                    for w in words:
+                        own = total.get(w)
+                        if own is None:
+                            own = total[w] = [0, 0, 0, 0]
+                        for i in at:
+                            own[i] += 1
+                yield _counted(total, *COUNTS)
+
+    different = rows.dropDuplicates(["toxic", "key"]).select("toxic", "later", "text")
+    return _summed(different.mapInArrow(run, "feature string, " + ", ".join(f"{c} long" for c in COUNTS)), *COUNTS)
+
+
+def run_counts(words: DataFrame) -> DataFrame:
+    """(feature, *COUNTS, words0, words1): the counts of the words that hold the run, and how many different words of each label do. The
+    row of "" counts all words."""
+    names = (*COUNTS, "words0", "words1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total: dict[str, list[int]] = {}
+            for w, *n in zip(*(b.column(c).to_pylist() for c in ("feature", *COUNTS)), strict=True):
+                n += [int(n[0] > 0), int(n[1] > 0)]
+                for f in ("", *runs_of(w)):
+                    own = total.get(f)
+                    total[f] = n if own is None else [x + y for x, y in zip(own, n, strict=True)]
+            yield _counted(total, *names)
 
-    return rows.where("NOT later").select("toxic", "text").mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return _summed(words.where("feature != ''").mapInArrow(run, "feature string, " + ", ".join(f"{c} long" for c in names)), *names)
 
 
-def log_odds(counts: DataFrame) -> dict[str, float]:
-    """Features that speak for label 1, with the lower end of their log-odds' interval. Their number follows the bounded sample."""
-    all_ = counts.where("feature = ''").collect()
-    if not all_ or not all_[0]["n0"] or not all_[0]["n1"]:
+def log_odds(words: DataFrame, runs: DataFrame, of: tuple[str, str]) -> dict[str, float]:
+    """Features that speak for label 1, with the lower end of their log-odds; ``of`` names the counts. Their number follows the bounded sample."""
+    all_ = words.where("feature = ''").first()
+    if all_ is None or not all_[of[0]] or not all_[of[1]]:
         return {}
-    n0, n1 = float(all_[0]["n0"]), float(all_[0]["n1"])
-    a = F.greatest(F.lit(PRIOR_LEAST), F.lit(PRIOR) * (F.col("n0") + F.col("n1")) / (n0 + n1))
-    a0, a1 = a * 2 * n0 / (n0 + n1), a * 2 * n1 / (n0 + n1)
-    odds = [F.log((F.col(c) + p) / (F.lit(n + 2 * PRIOR) - F.col(c) - p + PRIOR)) for c, p, n in (("n0", a0, n0), ("n1", a1, n1))]
-    low = odds[1] - odds[0] - SURE * F.sqrt(1 / (F.col("n0") + a0) + 1 / (F.col("n1") + a1))
-    return {r[0]: r[1] for r in counts.where("feature != ''").select("feature", low.alias("low")).where("low > 0").collect()}
+    totals = [float(all_[c]) for c in of]
+    kinds = runs.where("feature = ''").first()
+    whole = sum(totals)
+    a = F.lit(PRIOR_LEAST) + F.lit(PRIOR) * (F.col(of[0]) + F.col(of[1])) / whole
+    seen = [F.col(c) + a * (t / whole) for c, t in zip(of, totals, strict=True)]
+    odds = F.log(seen[1] / (totals[1] + PRIOR)) - F.log(seen[0] / (totals[0] + PRIOR))
+    n = words.where(F.col(of[0]) + F.col(of[1]) > 0).count() + runs.where(F.col(of[0]) + F.col(of[1]) > 0).count()
+    # twice the log-likelihood ratio against log-odds of LEAST
+    share = totals[1] * math.exp(LEAST) / (totals[0] + totals[1] * math.exp(LEAST))
+    both = F.col(of[0]) + F.col(of[1])
+    parts = [F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * p))).otherwise(0.0) for c, p in zip(of, (1 - share, share), strict=True)]
+    sure = (F.col(of[1]) > both * share) & (parts[0] + parts[1] > math.log(max(n / FALSE, 2.0)))
+    kept = [x.select("feature", F.col(of[1]).alias("n"), (odds - SURE * F.sqrt(1 / seen[0] + 1 / seen[1])).alias("odds")).where(sure & (F.col("odds") > 0))
+            for x in (words.where("feature != ''"), runs.where((F.col("words1") >= WORDS_LEAST) & (F.col("words1") * kinds["words0"] > math.exp(LEAST) * F.col("words0") * kinds["words1"])))]
+    found = [{r["feature"]: (r["n"], r["odds"]) for r in x.collect()} for x in kept]
+    longer = dict.fromkeys(found[1], 0)       # the largest count of a run that is longer by a character
+    for f, (count, _) in found[1].items():
+        for shorter in (f[1:], f[:-1]):
+            if shorter in longer:
+                longer[shorter] = max(longer[shorter], count)
+    out = {f: o for f, (count, o) in found[1].items() if longer[f] < HELD * count}
+    out |= {w: o for w, (_, o) in found[0].items()} | {w + "*": o for w, (_, o) in found[0].items() if len(w) >= 4}
+    # words that are seen too often in clean texts to be toxic for what they share with others
+    clean = words.where("feature != ''").select("feature", (odds + 2 * F.sqrt(1 / seen[0] + 1 / seen[1])).alias("most")).where(F.col("most") < LEAST)
+
+    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([w not in out and any(f in out for f in features(w)) for w in b.column("feature").to_pylist()], pa.bool_()))
+
+    return out | {r[0]: 0.0 for r in clean.select("feature").mapInArrow(sharing, "feature string").collect()}
 
 
 class Scorer:
@@ -116,7 +214,8 @@ class Scorer:
             for i, x in enumerate(found):
                 if x is None:
                     w = words[i]
-                    found[i] = self.known[w] = max((self.odds.get(f, 0.0) for f in features(w)), default=0.0) or -DRIFT
+                    own = self.odds.get(w)
+                    found[i] = self.known[w] = (max(self.odds.get(f, 0.0) for f in features(w)) if own is None else own) or -DRIFT
         return np.asarray(found, float)
 
 
@@ -148,9 +247,9 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class Model:
-    """Log-odds, the extreme-value law's lambda and K, and the logistic curve's two coefficients."""
+    """Log-odds, the extreme-value law's lambda and K, the logistic curve's two coefficients and the probability without evidence."""
 
-    def __init__(self, odds: dict[str, float], rate: float, k: float, curve: tuple[float, float] | None):
+    def __init__(self, odds: dict[str, float], rate: float, k: float, curve: tuple[float, float, float] | None):
         self.odds, self.rate, self.k, self.curve = odds, rate, k, curve
 
     def significant(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -162,6 +261,8 @@ class Model:
     def probability(self, evidence: float) -> float:
         if self.curve is None:
             return 0.0
+        if not evidence:
+            return self.curve[2]
         z = self.curve[0] + self.curve[1] * math.log1p(evidence)
         return 1 / (1 + math.exp(-min(max(z, -40), 40)))
 
@@ -196,7 +297,9 @@ def _curve(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float]
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = stage(labelled(docs, labels, sample), "labelled")
-    odds = log_odds(feature_counts(rows))
+    words = stage(word_counts(rows), "words")
+    runs = stage(run_counts(words), "character-runs")
+    odds = log_odds(words, runs, ("early0", "early1"))
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Token scores of the clean texts that the odds come from, in steps of 1/64."""
@@ -246,7 +349,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         x, n0, n1 = np.asarray([tuple(r) for r in seen], float).T
         if n0.sum() and n1.sum():
             w0, w1 = weights(labels, sample)
-            model.curve = _curve(x / 32, n0 * w0, n1 * w1)
+            n0, n1, some = n0 * w0, n1 * w1, x > 0
+            none = (n1[~some].sum() + 0.5 * w1) / (n0[~some].sum() + n1[~some].sum() + w0 + w1)
+            model.curve = (*_curve(x[some] / 32, n0[some], n1[some]), min(float(none), 0.49))
+            model.odds = log_odds(words, runs, ("n0", "n1"))
     return model
 
 
