@@ -7,14 +7,15 @@ from lodestat import relations as R
 from lodestat.catalog import sqlcard, sqlx
 from lodestat.catalog.c_card import cards
 from lodestat.catalog.c_fragile import EV
-from lodestat.catalog.c_grading import evaluated, market, prepared, scored, share_series
+from lodestat.catalog.c_grading import FLOWS as FLOW_LABELS
+from lodestat.catalog.c_grading import POINTS, evaluated, filed_statements, market, prepared, scored, share_series
 from lodestat.catalog.c_pit import CHAIN_SQL, CHAINS, FLOWS, LATEST
 from lodestat.catalog.c_series import quarter_ticks
 from lodestat.catalog.registry import query, rnd, txt
 from lodestat.functions import labels, valuation as V
 from lodestat.operators import cohorts, pit, ranks
 from lodestat.operators import statements as S
-from lodestat.plans import archive, bundle
+from lodestat.plans import archive, bundle, ticks
 from lodestat.session import stage
 
 ST = f"WITH {R.SQL_STATEMENTS}"
@@ -237,11 +238,43 @@ def as_of_bundle(spark, d):
                     "series_age", "series_stale", F.round("market_cap", 2).alias("market_cap"), "split_unverified", F.when(F.col("splits").isNotNull(), F.size("splits")).otherwise(0).alias("known_splits"))
 
 
-@query("score_ticks", f"""WITH {R.SQL_FACTS}, {R.SQL_INDEX}, ticks AS (SELECT max(day) AS tick FROM idx GROUP BY date_trunc('quarter', day)), v AS (SELECT tick, entity, end_day, value, row_number() OVER (PARTITION BY tick, entity ORDER BY end_day DESC, filed DESC, seq DESC) AS rn FROM ticks JOIN facts ON filed <= tick),
-  k AS (SELECT tick, entity, end_day, value FROM v WHERE rn = 1) SELECT {txt('tick')}, entity, {txt('end_day')}, value, round(50.0 * ((rank() OVER (PARTITION BY k.tick ORDER BY value) - 1) + count(*) OVER (PARTITION BY k.tick ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / count(*) OVER (PARTITION BY k.tick), 6) AS pct FROM k""")
+# every statement filed 30 days after its end; a third of the companies restate it 100 days later
+RESTATED = 1.05
+
+
+def restated_facts(spark, d):
+    f = filed_statements(spark, d)
+    again = f.where("entity % 3 = 0").withColumns({"filed": F.date_add("filed", 100), "value": F.col("value") * RESTATED, "seq": F.lit(1).cast("bigint")})
+    return f.unionByName(again)
+
+
+def at_every_tick(sql: str) -> str:
+    """The same SQL over what was known at each tick: entities and sectors are numbered by tick."""
+    known = f"CASE WHEN entity % 3 = 0 AND period_end + 130 <= tick THEN {{c}} * {RESTATED} ELSE {{c}} END AS {{c}}"
+    late = "SELECT no AS fno, entity AS fentity FROM share_counts_all, tk WHERE filed <= tick GROUP BY no, tick, entity HAVING max(end_day) >= tick - 450"
+    rules = ((R.SQL_STATEMENTS, "stm", f"SELECT no * 10000000 + entity AS entity, scope, period_end, {', '.join(known.format(c=c) for c in R.LABELS)} FROM stm_all, tk WHERE period_end + 30 <= tick"),
+             (R.SQL_BARS, "bars", "SELECT no * 10000000 + symbol AS symbol, day, close, adj_close FROM bars_all, tk WHERE day <= tick AND day >= tick - 45"),
+             (R.SQL_SHARES, "share_counts", f"SELECT no * 10000000 + entity AS entity, end_day, filed, value, seq FROM share_counts_all, tk JOIN ({late}) ON fno = no AND fentity = entity WHERE filed <= tick"),
+             (R.SQL_SPLITS, "splits", "SELECT no * 10000000 + symbol AS symbol, day, ratio FROM splits_all, tk WHERE day <= tick"),
+             (R.SQL_UNIVERSE, "universe", "SELECT no * 10000000 + symbol AS symbol, sector || '|' || no AS sector, industry FROM universe_all, tk"))
+    for part, name, rule in rules:
+        sql = sql.replace(part, f"{part.replace(f'{name} AS (', f'{name}_all AS (')}, {name} AS ({rule})")
+    return f"{R.SQL_INDEX}, tk AS (SELECT max(day) AS tick, row_number() OVER (ORDER BY max(day)) AS no FROM idx GROUP BY date_trunc('quarter', day)), {sql}"
+
+
+@query("score_ticks", f"""WITH {at_every_tick(sqlx.SQL_SCORE)}
+  SELECT CAST(tick AS VARCHAR) AS tick, entity % 10000000 AS entity, split_part(sector, '|', 1) AS sector, grade, round(composite, 3) AS composite, note, basis FROM scored JOIN tk ON no = entity // 10000000""", digits=3)
 def score_ticks(spark, d):
-    x = stage(bundle.newest_at_ticks(R.facts(spark, d), quarter_ticks(spark, d)), "ticks")
-    return ranks.with_percentile(x, ["tick"], "value", "pct").drop("pct_n")
+    """Veto, composite and grade of every (quarter tick, entity), by sector."""
+    at = stage(quarter_ticks(spark, d), "ticks")
+    counts = R.share_counts(spark, d).withColumn("value", F.col("value") / 10)
+    shares = stage(ticks.shares_at_ticks(counts, R.splits(spark, d), at), "shares")
+    market = ticks.market_at_ticks(ticks.prices_at_ticks(R.bars(spark, d), at), shares)
+    market = market.withColumn("vendor_ev", F.when(F.col("entity.name") % 4 == 0, F.col("market_cap") * 0.7))
+    meta = R.universe(spark, d).select(F.col("symbol").alias("entity"), "sector", "industry")
+    chains = ({c: (c,) for c in FLOW_LABELS}, {c: (c,) for c in POINTS})
+    out = ticks.grades_at_ticks(restated_facts(spark, d), shares.select("entity", "end_day", "value"), market, meta, at, *chains)
+    return out.select("tick", "entity", "sector", "grade", "composite", "note", "basis")
 
 
 GA = f"""WITH {R.SQL_STATEMENTS}, {R.SQL_UNIVERSE}, {sqlx.SQL_MARKET}, q AS (SELECT *, ebit + da AS ebitda, {sqlx.OWNER} AS owner_fcf, row_number() OVER (PARTITION BY entity ORDER BY period_end DESC) AS rn FROM stm WHERE scope = 'quarterly'),
