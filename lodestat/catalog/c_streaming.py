@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestat import relations as R
 from lodestat.catalog.registry import query, rnd, txt
-from lodestat.streaming import jobs
+from lodestat.streaming import jobs, keyed
 
 L = f"WITH {R.SQL_LEDGER}"
 CUT, BEAT = "2024-01-16", "2024-03-30"
@@ -28,12 +28,17 @@ def st_append_ledger(spark, d):
     return out.where("ticker >= 0").select("ticker", "day", "kind")
 
 
+def arriving(rows):
+    """Rows that arrive when they happen, in two parts and a heartbeat."""
+    return keyed.by_arrival(rows.withColumn("arrived", F.col("ts")), [CUT], BEAT)
+
+
 @query("st_current_view", f"{L} SELECT ticker, {txt('ledger.day', 'day')}, arg_max(value, (ts, seq)) AS value FROM ledger GROUP BY ticker, ledger.day")
 def st_current_view(spark, d):
-    """Every micro-batch appends its updated keys; the view is the last update."""
-    build = lambda s: jobs.latest_updates(s.select("ticker", "day", "ts", "seq", "value"), ["ticker", "day"], ["ts", "seq"])
-    out = jobs.run(slices(spark, d), build, output="updates")
-    return out.where("ticker >= 0").groupBy("ticker", "day").agg(F.max_by("value", "batch").alias("value"))
+    """Every micro-batch puts out the keys that changed; a day's state goes two days after it."""
+    rows = events(spark, d).select("ticker", "day", "ts", "seq", "value")
+    out = keyed.run(arriving(rows), ["ticker", "day"], lambda: keyed.Latest(2, at_end=False), "ticker long, day string, at long, seq long, value double, late boolean")
+    return out.where("ticker >= 0 AND NOT late").groupBy("ticker", "day").agg(F.max_by("value", F.struct("at", "seq")).alias("value"))
 
 
 FP = "CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR)"
@@ -41,21 +46,27 @@ FP = "CAST(CAST(floor(value / 25) AS BIGINT) AS VARCHAR)"
 
 @query("st_fingerprint_change", f"{L}, f AS (SELECT ticker, seq, {FP} AS current, lag({FP}) OVER (PARTITION BY ticker ORDER BY ts, seq) AS previous FROM ledger) SELECT ticker, seq, previous, current FROM f WHERE previous IS NOT NULL AND previous <> current")
 def st_fingerprint_change(spark, d):
-    parts = [s.withColumn("fp", F.floor(F.col("value") / 25).cast("string")) for s in slices(spark, d)[:2]]
-    return jobs.run_stateful(parts, "ticker", jobs.changes("ticker", "fp"))
+    rows = events(spark, d).select("ticker", "ts", "seq", F.floor(F.col("value") / 25).cast("string").alias("fingerprint"))
+    return changed(rows)
 
 
 @query("st_officer_diff", f"{L}, f AS (SELECT ticker, seq, kind AS current, lag(kind) OVER (PARTITION BY ticker ORDER BY ts, seq) AS previous FROM ledger) SELECT ticker, seq, previous, current FROM f WHERE previous IS NOT NULL AND previous <> current")
 def st_officer_diff(spark, d):
-    return jobs.run_stateful(slices(spark, d)[:2], "ticker", jobs.changes("ticker", "kind"))
+    return changed(events(spark, d).select("ticker", "ts", "seq", F.col("kind").alias("fingerprint")))
+
+
+def changed(rows):
+    out = keyed.run(arriving(rows), ["ticker"], lambda: keyed.Changes(90), "ticker long, seq long, previous string, current string")
+    return out.where("ticker >= 0")
 
 
 @query("st_trigger_streak", f"""{L}, o AS (SELECT ticker, day, arg_max(value > 30, seq) AS hit FROM ledger GROUP BY ticker, day), i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY day) AS isle FROM o),
   s AS (SELECT ticker, day, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY ticker, isle ORDER BY day) AS BIGINT) AS streak FROM i)
   SELECT ticker, {txt('day')}, streak, CASE WHEN max(streak) OVER (PARTITION BY ticker ORDER BY s.day) >= 4 THEN 'broken' ELSE 'intact' END AS status FROM s""")
 def st_trigger_streak(spark, d):
-    parts = [s.withColumn("hit", F.col("value") > 30) for s in slices(spark, d)[:2]]
-    return jobs.run_stateful(parts, "ticker", jobs.streaks("ticker", 4))
+    rows = events(spark, d).select("ticker", "ts", "seq", "day", (F.col("value") > 30).alias("hit"))
+    out = keyed.run(arriving(rows), ["ticker"], lambda: keyed.Streaks(90, 4), "ticker long, day string, streak int, status string")
+    return out.where("ticker >= 0")
 
 
 def silent(asks, answers, hours):
@@ -106,18 +117,30 @@ def st_storm(spark, d):
     return out.where("fires > 1").select(stamp("start").alias("start"), F.concat(F.lit("storm:"), F.date_format("start", "yyyy-MM-dd")).alias("storm_key"), "fires")
 
 
-@query("st_late_restatement", f"WITH {R.SQL_FACTS} SELECT entity, tag, {txt('end_day')}, arg_max(value, (filed, seq)) AS value FROM facts GROUP BY entity, tag, facts.end_day", digits=2)
+CLOSED_AFTER, LATE_CUTS = 300, ("1994-07-01", "1996-07-01", "1998-07-01")
+# one filing in twenty reaches us 500 days after it was made
+ARRIVED = "CAST(filed AS TIMESTAMP) + CASE WHEN seq % 20 = 0 THEN INTERVAL 500 DAY ELSE INTERVAL 0 DAY END"
+LATE = f"""{R.SQL_FACTS}, ar AS (SELECT entity, tag, end_day, filed, seq, value, {ARRIVED} AS arrived FROM facts),
+  pt AS (SELECT *, {' + '.join(f"CAST(arrived >= TIMESTAMP '{c}' AS INTEGER)" for c in LATE_CUTS)} AS part FROM ar),
+  wm AS (SELECT part, max(max(arrived)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock FROM pt GROUP BY part),
+  lt AS (SELECT pt.*, coalesce(CAST(end_day AS TIMESTAMP) + INTERVAL {CLOSED_AFTER + 1} DAY <= clock, false) AS late FROM pt JOIN wm USING (part))"""
+
+
+def restatements(spark, d, progress=None):
+    """(entity, tag, end_day, at, seq, value, late): the value of every period when it closed, and the filings that came too late for it."""
+    f = R.facts(spark, d).select("entity", "tag", F.col("end_day").cast("string").alias("end_day"), F.col("filed").cast("timestamp").alias("ts"), "seq", "value")
+    f = f.withColumn("arrived", F.col("ts") + F.when(F.col("seq") % 20 == 0, F.expr("INTERVAL 500 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS")))
+    schema = "entity long, tag string, end_day string, at long, seq long, value double, late boolean"
+    return keyed.run(keyed.by_arrival(f, list(LATE_CUTS), "2005-01-01"), ["entity", "tag", "end_day"], lambda: keyed.Latest(CLOSED_AFTER, at_end=True), schema, progress=progress).where("entity >= 0")
+
+
+@query("st_late_restatement", f"WITH {LATE} SELECT entity, tag, {txt('lt.end_day', 'end_day')}, arg_max(value, (filed, seq)) AS value FROM lt WHERE NOT late GROUP BY entity, tag, lt.end_day", digits=2)
 def st_late_restatement(spark, d):
-    """A later filing replaces the value of its period; a filing that comes after the
-    period's window has closed is dropped."""
-    f = R.facts(spark, d).select("entity", "tag", F.col("end_day").cast("string").alias("end_day"), F.col("filed").cast("timestamp").alias("ts"), "value", "seq")
-    cut = F.lit("1998-07-01").cast("timestamp")
-    parts = [f.where(F.col("ts") < cut), f.where(F.col("ts") >= cut)]
-
-    def build(s):
-        keys = ["entity", "tag", "end_day"]
-        s = s.withWatermark("ts", "100 days")
-        return (s.groupBy(*keys, F.window("ts", "1000 days").alias("w")).agg(F.max_by(F.struct("value", "ts", "seq"), F.struct("ts", "seq")).alias("x"))
-                .select(*keys, F.col("w.start").alias("start"), "x.value", "x.ts", "x.seq"))
-    out = jobs.run(parts, build, output="updates")
-    return out.groupBy("entity", "tag", "end_day").agg(F.max_by("value", F.struct("ts", "seq", "batch")).alias("value"))
+    """A later filing replaces the value of its period until the period closes; the closed value is put out once."""
+    return restatements(spark, d).where("NOT late").select("entity", "tag", "end_day", "value")
+
+
+@query("st_late_rows", f"WITH {LATE} SELECT entity, tag, {txt('end_day')}, seq, value FROM lt WHERE late", digits=2)
+def st_late_rows(spark, d):
+    """The side output: filings that came after their period had closed."""
+    return restatements(spark, d).where("late").select("entity", "tag", "end_day", "seq", "value")

@@ -3,10 +3,8 @@
 lost with its executors resumes where it stood. Nothing goes through the driver."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestat.operators import chunks, ledger
 from lodestat.session import shared_dir
 
 HEARTBEAT = "heartbeat"
@@ -49,12 +47,6 @@ def deduplicated(stream: DataFrame, keys: list, delay: str) -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_updates(stream: DataFrame, keys: list, order: list) -> DataFrame:
-    """Latest row per key as rows arrive (update mode): reduce before state."""
-    rest = [c for c in stream.columns if c not in keys]
-    return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("w")).select(*keys, "w.*")
-
-
 def windowed(stream: DataFrame, keys: list, width: str, delay: str, aggs: list, slide: str | None = None) -> DataFrame:
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     g = stream.withWatermark("ts", delay).groupBy(w.alias("w"), *keys).agg(*aggs)
@@ -74,76 +66,3 @@ def unanswered(stream: DataFrame, asks: str, answers: str, within: str, delay: s
     b = w.where(F.col("kind").isin(answers, HEARTBEAT)).select(F.col("ticker").alias("t2"), F.col("ts").alias("answered"))
     cond = (F.col("ticker") == F.col("t2")) & (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"INTERVAL {within}"))
     return a.join(b, cond, "leftOuter").select("ticker", "seq", "asked", "answered")
-
-
-BUCKETS = 64
-
-
-def run_stateful(slices: list, key: str, step) -> DataFrame:
-    """Run a job whose state is a table, in buckets of the key's hash. Each micro-batch
-    is one ordinary batch job: ``step(rows, state)`` gives its results and the next
-    state. A batch reads and writes the buckets of its own keys alone, under its number,
-    so a replayed batch replaces itself and reads the same old state; a bucket's state is
-    the one of the last batch that wrote it. State and order are DataFrame work, so a hot
-    key is spread like any other."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    spark = slices[0].sparkSession
-    src, out, held, ckpt = (shared_dir(spark, f"stream-{p}") for p in ("in", "out", "state", "ckpt"))
-
-    def batch(rows, n):
-        rows = rows.persist()
-        state = None
-        if n > 0:
-            touched = rows.select(bucket.alias("bucket")).distinct()
-            every = spark.read.parquet(held).where(F.col("batch") < n)
-            newest = every.groupBy("bucket").agg(F.max("batch").alias("batch")).join(touched, "bucket", "left_semi")
-            state = every.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("bucket", "batch")      # at most BUCKETS rows
-        result, after = step(rows, state)
-        result.write.mode("overwrite").parquet(f"{out}/batch={n}")
-        after.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{held}/batch={n}")
-        rows.unpersist()
-
-    for rows in slices:
-        rows.write.mode("append").parquet(src)
-        stream = spark.readStream.schema(rows.schema).parquet(src)
-        (stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-         .foreachBatch(batch).start().awaitTermination())
-    return spark.read.parquet(out).drop("batch")
-
-
-def changes(key: str, fingerprint: str):
-    """Step: rows whose fingerprint differs from the previous one of their key; the
-    first is the baseline. The state is the last row of each key."""
-    def step(rows, state):
-        cols = [key, "ts", "seq", fingerprint]
-        x = rows.select(*cols, F.lit(False).alias("held"))
-        if state is not None:
-            x = x.unionByName(state.select(*cols, F.lit(True).alias("held")))
-        x = x.withColumn("chunk", F.to_date("ts"))
-        y = chunks.lag_in_chunks(x, [key], "chunk", ["ts", "seq"], fingerprint, "previous")
-        differs = ~F.col("held") & F.col("previous").isNotNull() & (F.col("previous") != F.col(fingerprint))
-        return (y.where(differs).select(key, "seq", "previous", F.col(fingerprint).alias("current")),
-                ledger.latest(x.select(*cols), [key], ["ts", "seq"]))
-    return step
-
-
-def streaks(key: str, needed: int):
-    """Step: consecutive hits per key over dates. A date counts once, a miss resets,
-    a tripped key stays broken, and dates already seen change nothing. Rows are
-    first reduced to one per key and date."""
-    def step(rows, state):
-        days = rows.groupBy(key, "day").agg(F.max_by("hit", "seq").alias("hit"))
-        if state is None:
-            days = days.withColumns({"s0": F.lit(0), "b0": F.lit(False)})
-        else:
-            days = (days.join(state.select(key, F.col("streak").alias("s0"), F.col("day").alias("d0"), F.col("broken").alias("b0")), key, "left")
-                    .where(F.col("d0").isNull() | (F.col("day") > F.col("d0"))).fillna({"s0": 0, "b0": False}).drop("d0"))
-        run = W.partitionBy(key).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-        isle = days.withColumn("isle", F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(run))
-        inside = W.partitionBy(key, "isle").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
-        n = isle.withColumn("streak", (F.sum(F.when(F.col("hit"), 1).otherwise(0)).over(inside) + F.when(F.col("isle") == 0, F.col("s0")).otherwise(0)).cast("int"))
-        n = n.withColumn("broken", F.col("b0") | (F.max("streak").over(run) >= needed))
-        last = n.select(key, "day", "streak", "broken")
-        last = last if state is None else last.unionByName(state)
-        return (n.select(key, "day", "streak", F.when(F.col("broken"), "broken").otherwise("intact").alias("status")), ledger.latest(last, [key], ["day"]))
-    return step
