@@ -107,14 +107,18 @@ def first_present(values: DataFrame, concepts: DataFrame, by=("entity", "end_day
             .agg(F.min_by("value", "priority").alias("value")))
 
 
+def tag_flows(periods: DataFrame) -> DataFrame:
+    """(entity, tag, scope, end_day, value): annual and quarterly flows of each tag's latest-filed spans."""
+    return (annual_flows(periods).withColumn("scope", F.lit("annual"))
+            .unionByName(quarterly_flows(periods).withColumn("scope", F.lit("quarterly"))))
+
+
 def chain_flows(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """(entity, label, scope, end_day, value): annual and quarterly flows derived
     per tag first, then merged along the chain (merging first would subtract one
     tag's cumulative from another's)."""
     periods = latest_filed(facts.join(concepts, "tag", "left_semi"), instant=False)
-    flows = (annual_flows(periods).withColumn("scope", F.lit("annual"))
-             .unionByName(quarterly_flows(periods).withColumn("scope", F.lit("quarterly"))))
-    return first_present(flows, concepts, by=("entity", "scope", "end_day"))
+    return first_present(tag_flows(periods), concepts, by=("entity", "scope", "end_day"))
 
 
 def compose_spans(periods: DataFrame, parts: tuple, label: str) -> DataFrame:

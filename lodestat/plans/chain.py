@@ -4,23 +4,26 @@ evaluation and the sector grades follow. Nothing filed, split or traded after th
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.operators import asof, pit
+from lodestat.operators import asof, pit, rules
 from lodestat.plans import evaluate as E
 from lodestat.plans import grading
 
 
-def statements_at(facts: DataFrame, as_of, flows: dict, points: dict) -> DataFrame:
+def statements_at(facts: DataFrame, as_of, flows: dict, points: dict, spans: dict | None = None) -> DataFrame:
     """Wide rows (entity, scope, period_end, a column per label) as they were known: ``flows`` and ``points`` map a label to its
-    chain of tags. A day that only has points is a quarterly row of its own."""
-    spark, known = facts.sparkSession, pit.visible(facts, as_of)
-    f = pit.chain_flows(known, pit.concept_table(spark, flows))
-    wide = f.groupBy("entity", "scope", F.col("end_day").alias("period_end")).agg(*[F.max(F.when(F.col("label") == c, F.col("value"))).alias(c) for c in flows])
-    concepts = pit.concept_table(spark, points)
-    p = pit.latest_filed(known.where("start_day IS NULL").join(concepts, "tag", "left_semi"), instant=True)
-    p = pit.first_present(p.select("entity", "tag", "end_day", "value"), concepts)
-    p = p.groupBy("entity", F.col("end_day").alias("period_end")).agg(*[F.max(F.when(F.col("label") == c, F.col("value"))).alias(c) for c in points])
-    quarterly = wide.where("scope = 'quarterly'").drop("scope").join(p, ["entity", "period_end"], "full_outer").withColumn("scope", F.lit("quarterly"))
-    annual = wide.where("scope = 'annual'").join(p, ["entity", "period_end"], "left")
+    rule (``operators.rules``; a bare chain of tags will do). ``spans`` names tags that are the sum of others over exactly the same
+    span, summed before quarters are derived. A day that only has points is a quarterly row of its own."""
+    known, spans = pit.visible(facts, as_of), spans or {}
+    tags = {*rules.names(flows), *(t for parts in spans.values() for t in parts)}
+    periods = pit.latest_filed(known.where(F.col("tag").isin(*sorted(tags))), instant=False).select("entity", "tag", *pit.SPAN, "value")
+    for label, parts in spans.items():
+        periods = periods.unionByName(pit.compose_spans(periods, tuple(parts), label))
+    by = ("entity", "scope", "end_day")
+    f = rules.wide(rules.resolve(pit.tag_flows(periods), flows, by=by), flows, by).withColumnRenamed("end_day", "period_end")
+    p = pit.latest_filed(known.where(F.col("start_day").isNull() & F.col("tag").isin(*rules.names(points))), instant=True)
+    p = rules.wide(rules.resolve(p, points), points).withColumnRenamed("end_day", "period_end")
+    quarterly = f.where("scope = 'quarterly'").drop("scope").join(p, ["entity", "period_end"], "full_outer").withColumn("scope", F.lit("quarterly"))
+    annual = f.where("scope = 'annual'").join(p, ["entity", "period_end"], "left")
     return quarterly.unionByName(annual).select("entity", "scope", "period_end", *flows, *points)
 
 
