@@ -4,12 +4,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestat import relations as R
-from lodestat.catalog import sqlx
+from lodestat.catalog import reported, sqlx
 from lodestat.catalog.c_grading import prepared, share_series
 from lodestat.catalog.c_series import LEV, MOM, RET, dd_sql
 from lodestat.catalog.registry import query, rnd, txt
+from lodestat.functions import concepts
 from lodestat.operators import fragility as X
-from lodestat.operators import pit, series
+from lodestat.operators import pit, rules, series
 from lodestat.operators import statements as S
 from lodestat.plans import fragile
 from lodestat.session import staged
@@ -28,13 +29,17 @@ def gross_profit(spark, d):
     return annual(spark, d).select("entity", "period_end", F.coalesce("gross_profit", F.col("revenue") - F.col("cost")).alias("gross_profit"))
 
 
-@query("debt_composition", f"""{ST} SELECT entity, {txt('period_end')}, round(CASE WHEN debt IS NOT NULL THEN debt WHEN nci IS NOT NULL OR goodwill IS NOT NULL THEN coalesce(nci, 0) + coalesce(goodwill, 0) + coalesce(deferred, 0) END, 6) AS total_debt FROM dv WHERE scope = 'quarterly'""")
+COMPOSED = ("debt", "nci", "working_capital")
+
+
+@query("debt_composition", f"""WITH {reported.SQL_REPORTED}, x AS (SELECT entity, period_end, debt, nci, current_assets - current_liabilities AS working_capital FROM stm WHERE scope = 'quarterly')
+  SELECT entity, {txt('period_end')}, round(debt, 6) AS debt, round(nci, 6) AS nci, round(working_capital, 6) AS working_capital FROM x WHERE coalesce(debt, nci, working_capital) IS NOT NULL""")
 def debt_composition(spark, d):
-    """Long-term chain, else noncurrent + current + short pieces; a missing leg is 0
-    only where a long-term piece exists (pieces here: nci, goodwill, deferred)."""
-    z = lambda c: F.coalesce(c, F.lit(0.0))
-    pieces = F.when(F.col("nci").isNotNull() | F.col("goodwill").isNotNull(), z("nci") + z("goodwill") + z("deferred"))
-    return R.statements(spark, d).where("scope = 'quarterly'").select("entity", "period_end", F.coalesce("debt", pieces).alias("total_debt"))
+    """Composed balances of each date: debt as the long-term chain, else noncurrent, current and short pieces (a missing one is 0
+    only beside a long-term piece); minority interest and working capital as differences of which both sides must be there."""
+    known = pit.latest_filed(reported.filed(R.statements(spark, d).where("scope = 'quarterly'")).where("start_day IS NULL"), instant=True)
+    composed = {c: concepts.POINTS[c] for c in COMPOSED}
+    return rules.wide(rules.resolve(known, composed), composed).select("entity", F.col("end_day").alias("period_end"), *COMPOSED)
 
 
 SECTION = ("cash", "debt", "equity", "nci", "goodwill")

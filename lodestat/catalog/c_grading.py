@@ -4,10 +4,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestat import relations as R
-from lodestat.catalog import sqlx
+from lodestat.catalog import reported, sqlx
 from lodestat.catalog.registry import query, rnd, txt
+from lodestat.functions import concepts
 from lodestat.functions import valuation as V
-from lodestat.operators import asof, cohorts, pit, ranks
+from lodestat.operators import asof, cohorts, pit, ranks, rules
 from lodestat.operators import statements as S
 from lodestat.plans import chain
 from lodestat.plans import evaluate as E
@@ -49,7 +50,7 @@ def scored(spark, d):
 
 
 # every statement column as a filed fact: flows over their span, the balance of a quarter at its day
-AS_OF = "2000-06-30"
+AS_OF, ALL_FILED = "2000-06-30", "2100-01-01"
 POINTS = S.BALANCE
 FLOWS = tuple(c for c in R.LABELS if c not in POINTS)
 
@@ -73,23 +74,28 @@ def market_at(spark, d, as_of):
     return px.join(n, "entity").select("entity", cap.alias("market_cap"), "price", F.when(F.col("entity") % 4 == 0, cap * 0.7).alias("vendor_ev"))
 
 
-def known_only(sql: str) -> str:
-    """The same SQL over what was known at AS_OF."""
-    for part, name, rule in ((R.SQL_STATEMENTS, "stm", "period_end + 30 <="), (R.SQL_BARS, "bars", "day <="), (R.SQL_SHARES, "share_counts", "filed <="), (R.SQL_SPLITS, "splits", "day <=")):
+def known_only(sql: str, statements: str = R.SQL_STATEMENTS) -> str:
+    """The same SQL over what was known at AS_OF, on the given statements."""
+    sql = sql.replace(R.SQL_STATEMENTS, statements)
+    for part, name, rule in ((statements, "stm", "period_end + 30 <="), (R.SQL_BARS, "bars", "day <="), (R.SQL_SHARES, "share_counts", "filed <="), (R.SQL_SPLITS, "splits", "day <=")):
         cut = f"{part.replace(f'{name} AS (', f'{name}_all AS (')}, {name} AS (SELECT * FROM {name}_all WHERE {rule} DATE '{AS_OF}')"
         sql = sql.replace(part, cut)
     return sql
 
 
-@query("facts_to_grades", f"WITH {known_only(sqlx.SQL_SCORE)} SELECT entity, sector, grade, round(composite, 3) AS composite, basis FROM scored", digits=3)
+def tagged_statements(spark, d, as_of):
+    """Statements known at the date, from facts under the tags that companies use."""
+    facts = reported.filed(staged(spark, d, "statements", lambda: R.statements(spark, d)))
+    return stage(chain.statements_at(facts, as_of, reported.FLOWS, reported.POINTS, concepts.SPANS), "tagged")
+
+
+@query("facts_to_grades", f"WITH {known_only(sqlx.SQL_SCORE, reported.SQL_REPORTED)} SELECT entity, sector, grade, round(composite, 3) AS composite, basis FROM scored", digits=3)
 def facts_to_grades(spark, d):
     """Filed facts to sector grades at a date."""
     meta = R.universe(spark, d).select(F.col("symbol").alias("entity"), "sector", "industry")
     counts = R.share_counts(spark, d)
     shares = stage(chain.shares_at(counts, R.splits(spark, d), AS_OF).withColumn("value", F.col("value") / 10), "shares")
-    facts = stage(filed_statements(spark, d), "facts")
-    st = stage(chain.statements_at(facts, AS_OF, {c: (c,) for c in FLOWS}, {c: (c,) for c in POINTS}), "statements")
-    ev = stage(E.evaluate(st, shares, market_at(spark, d, AS_OF), meta), "evaluated")
+    ev = stage(E.evaluate(tagged_statements(spark, d, AS_OF), shares, market_at(spark, d, AS_OF), meta), "evaluated")
     return G.score(ev).select("entity", "sector", "grade", "composite", "basis")
 
 
@@ -111,9 +117,12 @@ def latest_balance(spark, d):
 METRICS = ("v_yield", "p_ofcf", "roic", "gm_level", "gm_cv", "ofcf_margin", "rev_growth", "ps_growth", "nd2e", "sbc_pct", "share_trend", "accrual", "gap_pct")
 
 
-@query("evaluate", f"{EV} SELECT entity, sector, basis, {', '.join(rnd(m, digits=4) for m in METRICS)}, share_class, all_negative, required_gap, array_to_string(flags, ',') AS flags FROM ev", digits=4)
+@query("evaluate", f"{reported.reported_sql(EV)} SELECT entity, sector, basis, {', '.join(rnd(m, digits=4) for m in METRICS)}, share_class, all_negative, required_gap, array_to_string(flags, ',') AS flags FROM ev", digits=4)
 def evaluate(spark, d):
-    return evaluated(spark, d).select("entity", "sector", "basis", *METRICS, "share_class", "all_negative", "required_gap", F.array_join("flags", ",").alias("flags"))
+    """Metrics of every entity from facts under the tags that companies use."""
+    meta = R.universe(spark, d).select(F.col("symbol").alias("entity"), "sector", "industry")
+    ev = E.evaluate(tagged_statements(spark, d, ALL_FILED), staged(spark, d, "shares", lambda: share_series(spark, d)), market(spark, d), meta)
+    return ev.select("entity", "sector", "basis", *METRICS, "share_class", "all_negative", "required_gap", F.array_join("flags", ",").alias("flags"))
 
 
 @query("veto_ladder", f"{EV} SELECT entity, veto_rule IN (1, 2, 3, 4, 6) AS vetoed, CASE WHEN veto_rule = 7 THEN -15 ELSE 0 END AS penalty, {sqlx.REASON} AS reason FROM ev")
@@ -180,16 +189,45 @@ def owner_fcf(spark, d):
     return R.statements(spark, d).select("entity", "scope", "period_end", V.owner_fcf().alias("owner_fcf"))
 
 
-@query("credit_loss", f"{ST} SELECT entity, {txt('period_end')}, round(coalesce(credit_loss, 0), 6) AS add_backs, round(CASE WHEN ocf > 0 THEN coalesce(credit_loss, 0) / ocf END, 6) AS share_of_ocf FROM stm WHERE scope = 'annual'")
-def credit_loss(spark, d):
-    loss = F.coalesce("credit_loss", F.lit(0.0))
-    return S.annual(R.statements(spark, d)).select("entity", "period_end", loss.alias("add_backs"), F.when(F.col("ocf") > 0, loss / F.col("ocf")).alias("share_of_ocf"))
+_ADDED = " + ".join(f'coalesce("{row}", 0)' for row in concepts.CREDIT_LOSS_ROWS if row in reported.ROWS)
 
 
-@query("row_chain", f"{ST} SELECT entity, scope, {txt('period_end')}, round(coalesce(gross_profit, ebit, revenue), 2) AS value FROM stm", digits=2)
+@query("credit_loss", f"""WITH {reported.SQL_ROWS}, x AS (SELECT entity, period_end, {_ADDED} AS add_backs, "Operating Cash Flow" AS ocf FROM vendor WHERE scope = 'annual')
+  SELECT entity, {txt('period_end')}, round(add_backs, 6) AS add_backs, round(CASE WHEN ocf > 0 THEN add_backs / ocf END, 6) AS share_of_ocf FROM x""")
+def credit_loss(spark, d):
+    """Add-back rows of a year, summed where present, and their share of operating cash."""
+    by = ("entity", "period_end")
+    years = R.statements(spark, d).where("scope = 'annual'")
+    table = {**concepts.CREDIT_LOSS, "ocf": concepts.ROWS["ocf"]}
+    w = rules.wide(rules.resolve(reported.rows(years), table, "row", by), table, by)
+    loss = F.coalesce("credit_loss", F.lit(0.0))
+    return years.select(*by).join(w, list(by), "left").select(*by, loss.alias("add_backs"), F.when(F.col("ocf") > 0, loss / F.col("ocf")).alias("share_of_ocf"))
+
+
+def _row_chain_sql() -> str:
+    """Long rows of every label: the value and the row that it came from, by a CASE along the chain."""
+    arms = []
+    for label, rule in {**concepts.ROWS, "deferred": None}.items():
+        if label == "deferred":
+            cur, non = '"Current Deferred Revenue"', '"Non Current Deferred Revenue"'
+            value = f'CASE WHEN {cur} IS NOT NULL THEN {cur} + coalesce({non}, 0) ELSE "Deferred Revenue" END'
+            source = f"CASE WHEN {cur} IS NULL THEN 'Deferred Revenue' WHEN {non} IS NULL THEN 'Current Deferred Revenue' ELSE 'Current Deferred Revenue + Non Current Deferred Revenue' END"
+        else:
+            have = [row for row in rule if row in reported.ROWS]
+            if not have:
+                continue
+            value = "coalesce(" + ", ".join(f'"{row}"' for row in have) + ")"
+            source = "CASE " + " ".join(f"""WHEN "{row}" IS NOT NULL THEN '{row}'""" for row in have) + " END"
+        arms.append(f"SELECT entity, scope, period_end, '{label}' AS label, {value} AS value, {source} AS source FROM vendor")
+    return " UNION ALL ".join(arms)
+
+
+@query("row_chain", f"WITH {reported.SQL_ROWS}, x AS ({_row_chain_sql()}) SELECT entity, scope, {txt('period_end')}, label, round(value, 4) AS value, source FROM x WHERE value IS NOT NULL", digits=4)
 def row_chain(spark, d):
-    """First present label along a chain."""
-    return R.statements(spark, d).select("entity", "scope", "period_end", F.coalesce("gross_profit", "ebit", "revenue").alias("value"))
+    """Every label of a vendor's statement by its chain or sum of rows, with the rows that it came from."""
+    by = ("entity", "scope", "period_end")
+    out = rules.resolve(reported.rows(R.statements(spark, d)), {**concepts.ROWS, **concepts.DEFERRED}, "row", by)
+    return out.select(*by, "label", "value", F.array_join("names", " + ").alias("source"))
 
 
 @query("cagr", f"{ST}, {sqlx.SQL_TTM}, {R.SQL_SHARES}, {R.SQL_SPLITS}, ser0 AS (SELECT entity, end_day, arg_max(value, (filed, seq, value)) / 10 AS value FROM share_counts GROUP BY ALL), shr AS (SELECT * FROM ser0), {sqlx.SQL_ANNUAL} SELECT entity, {rnd('rev_growth', digits=4)} FROM af", digits=4)
