@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from lodestat import relations as R
 from lodestat.catalog.registry import query, rnd, txt
+from lodestat.operators import monitor
 from lodestat.operators import portfolio as P
 from lodestat.operators import triggers as T
+from lodestat.session import stage, staged
 
 # (id, kind, metric, op, threshold, needed, action) as SQL over s_suppkey
 SPECS = (("'T1'", "'metric'", "'gross_margin'", "'<'", "40.0 + s_suppkey % 20", "2", "'break'"),
@@ -73,9 +75,11 @@ STREAK = f"""ck AS (SELECT t.entity, t.id, t.needed, t.action, v.period_end AS d
   sk AS (SELECT *, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY entity, id, isle ORDER BY day) AS BIGINT) AS streak FROM isl)"""
 
 
-def streak_rows(spark, d):
-    rows = T.rows(docs(spark, d)).where("kind = 'metric'")
-    v = metric_values(spark, d).where("value IS NOT NULL").withColumnRenamed("period_end", "day")
+def streak_rows(spark, d, keys=None):
+    """Streaks of all theses, or of the given ones."""
+    only = lambda df: df if keys is None else df.join(keys, "entity", "left_semi")
+    rows = T.rows(only(docs(spark, d))).where("kind = 'metric'")
+    v = only(metric_values(spark, d)).where("value IS NOT NULL").withColumnRenamed("period_end", "day")
     hit = F.coalesce(T.hit(F.col("value"), F.col("op"), F.col("threshold")), F.lit(False))
     checks = rows.join(v, ["entity", "metric"]).select("entity", "id", "day", F.lit(0).alias("seq"), hit.alias("hit"))
     return T.streaks(checks)
@@ -115,9 +119,10 @@ ROLL = f"""{TR}, {STREAK}, {VERDICTS}, ls AS (SELECT entity, id, arg_max(streak,
   roll AS (SELECT entity, CASE WHEN doc_status = 'broken' OR broken_by <> '' THEN 'broken' WHEN review_by <> '' THEN 'under_review' ELSE 'intact' END AS status, broken_by, review_by, unchecked FROM rg)"""
 
 
-def results(spark, d):
-    last = streak_rows(spark, d).groupBy("entity", "id").agg(F.max_by("streak", "day").alias("streak")).withColumn("kind", F.lit("metric"))
-    j = T.rows(docs(spark, d)).join(last, ["entity", "id", "kind"], "left").join(verdicts(spark, d), "entity", "left")
+def results(spark, d, keys=None, answers=None):
+    only = lambda df: df if keys is None else df.join(keys, "entity", "left_semi")
+    last = streak_rows(spark, d, keys).groupBy("entity", "id").agg(F.max_by("streak", "day").alias("streak")).withColumn("kind", F.lit("metric"))
+    j = T.rows(only(docs(spark, d))).join(last, ["entity", "id", "kind"], "left").join(verdicts(spark, d) if answers is None else answers, "entity", "left")
     metric = F.col("kind") == "metric"
     return j.withColumns({
         "checked": F.when(metric, F.col("streak").isNotNull()).otherwise(F.col("v_tripped").isNotNull()),
@@ -130,8 +135,31 @@ def thesis_rollup(spark, d):
     return T.rollup(results(spark, d))
 
 
-@query("monitor_run", f"{ROLL} SELECT status, count(*) AS theses, count(*) FILTER (unchecked <> '') AS with_gaps FROM roll GROUP BY status")
+REPORT_SQL = """rm AS (SELECT *, CASE WHEN NOT checked THEN 'unchecked' WHEN br THEN 'broke' WHEN tripped THEN 'review' ELSE 'ok' END AS mark,
+    CASE WHEN kind = 'metric' AND checked THEN streak || ' of ' || needed || ' checks' WHEN kind = 'metric' THEN 'no value' WHEN NOT checked THEN 'no verdict'
+      ELSE CASE WHEN tripped THEN 'tripped' ELSE 'not tripped' END || ' (' || confidence || ' confidence)' || CASE WHEN tripped AND kind = 'event' AND action = 'break' AND confidence <> 'high' THEN ', asks for review' ELSE '' END END AS reason
+    FROM (SELECT rf.*, ls.streak FROM rf LEFT JOIN ls ON ls.entity = rf.entity AND ls.id = rf.id)),
+  rep AS (SELECT entity, string_agg(id || '|' || kind || '|' || action || '|' || mark || '|' || reason, '; ' ORDER BY pos) AS triggers, string_agg(id, ',' ORDER BY pos) FILTER (mark = 'broke') AS broken_by,
+    string_agg(id, ',' ORDER BY pos) FILTER (mark = 'review') AS review_by, string_agg(id, ',' ORDER BY pos) FILTER (mark = 'unchecked') AS unchecked FROM rm GROUP BY entity)"""
+
+
+@query("monitor_run", f"""{ROLL}, {REPORT_SQL} SELECT rep.entity, roll.status, coalesce(rep.broken_by, '') AS broken_by, coalesce(rep.review_by, '') AS review_by, coalesce(rep.unchecked, '') AS unchecked, triggers,
+   rep.entity % 3 = 0 AND vd.entity IS NOT NULL AS retested FROM rep JOIN roll ON roll.entity = rep.entity LEFT JOIN vd ON vd.entity = rep.entity""")
 def monitor_run(spark, d):
+    """The second of two runs: verdicts on every third thesis arrived in between, so that only these are tested again."""
+    theses = docs(spark, d).select("entity", "status")
+    answers = staged(spark, d, "verdicts", lambda: verdicts(spark, d))
+    inputs = (T.rows(docs(spark, d)), metric_values(spark, d))
+    early = answers.where("entity % 3 <> 0")
+    first = stage(monitor.run(theses, monitor.fingerprints(*inputs, early), lambda keys: results(spark, d, keys, early)), "monitor")
+    out = monitor.run(theses, monitor.fingerprints(*inputs, answers), lambda keys: results(spark, d, keys, answers), first)
+    line = F.transform("triggers", lambda t: F.concat_ws("|", t["id"], t["kind"], t["action"], t["mark"], t["reason"]))
+    return out.select("entity", "status", *[F.array_join(c, ",").alias(c) for c in ("broken_by", "review_by", "unchecked")], F.array_join(line, "; ").alias("triggers"), "retested")
+
+
+@query("monitor_counts", f"{ROLL} SELECT status, count(*) AS theses, count(*) FILTER (unchecked <> '') AS with_gaps FROM roll GROUP BY status")
+def monitor_counts(spark, d):
+    """Theses per status, and those with a trigger that could not be checked."""
     return T.rollup(results(spark, d)).groupBy("status").agg(F.count("*").alias("theses"), F.count_if(F.col("unchecked") != "").alias("with_gaps"))
 
 

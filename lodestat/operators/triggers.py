@@ -23,8 +23,8 @@ def margin(value: Column, op: Column, threshold: Column) -> Column:
 
 
 def rows(docs: DataFrame) -> DataFrame:
-    """One row per trigger of each document."""
-    return docs.select("entity", "status", F.explode("triggers").alias("t")).select("entity", F.col("status").alias("doc_status"), "t.*")
+    """One row per trigger of each document, with its place."""
+    return docs.select("entity", "status", F.posexplode("triggers").alias("pos", "t")).select("entity", F.col("status").alias("doc_status"), "pos", "t.*")
 
 
 def violations(docs: DataFrame) -> DataFrame:
