@@ -89,14 +89,22 @@ def tagged_statements(spark, d, as_of):
     return stage(chain.statements_at(facts, as_of, reported.FLOWS, reported.POINTS, concepts.SPANS), "tagged")
 
 
-@query("facts_to_grades", f"WITH {known_only(sqlx.SQL_SCORE, reported.SQL_REPORTED)} SELECT entity, sector, grade, round(composite, 3) AS composite, basis FROM scored", digits=3)
-def facts_to_grades(spark, d):
-    """Filed facts to sector grades at a date."""
+GRADED_AT = f"WITH {known_only(sqlx.SQL_SCORE, reported.SQL_REPORTED)}"
+
+
+def graded_at(spark, d):
+    """Filed facts to sector grades at AS_OF."""
     meta = R.universe(spark, d).select(F.col("symbol").alias("entity"), "sector", "industry")
     counts = R.share_counts(spark, d)
     shares = stage(chain.shares_at(counts, R.splits(spark, d), AS_OF).withColumn("value", F.col("value") / 10), "shares")
     ev = stage(E.evaluate(tagged_statements(spark, d, AS_OF), shares, market_at(spark, d, AS_OF), meta), "evaluated")
-    return G.score(ev).select("entity", "sector", "grade", "composite", "basis")
+    return G.score(ev)
+
+
+@query("facts_to_grades", f"{GRADED_AT} SELECT entity, sector, grade, round(composite, 3) AS composite, basis FROM scored", digits=3)
+def facts_to_grades(spark, d):
+    """Filed facts to sector grades at a date."""
+    return graded_at(spark, d).select("entity", "sector", "grade", "composite", "basis")
 
 
 @query("ttm_all_or_null", f"{TTM} SELECT entity, basis, quarters, {txt('through')}, {', '.join(rnd(c, digits=4) for c in ('revenue', 'ebitda', 'ocf', 'capex', 'sbc', 'owner_fcf', 'interest', 'credit_loss'))} FROM ttm", digits=4)

@@ -8,15 +8,15 @@ from lodestat.catalog import sqlcard, sqlx
 from lodestat.catalog.c_card import cards
 from lodestat.catalog.c_fragile import EV
 from lodestat.catalog.c_grading import FLOWS as FLOW_LABELS
-from lodestat.catalog.c_grading import POINTS, evaluated, filed_statements, market, prepared, scored, share_series
+from lodestat.catalog.c_grading import GRADED_AT, METRICS, POINTS, evaluated, filed_statements, graded_at, market, prepared, scored, share_series
 from lodestat.catalog.c_pit import CHAIN_SQL, CHAINS, FLOWS, LATEST
 from lodestat.catalog.c_series import quarter_ticks
 from lodestat.catalog.registry import query, rnd, txt
-from lodestat.functions import labels, valuation as V
+from lodestat.functions import labels, names, valuation as V
 from lodestat.operators import cohorts, pit, ranks
 from lodestat.operators import statements as S
-from lodestat.plans import archive, bundle, ticks
-from lodestat.session import stage
+from lodestat.plans import archive, bundle, site, ticks
+from lodestat.session import stage, staged
 
 ST = f"WITH {R.SQL_STATEMENTS}"
 
@@ -298,12 +298,57 @@ def grade_archive(spark, d):
     return archive.grade(m).select("entity", "grade", "composite")
 
 
-@query("site_model", f"""WITH {sqlx.SQL_SCORE}, {sqlcard.MOS}, {sqlcard.YEARS}, {sqlcard.BUFFETT}, {sqlcard.CARD} SELECT s.sector, count(*) AS names, count(s.composite) AS graded, count(*) FILTER (s.grade = 'VETOED') AS vetoed, round(avg(s.composite), 3) AS mean_composite, round(avg(c.pct), 3) AS mean_card_pct, count(*) FILTER (c.evidence = 'full') AS full_evidence
+@query("site_sectors", f"""WITH {sqlx.SQL_SCORE}, {sqlcard.MOS}, {sqlcard.YEARS}, {sqlcard.BUFFETT}, {sqlcard.CARD} SELECT s.sector, count(*) AS names, count(s.composite) AS graded, count(*) FILTER (s.grade = 'VETOED') AS vetoed, round(avg(s.composite), 3) AS mean_composite, round(avg(c.pct), 3) AS mean_card_pct, count(*) FILTER (c.evidence = 'full') AS full_evidence
   FROM scored s LEFT JOIN card c ON c.entity = s.entity GROUP BY s.sector""", digits=3)
-def site_model(spark, d):
+def site_sectors(spark, d):
     """Sector table of grades and cards."""
     s = scored(spark, d).select("entity", "sector", "composite", "grade")
     c = cards(spark, d).select("entity", "pct", "evidence")
     return s.join(c, "entity", "left").groupBy("sector").agg(
         F.count("*").alias("names"), F.count("composite").alias("graded"), F.count_if(F.col("grade") == "VETOED").alias("vetoed"), F.avg("composite").alias("mean_composite"),
         F.avg("pct").alias("mean_card_pct"), F.count_if(F.col("evidence") == "full").alias("full_evidence"))
+
+
+# industries by company, so that every tier holds names
+INDUSTRY = "CASE entity % 5 WHEN 0 THEN 'Software' WHEN 1 THEN 'IT Services' WHEN 2 THEN 'Capital Markets' WHEN 3 THEN 'Shipping' END"
+SITE_COLUMNS = f"entity, sector, CASE WHEN entity % 5 = 0 THEN 'Core' WHEN entity % 5 IN (1, 2) THEN 'Adjacent' ELSE 'Outside' END AS tier, grade, composite, {', '.join(METRICS)}"
+# the earlier run does not know every seventh company, the later one does not know every eleventh
+SQL_SITE = f"""WITH o AS (SELECT * FROM ({GRADED_AT} SELECT {SITE_COLUMNS} FROM scored) WHERE entity % 7 <> 0), n AS (SELECT * FROM (WITH {sqlx.SQL_SCORE} SELECT {SITE_COLUMNS} FROM scored) WHERE entity % 11 <> 0)"""
+
+
+def site_runs(spark, d):
+    """(before, after): the grades at a past date and those of all facts."""
+    columns = ("entity", "sector", names.industry_tier(F.expr(INDUSTRY)).alias("tier"), "grade", "composite", *METRICS)
+    old = staged(spark, d, "site_before", lambda: graded_at(spark, d).select(*columns))
+    return old.where("entity % 7 <> 0"), scored(spark, d).select(*columns).where("entity % 11 <> 0")
+
+
+def _present(side: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {side}.{m} IS NOT NULL THEN '{m}' END" for m in METRICS) + "], lambda x: x IS NOT NULL)"
+
+
+@query("site_model", f"""{SQL_SITE}, rk AS (SELECT entity, rank() OVER (ORDER BY composite DESC) AS rank, rank() OVER (PARTITION BY sector ORDER BY composite DESC) AS sector_rank FROM n WHERE composite IS NOT NULL),
+  ro AS (SELECT entity, rank() OVER (ORDER BY composite DESC) AS rank FROM o WHERE composite IS NOT NULL),
+  j AS (SELECT coalesce(n.entity, o.entity) AS entity, coalesce(n.sector, o.sector) AS sector, coalesce(n.tier, o.tier) AS tier, CASE WHEN o.entity IS NULL THEN 'joined' WHEN n.entity IS NULL THEN 'left' ELSE 'kept' END AS state,
+    n.grade, n.composite, o.grade AS grade_before, {_present('n')} AS now, {_present('o')} AS old FROM n FULL JOIN o ON o.entity = n.entity)
+  SELECT j.entity, sector, tier, state, grade, round(composite, 3) AS composite, rk.rank, sector_rank, grade_before, ro.rank AS rank_before, ro.rank - rk.rank AS places_won, len(now) AS metrics, len(old) AS metrics_before,
+   array_to_string(list_filter(now, lambda x: NOT list_contains(old, x)), ',') AS gained, array_to_string(list_filter(old, lambda x: NOT list_contains(now, x)), ',') AS lost
+  FROM j LEFT JOIN rk ON rk.entity = j.entity LEFT JOIN ro ON ro.entity = j.entity""", digits=3)
+def site_model(spark, d):
+    """One row per name: grade and ranks now and before, metrics gained and lost between two runs."""
+    rows = site.name_rows(*site_runs(spark, d), METRICS)
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("gained", "lost")}).withColumns({c: F.col(c).cast("bigint") for c in ("metrics", "metrics_before")})
+
+
+_CELLS = " UNION ALL ".join(f"SELECT tier, sector, '{m}' AS metric, o_here, n_here, coalesce(o_{m}, false) AS o, coalesce(n_{m}, false) AS n FROM b" for m in METRICS)
+
+
+@query("site_coverage", f"""{SQL_SITE}, b AS (SELECT coalesce(n.tier, o.tier) AS tier, coalesce(n.sector, o.sector) AS sector, o.entity IS NOT NULL AS o_here, n.entity IS NOT NULL AS n_here,
+    {', '.join(f'o.{m} IS NOT NULL AS o_{m}, n.{m} IS NOT NULL AS n_{m}' for m in METRICS)} FROM n FULL JOIN o ON o.entity = n.entity), c AS ({_CELLS}),
+  g AS (SELECT CASE WHEN GROUPING(tier) = 0 THEN 'tier' WHEN GROUPING(sector) = 0 THEN 'sector' ELSE 'all' END AS level, coalesce(tier, sector) AS part, metric, count(*) FILTER (o_here) AS eligible_before, count(*) FILTER (n_here) AS eligible,
+    count(*) FILTER (o) AS measured_before, count(*) FILTER (n) AS measured, count(*) FILTER (n AND NOT o) AS gained, count(*) FILTER (o AND NOT n) AS lost FROM c
+    GROUP BY GROUPING SETS ((tier, metric), (sector, metric), (metric), (tier), (sector), ()))
+  SELECT *, round(CASE WHEN eligible > 0 THEN 100.0 * measured / eligible ELSE 0 END - CASE WHEN eligible_before > 0 THEN 100.0 * measured_before / eligible_before ELSE 0 END, 4) AS gain_points FROM g""", digits=4)
+def site_coverage(spark, d):
+    """Coverage of every metric before and after, by tier, by sector and over all."""
+    return site.coverage(*site_runs(spark, d), METRICS)
