@@ -196,18 +196,33 @@ def idempotent_import(spark, d):
     return files.pending_imports(docs.select("name", "content_hash"), log)
 
 
-@query("scan_broker_csv", f"""WITH {R.SQL_POSITIONS}, t AS (SELECT as_of, SUM(CAST(round(mv * 100) AS BIGINT)) / 100.0 AS total FROM positions
-    WHERE symbol % 17 <> 0 AND instrument_type <> 'copyportfolio' GROUP BY ALL)
-  SELECT {txt('p.as_of', 'as_of')}, CAST(symbol AS VARCHAR) AS symbol, instrument_type, quantity, mv, round(mv / total, 6) AS weight, leverage
-  FROM positions p JOIN t ON t.as_of = p.as_of WHERE symbol % 17 <> 0 AND instrument_type <> 'copyportfolio'""")
+BROKER = f"""WITH {R.SQL_POSITIONS}, b AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY symbol) AS line, CASE WHEN symbol % 23 = 5 THEN 'market_value_eur' WHEN instrument_type = 'copyportfolio' THEN NULL
+    WHEN symbol % 17 = 0 THEN 'quantity' WHEN symbol % 29 = 3 THEN 'leverage' END AS wrong FROM positions)"""
+
+
+def broker_files(spark, d):
+    """One export per snapshot, its rows by symbol; some numbers are no numbers, copied portfolios are booked as cash."""
+    p, k = R.positions(spark, d), F.col("symbol")
+    path, text = shared_dir(spark, "broker"), lambda c: F.col(c).cast("string")
+    p.repartition("as_of").sortWithinPartitions("as_of", "symbol").select(
+        F.col("as_of").alias("snapshot"), "as_of", k.cast("string").alias("symbol"), F.when(F.col("instrument_type") == "copyportfolio", "cash").otherwise(F.col("instrument_type")).alias("instrument_type"),
+        F.when(k % 17 == 0, "?").otherwise(text("quantity")).alias("quantity"), F.when(k % 23 == 5, "n/a").otherwise(F.col("mv").cast("decimal(18,2)").cast("string")).alias("market_value_eur"),
+        text("mv").alias("market_value_native"), F.when(k % 29 == 3, "x2").otherwise(text("leverage")).alias("leverage")).write.partitionBy("snapshot").option("header", True).csv(path)
+    return path
+
+
+@query("scan_broker_csv", f"""{BROKER}, t AS (SELECT as_of, SUM(CAST(round(mv * 100) AS BIGINT)) / 100.0 AS total FROM b WHERE wrong IS NULL AND instrument_type <> 'copyportfolio' GROUP BY ALL)
+  SELECT {txt('b.as_of', 'as_of')}, CAST(symbol AS VARCHAR) AS symbol, instrument_type, quantity, mv, round(mv / total, 6) AS weight, leverage
+  FROM b JOIN t ON t.as_of = b.as_of WHERE wrong IS NULL AND instrument_type <> 'copyportfolio'""")
 def scan_broker_csv(spark, d):
-    p = R.positions(spark, d)
-    path = _csv(spark, p.select(
-        "as_of", F.col("symbol").cast("string").alias("symbol"), F.when(F.col("instrument_type") == "copyportfolio", "cash").otherwise(
-            F.col("instrument_type")).alias("instrument_type"), F.when(F.col("symbol") % 17 == 0, "?").otherwise(
-            F.col("quantity").cast("string")).alias("quantity"), F.col("mv").cast("decimal(18,2)").alias("market_value_eur"), F.col("mv").alias("market_value_native"), "leverage"), "broker")
-    good, _ = files.broker_positions(spark.read.option("header", True).csv(path))
-    return good
+    return files.broker_export(spark, broker_files(spark, d))[0]
+
+
+@query("broker_refused", f"""{BROKER} SELECT {txt('as_of')}, 'snapshot=' || as_of AS folder, line, CAST(symbol AS VARCHAR) AS symbol, 'malformed number in ' || wrong AS reason FROM b WHERE wrong IS NOT NULL""")
+def broker_refused(spark, d):
+    """Refused rows of the exports with their file, line and reason."""
+    refused = files.broker_export(spark, broker_files(spark, d))[1]
+    return refused.select("as_of", F.regexp_extract("file", r"(snapshot=[^/]+)/[^/]+$", 1).alias("folder"), "line", "symbol", "reason")
 
 
 @query("scan_manual_lines", f"""WITH {R.SQL_POSITIONS} SELECT CASE WHEN symbol % 19 = 0 THEN 'cash' WHEN symbol % 11 = 0 THEN 'refused' ELSE 'position' END AS kind,

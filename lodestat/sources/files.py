@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestat.sources.lines import csv_rows
+
 # fixed values: column names and aliases of the file formats
 FACT_COLUMNS = ("symbol", "namespace", "tag", "unit", "start", "end", "filed", "form", "value")
 DEFAULT_NAMESPACE = "us-gaap"
@@ -232,22 +234,48 @@ def pending_imports(candidates: DataFrame, run_log: DataFrame) -> DataFrame:
     return candidates.join(done, ["name", "content_hash"], "left_anti").dropDuplicates(["name", "content_hash"])
 
 
+BROKER_COLUMNS = ("symbol", "instrument_type", "quantity", "market_value_eur", "market_value_native")
+
+
 def broker_positions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(positions, refused) of a broker export read as text columns. Cash rows are
-    left out of the positions; a row whose numbers do not parse is refused with
-    its reason; the weight is the share of the snapshot's priced value."""
-    nums = {c: number(c) for c in ("market_value_eur", "market_value_native", "quantity")}
-    r = rows.withColumns({f"n_{k}": v for k, v in nums.items()})
+    left out of the positions; a row with a ``fault`` or a number that does not
+    parse is refused with its reason (and its file and line, if the rows have
+    them); the weight is the share of the snapshot's priced value. A blank opening
+    price or leverage is no fault: none, and 1."""
+    have = set(rows.columns)
+    blank = lambda c: blank_to_null(F.col(c)) if c in have else F.lit(None).cast("string")
     is_cash = (F.trim("instrument_type") == "cash") | (F.upper(F.trim("symbol")) == "CASH")
-    bad = F.col("n_market_value_eur").isNull() | (~is_cash & (F.col("n_quantity").isNull() | F.col("n_market_value_native").isNull()))
-    good = r.where(~bad & ~is_cash)
-    total = good.groupBy("as_of").agg(F.sum("n_market_value_eur").alias("total"))
+    wrong = lambda c: F.format_string("malformed number in %s", F.lit(c))
+    rest = F.when(number("quantity").isNull(), wrong("quantity"))
+    rest = rest.when(blank("avg_open_price").isNotNull() & number(blank("avg_open_price")).isNull(), wrong("avg_open_price"))
+    rest = rest.when(number("market_value_native").isNull(), wrong("market_value_native"))
+    rest = rest.when(blank("leverage").isNotNull() & number(blank("leverage")).isNull(), wrong("leverage"))
+    reason = F.coalesce(F.col("fault") if "fault" in have else F.lit(None).cast("string"),
+                        F.when(number("market_value_eur").isNull(), wrong("market_value_eur")).when(~F.coalesce(is_cash, F.lit(False)), rest))
+    r = rows.withColumns({"_cash": F.coalesce(is_cash, F.lit(False)), "_reason": reason, "_mv": number("market_value_eur")})
+    good = r.where("_reason IS NULL AND NOT _cash")
+    total = good.groupBy("as_of").agg(F.sum("_mv").alias("total"))
+    at = [c for c in ("file", "line") if c in have]
     return (good.join(total, "as_of").select(
         "as_of", F.trim("symbol").alias("symbol"), F.trim("instrument_type").alias("instrument_type"),
-        F.col("n_quantity").alias("quantity"), F.col("n_market_value_eur").alias("mv"),
-        (F.col("n_market_value_eur") / F.col("total")).alias("weight"),
-        F.coalesce(number("leverage"), F.lit(1.0)).alias("leverage")),
-        r.where(bad).select("as_of", "symbol", F.lit("malformed number").alias("reason")))
+        number("quantity").alias("quantity"), F.col("_mv").alias("mv"),
+        (F.col("_mv") / F.col("total")).alias("weight"),
+        F.coalesce(number(blank("leverage")), F.lit(1.0)).alias("leverage")),
+        r.where("_reason IS NOT NULL").select(*at, "as_of", "symbol", F.col("_reason").alias("reason")))
+
+
+def broker_export(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """(positions, refused) of broker CSV files; refused rows tell file and line (rows counted from 1). Without one of the needed
+    columns every row is refused. A file without ``as_of`` is one snapshot, named by its path."""
+    rows, columns = csv_rows(spark, path)
+    missing = [c for c in BROKER_COLUMNS if c not in columns]
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in missing})
+    if missing:
+        rows = rows.withColumn("fault", F.coalesce("fault", F.lit(f"no column {missing[0]}")))
+    if "as_of" not in columns:
+        rows = rows.withColumn("as_of", F.col("file"))
+    return broker_positions(rows)
 
 
 def manual_lines(lines: DataFrame) -> DataFrame:
