@@ -13,7 +13,7 @@ from lodestat.catalog.c_pit import CHAIN_SQL, CHAINS, FLOWS, LATEST
 from lodestat.catalog.c_series import quarter_ticks
 from lodestat.catalog.registry import query, rnd, txt
 from lodestat.functions import labels, names, valuation as V
-from lodestat.operators import cohorts, pit, ranks
+from lodestat.operators import cohorts, lineage, pit, ranks
 from lodestat.operators import statements as S
 from lodestat.plans import archive, bundle, site, ticks
 from lodestat.session import stage, staged
@@ -171,14 +171,23 @@ def missing_reason(spark, d):
     return r.select("entity", "reason", F.when(F.col("reason").startswith("STALE"), "STALE").otherwise("MISSING").alias("status"))
 
 
-@query("store_yield", f"""{EV} SELECT entity, 'FRESH' AS status, source_key, round(value, 4) AS value FROM (SELECT entity, unnest(['raw_close', 'owner_fcf_ttm', 'market_cap', 'total_debt', 'cash']) AS source_key, unnest([price, owner_fcf, market_cap, debt, cash]) AS value FROM ev WHERE v_yield IS NOT NULL)
-  UNION ALL SELECT entity, 'MISSING', NULL, NULL FROM ev WHERE v_yield IS NULL""", digits=4)
+YIELD_INPUTS = {"raw_close": "price", "owner_fcf_ttm": "owner_fcf", "market_cap": "market_cap", "total_debt": "debt", "cash": "cash"}
+
+
+@query("store_yield", f"""{EV}, s AS (SELECT *, sha256(concat_ws('|', 'source', entity, source_key, CAST(round(value * {lineage.UNITS}) AS BIGINT))) AS input_id FROM (
+    SELECT entity, unnest([{', '.join(f"'{k}'" for k in YIELD_INPUTS)}]) AS source_key, unnest([{', '.join(YIELD_INPUTS.values())}]) AS value FROM ev WHERE v_yield IS NOT NULL) WHERE value IS NOT NULL),
+  m AS (SELECT entity, sha256(concat_ws('|', 'metric', 'owner_fcf_yield_pct:1', entity, array_to_string(list_sort(list(input_id)), ','))) AS metric_id FROM s GROUP BY entity)
+  SELECT ev.entity, CASE WHEN v_yield IS NULL THEN 'MISSING' ELSE 'FRESH' END AS status, metric_id, source_key, input_id, round(value, 4) AS value FROM ev LEFT JOIN s ON s.entity = ev.entity LEFT JOIN m ON m.entity = ev.entity""", digits=4)
 def store_yield(spark, d):
-    """The metric's status with one lineage edge per input it was computed from."""
-    src = {"raw_close": "price", "owner_fcf_ttm": "owner_fcf", "market_cap": "market_cap", "total_debt": "debt", "cash": "cash"}
-    edges = F.array(*[F.struct(F.lit(k).alias("source_key"), F.col(c).alias("value")) for k, c in src.items()])
-    e = evaluated(spark, d).withColumn("inputs", F.when(F.col("v_yield").isNotNull(), edges))
-    return e.select("entity", F.when(F.col("v_yield").isNotNull(), "FRESH").otherwise("MISSING").alias("status"), F.explode_outer("inputs").alias("i")).select("entity", "status", "i.source_key", "i.value")
+    """The metric's status and id, with one lineage edge per input it was computed from."""
+    e = evaluated(spark, d).select("entity", "v_yield", *YIELD_INPUTS.values())
+    cells = F.array(*[F.struct(F.lit(k).alias("source_key"), F.col(c).alias("value")) for k, c in YIELD_INPUTS.items()])
+    cells = e.where("v_yield IS NOT NULL").select("entity", F.explode(cells).alias("i")).select("entity", "i.*")
+    src = lineage.sources(cells, ["entity"], "source_key")
+    met = lineage.metrics(src, "owner_fcf_yield_pct", ["entity"])
+    rows = cells.join(src.select("entity", F.col("key").alias("source_key"), F.col("id").alias("input_id")), ["entity", "source_key"])
+    out = e.select("entity", F.when(F.col("v_yield").isNull(), "MISSING").otherwise("FRESH").alias("status"))
+    return out.join(met.select("entity", F.col("id").alias("metric_id")), "entity", "left").join(rows, "entity", "left").select("entity", "status", "metric_id", "source_key", "input_id", "value")
 
 
 @query("dossier", f"""{EV}, r4 AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY period_end DESC) AS r FROM stm WHERE scope = 'quarterly'), oe AS (SELECT entity, CASE WHEN count(ocf) = 4 AND count(capex) = 4 THEN sum(ocf - abs(capex)) END AS fcf, sum(coalesce(sbc, 0)) AS sbc, count(*) AS n FROM r4 WHERE r <= 4 GROUP BY entity)
