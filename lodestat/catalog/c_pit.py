@@ -44,11 +44,50 @@ def latest_filed(spark, d):
         "entity", "tag", "end_day", "filed", "value")
 
 
-@query("newest_point", f"""{VIS} SELECT entity, value, {txt('end_day')}, {txt('filed')}, form, tag FROM (
-  SELECT *, row_number() OVER (PARTITION BY entity ORDER BY end_day DESC, filed DESC, seq DESC) AS rn FROM vis)
+NAMED = "CASE WHEN seq % 5 = 0 THEN 'dei' ELSE 'us-gaap' END"
+UNIT = "CASE WHEN seq % 3 = 0 THEN 'pure' ELSE 'USD' END"
+
+
+def named_facts(spark, d):
+    return R.facts(spark, d).withColumns({"namespace": F.expr(NAMED), "unit": F.expr(UNIT)})
+
+
+@query("newest_point", f"""{VIS} SELECT entity, value, {txt('end_day')}, {txt('filed')}, form, tag, unit FROM (
+  SELECT *, {UNIT} AS unit, row_number() OVER (PARTITION BY entity ORDER BY end_day DESC, filed DESC, seq DESC) AS rn FROM vis WHERE {NAMED} = 'us-gaap')
   WHERE rn = 1""")
 def newest_point(spark, d):
-    return pit.newest_point(pit.visible(R.facts(spark, d), AS_OF))
+    """Newest point of the standard namespace, whatever its unit."""
+    return pit.newest_point(pit.visible(named_facts(spark, d), AS_OF).where("namespace = 'us-gaap'")).drop("namespace")
+
+
+@query("disclosures", f"""{VIS}, {CHAIN_SQL} SELECT entity, label, value, {txt('end_day')}, {txt('filed')}, form, tag, unit FROM (
+  SELECT v.*, label, {UNIT} AS unit, row_number() OVER (PARTITION BY entity, label ORDER BY end_day DESC, filed DESC, priority, {UNIT}, seq DESC) AS rn FROM vis v JOIN concepts USING (tag) WHERE {NAMED} = 'us-gaap')
+  WHERE rn = 1""")
+def disclosures(spark, d):
+    """Newest dated point of each label's tags, with its unit."""
+    return pit.disclosures(pit.visible(named_facts(spark, d), AS_OF).where("namespace = 'us-gaap'"), pit.concept_table(spark, CHAINS))
+
+
+# a quarter of the companies file in two units, a quarter in euros until they change to dollars after the date; some tags also exist
+# in another namespace
+IN_UNITS = (("entity % 4 <> 1", "value", "filed", "us-gaap", "USD"), ("entity % 4 < 2", "value * 0.5", "filed", "us-gaap", "EUR"),
+            ("entity % 4 = 1", "value", "filed + 4000", "us-gaap", "USD"), ("entity % 3 = 0", "value + 1", "filed", "dei", "USD"))
+SQL_UNITS = f"""WITH {R.SQL_CUMULATIVE}, mf AS ({' UNION ALL '.join(f"SELECT entity, tag, start_day, end_day, {f} AS filed, {v} AS value, seq, '{n}' AS namespace, '{u}' AS unit FROM cfacts WHERE {c}" for c, v, f, n, u in IN_UNITS)}),
+  known AS (SELECT * FROM mf WHERE filed <= DATE '{AS_OF}'), pick AS (SELECT entity, namespace, tag, arg_min(unit, (CASE unit WHEN 'USD' THEN 0 WHEN 'shares' THEN 1 ELSE 2 END, unit)) AS unit FROM known GROUP BY ALL),
+  vis AS (SELECT entity, namespace || '|' || tag || '|' || unit AS tag, start_day, end_day, filed, value, seq FROM known JOIN pick USING (entity, namespace, tag, unit)), {LATEST}, {FLOWS}"""
+
+
+@query("unit_flows", f"""{SQL_UNITS} SELECT entity, split_part(tag, '|', 1) AS namespace, split_part(tag, '|', 2) AS tag, split_part(tag, '|', 3) AS unit, scope, {txt('end_day')}, {rnd('value', digits=4)}
+  FROM (SELECT *, 'annual' AS scope FROM ann UNION ALL SELECT *, 'quarterly' FROM qtr)""", digits=4)
+def unit_flows(spark, d):
+    """Annual and quarterly flows of tags filed in several units and namespaces, in the unit preferred at the date."""
+    f = R.cumulative_facts(spark, d)
+    filed = {"filed": F.col("filed"), "filed + 4000": F.date_add("filed", 4000)}
+    parts = [f.where(c).withColumns({"value": F.expr(v), "filed": filed[at], "namespace": F.lit(n), "unit": F.lit(u)}) for c, v, at, n, u in IN_UNITS]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    keys = ("entity", "namespace", "tag", "unit")
+    known = pit.one_unit(pit.visible(every, AS_OF), namespace=None)
+    return pit.tag_flows(pit.latest_filed(known, instant=False, keys=keys), keys).select(*keys, "scope", "end_day", "value")
 
 
 @query("annual_flows", f"{CVIS}, {FLOWS} SELECT entity, tag, {txt('end_day')}, {rnd('value', digits=2)} FROM ann", digits=2)

@@ -42,10 +42,21 @@ def latest_filed(facts: DataFrame, *, instant: bool, keys=("entity", "tag")) ->
 
 
 def newest_point(facts: DataFrame, keys=("entity",)) -> DataFrame:
-    """Newest observation over all tags with its provenance."""
-    best = F.max(F.struct("end_day", "filed", "seq", "value", "form", "tag")).alias("p")
+    """Newest observation over all tags, and over all units where facts have them, with its provenance."""
+    more = [c for c in ("namespace", "unit") if c in facts.columns and c not in keys]
+    best = F.max(F.struct("end_day", "filed", "seq", "value", "form", "tag", *more)).alias("p")
     return facts.groupBy(*keys).agg(best).select(
-        *keys, "p.value", "p.end_day", "p.filed", "p.form", "p.tag")
+        *keys, "p.value", "p.end_day", "p.filed", "p.form", "p.tag", *[f"p.{c}" for c in more])
+
+
+def disclosures(facts: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(entity, label, value, end_day, filed, form, tag, unit): the newest point of each label's tags in any unit; of one day the
+    latest filed, then the tag that comes first in the chain, then the first unit by name."""
+    order = F.struct("end_day", "filed", (-F.col("priority")).alias("p"))
+    best = facts.join(concepts, "tag").groupBy("entity", "label", "unit").agg(F.max_by(F.struct("value", "end_day", "filed", "form", "tag", "priority"), F.struct(order, "seq")).alias("w"))
+    best = best.select("entity", "label", "unit", "w.*")
+    first = F.min_by(F.struct("value", "end_day", "filed", "form", "tag", "unit"), F.struct(-F.unix_date("end_day"), -F.unix_date("filed"), "priority", "unit"))
+    return best.groupBy("entity", "label").agg(first.alias("w")).select("entity", "label", "w.*")
 
 
 def prefer_unit(facts: DataFrame, keys=("entity", "tag")) -> DataFrame:
@@ -107,10 +118,20 @@ def first_present(values: DataFrame, concepts: DataFrame, by=("entity", "end_day
             .agg(F.min_by("value", "priority").alias("value")))
 
 
-def tag_flows(periods: DataFrame) -> DataFrame:
-    """(entity, tag, scope, end_day, value): annual and quarterly flows of each tag's latest-filed spans."""
-    return (annual_flows(periods).withColumn("scope", F.lit("annual"))
-            .unionByName(quarterly_flows(periods).withColumn("scope", F.lit("quarterly"))))
+def tag_flows(periods: DataFrame, keys=("entity", "tag")) -> DataFrame:
+    """(*keys, scope, end_day, value): annual and quarterly flows of each key's latest-filed spans."""
+    return (annual_flows(periods, keys).withColumn("scope", F.lit("annual"))
+            .unionByName(quarterly_flows(periods, keys).withColumn("scope", F.lit("quarterly"))))
+
+
+def one_unit(known: DataFrame, namespace: str | None = "us-gaap") -> DataFrame:
+    """Facts of a namespace in the preferred unit of each (entity, namespace, tag), as the given facts have it: pass what was visible
+    at a date, and a unit first used later has no say. Facts without these columns are returned as they are."""
+    if namespace is not None and "namespace" in known.columns:
+        known = known.where(F.col("namespace") == namespace)
+    if "unit" not in known.columns:
+        return known
+    return prefer_unit(known, [c for c in ("entity", "namespace", "tag") if c in known.columns])
 
 
 def chain_flows(facts: DataFrame, concepts: DataFrame) -> DataFrame:

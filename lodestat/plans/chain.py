@@ -12,8 +12,9 @@ from lodestat.plans import grading
 def statements_at(facts: DataFrame, as_of, flows: dict, points: dict, spans: dict | None = None) -> DataFrame:
     """Wide rows (entity, scope, period_end, a column per label) as they were known: ``flows`` and ``points`` map a label to its
     rule (``operators.rules``; a bare chain of tags will do). ``spans`` names tags that are the sum of others over exactly the same
-    span, summed before quarters are derived. A day that only has points is a quarterly row of its own."""
-    known, spans = pit.visible(facts, as_of), spans or {}
+    span, summed before quarters are derived. Facts with a namespace and a unit count in the standard one and, tag by tag, in the unit
+    preferred at the date. A day that only has points is a quarterly row of its own."""
+    known, spans = pit.one_unit(pit.visible(facts, as_of)), spans or {}
     tags = {*rules.names(flows), *(t for parts in spans.values() for t in parts)}
     periods = pit.latest_filed(known.where(F.col("tag").isin(*sorted(tags))), instant=False).select("entity", "tag", *pit.SPAN, "value")
     for label, parts in spans.items():

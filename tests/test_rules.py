@@ -88,3 +88,18 @@ def test_parts_count_only_over_the_same_span(spark):
     facts = spark.createDataFrame(rows, "entity long, tag string, start_day date, end_day date, filed date, form string, value double, seq long")
     st = chain.statements_at(facts, "2001-12-31", {"da": C.FLOWS["da"]}, {"cash": C.CASH}, C.SPANS)
     assert {(r.scope, r.period_end, r.da) for r in st.collect()} == {("quarterly", q1[1], 5.0), ("quarterly", h1[1], 7.0)}
+
+
+def test_units_are_never_mixed(spark):
+    """A tag in two units counts in dollars; one whose dollars come later counts in what it had at the date; other namespaces do not count."""
+    q1, h1 = (D(2001, 1, 1), D(2001, 3, 31)), (D(2001, 1, 1), D(2001, 6, 30))
+    early, late = D(2001, 8, 1), D(2002, 8, 1)
+    rows = [(1, "us-gaap", "Revenues", unit, *span, early, "10-Q", v * rate, 0) for unit, rate in (("USD", 1.0), ("EUR", 0.9)) for span, v in ((q1, 10.0), (h1, 30.0))]
+    rows += [(2, "us-gaap", "Revenues", "EUR", *q1, early, "10-Q", 7.0, 0), (2, "us-gaap", "Revenues", "USD", *q1, late, "10-Q", 8.0, 0), (1, "dei", "Revenues", "USD", *q1, late, "10-Q", 99.0, 1)]
+    facts = spark.createDataFrame(rows, "entity long, namespace string, tag string, unit string, start_day date, end_day date, filed date, form string, value double, seq long")
+
+    def at(day):
+        return {(r.entity, r.period_end): r.revenue for r in chain.statements_at(facts, day, {"revenue": C.REVENUE}, {"cash": C.CASH}).collect()}
+
+    assert at("2001-12-31") == {(1, q1[1]): 10.0, (1, h1[1]): 20.0, (2, q1[1]): 7.0}
+    assert at("2002-12-31") == {(1, q1[1]): 10.0, (1, h1[1]): 20.0, (2, q1[1]): 8.0}
