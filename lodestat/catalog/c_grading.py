@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestat import relations as R
 from lodestat.catalog import reported, sqlx
 from lodestat.catalog.registry import query, rnd, txt
-from lodestat.functions import concepts
+from lodestat.functions import concepts, names
 from lodestat.functions import valuation as V
 from lodestat.operators import asof, cohorts, pit, ranks, rules
 from lodestat.operators import statements as S
@@ -294,14 +294,16 @@ def gate_coverage(spark, d):
     return scored(spark, d).agg(F.count_if(g.isin("A", "B", "C", "D", "F")).alias("judged"), F.count_if(g == "INSUFFICIENT").alias("unjudged"), F.count_if(g == "VETOED").alias("blocked"))
 
 
-@query("shortlist_per_tier", f"""{SC}, t AS (SELECT entity, sector AS tier, grade, composite FROM scored WHERE composite IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY composite DESC, entity) AS rn FROM t)
-  SELECT entity, tier, grade FROM k WHERE rn <= 3 OR (tier = 'ASIA' AND grade = 'C')""")
+# industries by company, so that every tier holds names
+INDUSTRY = "CASE entity % 5 WHEN 0 THEN 'Software' WHEN 1 THEN 'IT Services' WHEN 2 THEN 'Capital Markets' WHEN 3 THEN 'Shipping' END"
+TIER_SQL = "CASE WHEN entity % 5 = 0 THEN 'Core' WHEN entity % 5 IN (1, 2) THEN 'Adjacent' ELSE 'Outside' END"
+
+
+@query("shortlist_per_tier", f"""{SC}, t AS (SELECT entity, {TIER_SQL} AS tier, grade, composite FROM scored WHERE composite IS NOT NULL AND grade IN ('A', 'B', 'C', 'D', 'F')), k AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY composite DESC, entity) AS rn FROM t)
+  SELECT entity, tier, grade, round(composite, 3) AS composite, rn > 3 AS star FROM k WHERE rn <= 3 OR (tier = 'Outside' AND grade = 'A')""", digits=3)
 def shortlist_per_tier(spark, d):
-    """Top three per tier, and every star of the outside tier (tiers: sectors; star: C in ASIA)."""
-    t = scored(spark, d).where("composite IS NOT NULL").select("entity", F.col("sector").alias("tier"), "grade", "composite")
-    top = cohorts.top_per_group(t, ["tier"], [F.desc("composite"), "entity"], 3).drop("rank")
-    stars = t.where("tier = 'ASIA' AND grade = 'C'")
-    return top.unionByName(stars).select("entity", "tier", "grade").distinct()
+    """Top three of each tier of industries, and every A of the outside tier."""
+    return cohorts.tier_shortlist(scored(spark, d).withColumn("tier", names.industry_tier(F.expr(INDUSTRY))), 3)
 
 
 @query("portfolio_clamp", f"""{SC}, t AS (SELECT entity, composite FROM scored WHERE composite > 0 ORDER BY composite DESC, entity LIMIT 15), w AS (SELECT entity, composite / sum(composite) OVER () AS weight FROM t),

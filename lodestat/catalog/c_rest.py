@@ -8,7 +8,7 @@ from lodestat.catalog import sqlcard, sqlx
 from lodestat.catalog.c_card import cards
 from lodestat.catalog.c_fragile import EV
 from lodestat.catalog.c_grading import FLOWS as FLOW_LABELS
-from lodestat.catalog.c_grading import GRADED_AT, METRICS, POINTS, evaluated, filed_statements, graded_at, market, prepared, scored, share_series
+from lodestat.catalog.c_grading import GRADED_AT, INDUSTRY, METRICS, POINTS, evaluated, filed_statements, graded_at, market, prepared, scored, share_series, TIER_SQL
 from lodestat.catalog.c_pit import CHAIN_SQL, CHAINS, FLOWS, LATEST
 from lodestat.catalog.c_series import quarter_ticks
 from lodestat.catalog.registry import query, rnd, txt
@@ -318,9 +318,7 @@ def site_sectors(spark, d):
         F.avg("pct").alias("mean_card_pct"), F.count_if(F.col("evidence") == "full").alias("full_evidence"))
 
 
-# industries by company, so that every tier holds names
-INDUSTRY = "CASE entity % 5 WHEN 0 THEN 'Software' WHEN 1 THEN 'IT Services' WHEN 2 THEN 'Capital Markets' WHEN 3 THEN 'Shipping' END"
-SITE_COLUMNS = f"entity, sector, CASE WHEN entity % 5 = 0 THEN 'Core' WHEN entity % 5 IN (1, 2) THEN 'Adjacent' ELSE 'Outside' END AS tier, grade, composite, {', '.join(METRICS)}"
+SITE_COLUMNS = f"entity, sector, {TIER_SQL} AS tier, grade, composite, {', '.join(METRICS)}"
 # the earlier run does not know every seventh company, the later one does not know every eleventh
 SQL_SITE = f"""WITH o AS (SELECT * FROM ({GRADED_AT} SELECT {SITE_COLUMNS} FROM scored) WHERE entity % 7 <> 0), n AS (SELECT * FROM (WITH {sqlx.SQL_SCORE} SELECT {SITE_COLUMNS} FROM scored) WHERE entity % 11 <> 0)"""
 

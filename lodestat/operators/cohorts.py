@@ -69,3 +69,17 @@ def weight_changes(holdings: DataFrame, ticks: DataFrame) -> DataFrame:
                        (F.col("weight") * (1.0 + F.coalesce("fwd", F.lit(0.0))) / F.col("factor")).alias("old")))
     both = holdings.select("tick", "symbol", F.col("weight").alias("new")).join(drifted, ["tick", "symbol"], "full_outer")
     return both.groupBy("tick").agg(F.sum(F.abs(F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("turnover"))
+
+
+# fixed values: tiers in reading order, and the tier whose top grade is always listed
+TIERS = ("Core", "Adjacent", "Outside")
+STAR_TIER, STAR_GRADE = "Outside", "A"
+
+
+def tier_shortlist(graded: DataFrame, per_tier: int) -> DataFrame:
+    """(entity, tier, grade, composite, star): the best of each tier by composite, then entity, and every name of the top grade in
+    the outside tier past that cut (a star). Names without a letter grade and composite are left out."""
+    eligible = graded.where(F.col("grade").isin("A", "B", "C", "D", "F") & F.col("composite").isNotNull()).select("entity", "tier", "grade", "composite")
+    top = top_per_group(eligible, ["tier"], [F.desc("composite"), "entity"], per_tier).drop("rank").withColumn("star", F.lit(False))
+    stars = eligible.where((F.col("tier") == STAR_TIER) & (F.col("grade") == STAR_GRADE)).withColumn("star", F.lit(True))
+    return top.unionByName(stars).groupBy("entity", "tier", "grade", "composite").agg(F.bool_and("star").alias("star"))

@@ -13,7 +13,7 @@ SPREAD = """pit_filter latest_filed ytd_subtrahend per_tag_chain class_share_sum
 universe_filter name_key dedupe_listing identity_join max_drawdown skew_kurtosis forward_return turnover weekdays_behind correlation_matrix view_v_price
 view_current_metric failures_since_ok status_transitions review_matrix parity balance_report modified_dietz snapshot_diff ffill_portfolio trigger_eval streak thesis_rollup
 carry_forward probe_cash_engine probe_stress probe_predictability score_universe buffett_checklist midrank_percentile period_setops canonical_labels
-st_current_view st_fingerprint_change""".split()
+st_current_view st_fingerprint_change row_chain credit_loss debt_composition monitor_run broker_refused metric_ancestors disclosures unit_flows shortlist_per_tier""".split()
 SLUGS = sorted(entry.queries()) if os.environ.get("LODESTAT_ALL") else SPREAD
 
 
