@@ -29,7 +29,7 @@ def csv_rows(spark: SparkSession, path) -> tuple[DataFrame, list]:
     head = lines.where("line = 0").agg(F.min_by("value", "file").alias("h")).first().h          # one line
     if head is None:
         return lines.where("false").select("file", "line", F.lit(None).cast("string").alias("fault")), []
-    plain = head.removeprefix("﻿")
+    plain = head.removeprefix("\ufeff")
     width = spark.range(1).select(F.size(F.split(F.regexp_replace(F.lit(plain), '"[^"]*"', "q"), ",", -1))).first()[0]
     cells = ", ".join(f"c{i} string" for i in range(width))
     one = spark.range(1).select(F.from_csv(F.lit(plain), cells).alias("r")).select("r.*").first()
