@@ -283,15 +283,19 @@ def desk_floor(spark, d):
     return R.table(spark, d, "supplier").select(k.alias("entity"), (F.coalesce(cap >= 3e8, F.lit(True)) & F.coalesce(px >= 5, F.lit(True))).alias("clears"))
 
 
-@query("lens_shortlists", f"""{sqlcard.LANE}, lk AS (SELECT ln.*, fo.forge_verdict, vd.verdict, vd.severe, {ELIG.replace('market_cap', 'ln.market_cap').replace('price ', 'ln.price ')} = 'inside the band' AS ok FROM ln JOIN fo ON fo.entity = ln.entity LEFT JOIN vd ON vd.entity = ln.entity),
-  ll AS ({' UNION ALL '.join(f"SELECT entity, '{n}' AS lens, {n}_rank AS score FROM lk WHERE ok AND forge_verdict <> 'Nope' AND coalesce(severe, 0) <= 3 AND {n} = 'speaks'" for n in LC.LENSES)})
+# findings of three companies in four are noted as none: an input in which some names pass every gate
+NOTED = "CASE WHEN entity % 4 = 0 THEN severity ELSE 'none' END"
+LANE_NOTED = sqlcard.LANE.replace("fd AS (", "fd_all AS (").replace("vg AS (SELECT", f"fd AS (SELECT * REPLACE ({NOTED} AS severity) FROM fd_all), vg AS (SELECT")
+
+
+@query("lens_shortlists", f"""{LANE_NOTED}, lk AS (SELECT ln.*, fo.forge_verdict, vd.verdict, vd.severe, {ELIG.replace('market_cap', 'ln.market_cap').replace('price ', 'ln.price ')} = 'inside the band' AS ok FROM ln JOIN fo ON fo.entity = ln.entity LEFT JOIN vd ON vd.entity = ln.entity),
+  ll AS ({' UNION ALL '.join(f"SELECT entity, '{n}' AS lens, {n}_rank AS score FROM lk WHERE ok AND forge_verdict <> 'Forged-out' AND coalesce(verdict NOT IN ('Fragile', 'Ruinous'), true) AND coalesce(severe, 0) <= 0 AND {n} = 'speaks'" for n in LC.LENSES)})
   SELECT entity, lens, rank FROM (SELECT *, row_number() OVER (PARTITION BY lens ORDER BY score, entity) AS rank FROM ll WHERE score IS NOT NULL) WHERE rank <= 3""")
 def lens_shortlists(spark, d):
-    """Best three per lens (severe limit lifted, so that the lists are not empty here)."""
-    v = X.verdicts(findings(spark, d)).select("entity", "severe")
-    rows = LC.lenses(forged(spark, d).withColumn("equity", F.col("equity") / 10)).join(v, "entity", "left").withColumns({
-        "eligible": LC.eligible(F.col("market_cap") * 100, F.col("price"))["ok"], "verdict": F.lit("Ordinary"), "forge_verdict": F.lit("Survivor"),
-        "severe": F.when(F.coalesce("severe", F.lit(0)) > 3, 1).otherwise(0)})
+    """Best three per lens of the eligible names that are neither forged out, fragile nor severely marked."""
+    v = X.verdicts(findings(spark, d).withColumn("severity", F.expr(NOTED))).select("entity", "severe", "verdict")
+    rows = LC.lenses(forged(spark, d).withColumn("equity", F.col("equity") / 10)).drop("severe", "verdict").join(v, "entity", "left").withColumn(
+        "eligible", LC.eligible(F.col("market_cap") * 100, F.col("price"))["ok"])
     return LC.lens_shortlists(rows).select("entity", "lens", "rank")
 
 
