@@ -58,7 +58,13 @@ def metric_ancestors(spark, d):
     """All that a metric was made from, near or far: how many nodes, how many of them sources, and a digest of their ids."""
     src, met = nodes(spark, d)
     met = stage(met, "metrics")
-    up = L.ancestors(L.edges(met)).join(src.select(F.col("id").alias("ancestor"), F.lit(1).alias("source")), "ancestor", "left")
-    g = up.groupBy("id").agg(F.count("*").alias("ancestors"), F.count("source").alias("sources"),
-                             F.sha2(F.array_join(F.sort_array(F.collect_list("ancestor")), ","), 256).alias("ancestors_sha256"))
+    number = L.numbered(src.select("id").unionByName(met.select("id")))
+    of = met.select(F.unhex("id").alias("id"), "inputs").join(number, "id").select(F.col("no").alias("id"), F.explode("inputs").alias("input"))
+    links = of.select("id", F.unhex("input").alias("_in")).join(number.select(F.col("id").alias("_in"), F.col("no").alias("input_id")), "_in").select("id", "input_id")
+    source = src.select(F.unhex("id").alias("id"), F.lit(1).alias("source"))
+    known = number.join(source, "id", "left").select(F.col("no").alias("ancestor"), F.col("id").alias("_of"), "source")
+    up = L.ancestors(links).join(known, "ancestor").drop("ancestor")
+    texts = F.transform(F.sort_array(F.collect_list("_of")), lambda x: F.lower(F.hex(x)))          # bytes sort as their digits do
+    g = up.groupBy("id").agg(F.count("*").alias("ancestors"), F.count("source").alias("sources"), F.sha2(F.array_join(texts, ","), 256).alias("ancestors_sha256"))
+    g = g.join(number.withColumnRenamed("id", "_of").withColumnRenamed("no", "id"), "id").drop("id").withColumn("id", F.lower(F.hex("_of"))).drop("_of")
     return met.join(g, "id").select(*BY, "key", "id", "ancestors", "sources", "ancestors_sha256")

@@ -36,17 +36,22 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.explode("inputs").alias("input_id"))
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, no): a number for every different id of a column of hex digests. ``id`` comes back as bytes, half as long as the text;
+    a path of two numbers is an eighth of one of two texts."""
+    return stage(ids.select(F.unhex("id").alias("id")).distinct().withColumn("no", F.monotonically_increasing_id()), "numbers")
+
+
 def ancestors(links: DataFrame) -> DataFrame:
-    """(id, ancestor): every node that a node was made from, near or far. Each round joins paths to paths and so doubles their
-    length; rounds end when none is new. Lineage holds no cycle, as an id contains its inputs' ids; other tables may, which is an
-    error."""
-    reach, n = stage(links.select("id", F.col("input_id").alias("ancestor")).distinct(), "reach"), None
+    """(id, ancestor): every node that a node was made from, near or far. Each round joins the paths found in the last one to all paths
+    and so doubles their length; only new paths are kept and written, each once, and rounds end when none is new. Lineage holds no
+    cycle, as an id contains its inputs' ids; other tables may, which is an error."""
+    reach = last = stage(links.select("id", F.col("input_id").alias("ancestor")).distinct(), "reach")
     while True:
-        known = reach.count()
-        if known == n:
-            return reach
-        n = known
-        further = reach.join(reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("further")), "ancestor").select("id", F.col("further").alias("ancestor"))
-        reach = stage(reach.unionByName(further).distinct(), "reach")
-        if reach.where("id = ancestor").limit(1).count():
+        if last.where("id = ancestor").limit(1).count():
             raise ValueError("lineage with a cycle")
+        further = last.join(reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("further")), "ancestor").select("id", F.col("further").alias("ancestor"))
+        last = stage(further.distinct().join(reach, ["id", "ancestor"], "left_anti"), "reach")
+        if not last.limit(1).count():
+            return reach
+        reach = reach.unionByName(last)

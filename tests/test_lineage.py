@@ -52,3 +52,22 @@ def test_no_links_and_cycles(spark):
     assert L.ancestors(spark.createDataFrame([], schema)).count() == 0
     with pytest.raises(ValueError):
         L.ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], schema)).select(F.count("*")).collect()
+
+
+def test_every_path_is_written_once(spark, monkeypatch):
+    written, stage = [], L.stage
+
+    def counted(df, purpose):
+        out = stage(df, purpose)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "stage", counted)
+    chain = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(20)], "id string, input_id string")
+    assert L.ancestors(chain).count() == 210 == sum(written)
+
+
+def test_numbers_stand_for_ids(spark):
+    ids = spark.createDataFrame([("0a" * 32,), ("ff" * 32,), ("0a" * 32,)], "id string")
+    rows = L.numbered(ids).collect()
+    assert {bytes(r.id).hex() for r in rows} == {"0a" * 32, "ff" * 32} and len({r.no for r in rows}) == 2
