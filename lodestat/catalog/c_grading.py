@@ -13,22 +13,29 @@ from lodestat.operators import statements as S
 from lodestat.plans import chain
 from lodestat.plans import evaluate as E
 from lodestat.plans import grading as G
-from lodestat.session import stage, staged
+from lodestat.session import dealt, stage, staged
 
 EV, SC = f"WITH {sqlx.SQL_EVAL}", f"WITH {sqlx.SQL_SCORE}"
 ST = f"WITH {R.SQL_STATEMENTS}"
 TTM = f"{ST}, {sqlx.SQL_TTM}"
 
 
+def last_counts(filed):
+    return dealt(filed, "entity", "end_day").groupBy("entity", "end_day").agg((F.max_by("value", F.struct("filed", "seq", "value")) / 10).alias("value"))
+
+
+def counts(spark, d):
+    return staged(spark, d, "counts", lambda: last_counts(R.share_counts(spark, d)))
+
+
 def share_series(spark, d):
-    counts = R.share_counts(spark, d).groupBy("entity", "end_day").agg((F.max_by("value", F.struct("filed", "seq", "value")) / 10).alias("value"))
-    return asof.restate(counts, R.splits(spark, d))
+    return asof.restate(counts(spark, d), R.splits(spark, d))
 
 
 def market(spark, d):
-    px = R.bars(spark, d).groupBy(F.col("symbol").alias("entity")).agg(F.max_by("close", "day").alias("price"))
-    counts = R.share_counts(spark, d).groupBy("entity", "end_day").agg((F.max_by("value", F.struct("filed", "seq", "value")) / 10).alias("value"))
-    n = counts.groupBy("entity").agg(F.max_by("value", "end_day").alias("n"))
+    bars = staged(spark, d, "bars", lambda: R.bars(spark, d))
+    px = bars.groupBy(F.col("symbol").alias("entity")).agg(F.max_by("close", "day").alias("price"))
+    n = counts(spark, d).groupBy("entity").agg(F.max_by("value", "end_day").alias("n"))
     cap = F.col("price") * F.col("n")
     return px.join(n, "entity").select("entity", cap.alias("market_cap"), "price", F.when(F.col("entity") % 4 == 0, cap * 0.7).alias("vendor_ev"))
 
@@ -68,7 +75,7 @@ def filed_statements(spark, d):
 def market_at(spark, d, as_of):
     px = asof.latest_at(R.bars(spark, d), "symbol", "day", as_of, ("close",))
     px = px.where(F.datediff(F.lit(as_of).cast("date"), "day") <= asof.PRICE_MAX_AGE_DAYS).select(F.col("symbol").alias("entity"), F.col("close").alias("price"))
-    known = pit.visible(R.share_counts(spark, d), as_of).groupBy("entity", "end_day").agg((F.max_by("value", F.struct("filed", "seq", "value")) / 10).alias("value"))
+    known = last_counts(pit.visible(R.share_counts(spark, d), as_of))
     n = known.groupBy("entity").agg(F.max_by("value", "end_day").alias("n"))
     cap = F.col("price") * F.col("n")
     return px.join(n, "entity").select("entity", cap.alias("market_cap"), "price", F.when(F.col("entity") % 4 == 0, cap * 0.7).alias("vendor_ev"))

@@ -59,8 +59,8 @@ def metric_ancestors(spark, d):
     src, met = nodes(spark, d)
     met = stage(met, "metrics")
     number = L.numbered(src.select("id").unionByName(met.select("id")))
-    of = met.select(F.unhex("id").alias("id"), "inputs").join(number, "id").select(F.col("no").alias("id"), F.explode("inputs").alias("input"))
-    links = of.select("id", F.unhex("input").alias("_in")).join(number.select(F.col("id").alias("_in"), F.col("no").alias("input_id")), "_in").select("id", "input_id")
+    of = met.select(F.unhex("id").alias("id"), F.transform("inputs", F.unhex).alias("inputs"))
+    links = of.join(number, "id").select(F.col("no").alias("id"), F.explode("inputs").alias("_in")).join(number.select(F.col("id").alias("_in"), F.col("no").alias("input_id")), "_in").select("id", "input_id")
     source = src.select(F.unhex("id").alias("id"), F.lit(1).alias("source"))
     known = number.join(source, "id", "left").select(F.col("no").alias("ancestor"), F.col("id").alias("_of"), "source")
     up = L.ancestors(links).join(known, "ancestor").drop("ancestor")

@@ -5,6 +5,8 @@ the table it comes from, and every money sum is exact (integer cents)."""
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestat.session import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,15 +78,13 @@ def bars(spark, sf_dir) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity",
                      "l_discount")
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("symbol"),
-                 F.trunc(_day("l_shipdate"), "week").alias("day"))
-        .agg(F.max_by(F.struct(price.alias("close"),
-                               (price * (1 - F.col("l_discount"))).alias("adj_close")), order)
-             .alias("bar"))
-        .select("symbol", "day", "bar.close", "bar.adj_close")
-    )
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("symbol"), F.trunc(_day("l_shipdate"), "week").alias("day"), order.alias("line"))
+    last = dealt(lines.select("symbol", "day", "line.*"), "symbol", "day").groupBy("symbol", "day").agg(
+        F.max_by(F.struct(price.alias("close"),
+                          (price * (1 - F.col("l_discount"))).alias("adj_close")), order)
+        .alias("bar"))
+    return last.select("symbol", "day", "bar.close", "bar.adj_close")
 
 
 def splits(spark, sf_dir) -> DataFrame:

@@ -62,6 +62,19 @@ def stage(df, purpose: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input in a part of ``dealt``.
+PART_BYTES = 16 << 20
+
+
+def dealt(df, *keys):
+    """Rows of equal keys in one part, of about ``PART_BYTES`` of input each. For aggregates that Spark can only sort for, such as the best
+    row by several columns, where keys have few rows: combined before the exchange, every input split is sorted whole, which spills as
+    splits grow, and nearly as many rows go on."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, 10_000)), *keys)
+
+
 _STAGED = {}
 
 
