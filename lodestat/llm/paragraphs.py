@@ -147,8 +147,9 @@ def bands_of(own: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
     for i in range(0, len(own), AT_ONCE):
         sig = np.minimum(sig, ((own[i:i + AT_ONCE] * mul + add) & np.uint64(0xFFFFFFFF)).min(axis=1))
     sig = sig.reshape(bands, rows)
+    factors = np.asarray([1, _ODD[1], _ODD[2], *(_mix(np.arange(3, max(rows, 3), dtype=np.uint64)) | np.uint64(1)).tolist()], np.uint64)[:rows]
     with np.errstate(over="ignore"):
-        return _mix(sig[:, 0] + sig[:, 1] * np.uint64(_ODD[1]) + sig[:, 2] * np.uint64(_ODD[2]) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+        return _mix((sig * factors).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def units(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -627,3 +627,17 @@ def test_long_texts_are_cut_alike_in_parts(monkeypatch):
     whole = [x.tolist() for x in paragraphs.passages(data)]
     monkeypatch.setattr(paragraphs, "TOGETHER", 5000)
     assert [x.tolist() for x in paragraphs.passages(data)] == whole
+
+
+def test_a_band_takes_all_its_rows():
+    from lodestat.llm import paragraphs
+
+    own = np.unique(np.random.default_rng(4).integers(0, 1 << 32, 50, dtype=np.uint32))
+    for rows in (1, 2, 3, 5):
+        mul, add = paragraphs.signature_constants(4 * rows)
+        least = [min((int(x) * int(a) + int(b)) % (1 << 32) for x in own) for a, b in zip(mul[:, 0], add[:, 0], strict=True)]
+        bands = paragraphs.bands_of(own, 4, rows)
+        assert len(bands) == 4
+        for i in range(4 * rows):           # without the shingle of any one of its values, a band's hash changes
+            gone = paragraphs.bands_of(own[[(int(x) * int(mul[i, 0]) + int(add[i, 0])) % (1 << 32) != least[i] for x in own]], 4, rows)
+            assert gone[i // rows] != bands[i // rows]
