@@ -6,7 +6,9 @@ import random
 
 from lodestat import relations as R
 from lodestat.catalog import c_grading
-from lodestat.plans import ticks
+from lodestat.functions import concepts
+from lodestat.operators import series
+from lodestat.plans import chain, fragile, ticks
 
 LINE = "l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string"
 
@@ -56,3 +58,44 @@ def test_versions_cross_the_network_once(spark):
     got = sorted((r.entity, r.tick, r.value, r.until) for r in out.collect())
     t = [day + dt.timedelta(days=45 * i) for i in range(4)]
     assert got == [(1, t[0], 0.0, t[1]), (1, t[1], 1.0, None), (2, t[0], 7.0, None)]
+
+
+def test_statement_lines_are_dealt_before_they_are_summed(spark, tmp_path):
+    """31 sums per company and quarter are wider than a line: they are not made split by split, and lines are exchanged once."""
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), dt.date(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 800)) if rng.random() > 0.05 else None, rng.randint(100, 9999) / 100, rng.choice("RA"),
+             rng.choice("FO"), rng.randint(0, 8) / 100, rng.randint(0, 10) / 100, float(rng.randint(1, 50))) for _ in range(300)]
+    columns = "l_suppkey long, l_shipdate date, l_extendedprice double, l_returnflag string, l_linestatus string, l_tax double, l_discount double, l_quantity double"
+    spark.createDataFrame(rows + rows[:9], columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    st = R.statements(spark, str(tmp_path))
+    plan = st._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in first_steps(st)
+    want = {}
+    for s, day, price, *_ in rows + rows[:9]:
+        q = None if day is None else dt.date(day.year + day.month // 10, (day.month - 1) // 3 * 3 % 9 + 4 if day.month < 10 else 1, 1) - dt.timedelta(days=1)
+        for key in ((s, "quarterly", q), (s, "annual", q and dt.date(day.year, 12, 31))):
+            want[key] = want.get(key, 0) + round(price * 100)
+    assert {(r.entity, r.scope, r.period_end): r.revenue for r in st.collect()} == {k: v * 1000 / 100000.0 for k, v in want.items()}
+
+
+def test_falls_are_worked_out_once(spark, monkeypatch):
+    day, made = dt.date(2018, 1, 1), []
+    levels = series.levels
+    monkeypatch.setattr(series, "levels", lambda *a, **k: made.append(1) or levels(*a, **k))
+    labels = ", ".join(f"{c} double" for c in (*R.LABELS,))
+    st = spark.createDataFrame([(1, "annual", dt.date(2018, 12, 31), *[1.0] * len(R.LABELS))], f"entity long, scope string, period_end date, {labels}")
+    ev = spark.createDataFrame([(1, 1.0, 2.0, 3.0, False)], "entity long, current_debt double, cash double, owner_fcf double, share_class boolean")
+    bars = spark.createDataFrame([(1, day + dt.timedelta(days=7 * i), p, p) for i, p in enumerate([10.0, 20.0, 5.0, *[6.0] * 60])], "symbol long, day date, close double, adj_close double")
+    shares = spark.createDataFrame([(1, day, 100.0)], "entity long, end_day date, value double")
+    splits = spark.createDataFrame([], "symbol long, day date, ratio double")
+    found = fragile.findings(st, ev, bars, shares, splits, [2018])
+    assert len(made) == 1
+    assert [(r.severity, r.value) for r in found.where("probe = 'price_drawdown'").collect()] == [("severe", -0.75)] and found.count() == 6
+
+
+def test_facts_are_read_once_for_flows_and_once_for_points(spark):
+    rows = [(1, "Revenues", dt.date(2001, 1, 1), dt.date(2001, 3, 31), dt.date(2001, 5, 1), "10-Q", 4.0, 0), (1, concepts.CASH[0], None, dt.date(2001, 3, 31), dt.date(2001, 5, 1), "10-Q", 7.0, 0)]
+    facts = spark.createDataFrame(rows, "entity long, tag string, start_day date, end_day date, filed date, form string, value double, seq long")
+    st = chain.statements_at(facts, "2001-12-31", {"revenue": concepts.REVENUE}, {"cash": concepts.CASH})
+    assert st._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2       # beside quarters and beside years
+    assert [(r.scope, r.revenue, r.cash) for r in st.collect()] == [("quarterly", 4.0, 7.0)]
