@@ -13,7 +13,7 @@ from lodestat.operators import fragility as X
 from lodestat.operators import pit, rules, series
 from lodestat.operators import statements as S
 from lodestat.plans import fragile
-from lodestat.session import staged
+from lodestat.session import stage, staged
 
 ST = f"WITH {R.SQL_STATEMENTS}, dv AS (SELECT *, ebit + da AS ebitda, {sqlx.OWNER} AS owner_fcf FROM stm), an AS (SELECT * FROM dv WHERE scope = 'annual')"
 EV = f"WITH {sqlx.SQL_EVAL}"
@@ -177,7 +177,7 @@ PDD = f"{LEV}, {dd_sql('lev', 'level', 'symbol', 'day')}"
 @query("probe_financing", f"{EV}, {PDD}, {FI} SELECT entity, measured, severity, {rnd('value', digits=5)} FROM fi", digits=5)
 def probe_financing(spark, d):
     e, _, sh = prepared(spark, d)
-    return X.financing(fragile.financing_inputs(e, R.bars(spark, d), sh, R.splits(spark, d)))
+    return X.financing(fragile.financing_inputs(e, stage(X.falls(R.bars(spark, d)), "falls"), sh, R.splits(spark, d)))
 
 
 def _as(name, sub):

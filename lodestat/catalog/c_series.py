@@ -69,7 +69,7 @@ def annual_vol(spark, d):
     CASE WHEN bars - 1 >= 52 THEN round(drawdown, 6) END AS value FROM dd""")
 def probe_price_drawdown(spark, d):
     from lodestat.operators import fragility
-    return fragility.price_drawdown(R.bars(spark, d))
+    return fragility.price_drawdown(fragility.falls(R.bars(spark, d)))
 
 
 @query("probe_asymmetry", f"""{B}, {RET}, {MOM} SELECT symbol, bars >= 52 AS measured, CASE WHEN bars < 52 THEN 'none' WHEN skew < -0.5 AND coalesce(tail_ratio < 0.9, false) THEN 'severe'

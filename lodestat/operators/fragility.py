@@ -27,9 +27,14 @@ def yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def price_drawdown(bars: DataFrame, key: str = "symbol") -> DataFrame:
+def falls(bars: DataFrame, key: str = "symbol") -> DataFrame:
+    """Deepest fall of each name's level (see ``series.drawdown``): one row per name, which probes share."""
+    return series.drawdown(series.levels(bars, key=key), "level", key=key)
+
+
+def price_drawdown(dd: DataFrame, key: str = "symbol") -> DataFrame:
+    """The probe over ``falls``."""
     t = PRICE_DRAWDOWN
-    dd = series.drawdown(series.levels(bars, key=key), "level", key=key)
     measured = F.col("bars") - 1 >= t["min_bars"]
     deep, back = F.col("drawdown") <= t["severe"], F.col("recovered")
     return dd.select(key, measured.alias("measured"),
