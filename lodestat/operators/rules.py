@@ -5,15 +5,16 @@ present one counts. A piece's role says what its absence means: without an ``all
 ``any`` pieces one is enough and the others count as 0; an ``extra`` piece counts as 0 and never carries an alternative that has
 pieces of another role. The first alternative that holds gives the label's value.
 
-Rules are joined to long values, so labels are added by adding rows, not code. A rule table is written by hand, which bounds it."""
+Rules are data: labels are added by adding entries, not code. A rule table is written by hand, which bounds it."""
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROLES = ("all", "any", "extra")
-SCHEMA = "label string, alt int, piece int, name string, rank int, sign double, role string, n_all int, n_any int"
 
 
 class Piece(NamedTuple):
@@ -40,36 +41,41 @@ def names(rules: dict) -> list:
     return sorted({n for rule in rules.values() for alt in alternatives(rule) for p in alt for n in p.names})
 
 
-def rule_table(spark, rules: dict) -> DataFrame:
-    """One row per label, alternative, piece and name."""
-    rows = []
-    for label, rule in rules.items():
-        for a, alt in enumerate(alternatives(rule)):
-            n_all, n_any = (sum(p.role == role for p in alt) for role in ("all", "any"))
-            rows += [(label, a, i, n, rank, float(p.sign), p.role, n_all, n_any) for i, p in enumerate(alt) for rank, n in enumerate(p.names)]
-    return spark.createDataFrame(rows, SCHEMA)
+def _label(rule, cells: dict):
+    """(value, alt, names) of the first alternative that holds, over one column per name (``cells``); NULL where none does."""
+    found = []
+    for number, alt in enumerate(alternatives(rule)):
+        here = [F.coalesce(*[cells[n] for n in p.names]) for p in alt]
+        there = [h.isNotNull() for h in here]
+        needed = [t for t, p in zip(there, alt, strict=True) if p.role == "all"]
+        enough = [t for t, p in zip(there, alt, strict=True) if p.role == "any"]
+        holds = reduce(or_, there)
+        for t in needed:
+            holds = holds & t
+        if enough:
+            holds = holds & reduce(or_, enough)
+        value, used = F.lit(0.0), []
+        for p, h, t in zip(alt, here, there, strict=True):              # summed in the rule's order
+            value = value + F.coalesce(F.lit(float(p.sign)) * h, F.lit(0.0))
+            name = F.coalesce(*[F.when(cells[n].isNotNull(), F.lit(n)) for n in p.names])
+            used.append(F.array(name) if p.role == "all" else F.when(t, F.array(name)).otherwise(F.array().cast("array<string>")))
+        found.append(F.when(holds, F.struct(value.alias("value"), F.lit(number).alias("alt"), F.concat(*used).alias("names"))))
+    return F.coalesce(*found)
 
 
 def resolve(values: DataFrame, rules: dict, name: str = "tag", by=("entity", "end_day")) -> DataFrame:
     """(*by, label, value, alt, names): each label that an alternative gives at a key, with the alternative's number and the names
     that it was summed from. ``values`` holds at most one row per key and name; absent and NULL are the same.
 
-    Values are exchanged once, by the key; pieces, alternatives and labels are then reduced where they lie. A key holds no more
-    rows than the rules have names."""
-    by = list(by)
-    table = rule_table(values.sparkSession, rules)
-    read = values.where(F.col("value").isNotNull() & F.col(name).isin(*names(rules))).select(*by, F.col(name).alias("name"), "value")
-    j = read.repartition(*[F.col(c) for c in by]).join(F.broadcast(table), "name")          # the rules, a few hundred rows
-    first = j.groupBy(*by, "label", "alt", "piece").agg(
-        F.min_by("value", "rank").alias("value"), F.min_by("name", "rank").alias("name"), F.first("sign").alias("sign"), F.first("role").alias("role"),
-        F.first("n_all").alias("n_all"), F.first("n_any").alias("n_any"))
-    parts = F.sort_array(F.collect_list(F.struct("piece", (F.col("sign") * F.col("value")).alias("value"), "name")))      # summed in the rule's order
-    sums = first.groupBy(*by, "label", "alt").agg(
-        parts.alias("parts"), (F.count_if(F.col("role") == "all") == F.first("n_all")).alias("complete"),
-        ((F.first("n_any") == 0) | (F.count_if(F.col("role") == "any") > 0)).alias("carried"))
-    total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["value"])
-    held = sums.where("complete AND carried").select(*by, "label", "alt", total.alias("value"), F.transform("parts", lambda p: p["name"]).alias("names"))
-    return held.groupBy(*by, "label").agg(F.min_by(F.struct("value", "alt", "names"), "alt").alias("w")).select(*by, "label", "w.*")
+    Values are exchanged once, by the key, and gathered into one cell per name, without a sort; labels are then worked out cell by
+    cell. A key holds no more cells than the rules have names."""
+    by, read = list(by), names(rules)
+    known = values.where(F.col("value").isNotNull() & F.col(name).isin(*read)).select(*by, F.col(name).alias("name"), "value")
+    cells = {n: f"_{i}" for i, n in enumerate(read)}
+    keys = known.repartition(*[F.col(c) for c in by]).groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(c) for n, c in cells.items()])
+    columns = {n: F.col(c) for n, c in cells.items()}
+    labels = [F.struct(F.lit(label).alias("label"), _label(rule, columns).alias("w")) for label, rule in rules.items()]
+    return keys.select(*by, F.explode(F.array(*labels)).alias("l")).where("l.w IS NOT NULL").select(*by, "l.label", "l.w.*")
 
 
 def wide(resolved: DataFrame, labels, by=("entity", "end_day")) -> DataFrame:

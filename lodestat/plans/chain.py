@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from lodestat.operators import asof, pit, rules
 from lodestat.plans import evaluate as E
 from lodestat.plans import grading
+from lodestat.session import dealt, stage
+
+
+def _latest(facts: DataFrame, instant: bool) -> DataFrame:
+    """``pit.latest_filed`` of rows that are dealt out first: a company's tag has few rows, and Spark can only sort for the latest."""
+    return pit.latest_filed(dealt(facts, "entity", "tag"), instant=instant)
 
 
 def statements_at(facts: DataFrame, as_of, flows: dict, points: dict, spans: dict | None = None) -> DataFrame:
@@ -16,12 +22,12 @@ def statements_at(facts: DataFrame, as_of, flows: dict, points: dict, spans: dic
     preferred at the date. A day that only has points is a quarterly row of its own."""
     known, spans = pit.one_unit(pit.visible(facts, as_of)), spans or {}
     tags = {*rules.names(flows), *(t for parts in spans.values() for t in parts)}
-    periods = pit.latest_filed(known.where(F.col("tag").isin(*sorted(tags))), instant=False).select("entity", "tag", *pit.SPAN, "value")
+    periods = _latest(known.where(F.col("tag").isin(*sorted(tags))), instant=False).select("entity", "tag", *pit.SPAN, "value")
     for label, parts in spans.items():
         periods = periods.unionByName(pit.compose_spans(periods, tuple(parts), label))
-    by = ("entity", "scope", "end_day")
+    periods, by = stage(periods, "periods"), ("entity", "scope", "end_day")      # annual, short, longer and prior spans read it
     f = rules.wide(rules.resolve(pit.tag_flows(periods), flows, by=by), flows, by).withColumnRenamed("end_day", "period_end")
-    p = pit.latest_filed(known.where(F.col("start_day").isNull() & F.col("tag").isin(*rules.names(points))), instant=True)
+    p = _latest(known.where(F.col("start_day").isNull() & F.col("tag").isin(*rules.names(points))), instant=True)
     p = rules.wide(rules.resolve(p, points), points).withColumnRenamed("end_day", "period_end")
     quarterly = f.where("scope = 'quarterly'").drop("scope").join(p, ["entity", "period_end"], "full_outer").withColumn("scope", F.lit("quarterly"))
     annual = f.where("scope = 'annual'").join(p, ["entity", "period_end"], "left")

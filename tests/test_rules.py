@@ -68,6 +68,12 @@ def test_values_are_exchanged_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
 
+def test_labels_need_no_sort(spark):
+    """A key's values are gathered by one hash aggregate; sorts per piece, alternative and label held several buffers in a task."""
+    plan = rules.resolve(spark.createDataFrame([(1, "Assets", DAY, 1.0)], SCHEMA), C.POINTS)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "ObjectHashAggregate" not in plan and "Join" not in plan
+
+
 def test_no_rows(spark):
     assert rules.resolve(spark.createDataFrame([], SCHEMA), C.POINTS).count() == 0
 
