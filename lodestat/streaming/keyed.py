@@ -4,10 +4,12 @@ late put out on the side.
 The clock of these jobs is the time at which a row arrives (``arrived``), so the engine never drops a row; the business time of a row
 (``ts``, a period's end) is data. A key is closed by its own rule, a time worked out from the key alone, so nothing has to be remembered
 of it once its timer has cleared it: a row that comes after that is late, is put out as such and changes no state. Keys without an end
-are cleared when nothing has come for ``idle``. Rows of one key and micro-batch are sorted in memory; a micro-batch's size is bounded by
+are cleared when nothing has come for ``idle``. Rows of one bucket of keys and micro-batch are held in memory; a micro-batch's size is bounded by
 the source's options (``maxFilesPerTrigger``)."""
 
 import datetime as dt
+import operator
+import pickle
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -40,12 +42,65 @@ def end_ms(day: str, days: int) -> int:
 
 
 class Processor(StatefulProcessor):
-    """A processor that knows the names of the columns it puts out; ``run`` tells it."""
+    """Keyed logic over buckets of keys. State is held by bucket, not by key, as each access is a round trip between the
+    worker and the store: one value holds a bucket's keys with what is known of them, and one timer stands for the key that goes next.
+    ``take`` and ``leave`` see single keys; ``run`` tells the names of the keys and of the columns that come in and go out."""
 
-    names: list = []
+    keys, columns, names = [], [], []
 
-    def row(self, *values) -> Row:
-        return Row(*self.names)(*values)
+    def init(self, handle):
+        self.handle = handle
+        self.held = handle.getValueState("held", "timer long, keys binary")
+        self.out = Row(*self.names)
+        self.at = [self.columns.index(c) for c in self.keys]
+
+    def load(self):
+        """(time of the timer or None, {key: (time at which it goes, what is known)})"""
+        if not self.held.exists():
+            return None, {}
+        timer, keys = self.held.get()
+        return timer, pickle.loads(keys)
+
+    def save(self, timer, known: dict):
+        if not known:
+            self.held.clear()
+            return
+        goes = min(x[0] for x in known.values())
+        if timer is None or goes < timer:
+            self.handle.registerTimer(goes)
+            timer = goes
+        self.held.update((timer, pickle.dumps(known, pickle.HIGHEST_PROTOCOL)))
+
+    def handleInputRows(self, key, rows, timerValues):
+        clock, at = timerValues.getCurrentWatermarkInMs(), self.at
+        of_key = {}
+        for r in rows:
+            r = tuple(r)
+            of_key.setdefault(tuple([r[i] for i in at]), []).append(r)
+        timer, known = self.load()
+        for k, own in of_key.items():
+            for values in self.take(k, own, known, clock):
+                yield self.out(*k, *values)
+        self.save(timer, known)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        clock, (timer, known) = timerValues.getCurrentWatermarkInMs(), self.load()
+        for k in [k for k, x in known.items() if x[0] <= clock]:
+            for values in self.leave(known.pop(k)):
+                yield self.out(*k, *values)
+        fired = timer is None or timer <= expiredTimerInfo.getExpiryTimeInMs()
+        self.save(None if fired else timer, known)
+
+    def take(self, key: tuple, rows: list, known: dict, clock: int):
+        """What a key's rows of a micro-batch put out; ``known[key]`` may change."""
+        raise NotImplementedError
+
+    def leave(self, gone: tuple):
+        """What a key puts out when its time is over."""
+        return ()
+
+    def pick(self, *names):
+        return operator.itemgetter(*[self.columns.index(n) for n in names])
 
     def close(self):
         pass
@@ -59,111 +114,112 @@ class Latest(Processor):
         self.days, self.at_end = days, at_end
 
     def init(self, handle):
-        self.handle = handle
-        self.best = handle.getValueState("best", "at long, seq long, value double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        closes = end_ms(key[-1], self.days)
-        if closes <= timerValues.getCurrentWatermarkInMs():
-            for r in rows:
-                yield self.row(*key, r.at, r.seq, r.value, True)
+        super().init(handle)
+        self.fields, self.closing = self.pick("at", "seq", "value"), {}
+
+    def take(self, key, rows, known, clock):
+        closes = self.closing.get(key[-1])
+        if closes is None:
+            closes = self.closing[key[-1]] = end_ms(key[-1], self.days)
+        found = [self.fields(r) for r in rows]
+        if closes <= clock:
+            for x in found:
+                yield *x, True
             return
-        held = self.best.get() if self.best.exists() else None
-        best = max([(r.at, r.seq, r.value) for r in rows] + ([tuple(held)] if held else []), key=lambda x: x[:2])
-        if held is None:
-            self.handle.registerTimer(closes)
-        if held is None or best != tuple(held):
-            self.best.update(best)
+        held = known[key][1] if key in known else None
+        best = max(found + ([held] if held else []), key=lambda x: x[:2])
+        if best != held:
+            known[key] = (closes, best)
             if not self.at_end:
-                yield self.row(*key, *best, False)
+                yield *best, False
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+    def leave(self, gone):
         if self.at_end:
-            yield self.row(*key, *self.best.get(), False)
-        self.best.clear()
+            yield *gone[1], False
 
 
 class _Idle(Processor):
     """State of a key that goes when nothing has come for ``idle`` days of arrivals."""
 
-    schema = ""
-
     def __init__(self, idle: int):
         self.idle = idle
 
-    def init(self, handle):
-        self.handle = handle
-        self.held = handle.getValueState("held", self.schema)
-
-    def put(self, value: tuple, arrived: int):
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.held.update(value)
-        self.handle.registerTimer(arrived + self.idle * DAY_MS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.held.clear()
-        yield from ()
+    def put(self, known: dict, key: tuple, value: tuple, arrived: int):
+        known[key] = (arrived + self.idle * DAY_MS, value)
 
 
 class Changes(_Idle):
     """Rows whose fingerprint differs from the one before of their key; the first is the baseline. Rows older than the last one seen
     change nothing."""
 
-    schema = "at long, seq long, fingerprint string"
-
-    def handleInputRows(self, key, rows, timerValues):
-        last = tuple(self.held.get()) if self.held.exists() else None
-        arrived = timerValues.getCurrentWatermarkInMs()
-        for r in sorted(rows, key=lambda r: (r.at, r.seq)):
-            arrived = max(arrived, r.arrived_ms)
-            if last is not None and (r.at, r.seq) <= last[:2]:
+    def init(self, handle):
+        super().init(handle)
+        self.fields = self.pick("at", "seq", "fingerprint", "arrived_ms")
+
+    def take(self, key, rows, known, clock):
+        last, arrived = known[key][1] if key in known else None, clock
+        for at, seq, fingerprint, came in sorted((self.fields(r) for r in rows), key=lambda x: x[:2]):
+            arrived = max(arrived, came)
+            if last is not None and (at, seq) <= last[:2]:
                 continue
-            if last is not None and last[2] is not None and r.fingerprint is not None and last[2] != r.fingerprint:
-                yield self.row(*key, r.seq, last[2], r.fingerprint)
-            last = (r.at, r.seq, r.fingerprint)
-        self.put(last, arrived)
+            if last is not None and last[2] is not None and fingerprint is not None and last[2] != fingerprint:
+                yield seq, last[2], fingerprint
+            last = (at, seq, fingerprint)
+        self.put(known, key, last, arrived)
 
 
 class Streaks(_Idle):
     """Consecutive hits per key over days. A day counts once, by its last row of the micro-batch; a miss resets, a tripped key stays
     broken, and days already seen change nothing."""
 
-    schema = "day string, streak int, broken boolean"
-
     def __init__(self, idle: int, needed: int):
         super().__init__(idle)
         self.needed = needed
 
-    def handleInputRows(self, key, rows, timerValues):
-        day, streak, broken = tuple(self.held.get()) if self.held.exists() else ("", 0, False)
-        hits, arrived = {}, timerValues.getCurrentWatermarkInMs()
-        for r in rows:
-            arrived = max(arrived, r.arrived_ms)
-            if r.day > day and (r.day not in hits or r.seq > hits[r.day][0]):
-                hits[r.day] = (r.seq, r.hit)
+    def init(self, handle):
+        super().init(handle)
+        self.fields = self.pick("day", "seq", "hit", "arrived_ms")
+
+    def take(self, key, rows, known, clock):
+        day, streak, broken = known[key][1] if key in known else ("", 0, False)
+        hits, arrived = {}, clock
+        for on, seq, hit, came in map(self.fields, rows):
+            arrived = max(arrived, came)
+            if on > day and (on not in hits or seq > hits[on][0]):
+                hits[on] = (seq, hit)
         for day in sorted(hits):
             streak = streak + 1 if hits[day][1] else 0
             broken = broken or streak >= self.needed
-            yield self.row(*key, day, streak, "broken" if broken else "intact")
+            yield day, streak, "broken" if broken else "intact"
         if hits:
-            self.put((day, streak, broken), arrived)
+            self.put(known, key, (day, streak, broken), arrived)
+
+
+#: Bytes of input for a bucket of keys, by the optimizer's estimate.
+BUCKET_BYTES = 32 << 10
+
+
+def buckets_for(slices: list) -> int:
+    """Number of buckets of keys, fixed for a stream's life: more for a larger table, so that a bucket stays small."""
+    size = max(int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in slices)
+    return max(int(slices[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, 1 << 20))
 
 
-def run(slices: list, keys: list, processor: Callable[[], Processor], schema: str, delay: str = "0 seconds", progress: list | None = None) -> DataFrame:
+def run(slices: list, keys: list, processor: Callable[[], Processor], schema: str, delay: str = "0 seconds", progress: list | None = None, buckets: int | None = None) -> DataFrame:
     """Run a keyed job once per arrival and return all it has put out. Every slice has the columns ``ts`` (processors read it as
     ``at``, in microseconds) and ``arrived``; ``progress`` takes the
-    number of keys in state after each arrival."""
+    number of buckets in state after each arrival."""
     spark = slices[0].sparkSession
     src, out, ckpt = (shared_dir(spark, f"keyed-{p}") for p in ("in", "out", "ckpt"))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets or buckets_for(slices))).alias("bucket")
     with state_store(spark):
         for rows in slices:
             rows.write.mode("append").parquet(src)
             stream = spark.readStream.schema(rows.schema).parquet(src).withColumns({"at": F.unix_micros("ts"), "arrived_ms": F.unix_millis("arrived")})
-            stream = stream.withWatermark("arrived", delay)
+            stream = stream.withWatermark("arrived", delay).select("*", bucket)
             step = processor()
-            step.names = [c.split()[0] for c in schema.split(", ")]
-            result = stream.groupBy(*keys).transformWithState(step, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+            step.keys, step.columns, step.names = list(keys), stream.columns, [c.split()[0] for c in schema.split(", ")]
+            result = stream.groupBy("bucket").transformWithState(step, outputStructType=schema, outputMode="Append", timeMode="EventTime")
             query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
             query.awaitTermination()
             if progress is not None:

@@ -70,6 +70,15 @@ def test_idle_keys_are_forgotten(spark):
     assert counts[1] == 1
 
 
+def test_state_is_held_by_bucket(spark):
+    """Keys share a few state values, each read and written once a batch; results are those of single keys."""
+    rows = [filing(e, 10 * p, 1 + p, 100 * e + p, float(e + p)) for e in range(60) for p in range(3)] + [(None, "2020-01-01", T0, 7, 0.5, T0)]
+    counts = []
+    out = keyed.run(keyed.by_arrival(rows_of(spark, rows), ["2020-01-11"], BEAT), ["entity", "day"], lambda: keyed.Latest(30, at_end=True), OUT, progress=counts, buckets=3)
+    got = {(r["entity"], r["day"]): (r["value"], r["late"]) for r in out.collect()}
+    assert got == {(e, day): (value, False) for e, day, _, _, value, _ in rows} and max(counts) <= 3
+
+
 def test_setting_comes_back(spark):
     before = spark.conf.get(keyed.PROVIDER, None)
     with keyed.state_store(spark):
