@@ -66,12 +66,21 @@ def stage(df, purpose: str):
 PART_BYTES = 16 << 20
 
 
+#: Above this an estimate says that the size is not known (rows of no file).
+KNOWN_BYTES = 1 << 50
+
+
+def input_bytes(df) -> int:
+    """The optimizer's estimate of a table's size; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < KNOWN_BYTES else 0
+
+
 def dealt(df, *keys):
     """Rows of equal keys in one part, of about ``PART_BYTES`` of input each. For aggregates that Spark can only sort for, such as the best
     row by several columns, where keys have few rows: combined before the exchange, every input split is sorted whole, which spills as
     splits grow, and nearly as many rows go on."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spark, size = df.sparkSession, input_bytes(df)
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, 10_000)), *keys)
 
 

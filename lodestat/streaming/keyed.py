@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from lodestat.session import shared_dir
+from lodestat.session import input_bytes, shared_dir
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -201,7 +201,7 @@ BUCKET_BYTES = 32 << 10
 
 def buckets_for(slices: list) -> int:
     """Number of buckets of keys, fixed for a stream's life: more for a larger table, so that a bucket stays small."""
-    size = max(int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in slices)
+    size = max(input_bytes(s) for s in slices)
     return max(int(slices[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, 1 << 20))
 
 

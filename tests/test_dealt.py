@@ -5,6 +5,7 @@ import random
 
 
 from lodestat import relations as R
+from lodestat import session
 from lodestat.catalog import c_grading
 from lodestat.functions import concepts
 from lodestat.operators import series
@@ -99,3 +100,8 @@ def test_facts_are_read_once_for_flows_and_once_for_points(spark):
     st = chain.statements_at(facts, "2001-12-31", {"revenue": concepts.REVENUE}, {"cash": concepts.CASH})
     assert st._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2       # beside quarters and beside years
     assert [(r.scope, r.revenue, r.cash) for r in st.collect()] == [("quarterly", 4.0, 7.0)]
+
+
+def test_rows_of_unknown_size_are_not_dealt_into_thousands(spark):
+    rows = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert session.input_bytes(rows) == 0 and session.dealt(rows, "a").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
