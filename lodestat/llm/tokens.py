@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lodestat.llm.common import run_ids, text_of
+from lodestat.llm.common import text_of
 
 #: Distinct chunks a worker remembers before it starts anew; bounds its memory, never its results.
 CHUNKS_KEPT = 600_000
@@ -26,13 +26,44 @@ TOGETHER = 2_000
 _LOADED: dict[str, TextEncoder] = {}
 
 
+#: Classes of bytes: ASCII letters, digits, other visible ones; first bytes of characters that are never white space; a space; other
+#: ASCII white space. 0 are bytes that tell nothing: no cut rests on them.
+_LETTER, _DIGIT, _SIGN, _LEAD, _SPACE, _FEED = 1, 2, 3, 4, 5, 6
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_CLASS[0xC3:0xF5] = _LEAD
+_CLASS[[0xE1, 0xE2, 0xE3]] = 0      # U+1680, U+2000 and so on, U+3000 are white space
+_CLASS[0x09:0x0E] = _FEED
+_CLASS[0x20] = _SPACE
+
+
+def cuts(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the bytes of texts with the given ends: true where the byte-level pre-tokenizer surely starts a new piece, and what stands between two cuts has the same pieces alone.
+
+    That is before a run of white space, before its last character if something visible follows, after it unless it is a space (which
+    goes with the next piece), and between ASCII letters, digits and other signs, but not after an apostrophe (``'s`` is a piece)."""
+    kind = _CLASS[flat]
+    out = np.zeros(len(flat), bool)
+    if len(flat) < 2:
+        return out
+    white, seen = kind >= _SPACE, (kind >= _LETTER) & (kind <= _LEAD)
+    out[:-1] = white[:-1] & seen[1:]
+    out[ends[ends > 0] - 1] = False     # what follows is another text
+    out[1:] |= (kind[:-1] == _FEED) & seen[1:]
+    plain = (kind >= _LETTER) & (kind <= _SIGN)
+    out[1:] |= plain[:-1] & white[1:]
+    out[1:] |= plain[:-1] & plain[1:] & (kind[:-1] != kind[1:]) & (flat[:-1] != 0x27)
+    return out
+
+
 class TextEncoder:
     """Encodes lists of texts; the ids equal those of ``Tokenizer.encode`` of each whole text.
 
-    A byte-level pre-tokenizer starts a new piece at every single space between two visible characters, and no merge crosses
-    pieces. So a text is cut there, each distinct chunk is encoded once by the tokenizer, and the ids are put together again. Texts
-    with neighbouring white space, and all texts under other kinds of tokenizer, are encoded whole.
-    Strings of special tokens within a text are ordinary text.
+    No merge of a byte-level tokenizer crosses the pieces of its pre-tokenizer. So a text is cut where a piece surely starts
+    (``cuts``), each distinct chunk is encoded once by the tokenizer, and the ids are put together again. Texts under other kinds of
+    tokenizer are encoded whole. Strings of special tokens within a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -61,30 +92,24 @@ class TextEncoder:
         return [np.asarray(e.ids, np.uint32).astype(self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def learn(self, new: pa.Array) -> None:
-        """Encodes chunks that were not met before; one next to further white space gets start -1: its text is encoded whole. Chunks
-        without white space go to the tokenizer together, with line feeds between them that are tokens of their own."""
+        """Encodes chunks that were not met before. Those without white space but a space in front go to the tokenizer together, with
+        line feeds between them that are tokens of their own."""
         n, m = len(self.known), len(new)
         self.starts, self.sizes = _room(self.starts, n + m), _room(self.sizes, n + m)
-        feeds = np.asarray(pc.match_substring(new, "\n").to_numpy(zero_copy_only=False), bool)
-        places, some = np.flatnonzero(~feeds), new.filter(pa.array(~feeds)).to_pylist()
-        alone = dict(zip(np.flatnonzero(feeds).tolist(), new.filter(pa.array(feeds)).to_pylist(), strict=True))
-        for i in range(0, len(some), TOGETHER):
-            part, at = some[i:i + TOGETHER], places[i:i + TOGETHER]
-            joined = " " + "\n ".join(part)
-            if self.feed is None or "" in part or len(joined.split()) != len(part):
-                alone.update(zip(at.tolist(), part, strict=True))
-                continue
-            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
-            cuts = np.flatnonzero(ids == self.feed)
-            if len(cuts) != len(part) - 1:
+        every = new.to_pylist()
+        words = [c.split() for c in every]
+        together = [i for i, (c, w) in enumerate(zip(every, words, strict=True)) if self.feed is not None and len(w) == 1 and (c == w[0] or c[0] == " " and c[1:] == w[0])]
+        for i in range(0, len(together), TOGETHER):
+            at = together[i:i + TOGETHER]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join([every[k] for k in at])], add_special_tokens=False)[0].ids, self.kind)
+            feeds = np.flatnonzero(ids == self.feed)
+            if len(feeds) != len(at) - 1:
                 raise RuntimeError("a line feed is no token of its own under this tokenizer")
-            self.remember(n + at, np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1, ids[ids != self.feed])
-        bad = [i for i, c in alone.items() if not c or c[0].isspace() or c[-1].isspace()]
-        self.starts[n + np.asarray(bad, np.int64)], self.sizes[n + np.asarray(bad, np.int64)] = -1, 0
-        good = sorted(set(alone).difference(bad))
-        for i in range(0, len(good), TOGETHER):
-            at = good[i:i + TOGETHER]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([" " + alone[k] for k in at], add_special_tokens=False)]
+            self.remember(n + np.asarray(at), np.diff(np.concatenate([[-1], feeds, [len(ids)]])) - 1, ids[ids != self.feed])
+        alone = sorted(set(range(m)).difference(together))
+        for i in range(0, len(alone), TOGETHER):
+            at = alone[i:i + TOGETHER]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([every[k] for k in at], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int32, len(found))
             self.remember(n + np.asarray(at), sizes, np.fromiter(chain.from_iterable(found), self.kind, int(sizes.sum())))
         self.known = pa.concat_arrays([self.known, new])
@@ -109,34 +134,28 @@ class TextEncoder:
                 gc.enable()
 
     def by_chunks(self, some: pa.StringArray) -> list[bytes]:
-        """Cuts at spaces, makes chunks distinct and looks them up within Arrow; only new ones become Python strings."""
+        """Cuts texts, makes chunks distinct and looks them up within Arrow; only new ones become Python strings."""
         if len(self.known) > CHUNKS_KEPT:
             self.forget()
-        cut = pc.split_pattern(some, " ")
-        first = np.asarray(cut.offsets, np.int64)
-        every = cut.values.slice(int(first[0]), int(first[-1] - first[0])).dictionary_encode()
-        first = first - first[0]
-        texts_of_heads = every.take(pa.array(first[:-1])).cast(some.type).to_pylist()
+        _, offsets, data = some.buffers()
+        texts = np.frombuffer(offsets, np.int32)[some.offset:some.offset + len(some) + 1].astype(np.int64)
+        flat = np.frombuffer(data, np.uint8)[texts[0]:texts[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+        texts = texts - texts[0]
+        mark = cuts(flat, texts[1:])
+        mark[texts[:-1][texts[:-1] < len(flat)]] = True
+        first = np.flatnonzero(mark)
+        bounds = np.append(first, len(flat)).astype(np.int32)
+        every = pa.StringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(flat))).dictionary_encode()
         place = pc.index_in(every.dictionary, value_set=self.known)
         if place.null_count:
             self.learn(every.dictionary.filter(place.is_null()))
             place = pc.index_in(every.dictionary, value_set=self.known)
         at = np.asarray(place)[np.asarray(every.indices)]
-        head = np.zeros(len(at), bool)
-        head[first[:-1]] = True
-        at = at[~head]
-        heads = self.whole(texts_of_heads)
-        counts = np.diff(first) - 1
-        ends = np.cumsum(counts)
-        odd = {int(i) for i in np.searchsorted(ends, np.flatnonzero(self.starts[at] < 0), side="right")}
-        odd |= {i for i in np.flatnonzero(counts).tolist() if not texts_of_heads[i] or texts_of_heads[i][-1].isspace()}
         sizes = self.sizes[at]
-        flat = self.ids[np.repeat(self.starts[at], sizes) + run_ids(sizes)]
-        bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.concatenate([[0], ends])].tolist()
-        out = [h + flat[a:b].tobytes() for h, a, b in zip(heads, bounds[:-1], bounds[1:], strict=True)]
-        for i, ids in zip(sorted(odd), self.whole([some[i].as_py() for i in sorted(odd)]), strict=True):
-            out[i] = ids
-        return out
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        found = self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        of_texts = ends[np.searchsorted(first, texts)].tolist()
+        return [found[a:b].tobytes() for a, b in zip(of_texts[:-1], of_texts[1:], strict=True)]
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:

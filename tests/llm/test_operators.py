@@ -103,6 +103,15 @@ def test_chunks_give_the_ids_of_whole_texts():
         assert got == [e.ids for e in library().encode_batch(some, add_special_tokens=False)]
 
 
+def test_chunks_are_cut_at_signs_and_line_feeds():
+    enc = tokens.TextEncoder(PATH)
+    words, signs = ["one", "zwei", "trois", "siete", "uno", "drei"], [",", ".", ";", ":", "!", "?", ")", "...", "'"]
+    some = [f"so {w}{x} then {w}\n{v}{x}\n\n{w}" for w in words for v in words for x in signs] + ["b\n\n", "c", "d\n", " e", "f ", "g 's", "it's'sh"]
+    got = [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(some)]
+    assert got == [e.ids for e in library().encode_batch(some, add_special_tokens=False)]
+    assert len(enc.known) < 60      # words, spaces before them, signs; every pair of neighbours made a chunk of its own
+
+
 def test_encoder_forgets_within_bounds(monkeypatch):
     monkeypatch.setattr(tokens, "CHUNKS_KEPT", 10)
     enc = tokens.TextEncoder(PATH)
