@@ -3,7 +3,7 @@
 Paragraphs are lines of at least ``LEAST`` words. Blocks are the runs of lines between blank ones, so that wrapped text is compared whole:
 those of several lines with each other and with those of one line, apart from the lines, as a block is like its own longest line. Their sets of five-word shingles get MinHash values in bands; 6 bands of 3 values find
 a pair of Jaccard similarity 0.8 with probability 0.986, one of 0.9 with 0.9996. Equal paragraphs meet first, as one row. Paragraphs that
-collide in a band are compared by exact Jaccard similarity, and a spanning forest of the pairs of ``SIMILAR`` or more leaves the bucket; a
+collide with others in a band, and only those, are read a second time, in one of their texts, for their shingles. They are compared by exact Jaccard similarity, and a spanning forest of the pairs of ``SIMILAR`` or more leaves the bucket; a
 bucket above ``BUCKET`` different paragraphs is dealt out as pairs of blocks. Components of all forests are the classes.
 
 A passage inside larger paragraphs has no paragraph of its own. So texts are also cut at content-chosen words, the least hash of three
@@ -146,10 +146,32 @@ def bands_of(own: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
     sig = np.full(bands * rows, 1 << 32, np.uint64)
     for i in range(0, len(own), AT_ONCE):
         sig = np.minimum(sig, ((own[i:i + AT_ONCE] * mul + add) & np.uint64(0xFFFFFFFF)).min(axis=1))
-    sig = sig.reshape(bands, rows)
+    return _banded(sig.reshape(1, bands, rows))[0]
+
+
+def _banded(sig: np.ndarray) -> np.ndarray:
+    """The bands' hashes of MinHash values by set, band and row."""
+    bands, rows = sig.shape[1:]
     factors = np.asarray([1, _ODD[1], _ODD[2], *(_mix(np.arange(3, max(rows, 3), dtype=np.uint64)) | np.uint64(1)).tolist()], np.uint64)[:rows]
     with np.errstate(over="ignore"):
-        return _mix((sig * factors).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+        return _mix((sig * factors).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+
+
+def bands_of_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``bands_of`` the unsigned 32-bit values of each range, none of them empty; a row of bands for each."""
+    mul, add = (x.astype(np.uint32)[:, 0] for x in signature_constants())
+    sig = np.empty((len(starts), BANDS * ROWS), np.uint64)
+    both = np.stack([starts, ends], axis=1).ravel()
+    padded = np.append(values, np.uint32(0))
+    for k in range(BANDS * ROWS):
+        sig[:, k] = np.minimum.reduceat(padded * mul[k] + add[k], both)[::2]
+    return _banded(sig.reshape(-1, BANDS, ROWS))
+
+
+def fives(h: np.ndarray) -> np.ndarray:
+    """Unsigned 32-bit hashes of the shingles of words with the given hashes, in order."""
+    n = len(h) - SHINGLE + 1
+    return (range_hashes(h, np.arange(n), np.arange(n) + SHINGLE, _ODD[0]) >> np.uint64(32)).astype(np.uint32)
 
 
 def units(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,32 +190,51 @@ def units(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def paragraph_rows(source: DataFrame) -> DataFrame:
-    """(doc_id, start, end, h1, h2, line, block, bands, shingles) of every line and block; shingles: sorted unsigned 32-bit hashes."""
+    """(doc_id, _at, start, end, h1, h2, line, block, bands) of every line and block; _at: the text's row in ``source``."""
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "end", "h1", "h2", "line", "block", "bands", "shingles"]
+        names = ["start", "end", "h1", "h2", "line", "block"]
         for b in batches:
-            rows, cols = [], [[] for _ in names[1:]]
+            found, values, before = [], [], 0
             for i, own in enumerate(rows_of(b)):
-                data = own.tobytes()
-                s, e, h = words_of(data)
+                s, e, h = words_of(own.tobytes())
                 if len(h) < LEAST:
                     continue
                 lines = np.concatenate([[0], np.searchsorted(s, np.flatnonzero(own == 10)), [len(s)]])
                 p, q, line, block = units(lines)
-                n = len(h) - SHINGLE + 1
-                five = (range_hashes(h, np.arange(n), np.arange(n) + SHINGLE, _ODD[0]) >> np.uint64(32)).astype(np.uint32)
+                if not len(p):
+                    continue
+                values.append(fives(h))
                 h1, h2 = range_hashes(h, p, q, _ODD[1]).view(np.int64), range_hashes(h, p, q, _ODD[2]).view(np.int64)
-                for k, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
-                    own_set = np.unique(five[x:y - SHINGLE + 1])
-                    rows.append(i)
-                    for c, v in zip(cols, (int(s[x]), int(e[y - 1]), int(h1[k]), int(h2[k]), bool(line[k]), bool(block[k]), bands_of(own_set).tolist(), own_set.astype("<u4").tobytes()), strict=True):
-                        c.append(v)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=names)
+                found.append((s[p].astype(np.int32), e[q - 1].astype(np.int32), h1, h2, line, block, np.full(len(p), i), p + before, q - SHINGLE + 1 + before))
+                before += len(values[-1])
+            if not found:
+                continue
+            *cols, rows, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+            bands = bands_of_ranges(np.concatenate(values), starts, ends)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in ("doc_id", "_at")), *map(pa.array, cols), bands], names=["doc_id", "_at", *names, "bands"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, start int, end int, h1 long, h2 long, line boolean, block boolean, bands array<long>, shingles binary")
+    return source.mapInArrow(run, f"doc_id {kind}, _at long, start int, end int, h1 long, h2 long, line boolean, block boolean, bands array<long>")
+
+
+def shingle_rows(wanted: DataFrame) -> DataFrame:
+    """(no, bands, shingles) of the paragraphs ``own`` (start, end, no, bands) of each text; shingles: sorted unsigned 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, asked = [], b.column("own")
+            for text, paragraphs in zip(rows_of(b), asked, strict=True):
+                s, e, h = words_of(text.tobytes())
+                five = fives(h)
+                first = np.searchsorted(s, paragraphs.values.field("start").to_numpy())
+                last = np.searchsorted(e, paragraphs.values.field("end").to_numpy())
+                sets += [np.unique(five[x:y - SHINGLE + 2]).astype("<u4").tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            every = asked.flatten()
+            yield pa.RecordBatch.from_arrays([every.field("no"), every.field("bands"), pa.array(sets, pa.binary())], names=["no", "bands", "shingles"])
+
+    return wanted.select("own", "text").mapInArrow(run, "no long, bands array<long>, shingles binary")
 
 
 def forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
@@ -222,10 +263,16 @@ def forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
     return out
 
 
+def buckets(keys: DataFrame) -> DataFrame:
+    """(band, n): the bands (no, band) in which n > 1 numbers meet, one of those that hold the same numbers."""
+    held = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("no")).alias("_x"), F.bit_xor(F.xxhash64("no", F.lit(1))).alias("_y"))
+    return held.where("n > 1").groupBy("n", "_x", "_y").agg(F.min("band").alias("band")).select("band", "n")
+
+
 def links(lines: DataFrame) -> DataFrame:
     """(a, b): pairs of numbers of different paragraphs (no, bands, shingles), a written table, that connect all similar ones that collide."""
     keys = lines.select("no", F.explode("bands").alias("band"))
-    counts = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = buckets(keys)
     blocks = F.ceil(F.col("n") / BUCKET)
     met = keys.join(counts, "band").join(lines.select("no", "shingles"), "no")
     dealt = (met.withColumn("_own", F.pmod(F.xxhash64("no"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -260,13 +307,20 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, class_doc, class_start, members, removed): every paragraph (kind "paragraph") that has a similar one, every
     block (kind "block") of a class that holds one of several lines, and every passage (kind "passage") that has an equal one."""
     source = text_of(docs, "doc_id")
-    rows = stage(paragraph_rows(source), "paragraphs")
+    named = source.withColumn("_at", F.xxhash64("doc_id", "text"))
+    rows = stage(paragraph_rows(named), "paragraphs")
     number = F.xxhash64("h1", "h2")
-    lines = stage(rows.groupBy("h1", "h2").agg(F.max("line").alias("line"), F.max("block").alias("block"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-                  .select(number.alias("no"), "line", "block", "bands", "shingles"), "lines")
+    lines = stage(rows.groupBy("h1", "h2").agg(F.max("line").alias("line"), F.max("block").alias("block"), F.first("bands").alias("bands"), F.min(F.struct("_at", "start", "end")).alias("place"))
+                  .select(number.alias("no"), "line", "block", "bands", "place.*"), "lines")
     apart = F.lit(APART)
-    blocks = lines.where("block").select(F.col("no").bitwiseXOR(apart).alias("no"), F.transform("bands", lambda x: x.bitwiseXOR(apart)).alias("bands"), "shingles")
-    roots = stage(components(links(lines.where("line").select("no", "bands", "shingles").unionByName(blocks))), "roots")
+    blocks = lines.where("block").select(F.col("no").bitwiseXOR(apart).alias("no"), F.transform("bands", lambda x: x.bitwiseXOR(apart)).alias("bands"), "_at", "start", "end")
+    every = lines.where("line").select("no", "bands", "_at", "start", "end").unionByName(blocks)
+    keys = every.select("no", "_at", "start", "end", F.explode("bands").alias("band"))
+    met = keys.join(buckets(keys).select("band"), "band", "left_semi").groupBy("no", "_at", "start", "end").agg(F.collect_list("band").alias("bands"))
+    asked = met.groupBy("_at").agg(F.collect_list(F.struct("start", "end", "no", "bands")).alias("own"))
+    once = named.groupBy("_at").agg(F.first("text").alias("text"))
+    similar = stage(shingle_rows(once.join(asked, "_at")), "similar")
+    roots = stage(components(links(similar)), "roots")
 
     def classed(own: DataFrame) -> DataFrame:
         return own.join(roots, own["no"] == roots["node"], "left").select("doc_id", "start", "end", "line", F.coalesce("root", "no").alias("class"))

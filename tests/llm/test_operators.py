@@ -650,3 +650,34 @@ def test_a_band_takes_all_its_rows():
         for i in range(4 * rows):           # without the shingle of any one of its values, a band's hash changes
             gone = paragraphs.bands_of(own[[(int(x) * int(mul[i, 0]) + int(add[i, 0])) % (1 << 32) != least[i] for x in own]], 4, rows)
             assert gone[i // rows] != bands[i // rows]
+
+
+def test_bands_of_ranges_are_those_of_sets():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 32, 500, dtype=np.uint64).astype(np.uint32)
+    starts, ends = np.asarray([0, 7, 499, 0, 490]), np.asarray([7, 300, 500, 500, 499])
+    got = paragraphs.bands_of_ranges(values, starts, ends)
+    assert got.tolist() == [paragraphs.bands_of(np.unique(values[a:b])).tolist() for a, b in zip(starts, ends, strict=True)]
+
+
+def test_only_paragraphs_that_meet_are_read_for_shingles(spark, monkeypatch):
+    own = " ".join(f"same{i}" for i in range(30))
+    texts = [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(40)]
+    rows = [(1, f"{own} one\n{texts[0]}"), (1, f"{own} one\n{texts[0]}"), (None, f"{own} two\n{texts[1]}"), *((k, texts[k]) for k in range(2, 40))]
+    written = {}
+
+    def seen(df, name=""):
+        written[name] = stage(df, name)
+        return written[name]
+
+    monkeypatch.setattr(paragraphs, "stage", seen)
+    got = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph' AND start = 0").collect()
+    assert sorted((r["doc_id"] is None, r["members"], r["removed"]) for r in got) == [(False, 3, False), (False, 3, True), (True, 3, True)]
+    assert [n for n, df in written.items() if "shingles" in df.columns] == ["similar"]
+    at = written["similar"].collect()
+    assert len({r["no"] for r in at}) == len(at) == 2       # two lines; their blocks differ, and the other lines meet nothing
+
+
+def test_buckets_of_the_same_numbers_are_one(spark):
+    keys = spark.createDataFrame([(1, 10), (2, 10), (1, 11), (2, 11), (3, 12), (1, 13), (2, 13), (3, 13), (1, 14)], "no long, band long")
+    assert sorted(map(tuple, paragraphs.buckets(keys).collect())) == [(10, 2), (13, 3)]
