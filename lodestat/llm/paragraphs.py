@@ -3,7 +3,8 @@
 Paragraphs are lines of at least ``LEAST`` words. Blocks are the runs of lines between blank ones, so that wrapped text is compared whole:
 those of several lines with each other and with those of one line, apart from the lines, as a block is like its own longest line. Their sets of five-word shingles get MinHash values in bands; 6 bands of 3 values find
 a pair of Jaccard similarity 0.8 with probability 0.986, one of 0.9 with 0.9996. Equal paragraphs meet first, as one row. Paragraphs that
-collide with others in a band, and only those, are read a second time, in one of their texts, for their shingles. They are compared by exact Jaccard similarity, and a spanning forest of the pairs of ``SIMILAR`` or more leaves the bucket; a
+collide with others in a band, and only those, are read a second time, in one of their texts, for their shingles; a bitmap keeps most other
+texts out of that exchange. They are compared by exact Jaccard similarity, and a spanning forest of the pairs of ``SIMILAR`` or more leaves the bucket; a
 bucket above ``BUCKET`` different paragraphs is dealt out as pairs of blocks. Components of all forests are the classes.
 
 A passage inside larger paragraphs has no paragraph of its own. So texts are also cut at content-chosen words, the least hash of three
@@ -114,8 +115,8 @@ def passages(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return start[keep], end[keep], h1[keep], h2[keep]
 
 
-def passage_rows(source: DataFrame, keep: str | None) -> DataFrame:
-    """(h1) of every passage, or with ``keep`` (doc_id, start, end, h1, h2)."""
+def passage_rows(source: DataFrame) -> DataFrame:
+    """(doc_id, start, end, h1, h2) of every passage."""
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,14 +125,11 @@ def passage_rows(source: DataFrame, keep: str | None) -> DataFrame:
             if not found:
                 continue
             start, end, h1, h2 = (np.concatenate(x) for x in zip(*found, strict=True))
-            cols, names = [pa.array(h1.view(np.int64))], ["h1"]
-            if keep:
-                rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                cols = [b.column("doc_id").take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), *cols, pa.array(h2.view(np.int64))]
-                names = ["doc_id", "start", "end", "h1", "h2"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            cols = [b.column("doc_id").take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "end", "h1", "h2"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, start int, end int, h1 long, h2 long" if keep else "h1 long")
+    return source.mapInArrow(run, f"doc_id {kind}, start int, end int, h1 long, h2 long")
 
 
 def signature_constants(n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -269,6 +267,21 @@ def buckets(keys: DataFrame) -> DataFrame:
     return held.where("n > 1").groupBy("n", "_x", "_y").agg(F.min("band").alias("band")).select("band", "n")
 
 
+def meeting(keys: DataFrame) -> DataFrame:
+    """The keys (no, band) whose band another number has too. One exchange of the two numbers."""
+    return keys.select("no", "band", F.count(F.lit(1)).over(Window.partitionBy("band")).alias("_n")).where("_n > 1").select("no", "band")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, by: str, bits: int = 25) -> DataFrame:
+    """The rows whose whole number ``by`` is in ``wanted``, and a few more where the last ``bits`` bits agree: a bitmap of 2^bits bits, 4 MB
+    whatever the tables, is sent to all tasks, so that texts nobody asks for are not exchanged."""
+    place = F.pmod(F.xxhash64(by), F.lit(1 << bits)) + 1
+    held = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    found = rows.withColumn("_p", place).withColumn("_b", F.bitmap_bucket_number("_p")).join(F.broadcast(held), "_b")
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return found.where(f"getbit({byte}, cast(bitmap_bit_position(_p) % 8 as int)) = 1").select(rows.columns)
+
+
 def links(lines: DataFrame) -> DataFrame:
     """(a, b): pairs of numbers of different paragraphs (no, bands, shingles), a written table, that connect all similar ones that collide."""
     keys = lines.select("no", F.explode("bands").alias("band"))
@@ -293,11 +306,11 @@ def links(lines: DataFrame) -> DataFrame:
 
 
 def _marked(rows: DataFrame, *by: str) -> DataFrame:
-    """Adds class_doc, class_start (the class's least member), members and removed; classes of one member go."""
+    """Adds class_doc, class_start (the class's least member), members and removed; classes of one member go. Rows are exchanged once."""
+    own = Window.partitionBy(*by)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    per = rows.groupBy(*by).agg(F.min(place).alias("_least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    rows = rows.join(per, list(by))
     first = Window.partitionBy(*by, "doc_id", "start").orderBy("end")      # equal rows: one of them stays
+    rows = rows.withColumn("members", F.count(F.lit(1)).over(own)).where("members > 1").withColumn("_least", F.min(place).over(own))
     at_least = F.col("doc_id").eqNullSafe(F.col("_least.doc_id")) & (F.col("start") == F.col("_least.start"))
     return rows.withColumn("_no", F.row_number().over(first)).select(
         "doc_id", "start", "end", F.col("_least.doc_id").alias("class_doc"), F.col("_least.start").alias("class_start"), "members", (~(at_least & (F.col("_no") == 1))).alias("removed"))
@@ -315,11 +328,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     apart = F.lit(APART)
     blocks = lines.where("block").select(F.col("no").bitwiseXOR(apart).alias("no"), F.transform("bands", lambda x: x.bitwiseXOR(apart)).alias("bands"), "_at", "start", "end")
     every = lines.where("line").select("no", "bands", "_at", "start", "end").unionByName(blocks)
-    keys = every.select("no", "_at", "start", "end", F.explode("bands").alias("band"))
-    met = keys.join(buckets(keys).select("band"), "band", "left_semi").groupBy("no", "_at", "start", "end").agg(F.collect_list("band").alias("bands"))
-    asked = met.groupBy("_at").agg(F.collect_list(F.struct("start", "end", "no", "bands")).alias("own"))
-    once = named.groupBy("_at").agg(F.first("text").alias("text"))
-    similar = stage(shingle_rows(once.join(asked, "_at")), "similar")
+    met = stage(meeting(every.select("no", F.explode("bands").alias("band"))), "met")
+    wanted = met.join(buckets(met).select("band"), "band", "left_semi").groupBy("no").agg(F.collect_list("band").alias("bands"))
+    asked = stage(every.select("no", "_at", "start", "end").join(wanted, "no").groupBy("_at").agg(F.collect_list(F.struct("start", "end", "no", "bands")).alias("own")), "asked")
+    once = likely(named.select("_at", "text"), asked, "_at").join(asked, "_at").groupBy("_at").agg(F.first("text").alias("text"), F.first("own").alias("own"))
+    similar = stage(shingle_rows(once), "similar")
     roots = stage(components(links(similar)), "roots")
 
     def classed(own: DataFrame) -> DataFrame:
@@ -327,12 +340,9 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     paragraphs = _marked(classed(rows.where("line").select("doc_id", "start", "end", "line", number.alias("no"))).drop("line"), "class").withColumn("kind", F.lit("paragraph"))
     of_blocks = classed(rows.where("block").select("doc_id", "start", "end", "line", number.bitwiseXOR(apart).alias("no")))
-    several = of_blocks.where("NOT line").select("class").distinct()
-    blocks = _marked(of_blocks.join(several, "class", "left_semi").drop("line"), "class").withColumn("kind", F.lit("block"))
-
-    often = passage_rows(source, None).groupBy("h1").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1")
-    met = stage(passage_rows(source, "all").join(often, "h1", "left_semi"), "passages")
-    spans = _marked(met, "h1", "h2").withColumn("kind", F.lit("passage"))
+    several = F.bool_or(~F.col("line")).over(Window.partitionBy("class"))
+    blocks = _marked(of_blocks.withColumn("_several", several).where("_several").drop("line", "_several"), "class").withColumn("kind", F.lit("block"))
+    spans = _marked(passage_rows(source), "h1", "h2").withColumn("kind", F.lit("passage"))
     return paragraphs.unionByName(blocks).unionByName(spans).select("doc_id", "kind", "start", "end", "class_doc", "class_start", "members", "removed")
 
 

@@ -681,3 +681,26 @@ def test_only_paragraphs_that_meet_are_read_for_shingles(spark, monkeypatch):
 def test_buckets_of_the_same_numbers_are_one(spark):
     keys = spark.createDataFrame([(1, 10), (2, 10), (1, 11), (2, 11), (3, 12), (1, 13), (2, 13), (3, 13), (1, 14)], "no long, band long")
     assert sorted(map(tuple, paragraphs.buckets(keys).collect())) == [(10, 2), (13, 3)]
+
+
+def test_members_are_marked_in_one_exchange(spark):
+    rows = [(1, 0, 9, 5), (1, 0, 9, 5), (None, 3, 9, 5), (2, 0, 9, 6), (3, 4, 9, 7), (3, 0, 9, 7)]
+    got = paragraphs._marked(spark.createDataFrame(rows, "doc_id long, start int, end int, class long"), "class")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(((r["doc_id"] or 0), r["start"], r["class_doc"], r["class_start"], r["members"], r["removed"]) for r in got.collect()) == [
+        (0, 3, 1, 0, 3, True), (1, 0, 1, 0, 3, False), (1, 0, 1, 0, 3, True), (3, 0, 3, 0, 2, False), (3, 4, 3, 0, 2, True)]
+
+
+def test_texts_that_nobody_asks_for_are_left_out_early(spark):
+    rows = spark.range(-500, 500).withColumnRenamed("id", "_at").withColumn("text", F.concat(F.lit("t"), F.col("_at")))
+    wanted = rows.where("_at % 100 = 7").select("_at")
+    asked = {r["_at"] for r in wanted.collect()}
+    assert {r["_at"] for r in paragraphs.likely(rows, wanted, "_at").collect()} == asked == {7, 107, 207, 307, 407}
+    some = {r["_at"] for r in paragraphs.likely(rows, wanted, "_at", 4).collect()}      # one bitmap of 16 bits
+    assert asked < some and len(some) < 1000
+    assert paragraphs.likely(rows, wanted.limit(0), "_at").count() == 0
+
+
+def test_keys_meet_by_band(spark):
+    keys = spark.createDataFrame([(1, 10), (2, 10), (1, 11), (3, 12), (4, None)], "no long, band long")
+    assert sorted(map(tuple, paragraphs.meeting(keys).collect())) == [(1, 10), (2, 10)]
