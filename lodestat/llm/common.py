@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestat.session import shared_dir, stage
 
-__all__ = ["in_small_batches", "replaced", "rows_of", "run_ids", "shared_dir", "slices", "stage", "text_of", "texts", "working_parts"]
+__all__ = ["in_small_batches", "likely", "replaced", "rows_of", "run_ids", "shared_dir", "slices", "stage", "text_of", "texts", "working_parts"]
 
 
 #: Bytes of rows that reach a Python worker at once. Texts are large: Spark's own bound, 64 MB and 10,000 rows, holds hundreds of MB in each task.
@@ -87,5 +87,15 @@ def replaced(batch: pa.RecordBatch, name: str, new: dict[int, object]) -> pa.Rec
     return batch.set_column(batch.schema.get_field_index(name), batch.schema.field(name), pc.replace_with_mask(column, pa.array(mask), values))
 
 
+def likely(rows: DataFrame, wanted: DataFrame, by: str, bits: int = 25) -> DataFrame:
+    """The rows whose whole number ``by`` is in ``wanted``, and a few more where the last ``bits`` bits agree: a bitmap of 2^bits bits, 4 MB
+    whatever the tables, is sent to all tasks, so that texts nobody asks for are not exchanged."""
+    place = F.pmod(F.xxhash64(by), F.lit(1 << bits)) + 1
+    held = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    found = rows.withColumn("_p", place).withColumn("_b", F.bitmap_bucket_number("_p")).join(F.broadcast(held), "_b")
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return found.where(f"getbit({byte}, cast(bitmap_bit_position(_p) % 8 as int)) = 1").select(rows.columns)
+
+
 def working_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

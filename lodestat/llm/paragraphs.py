@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import rows_of, stage, text_of
+from lodestat.llm.common import likely, rows_of, stage, text_of
 from lodestat.llm.components import components
 
 SHINGLE = 5
@@ -272,16 +272,6 @@ def meeting(keys: DataFrame) -> DataFrame:
     return keys.select("no", "band", F.count(F.lit(1)).over(Window.partitionBy("band")).alias("_n")).where("_n > 1").select("no", "band")
 
 
-def likely(rows: DataFrame, wanted: DataFrame, by: str, bits: int = 25) -> DataFrame:
-    """The rows whose whole number ``by`` is in ``wanted``, and a few more where the last ``bits`` bits agree: a bitmap of 2^bits bits, 4 MB
-    whatever the tables, is sent to all tasks, so that texts nobody asks for are not exchanged."""
-    place = F.pmod(F.xxhash64(by), F.lit(1 << bits)) + 1
-    held = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    found = rows.withColumn("_p", place).withColumn("_b", F.bitmap_bucket_number("_p")).join(F.broadcast(held), "_b")
-    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10) as int)"
-    return found.where(f"getbit({byte}, cast(bitmap_bit_position(_p) % 8 as int)) = 1").select(rows.columns)
-
-
 def links(lines: DataFrame) -> DataFrame:
     """(a, b): pairs of numbers of different paragraphs (no, bands, shingles), a written table, that connect all similar ones that collide."""
     keys = lines.select("no", F.explode("bands").alias("band"))

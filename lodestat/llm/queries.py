@@ -19,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove(documents(spark, sf_dir))
+    return suffix_dedup.remove(documents(spark, sf_dir), words=suffix_dedup.WORDS)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,15 @@ string over all tasks instead, so that no shard grows without bound. At last eac
 Texts are UTF-8 bytes, null ones empty. A text shorter than ``length`` keeps all its bytes; one that occurs in several rows loses all of
 them if it is long enough. Strings never reach across texts and are judged on the input. Repeated rows are copies of each other.
 Two keys of 64 bits stand for a text and for a surrounding. Empty tables give empty results.
+
+Passages counted in words are found alike: a text becomes four bytes for each word, so that ``words`` words are a string of 4 * ``words``
+bytes. Words are as in ``paragraphs``: separated by spaces and tab to carriage return, A-Z as a-z. 32 bits of a hash stand for a word.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.llm.common import in_small_batches, rows_of, run_ids, stage, working_parts
+from lodestat.llm.common import in_small_batches, likely, rows_of, run_ids, stage, working_parts
+from lodestat.llm.paragraphs import words_of
 from lodestat.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 128
+#: Words of a passage, and of its anchors.
+WORDS, WORD_GRAM = 51, 16
+#: Bytes that stand for a word.
+PER_WORD = 4
 #: Different surroundings of one anchor that a shard takes; beyond that strings are counted one by one.
 SURROUNDINGS = 4096
 SHARD_BYTES = 4 << 20
@@ -90,6 +98,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return in_small_batches(docs).select("doc_id", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.cast("binary").alias("text"))
 
 
+def worded(texts: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` with ``PER_WORD`` bytes for each word instead of the text."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [(words_of(own.tobytes())[2] >> np.uint64(32)).astype("<u4").tobytes() for own in rows_of(b, "text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "k1", "k2")), pa.array(some, pa.binary())], names=["doc_id", "k1", "k2", "text"])
+
+    return texts.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, text binary")
+
+
 def anchor_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, anchor, around, first, last): every run of strings with its anchor and a hash of all bytes of its strings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +166,24 @@ def as_runs(hit: np.ndarray) -> list[list[int]]:
 RUNS = "array<array<long>>"
 
 
+def listed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (doc_id, k1, k2, n_bytes, sha256) of every row, and (k1, k2, copies, least doc_id) of every text."""
+    rows = stage(keyed(docs).select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha256")), "rows")
+    return rows, stage(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "texts")
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: (doc_id, k1, k2, n_bytes, sha256, copies) of every row, and (k1, k2, runs of starts of repeated strings) of
+    """Two tables: (doc_id, k1, k2, n_bytes, sha256, copies) of every row, and (k1, k2, runs of starts of repeated strings) of
     texts that occur in one row and have any. Strings of texts with copies count too."""
+    rows, per = listed(docs)
+    return rows.join(per.select("k1", "k2", "copies"), ["k1", "k2"]), repeats(docs, per, length, gram)[0]
+
+
+def repeats(docs: DataFrame, per: DataFrame, length: int, gram: int, of: Callable[[DataFrame], DataFrame] = lambda texts: texts) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (k1, k2, runs) as ``repeated`` has them, and ``anchor_rows`` whose anchor occurs elsewhere. ``of`` makes the
+    strings' bytes from the rows of ``keyed``; texts and copies of them (``per``) are those of ``keyed``."""
     texts = keyed(docs)
-    rows = stage(texts.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha256")), "rows")
-    per = stage(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id")), "texts")
-    found = stage(anchor_rows(texts, length, gram), "anchors")
+    found = stage(anchor_rows(of(texts), length, gram), "anchors")
     # a table of its own, so that a join with a very common anchor can be split
     often = stage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor"), "anchors-often")
     found = stage(found.join(often, "anchor", "left_semi"), "anchors-met")
@@ -161,9 +192,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     kinds = around.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("one.last") - F.col("one.first") + length).alias("size")).where("kinds > 1")
     shards = max(1, -(-int(kinds.where(F.col("kinds") <= SURROUNDINGS).agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
     shards = max(shards, working_parts(docs.sparkSession))
-    wanted = (around.join(kinds, "anchor").select("anchor", "around", "kinds", "one.*").join(per.select("k1", "k2", "doc_id"), ["k1", "k2"])
-              .groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct("anchor", "around", "kinds", "first", "last")).alias("cuts")))
-    pieces = stage(_passages(_of_rows(texts, wanted), length), "passages")
+    wanted = stage(around.join(kinds, "anchor").select("anchor", "around", "kinds", "one.*").join(per.select("k1", "k2", "doc_id"), ["k1", "k2"])
+                   .groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct("anchor", "around", "kinds", "first", "last")).alias("cuts")), "cuts")
+    pieces = stage(_passages(_of_rows(of(likely(texts, wanted, "k1")), wanted), length), "passages")
 
     def sort_shard(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))
@@ -190,7 +221,24 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     hits = found.join(told, ["anchor", "around"])       # one join alone, which can be split where a surrounding is very common
     hits = hits.withColumn("runs", F.expr("if(met > 1, array(array(first, last)), transform(runs, r -> array(first + r[0], first + r[1])))"))
     runs = hits.join(alone, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return rows.join(per.select("k1", "k2", "copies"), ["k1", "k2"]), stage(runs, "runs")
+    return stage(runs, "runs"), found
+
+
+def repeated_words(docs: DataFrame, per: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
+    """(k1, k2, n_repeated_words): words of a text in runs of ``words`` or more that occur elsewhere too, of texts that have any."""
+    length = words * PER_WORD
+    runs, found = repeats(docs, per, length, gram * PER_WORD, worded)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [spans_of(np.asarray(r.values.flatten(), np.int64).reshape(-1, 2), length) for r in b.column("runs")]
+            n = [sum(j // PER_WORD - -(-i // PER_WORD) for i, j in s) for s in spans]
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(n, pa.int64())], names=["k1", "k2", "n_repeated_words"])
+
+    # a copy repeats all words of its text, and so all of its anchors
+    copies = found.join(per.where("copies > 1").select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2")
+    whole = copies.agg(F.expr(f"(max(last) + {length}) div {PER_WORD}").alias("n_repeated_words"))
+    return runs.select("k1", "k2", "runs").mapInArrow(count, "k1 long, k2 long, n_repeated_words long").unionByName(whole)
 
 
 def _of_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -234,11 +282,14 @@ def spans_of(runs: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), ends[last].tolist(), strict=True))
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row; kept: the bytes that are left, as binary."""
-    rows, runs = repeated(docs, length, gram)
-    rows = stage(rows, "rows-copies")
-    hit = _of_rows(keyed(docs), rows.where("copies = 1").join(runs, ["k1", "k2"]).select("k1", "k2", "doc_id", "runs"))
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept][, n_repeated_words]) of every row; kept: the bytes that are left, as binary.
+    With ``words``, words of the text in runs of so many or more that occur elsewhere too are counted; they are not removed."""
+    rows, per = listed(docs)
+    runs, _ = repeats(docs, per, length, gram)
+    rows = stage(rows.join(per.select("k1", "k2", "copies"), ["k1", "k2"]), "rows-copies")
+    wanted = stage(rows.where("copies = 1").join(runs, ["k1", "k2"]).select("k1", "k2", "doc_id", "runs"), "wanted")
+    hit = _of_rows(likely(keyed(docs), wanted, "k1"), wanted)
     kind = hit.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
@@ -252,13 +303,17 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: b
                 out.append((len(own), len(own) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols[:len(names) - 1]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("doc_id"), *cols[:len(names) - 1]], names=["k1", "k2", *names])
 
-    done = hit.select("doc_id", "text", "runs").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    done = hit.select("k1", "k2", "doc_id", "text", "runs").mapInArrow(cut, f"k1 long, k2 long, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     rest = rows.join(runs.select("k1", "k2"), ["k1", "k2"], "left_anti").select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), whole.cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex("sha256"))).alias("kept_sha256"), "k1", "k2")
     if with_text:
         rest = _of_rows(keyed(docs), rest).withColumn("kept", F.when(F.col("n_removed") > 0, F.lit(b"")).otherwise(F.col("text")))
-    return done.unionByName(rest.select(names))
+    every = done.unionByName(rest.select("k1", "k2", *names))
+    if words is None:
+        return every.select(names)
+    found = stage(repeated_words(docs, per, words), "words")       # a table of its own, so that a join with a very common text can be split
+    return every.join(found, ["k1", "k2"], "left").select(*names, F.coalesce("n_repeated_words", F.lit(0).cast("long")).alias("n_repeated_words"))

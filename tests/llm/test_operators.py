@@ -704,3 +704,30 @@ def test_texts_that_nobody_asks_for_are_left_out_early(spark):
 def test_keys_meet_by_band(spark):
     keys = spark.createDataFrame([(1, 10), (2, 10), (1, 11), (3, 12), (4, None)], "no long, band long")
     assert sorted(map(tuple, paragraphs.meeting(keys).collect())) == [(1, 10), (2, 10)]
+
+
+# ---- op1, passages of words
+
+def test_words_of_repeated_passages_are_counted(spark):
+    rng = random.Random(51)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, short, other = prose(51), prose(50), prose(60)
+    texts = [" ".join(prose(20) + passage + prose(30)), "\n".join([*prose(7), *passage]).upper().replace("É", "é"), " ".join(prose(30) + short), " ".join(short + prose(30)), " ".join(other), " ".join(other),
+             " ".join(prose(49)), None, "", " ".join(["la"] * 60), " ".join(prose(200)), " ".join(["x", *other[1:]])]
+    texts += [texts[6]]
+    rows = [(i if i != 10 else None, t) for i, t in enumerate(texts)] + [(4, texts[4])]
+    got = suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=51).collect()
+    seen = defaultdict(list)
+    for k, (_, t) in enumerate(rows):
+        w = (t or "").lower().split()
+        for i in range(len(w) - 50):
+            seen[tuple(w[i:i + 51])].append((k, i))
+    want = [set() for _ in rows]
+    for at in seen.values():
+        for k, i in at if len(at) > 1 else []:
+            want[k].update(range(i, i + 51))
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_repeated_words"]) for r in got) == sorted((i is None, i, len(w)) for (i, _), w in zip(rows, want, strict=True))
+    assert len(want[0]) >= 51 and len(want[2]) == 0 and len(want[9]) == 60
+    plain = suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, (r[:5] for r in got))) == sorted(str(tuple(r)) for r in plain.collect())
