@@ -84,6 +84,32 @@ def test_near_copies_go(spark, tmp_path, bucket, monkeypatch):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {find(i) for i in range(len(rows))}
 
 
+def test_near_fingerprints_go(spark, tmp_path):
+    """A copy whose fingerprint is within three bits goes, though its shingles are less alike; so does what is like that copy alone."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(900)]
+
+    def edited(text, n):
+        out = list(text)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = rng.choice(words)
+        return out
+
+    def share(a, b):
+        a, b = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    def bits(a, b):
+        return (brute_fingerprint(" ".join(a)) ^ brute_fingerprint(" ".join(b))).bit_count()
+
+    base = [rng.choice(words) for _ in range(600)]
+    copy = next(t for t in iter(lambda: edited(base, 16), None) if bits(base, t) <= 3 and share(base, t) < 0.8)
+    far = next(t for t in iter(lambda: edited(copy, 8), None) if min(bits(base, t), bits(copy, t)) > 3 and share(copy, t) >= 0.85 and share(base, t) < 0.8)
+    other = [rng.choice(words) for _ in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((base, copy, far, other, base))] + [(7, None), (8, "")], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, str(tmp_path)).collect()} == {0, 3, 7}
+
+
 def test_no_documents(spark, folder, tmp_path):
     other = tmp_path / "none"
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(other / "documents.parquet"))
