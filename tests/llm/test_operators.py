@@ -357,6 +357,24 @@ def test_top_k(spark, spread, monkeypatch):
             assert q not in got
 
 
+@pytest.mark.parametrize("held", [1 << 12, 1 << 26])
+def test_top_k_by_groups(spark, held, monkeypatch):
+    """Many groups and shares, equal vectors and ties; no vectors are sent through the driver."""
+    for name, value in (("CANDIDATES", 40), ("QUERIES", 9), ("GROUP_BYTES", held)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (700, 5))
+    x[300:350] = x[:50]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    found = topk.top_k(df, df.where(topk.asks(every=3)), 7, 1.0)
+    explained = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = re.findall(r"BroadcastExchange\s+Input \[\d+\]: \[(.*?)\]", explained)
+    assert sent and not any("data" in columns or "ids" in columns for columns in sent)
+    got = sorted(map(tuple, found.collect()))
+    scores = x @ x.T
+    assert got == [(q, r + 1, c, -s) for q in range(0, 700, 3) for r, (s, c) in enumerate(sorted((-int(scores[q, c]), c) for c in range(700) if c != q)[:7])]
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df).count() == 0
