@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestat import relations as R
 from lodestat.catalog.registry import query, txt
 from lodestat.operators import lineage as L
-from lodestat.session import stage
+from lodestat.session import dealt, stage
 
 BY = ("entity", "period_end")
 CELLS = ("ocf", "capex", "da", "sbc", "debt", "cash")
@@ -15,15 +15,17 @@ OWNER = ("ocf", "capex", "da", "sbc")
 
 def nodes(spark, d):
     """(sources, metrics) of every quarter: owner cash flow from its cells, its sum over four quarters, net debt, and the years of
-    owner cash flow that pay it."""
-    cells = R.statements(spark, d).where("scope = 'quarterly'").unpivot(list(BY), list(CELLS), "key", "value")
-    src = stage(L.sources(cells, BY), "sources")
-    owner = stage(L.metrics(src.where(F.col("key").isin(*OWNER)), "owner_fcf", BY, needed=("ocf", "capex")), "owner")
+    owner cash flow that pay it. Values are dealt out by entity before they are hashed: an id is several times as long as its value, and
+    all groups below lie within an entity, so that ids are made where they are used."""
+    quarters = stage(R.statements(spark, d).where("scope = 'quarterly'").select(*BY, *CELLS), "cells")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in CELLS]))      # keeps rows dealt, as unpivot does not
+    src = L.sources(dealt(quarters, "entity").select(*BY, cells.alias("c")).select(*BY, "c.key", "c.value"), BY)
+    owner = L.metrics(src.where(F.col("key").isin(*OWNER)), "owner_fcf", BY, needed=("ocf", "capex"))
     four = F.collect_list("id").over(W.partitionBy("entity").orderBy("period_end").rowsBetween(-3, 0))          # quarters of one entity
     quarters = owner.select(*BY, "key", four.alias("ids")).select(*BY, "key", F.explode("ids").alias("id"))
     ttm = L.metrics(quarters, "owner_fcf_ttm", BY, least=4)
     debt = L.metrics(src.where(F.col("key").isin("debt", "cash")), "net_debt", BY, needed=("debt", "cash"))
-    parts = stage(ttm.unionByName(debt), "parts")
+    parts = ttm.unionByName(debt)
     years = L.metrics(parts, "net_debt_years", BY, needed=("owner_fcf_ttm", "net_debt"))
     return src, owner.unionByName(parts).unionByName(years)
 
@@ -56,15 +58,7 @@ def metric_ids(spark, d):
   SELECT entity, {txt('period_end')}, key, id, ancestors, sources, ancestors_sha256 FROM met JOIN g USING (id)""")
 def metric_ancestors(spark, d):
     """All that a metric was made from, near or far: how many nodes, how many of them sources, and a digest of their ids."""
-    src, met = nodes(spark, d)
-    met = stage(met, "metrics")
-    number = L.numbered(src.select("id").unionByName(met.select("id")))
-    of = met.select(F.unhex("id").alias("id"), F.transform("inputs", F.unhex).alias("inputs"))
-    links = of.join(number, "id").select(F.col("no").alias("id"), F.explode("inputs").alias("_in")).join(number.select(F.col("id").alias("_in"), F.col("no").alias("input_id")), "_in").select("id", "input_id")
-    source = src.select(F.unhex("id").alias("id"), F.lit(1).alias("source"))
-    known = number.join(source, "id", "left").select(F.col("no").alias("ancestor"), F.col("id").alias("_of"), "source")
-    up = L.ancestors(links).join(known, "ancestor").drop("ancestor")
-    texts = F.transform(F.sort_array(F.collect_list("_of")), lambda x: F.lower(F.hex(x)))          # bytes sort as their digits do
-    g = up.groupBy("id").agg(F.count("*").alias("ancestors"), F.count("source").alias("sources"), F.sha2(F.array_join(texts, ","), 256).alias("ancestors_sha256"))
-    g = g.join(number.withColumnRenamed("id", "_of").withColumnRenamed("no", "id"), "id").drop("id").withColumn("id", F.lower(F.hex("_of"))).drop("_of")
-    return met.join(g, "id").select(*BY, "key", "id", "ancestors", "sources", "ancestors_sha256")
+    met = nodes(spark, d)[1].select(*BY, "key", F.unhex("id").alias("id"), F.transform("inputs", F.unhex).alias("inputs"))      # half as long as the digits
+    up = L.ancestors(met, within=("entity",))
+    texts = F.transform(F.sort_array("ancestors"), lambda x: F.lower(F.hex(x)))          # bytes sort as their digits do
+    return up.select(*BY, "key", F.lower(F.hex("id")).alias("id"), F.size("ancestors").cast("bigint").alias("ancestors"), "sources", F.sha2(F.array_join(texts, ","), 256).alias("ancestors_sha256"))

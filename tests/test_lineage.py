@@ -1,12 +1,17 @@
 """Ids made of content, and ancestors by doubling against a walk."""
 
+import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestat.catalog.c_lineage import metric_ancestors
 from lodestat.operators import lineage as L
 
+D = dt.date
+
 CELLS = [(1, "ocf", 5.0), (1, "capex", 2.0), (1, "sbc", None), (2, "ocf", 5.0), (3, "ocf", 1.5), (3, "capex", 1.0)]
 
 
@@ -67,6 +72,37 @@ def test_every_path_is_written_once(spark, monkeypatch):
     assert L.ancestors(chain).count() == 210 == sum(written)
 
 
+def test_ancestors_within_groups_equal_rounds(spark):
+    rng = random.Random(6)
+    nodes = [(e, f"{e or 0}.{i}", [f"{e or 0}.{j}" for j in rng.sample(range(i), min(i, rng.randint(0, 3)))]) for e in (1, 2, None) for i in range(30)]
+    nodes = [n for n in nodes if n[2]] + [(2, "2.40", ["2.29", "2.29", "x"])]
+    df = spark.createDataFrame(nodes, "entity long, id string, inputs array<string>").withColumn("key", F.lit("mine"))
+    rounds = {}
+    for r in L.ancestors(L.edges(df)).collect():
+        rounds.setdefault(r.id, set()).add(r.ancestor)
+    got = L.ancestors(df, within=("entity",))
+    assert got.columns == ["entity", "id", "key", "ancestors", "sources"]
+    rows = got.collect()
+    assert {r.id: set(r.ancestors) for r in rows} == rounds and len(rows) == len(nodes) and all(len(set(r.ancestors)) == len(r.ancestors) for r in rows)
+    assert all(r.sources == len(rounds[r.id] - rounds.keys()) for r in rows)
+    assert L.ancestors(df.where("false"), within=("entity",)).count() == 0
+    for loop in ([(1, "a", ["b"]), (1, "b", ["c"]), (1, "c", ["a"])], [(1, "a", ["a"])]):
+        with pytest.raises(Exception, match="cycle"):
+            L.ancestors(spark.createDataFrame(loop, "entity long, id string, inputs array<string>"), within=("entity",)).collect()
+
+
+def test_ids_are_exchanged_once(spark, tmp_path):
+    """Cells are dealt out as numbers and nodes once, by entity; no path and no other id is exchanged."""
+    lines = [(1, i % 3, 1, D(1995, 1 + i % 12, 9), 100.0 + i, "R" if i % 2 else "A", "F", 0.01 * (i % 9), 0.05, 5.0) for i in range(200)]
+    kind = "l_orderkey long, l_suppkey long, l_linenumber int, l_shipdate date, l_extendedprice double, l_returnflag string, l_linestatus string, l_tax double, l_discount double, l_quantity double"
+    spark.createDataFrame(lines, kind).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = metric_ancestors(spark, str(tmp_path))
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not re.search(r"Exchange hashpartitioning\((id|ancestor|_in|input_id)", plan)
+    assert len(re.findall(r"Exchange hashpartitioning\(entity#\w+, period_end#\w+, \d+\)", plan)) <= 1
+
+
 def test_numbers_stand_for_ids(spark):
     ids = spark.createDataFrame([("0a" * 32,), ("ff" * 32,), ("0a" * 32,)], "id string")
     rows = L.numbered(ids).collect()
